@@ -173,17 +173,18 @@ def judged(docs: DataFrame, min_group: int = 40, min_words: int = 50, max_repeat
     counts = saved(counted(docs), "quality")
     bars = fences(sketches(counts))
     names = [c for c in bars.columns if c.endswith(("_most", "_least"))]
-    levels = []
-    for level, keys in ((0, ["g_lang", "g_source"]), (1, ["g_lang"]), (2, [])):
-        levels.append(bars.filter((F.col("level") == level) & ((F.col("group_docs") >= min_group) | (level == 2))).select(*keys, F.struct(*names).alias(f"bars{level}")))
-    joined = (
-        counts.join(levels[0], counts.lang.eqNullSafe(levels[0].g_lang) & counts.source.eqNullSafe(levels[0].g_source), "left")
-        .drop("g_lang", "g_source")
-        .join(levels[1], counts.lang.eqNullSafe(levels[1].g_lang), "left")
-        .drop("g_lang")
-        .join(levels[2], how="left")
-    )
-    bar = F.coalesce("bars0", "bars1", "bars2")
+    groups, languages, whole = (bars.filter(F.col("level") == k).select("g_lang", "g_source", "group_docs", F.struct(*names).alias(f"bars{k}"), F.lit(0).alias("all")) for k in range(3))
+    own = (
+        groups.alias("g")
+        .join(languages.alias("l"), F.col("g.g_lang").eqNullSafe(F.col("l.g_lang")))
+        .join(whole.alias("w"), F.col("g.all") == F.col("w.all"))
+        .select(
+            "g.g_lang", "g.g_source",
+            F.when(F.col("g.group_docs") >= min_group, F.col("bars0")).when(F.col("l.group_docs") >= min_group, F.col("bars1")).otherwise(F.col("bars2")).alias("bar"),
+        )
+    )
+    joined = counts.join(own, counts.lang.eqNullSafe(own.g_lang) & counts.source.eqNullSafe(own.g_source), "left")
+    bar = F.col("bar")
     found = []
     for m in MEASURES:
         beyond = _value(m) > bar[f"{m.name}_most"]
