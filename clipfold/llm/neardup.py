@@ -104,17 +104,19 @@ def signed(docs: DataFrame, n: int, hashes: int) -> DataFrame:
     return with_text(docs, "doc_id").mapInArrow(work, f"doc_id {kind}, n_shingles long, set_a long, set_b long, signature array<int>")
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
-    """node and its compressed text."""
+def squeezed(docs: DataFrame, key: str = "node", *more: str) -> DataFrame:
+    """The document ids as ``key``, further columns, and ``body``: the compressed text, a third of what travels otherwise."""
+    texts = with_text(docs.withColumn(key, F.col("doc_id")), key, *more)
+    names = [key, *more]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches):
-            texts = [squeeze(x.encode()) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(texts, pa.binary())], names=["node", "body"])
+            bodies = [squeeze(x.encode()) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bodies, pa.binary())], names=[*names, "body"])
 
-    wanted = with_text(docs.withColumn("node", F.col("doc_id")), "node")
-    return wanted.mapInArrow(work, f"node {docs.schema['doc_id'].dataType.simpleString()}, body binary")
+    fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in names)
+    return texts.mapInArrow(work, f"{fields}, body binary")
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataFrame:

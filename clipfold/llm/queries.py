@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clipfold.llm.audio import media_digests
 from clipfold.llm.langid import held_out_languages
+from clipfold.llm.linededup import deduplicated
 from clipfold.llm.lm import held_out_scores
 from clipfold.llm.neardup import near_duplicates
 from clipfold.llm.packing import packed
@@ -29,6 +30,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_languages(documents_of(spark, sf_dir))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicated(documents_of(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents_of(spark, sf_dir))
 
@@ -41,5 +46,5 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents_of(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_model, op2_packing, op4_language_id, op8_near_duplicates, op9_quality_rules, op10_telephony_audio)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_model, op2_packing, op4_language_id, op6_line_dedup, op8_near_duplicates, op9_quality_rules, op10_telephony_audio)}
 ORACLE_SQL: dict[str, str] = {}
