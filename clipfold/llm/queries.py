@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from clipfold.llm.audio import media_digests
 from clipfold.llm.langid import held_out_languages
+from clipfold.llm.licenses import scan_sql, scanned
 from clipfold.llm.linededup import deduplicated
 from clipfold.llm.lm import held_out_scores
 from clipfold.llm.neardup import near_duplicates
 from clipfold.llm.packing import packed
+from clipfold.llm.pii import pseudonymized_texts
 from clipfold.llm.quality import judged
 from clipfold.llm.store import documents_of
 
@@ -30,10 +32,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_languages(documents_of(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(documents_of(spark, sf_dir))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicated(documents_of(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymized_texts(documents_of(spark, sf_dir))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents_of(spark, sf_dir))
 
@@ -46,5 +56,5 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents_of(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_model, op2_packing, op4_language_id, op6_line_dedup, op8_near_duplicates, op9_quality_rules, op10_telephony_audio)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_model, op2_packing, op4_language_id, op5_license_scan, op6_line_dedup, op7_pii_pseudonyms, op8_near_duplicates, op9_quality_rules, op10_telephony_audio)}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": scan_sql()}
