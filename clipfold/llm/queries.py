@@ -11,6 +11,7 @@ from clipfold.llm.langid import held_out_languages
 from clipfold.llm.licenses import scan_sql, scanned
 from clipfold.llm.linededup import deduplicated
 from clipfold.llm.lm import held_out_scores
+from clipfold.llm.mixing import mixed, quality_domains
 from clipfold.llm.neardup import near_duplicates
 from clipfold.llm.packing import packed
 from clipfold.llm.pii import pseudonymized_texts
@@ -28,6 +29,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(documents_of(spark, sf_dir))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixed(documents_of(spark, sf_dir), labels).drop("row")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held_out_languages(documents_of(spark, sf_dir))
 
@@ -56,5 +62,5 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents_of(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_model, op2_packing, op4_language_id, op5_license_scan, op6_line_dedup, op7_pii_pseudonyms, op8_near_duplicates, op9_quality_rules, op10_telephony_audio)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_model, op2_packing, op3_mixing, op4_language_id, op5_license_scan, op6_line_dedup, op7_pii_pseudonyms, op8_near_duplicates, op9_quality_rules, op10_telephony_audio)}
 ORACLE_SQL: dict[str, str] = {"op5_license_scan": scan_sql()}
