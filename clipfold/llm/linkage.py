@@ -41,7 +41,7 @@ def _labelled(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     return members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def linked(members: DataFrame, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame:
+def linked(members: DataFrame, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], rounds: int = 2, narrowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node and component of all nodes with a link.
 
     ``members`` (key, node): candidates are two nodes of one key. In each round
@@ -51,7 +51,10 @@ def linked(members: DataFrame, plausible: Callable[[DataFrame], DataFrame], veri
     candidate pair whose nodes are still apart is checked, so that no link is
     left out; pairs inside a component never need to be.
 
-    ``plausible`` drops pairs (a, b) that cannot be links, ``verified`` keeps
+    ``narrowed`` may give the keys for that: from the members of keys with
+    several components (key, node, component) it makes members (key, node,
+    component) such that linked nodes which share a key still share one, and
+    others rarely do. ``plausible`` drops pairs (a, b) that cannot be links, ``verified`` keeps
     those that are.
     """
     links, classes = None, None
@@ -69,7 +72,11 @@ def linked(members: DataFrame, plausible: Callable[[DataFrame], DataFrame], veri
         links = saved(found if links is None else links.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found.select("a", "b")), "links")
         classes = saved(components(links), "classes")
         links = classes
-    apart = saved(_labelled(members, classes), "members")
+    apart = _labelled(members, classes)
+    parts = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    apart = saved(apart.join(parts, "key"), "apart")
+    if narrowed is not None:
+        apart = saved(narrowed(apart), "narrowed")
     sizes = apart.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     spread = apart.join(main, "key")
@@ -77,5 +84,5 @@ def linked(members: DataFrame, plausible: Callable[[DataFrame], DataFrame], veri
     every = spread.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"))
     left = others.join(every, "key").filter("ca <> cb and (in_main or a < b)")
     pairs = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = verified(saved(plausible(pairs.withColumn("n", F.lit(1))).select("a", "b"), "apart"))
+    found = verified(saved(plausible(pairs.withColumn("n", F.lit(1))).select("a", "b"), "pairs"))
     return saved(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found.select("a", "b"))), "classes")
