@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from clipfold.plans import table_queries, text_queries
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+QUERIES: dict[str, Query] = text_queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL: dict[str, str] = text_queries.ORACLE_SQL | table_queries.ORACLE_SQL
+
+flagship = text_queries.dedup_representatives
