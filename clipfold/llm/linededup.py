@@ -119,12 +119,12 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
 def _line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """node and line of the nodes in ``wanted`` (node, doc_id): one occurrence each. Documents travel compressed."""
     ids = wanted.groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))
-    found = squeezed(docs, "doc_id").join(ids, "doc_id").select("body", "nodes")
+    found = squeezed(docs, "doc_id").join(ids, "doc_id").select("__body", "nodes")
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, "body", 1_000_000):
-            texts = pa.array([wide(x).decode() for x in batch.column("body").to_pylist()], pa.string())
+        for batch in slices(batches, "__body", 1_000_000):
+            texts = pa.array([wide(x).decode() for x in batch.column("__body").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts, batch.column("nodes")], names=["text", "nodes"])
 
     texts = found.mapInArrow(widen, "text string, nodes array<long>")
@@ -177,16 +177,16 @@ def deduplicated(docs: DataFrame, most: int = 2, least: int = 40) -> DataFrame:
     lines = lines_of(docs, least).select("node", "doc_id", "line_no")
     found = lines.join(line_classes(docs, most, least), "node", "left").select(F.coalesce("component", "node").alias("kind"), F.struct("doc_id", "line_no").alias("place"))
     first = found.groupBy("kind").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select("kind", "first")
-    gone = saved(found.join(first, "kind").filter("place > first").groupBy("place.doc_id").agg(F.collect_set("place.line_no").alias("gone")), "gone")
+    gone = saved(found.join(first, "kind").filter("place > first").groupBy("place.doc_id").agg(F.collect_set("place.line_no").alias("__gone")), "__gone")
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     more = [c for c in names if c != "doc_id"]
-    joined = squeezed(docs.withColumn("had_text", F.col("text").isNotNull()), "doc_id", "had_text", *more).join(gone, "doc_id", "left")
+    joined = squeezed(docs.withColumn("__had_text", F.col("text").isNotNull()), "doc_id", "__had_text", *more).join(gone, "doc_id", "left")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, "body", 1_000_000):
+        for batch in slices(batches, "__body", 1_000_000):
             texts, total, removed = [], [], []
-            for body, drop, had in zip(batch.column("body").to_pylist(), batch.column("gone").to_pylist(), batch.column("had_text").to_pylist(), strict=True):
+            for body, drop, had in zip(batch.column("__body").to_pylist(), batch.column("__gone").to_pylist(), batch.column("__had_text").to_pylist(), strict=True):
                 parts = wide(body).decode().split("\n")
                 total.append(len(parts))
                 removed.append(len(drop or ()))

@@ -105,7 +105,7 @@ def signed(docs: DataFrame, n: int, hashes: int) -> DataFrame:
 
 
 def squeezed(docs: DataFrame, key: str = "node", *more: str) -> DataFrame:
-    """The document ids as ``key``, further columns, and ``body``: the compressed text, a third of what travels otherwise."""
+    """The document ids as ``key``, further columns, and ``__body``: the compressed text, a third of what travels otherwise."""
     texts = with_text(docs.withColumn(key, F.col("doc_id")), key, *more)
     names = [key, *more]
 
@@ -113,10 +113,10 @@ def squeezed(docs: DataFrame, key: str = "node", *more: str) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in slices(batches):
             bodies = [squeeze(x.encode()) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bodies, pa.binary())], names=[*names, "body"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bodies, pa.binary())], names=[*names, "__body"])
 
     fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in names)
-    return texts.mapInArrow(work, f"{fields}, body binary")
+    return texts.mapInArrow(work, f"{fields}, `__body` binary")
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataFrame:
@@ -134,8 +134,8 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> Data
             total = np.array([len(x) for x in sets[:size]]) + np.array([len(x) for x in sets[size:]]) - same
             yield batch.select(["a", "b"]).filter(pa.array((100 * same >= percent * total) & (same > 0)))
 
-    one = bodies.select(F.col("node").alias("a"), F.col("body").alias("body_a"))
-    two = bodies.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
+    one = bodies.select(F.col("node").alias("a"), F.col("__body").alias("body_a"))
+    two = bodies.select(F.col("node").alias("b"), F.col("__body").alias("body_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b").mapInArrow(work, f"a {kind}, b {kind}")
 
 
@@ -151,14 +151,14 @@ def prefixed(apart: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataF
     kind = apart.schema["node"].dataType.simpleString()
     hubs = apart.groupBy("key").agg(F.min("node").alias("b"))
     family = saved(components(apart.join(hubs, "key").select(F.col("node").alias("a"), "b").distinct()), "families")
-    own = bodies.select("node", "body")
-    first = bodies.select(F.col("node").alias("component"), F.col("body").alias("first"))
-    rows = family.join(own, "node").join(first, "component").select("node", "component", "body", "first")
+    own = bodies.select("node", "__body")
+    first = bodies.select(F.col("node").alias("component"), F.col("__body").alias("first"))
+    rows = family.join(own, "node").join(first, "component").select("node", "component", "__body", "first")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = zstandard.ZstdDecompressor().decompress
-        for batch in slices(slices(batches, "body", 1_000_000), "first", 1_000_000):
-            texts = [wide(x).decode() for c in ("body", "first") for x in batch.column(c).to_pylist()]
+        for batch in slices(slices(batches, "__body", 1_000_000), "first", 1_000_000):
+            texts = [wide(x).decode() for c in ("__body", "first") for x in batch.column(c).to_pylist()]
             grams, at = shingles(words_of(text_array(pa.array(texts, pa.large_string())), lower_ascii=True), n)
             sets = [grams[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             size, front = batch.num_rows, []
