@@ -14,14 +14,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipfold.llm.arrowtext import slices
-from clipfold.llm.linkage import linked
+from clipfold.llm.arrowtext import mix, raw_bytes, slices, text_array
+from clipfold.llm.linkage import components, linked
+from clipfold.llm.lm import pack, unpack
 from clipfold.llm.neardup import squeezed
-from clipfold.llm.store import saved, with_text
+from clipfold.llm.store import partitions_for, saved, with_text
 
 
 def probes(most: int) -> list[tuple[int, int, int]]:
@@ -35,21 +38,71 @@ def probes(most: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _segment(length: Column, segment: int, parts: int) -> tuple[Column, Column]:
-    """Where a segment of a line of that length begins, and its length; the later ones are the longer ones."""
-    each, short = F.floor(length / parts), parts - length % parts
-    return segment * each + F.greatest(F.lit(segment) - short, F.lit(0)), each + (F.lit(segment) >= short).cast("int")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 13, 32]] = True
 
 
-def keyed(lines: DataFrame, most: int) -> DataFrame:
-    """(key, node, indexed) of each line (node, line): all keys under which it probes; those of its own segments are its index."""
-    length = F.length("line")
-    entries = []
-    for shorter, segment, shift in probes(most):
-        start, size = _segment(length - shorter, segment, most + 1)
-        key = F.xxhash64(length - shorter, F.lit(segment), F.substring(F.col("line"), (start + shift + 1).cast("int"), size.cast("int")))
-        entries.append(F.struct(key.alias("key"), F.lit(shorter == 0 and shift == 0).alias("indexed")))
-    return lines.select("node", F.explode(F.array(*entries)).alias("e")).select("e.key", "node", "e.indexed")
+class Lines:
+    """The lines of a slice of texts that have ``least`` characters or more without blanks at their ends.
+
+    ``owner``: index of the text; ``number``: of the line in it; ``start`` and
+    ``stop``: of the line's bytes; ``length``: its characters; ``node``: its hash.
+    """
+
+    def __init__(self, text: pa.Array, least: int):
+        data, offsets = raw_bytes(text)
+        self.data = data
+        breaks = np.flatnonzero(data == 10)
+        owner = np.searchsorted(offsets, breaks, side="right") - 1
+        start = np.concatenate([offsets[:-1], breaks + 1])
+        stop = np.concatenate([breaks, offsets[1:]])
+        owner = np.concatenate([np.arange(len(text)), owner])
+        start, stop, self.owner = np.sort(start), np.sort(stop), np.sort(owner)
+        first = np.searchsorted(self.owner, np.arange(len(text)))
+        self.number = np.arange(len(start)) - first[self.owner]
+        while True:  # blanks at either end
+            some = stop > start
+            left = some & _BLANK[data[np.minimum(start, len(data) - 1)]] if len(data) else some
+            right = some & ~left & _BLANK[data[np.maximum(stop - 1, 0)]] if len(data) else some
+            if not len(data) or not (left.any() or right.any()):
+                break
+            start, stop = start + left, stop - right
+        points = np.zeros(len(data) + 1, dtype=np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=points[1:])
+        self.length = points[stop] - points[start]
+        keep = self.length >= least
+        self.start, self.stop, self.length, self.owner, self.number = start[keep], stop[keep], self.length[keep], self.owner[keep], self.number[keep]
+        self.point = points[self.start]
+        whole, digest = memoryview(data), xxhash.xxh3_64_intdigest
+        self.node = np.fromiter((digest(whole[a:b]) for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)), dtype=np.uint64, count=len(self.start)).view(np.int64)
+
+    def keys(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(key, node) of every line: all keys under which it probes, twice a hash, and one more for those of its own segments, its index."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        once = np.unique(self.node, return_index=True)[1]  # copies of a line in a slice probe once
+        points = np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+        powers = np.full(len(points) + 1, _BASE, dtype=np.uint64)
+        powers[0] = 1
+        np.cumprod(powers, out=powers)
+        total = np.zeros(len(points) + 1, dtype=np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=total[1:])
+        back = np.full(len(points) + 1, _INVERSE, dtype=np.uint64)
+        back[0] = 1
+        np.cumprod(back, out=back)
+        at, length, parts = self.point[once], self.length[once], most + 1
+        out = []
+        for shorter, segment, shift in probes(most):
+            size = length - shorter
+            each, short = size // parts, parts - size % parts
+            begin = at + segment * each + np.maximum(segment - short, 0) + shift
+            end = begin + each + (segment >= short)
+            key = (total[end] - total[begin]) * back[begin]
+            key = mix(key ^ mix((size * parts + segment).astype(np.uint64)))
+            out.append(key << np.uint64(1) | np.uint64(shorter == 0 and shift == 0))
+        return np.concatenate(out), np.tile(self.node[once], len(out))
 
 
 def within(left: list[str], right: list[str], most: int) -> np.ndarray:
@@ -105,15 +158,62 @@ def _banded(long: list[str], short: list[str], m: np.ndarray, n: np.ndarray, mos
     return distance
 
 
-def _trimmed(name: str) -> Column:
-    return F.trim(F.translate(name, "\t\r", "  "))
+def occurrences(docs: DataFrame, least: int) -> DataFrame:
+    """node, doc_id and line_no of every line of ``least`` characters or more."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            lines = Lines(text_array(batch.column("text")), least)
+            yield pa.RecordBatch.from_arrays([pa.array(lines.node), batch.column("doc_id").take(pa.array(lines.owner)), pa.array(lines.number.astype(np.int32))], names=["node", "doc_id", "line_no"])
 
+    return with_text(docs, "doc_id").mapInArrow(work, f"node long, doc_id {kind}, line_no int")
 
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, line_no, line and node (its hash) of the lines of ``least`` characters or more, without white space at the ends."""
-    rows = with_text(docs, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    rows = rows.select("doc_id", "line_no", _trimmed("raw").alias("line"))
-    return rows.filter(F.length("line") >= least).withColumn("node", F.xxhash64("line"))
+
+def candidates(docs: DataFrame, most: int, least: int) -> DataFrame:
+    """(key, node) of the keys that two different lines share, one of which has it in its index.
+
+    Keys travel packed: each slice of texts sends one row to each range of the
+    hash space, with its sorted keys there and their nodes.
+    """
+    ranges = partitions_for(docs.count(), 2500, 48)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, nodes = Lines(text_array(batch.column("text")), least).keys(most)
+            order = np.argsort(keys)
+            keys, nodes = keys[order], nodes[order]
+            cuts = np.searchsorted(keys, np.array([((1 << 64) * i) // ranges for i in range(ranges)], dtype=np.uint64))
+            rows: list[tuple] = []
+            for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
+                if a < b:
+                    part = keys[a:b].copy()
+                    part[1:] -= keys[a : b - 1]
+                    rows.append((i, pack(part), nodes[a:b].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "keys", "nodes"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()])
+        nodes = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("nodes").to_pylist()])
+        order = np.argsort(keys, kind="stable")
+        hashes = keys[order] >> np.uint64(1)
+        many = np.zeros(len(order), dtype=bool)  # only keys that come more than once
+        many[1:] |= hashes[1:] == hashes[:-1]
+        many[:-1] |= hashes[1:] == hashes[:-1]
+        order = order[many]
+        order = order[np.lexsort((nodes[order], keys[order] >> np.uint64(1)))]
+        hashes, nodes, own = keys[order] >> np.uint64(1), nodes[order], (keys[order] & np.uint64(1)).astype(bool)
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        group = np.cumsum(new) - 1
+        fresh = new.copy()
+        fresh[1:] |= nodes[1:] != nodes[:-1]
+        useful = (np.bincount(group, weights=fresh) > 1) & (np.bincount(group, weights=own) > 0) if len(order) else np.zeros(0, bool)
+        keep = useful[group] & fresh if len(order) else fresh
+        return pa.table({"key": pa.array(hashes[keep].view(np.int64)), "node": pa.array(nodes[keep])})
+
+    sent = with_text(docs, "doc_id").select("text").mapInArrow(send, "part int, keys binary, nodes binary")
+    return sent.groupBy("part").applyInArrow(meet, "key long, node long")
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -124,13 +224,52 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = zstandard.ZstdDecompressor().decompress
         for batch in slices(batches, "__body", 1_000_000):
-            texts = pa.array([wide(x).decode() for x in batch.column("__body").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts, batch.column("nodes")], names=["text", "nodes"])
+            lines = Lines(text_array(pa.array([wide(x).decode() for x in batch.column("__body").to_pylist()], pa.large_string())), least)
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("nodes")).to_numpy(zero_copy_only=False))
+            asked = set(zip(owner.tolist(), batch.column("nodes").flatten().to_pylist(), strict=True))
+            at = [i for i, pair in enumerate(zip(lines.owner.tolist(), lines.node.tolist(), strict=True)) if pair in asked]
+            texts = [lines.data[lines.start[i] : lines.stop[i]].tobytes().decode() for i in at]
+            yield pa.RecordBatch.from_arrays([pa.array(lines.node[at]), pa.array(texts, pa.string())], names=["node", "line"])
+
+    return found.mapInArrow(widen, "node long, line string").dropDuplicates(["node"])
 
-    texts = found.mapInArrow(widen, "text string, nodes array<long>")
-    rows = texts.select("nodes", F.explode(F.split("text", "\n")).alias("raw")).select("nodes", _trimmed("raw").alias("line"))
-    rows = rows.filter(F.length("line") >= least).withColumn("node", F.xxhash64("line")).filter(F.array_contains("nodes", F.col("node")))
-    return rows.select("node", "line").dropDuplicates(["node"])
+
+def _gram_members(apart: DataFrame, texts: DataFrame, most: int, q: int = 3) -> DataFrame:
+    """Members keyed by family and by a character gram of their prefix, for ``linked``.
+
+    A family is what shared keys connect. In it grams have one order: those
+    that the family's least line lacks come first. Lines within ``most`` edits
+    lack at most q * most of each other's grams, so they share one of their
+    first q * most + 1 in any common order; edits of their own are at the front
+    of this one. Lines of fewer grams meet under one key more.
+    """
+    hubs = apart.groupBy("key").agg(F.min("node").alias("b"))
+    family = saved(components(apart.join(hubs, "key").select(F.col("node").alias("a"), "b").distinct()), "families")
+    first = texts.select(F.col("node").alias("component"), F.col("line").alias("first"))
+    rows = family.join(texts, "node").join(first, "component").select("node", "component", "line", "first")
+
+    def grams(line: str) -> np.ndarray:
+        x = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        size = len(x) - q + 1
+        out = np.zeros(max(size, 0), dtype=np.uint64)
+        for k in range(q):
+            out = out << np.uint64(21) | x[k : k + size] if size > 0 else out
+        return np.unique(out)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "line", 2_000_000):
+            front = []
+            for line, other in zip(batch.column("line").to_pylist(), batch.column("first").to_pylist(), strict=True):
+                mine = grams(line)
+                known = np.isin(mine, grams(other), assume_unique=True)
+                short = np.full(int(len(mine) <= q * most), 1 << 63, dtype=np.uint64)
+                front.append(np.concatenate([short, mine[~known], mine[known]])[: q * most + 1 + len(short)])
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in front]))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(owner), batch.column("component").take(owner), pa.array(np.concatenate(front).view(np.int64))], names=["node", "family", "gram"])
+
+    front = rows.mapInArrow(work, "node long, family long, gram long")
+    keyed = front.select("node", F.xxhash64("family", "gram").alias("key"))
+    return keyed.join(apart.select("node", "component").distinct(), "node").select("key", "node", "component")
 
 
 def close_pairs(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
@@ -146,38 +285,28 @@ def close_pairs(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b").mapInArrow(work, "a long, b long")
 
 
-def line_classes(docs: DataFrame, most: int = 2, least: int = 40) -> DataFrame:
-    """node and component of all lines that are within ``most`` edits of another one."""
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # the copies of a line in one batch probe once
-            first = pa.table({"node": batch.column("node"), "at": np.arange(batch.num_rows)}).group_by("node").aggregate([("at", "min")])
-            yield batch.take(first.column("at_min").combine_chunks())
-
-    lines = lines_of(docs, least).select("node", "doc_id", "line")
-    kind = lines.schema["doc_id"].dataType.simpleString()
-    keys = keyed(lines.select("node", "line").mapInArrow(once, "node long, line string"), most).repartition("key")
-    useful = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("indexed").alias("indexed"))
-    useful = useful.filter("indexed and low < high").select("key")
-    members = saved(keys.join(useful, "key").select("key", "node").distinct(), "members")
-    places = lines.groupBy("node").agg(F.min("doc_id").cast(kind).alias("doc_id"))
-    texts = saved(_line_texts(docs, places.join(members.select("node").distinct(), "node", "left_semi"), least), "lines")
-    return linked(members, lambda pairs: pairs, lambda pairs: close_pairs(pairs, texts, most))
+def line_classes(docs: DataFrame, places: DataFrame, most: int = 2, least: int = 40) -> DataFrame:
+    """node and component of all lines that are within ``most`` edits of another one. ``places``: as ``occurrences`` gives."""
+    members = saved(candidates(docs, most, least), "members")
+    involved = places.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    texts = saved(_line_texts(docs, involved, least), "lines")
+    return linked(members, lambda pairs: pairs, lambda pairs: close_pairs(pairs, texts, most), narrowed=lambda apart: _gram_members(apart, texts, most))
 
 
 def deduplicated(docs: DataFrame, most: int = 2, least: int = 40) -> DataFrame:
     """All columns of ``docs`` with repeated lines removed from ``text``, then n_lines and n_removed.
 
-    Lines of fewer than ``least`` characters are left alone. A line goes if a
-    line of its class (equal, or connected by steps of ``most`` edits) stands
-    earlier, by document and line number; ``n_chars`` follows, where there is
-    such a column. A null text stays null and an empty one empty; rows of one
-    doc_id that repeat keep the same lines; an empty table stays empty.
+    Lines of fewer than ``least`` characters are left alone, as are blanks at
+    the ends of others. A line goes if a line of its class (equal, or connected
+    by steps of ``most`` edits) stands earlier, by document and line number;
+    ``n_chars`` follows, where there is such a column. A null text stays null
+    and an empty one empty; rows of one doc_id that repeat keep the same lines;
+    an empty table stays empty.
     """
-    lines = lines_of(docs, least).select("node", "doc_id", "line_no")
-    found = lines.join(line_classes(docs, most, least), "node", "left").select(F.coalesce("component", "node").alias("kind"), F.struct("doc_id", "line_no").alias("place"))
+    lines = saved(occurrences(docs, least), "places")
+    found = lines.join(line_classes(docs, lines, most, least), "node", "left").select(F.coalesce("component", "node").alias("kind"), F.struct("doc_id", "line_no").alias("place"))
     first = found.groupBy("kind").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select("kind", "first")
-    gone = saved(found.join(first, "kind").filter("place > first").groupBy("place.doc_id").agg(F.collect_set("place.line_no").alias("__gone")), "__gone")
+    gone = saved(found.join(first, "kind").filter("place > first").groupBy("place.doc_id").agg(F.collect_set("place.line_no").alias("__gone")), "gone")
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     more = [c for c in names if c != "doc_id"]
     joined = squeezed(docs.withColumn("__had_text", F.col("text").isNotNull()), "doc_id", "__had_text", *more).join(gone, "doc_id", "left")
