@@ -1,0 +1,72 @@
+"""Prefixes of sets, rarest elements first, where rarity is counted over all sets.
+
+Sets are dealt to blocks. Each block sends its distinct elements (sorted 64-bit
+hashes, packed) with their counts to ranges of the hash space; each range adds
+up and answers every block in the order of its question. No table of elements
+is ever in one place, and only counts travel back.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from clipfold.llm.packed import pack, unpack
+from clipfold.llm.store import partitions_for, saved
+
+Sets = tuple[np.ndarray, np.ndarray]
+
+
+def rare_prefixes(rows: DataFrame, sets_of: Callable[[pa.Table], Sets], length_of: Callable[[np.ndarray], np.ndarray], per_block: int = 600) -> DataFrame:
+    """(key, node): the first elements of each node's set that another set has too.
+
+    ``rows``: node and what ``sets_of`` needs to make distinct element hashes,
+    one set after another, and where each begins. Elements are in one order
+    for all sets, by count and then hash; of a set of n, the first
+    ``length_of(n)`` count.
+    """
+    blocks = partitions_for(rows.count(), per_block, 16)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
+    kind = rows.schema["node"].dataType.simpleString()
+    bounds = np.array([((1 << 64) * i) // blocks for i in range(blocks)], dtype=np.uint64)
+
+    def ask(table: pa.Table) -> pa.Table:
+        keys, counts = np.unique(sets_of(table)[0], return_counts=True)
+        block, cuts, out = table.column("block")[0].as_py(), np.searchsorted(keys, bounds), []
+        for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
+            if a < b:
+                part = keys[a:b].copy()
+                part[1:] -= keys[a : b - 1]
+                out.append((i, block, int(b - a), pack(part), pack(counts[a:b].astype(np.uint32))))
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "n", "keys", "counts"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()])
+        counts = np.concatenate([unpack(x, np.uint32) for x in table.column("counts").to_pylist()])
+        inverse = np.unique(keys, return_inverse=True)[1]
+        total = np.bincount(inverse, weights=counts).astype(np.uint32)[inverse]
+        back = [pack(x) for x in np.split(total, np.cumsum(table.column("n").to_numpy())[:-1])]
+        return pa.table([table.column("block"), table.column("part"), pa.array(back, pa.binary())], names=["block", "part", "totals"])
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table([left.column("node").slice(0, 0), pa.array([], pa.int64())], names=["node", "key"])
+        grams, at = sets_of(left)
+        keys = np.unique(grams)
+        right = right.sort_by("part")
+        total = np.concatenate([unpack(x, np.uint32) for x in right.column("totals").to_pylist()])[np.searchsorted(keys, grams)]
+        sizes = np.diff(at)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((grams, total, owner))
+        place = np.arange(len(grams)) - at[:-1][owner]
+        keep = order[(place < length_of(sizes)[owner]) & (total[order] > 1)]
+        return pa.table([left.column("node").take(pa.array(owner[keep])), pa.array(grams[keep].view(np.int64))], names=["node", "key"])
+
+    asked = dealt.groupBy("block").applyInArrow(ask, "part int, block long, n long, keys binary, counts binary")
+    replies = saved(asked.groupBy("part").applyInArrow(answer, "block long, part int, totals binary"), "census")
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut, f"node {kind}, key long").select("key", "node")

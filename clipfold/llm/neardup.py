@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipfold.llm.arrowtext import Words, inside, mix, slices, sums, text_array, windows, words_of
-from clipfold.llm.linkage import components, linked
+from clipfold.llm.census import rare_prefixes
+from clipfold.llm.linkage import linked
 from clipfold.llm.store import saved, with_text
 
 
@@ -140,39 +141,21 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> Data
 
 
 def prefixed(apart: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataFrame:
-    """Members keyed by family and by a shingle of their prefix, for ``linked``.
+    """Members keyed by a shingle of their prefix, for ``linked``.
 
-    A family is what shared keys connect. In it shingles have one order: those
-    that the family's least member lacks come first. Two sets as similar as
-    ``percent`` share one of their first |set| - ceil(percent |set|) + 1
-    shingles in any common order; edits of their own are at the front of this
-    one, so that copies which were edited apart seldom meet.
+    Two sets as similar as ``percent`` share one of their first
+    |set| - ceil(percent |set|) + 1 elements in any common order. Rare ones come
+    first here, so copies that were edited apart seldom meet.
     """
-    kind = apart.schema["node"].dataType.simpleString()
-    hubs = apart.groupBy("key").agg(F.min("node").alias("b"))
-    family = saved(components(apart.join(hubs, "key").select(F.col("node").alias("a"), "b").distinct()), "families")
-    own = bodies.select("node", "__body")
-    first = bodies.select(F.col("node").alias("component"), F.col("__body").alias("first"))
-    rows = family.join(own, "node").join(first, "component").select("node", "component", "__body", "first")
+    own = bodies.select("node", "__body").join(apart.select("node").distinct(), "node", "left_semi")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         wide = zstandard.ZstdDecompressor().decompress
-        for batch in slices(slices(batches, "__body", 1_000_000), "first", 1_000_000):
-            texts = [wide(x).decode() for c in ("__body", "first") for x in batch.column(c).to_pylist()]
-            grams, at = shingles(words_of(text_array(pa.array(texts, pa.large_string())), lower_ascii=True), n)
-            sets = [grams[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            size, front = batch.num_rows, []
-            for mine, other in zip(sets[:size], sets[size:], strict=True):
-                known = np.isin(mine, other, assume_unique=True)
-                need = len(mine) + (-percent * len(mine)) // 100 + 1
-                front.append(np.concatenate([mine[~known], mine[known]])[:need])
-            owner = pa.array(np.repeat(np.arange(size), [len(x) for x in front]))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(owner), batch.column("component").take(owner), pa.array(np.concatenate(front).view(np.int64))], names=["node", "family", "shingle"])
-
-    front = rows.mapInArrow(work, f"node {kind}, family {kind}, shingle long")
-    keyed = front.select("node", F.xxhash64("family", "shingle").alias("key"))
-    classes = apart.select("node", "component").distinct()
-    return keyed.join(classes, "node").select("key", "node", "component")
+        texts = pa.array([wide(x).decode() for x in table.column("__body").to_pylist()], pa.large_string())
+        return shingles(words_of(text_array(texts), lower_ascii=True), n)
+
+    keyed = rare_prefixes(own, sets_of, lambda size: size + (-percent * size) // 100 + 1)
+    return keyed.join(apart.select("node", "component").distinct(), "node").select("key", "node", "component")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, banding: Banding = Banding()) -> DataFrame:
