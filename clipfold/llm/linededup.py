@@ -20,10 +20,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipfold.llm.arrowtext import mix, raw_bytes, slices, text_array
-from clipfold.llm.linkage import components, linked
-from clipfold.llm.lm import pack, unpack
+from clipfold.llm.arrowtext import mix, raw_bytes, slices, text_array, windows
+from clipfold.llm.census import rare_prefixes
+from clipfold.llm.linkage import linked
 from clipfold.llm.neardup import squeezed
+from clipfold.llm.packed import pack, unpack
 from clipfold.llm.store import partitions_for, saved, with_text
 
 
@@ -163,7 +164,7 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=3_000_000):
             lines = Lines(text_array(batch.column("text")), least)
             yield pa.RecordBatch.from_arrays([pa.array(lines.node), batch.column("doc_id").take(pa.array(lines.owner)), pa.array(lines.number.astype(np.int32))], names=["node", "doc_id", "line_no"])
 
@@ -179,7 +180,7 @@ def candidates(docs: DataFrame, most: int, least: int) -> DataFrame:
     ranges = partitions_for(docs.count(), 2500, 48)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=2_000_000):
             keys, nodes = Lines(text_array(batch.column("text")), least).keys(most)
             order = np.argsort(keys)
             keys, nodes = keys[order], nodes[order]
@@ -234,41 +235,26 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return found.mapInArrow(widen, "node long, line string").dropDuplicates(["node"])
 
 
-def _gram_members(apart: DataFrame, texts: DataFrame, most: int, q: int = 3) -> DataFrame:
-    """Members keyed by family and by a character gram of their prefix, for ``linked``.
+def _gram_members(apart: DataFrame, texts: DataFrame, most: int, q: int = 8) -> DataFrame:
+    """Members keyed by a character gram of their prefix, for ``linked``.
 
-    A family is what shared keys connect. In it grams have one order: those
-    that the family's least line lacks come first. Lines within ``most`` edits
-    lack at most q * most of each other's grams, so they share one of their
-    first q * most + 1 in any common order; edits of their own are at the front
-    of this one. Lines of fewer grams meet under one key more.
+    Lines within ``most`` edits lack at most q * most of each other's grams, so
+    they share one of their first q * most + 1 in any common order. Rare ones
+    come first here, so lines that were edited apart seldom meet. Lines of
+    fewer grams have one element more, the same for all.
     """
-    hubs = apart.groupBy("key").agg(F.min("node").alias("b"))
-    family = saved(components(apart.join(hubs, "key").select(F.col("node").alias("a"), "b").distinct()), "families")
-    first = texts.select(F.col("node").alias("component"), F.col("line").alias("first"))
-    rows = family.join(texts, "node").join(first, "component").select("node", "component", "line", "first")
+    own = texts.join(apart.select("node").distinct(), "node", "left_semi")
 
     def grams(line: str) -> np.ndarray:
-        x = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        size = len(x) - q + 1
-        out = np.zeros(max(size, 0), dtype=np.uint64)
-        for k in range(q):
-            out = out << np.uint64(21) | x[k : k + size] if size > 0 else out
-        return np.unique(out)
+        points = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        found = np.unique(windows(mix(points), q))
+        return found if len(found) > q * most else np.append(found[found < np.uint64(2**64 - 1)], np.uint64(2**64 - 1))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "line", 2_000_000):
-            front = []
-            for line, other in zip(batch.column("line").to_pylist(), batch.column("first").to_pylist(), strict=True):
-                mine = grams(line)
-                known = np.isin(mine, grams(other), assume_unique=True)
-                short = np.full(int(len(mine) <= q * most), 1 << 63, dtype=np.uint64)
-                front.append(np.concatenate([short, mine[~known], mine[known]])[: q * most + 1 + len(short)])
-            owner = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in front]))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(owner), batch.column("component").take(owner), pa.array(np.concatenate(front).view(np.int64))], names=["node", "family", "gram"])
-
-    front = rows.mapInArrow(work, "node long, family long, gram long")
-    keyed = front.select("node", F.xxhash64("family", "gram").alias("key"))
+    def sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        found = [grams(x) for x in table.column("line").to_pylist()]
+        return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+
+    keyed = rare_prefixes(own.select("node", "line"), sets_of, lambda size: np.full(len(size), q * most + 1), 4000)
     return keyed.join(apart.select("node", "component").distinct(), "node").select("key", "node", "component")
 
 
