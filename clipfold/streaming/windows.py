@@ -15,4 +15,4 @@ def hopping(events: DataFrame, at: str, keys: list[str], length: str = "7 days",
 
 def first_seen(events: DataFrame, at: str, key: str, within: str = "7 days") -> DataFrame:
     """The first row of each key within the watermark; later ones are dropped. For streams."""
-    return events.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, within).dropDuplicatesWithinWatermark([key])
