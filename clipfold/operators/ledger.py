@@ -73,3 +73,20 @@ def throttled(attempts: DataFrame, source: str, at: str, tie: str, seconds: int)
 def first_success(routes: DataFrame, call: str, order: str, ok: str) -> DataFrame:
     """Per call the first route that succeeded, null if none did."""
     return routes.groupBy(call).agg(F.min(F.when(F.col(ok), F.col(order))).alias("route"), F.count(F.lit(1)).alias("tried"))
+
+
+def prepared(intents: DataFrame, ledger_rows: DataFrame, run: str, call: str, limit: float) -> DataFrame:
+    """What a call that is about to start may do, by what the ledger has of it.
+
+    prepared (new, and its reservation fits the run's limit), blocked (new, and
+    it doesn't), reserved or completed (the same request is there), conflict
+    (another request has its id). ``intents``: run, call, fingerprint and
+    reserved_cost; ``ledger_rows``: run, call, fingerprint, status,
+    reserved_cost and actual_cost.
+    """
+    held = reserved_total(ledger_rows, run).select(run, "committed_cost")
+    old = ledger_rows.select(run, call, F.col("fingerprint").alias("_f"), F.col("status").alias("_s"))
+    rows = intents.join(old, [run, call], "left").join(held, run, "left")
+    fits = F.coalesce("committed_cost", F.lit(0)) + F.col("reserved_cost") <= limit
+    verdict = F.when(F.col("_f").isNull(), F.when(fits, "prepared").otherwise("blocked")).when(F.col("_f") != F.col("fingerprint"), "conflict").otherwise(F.col("_s"))
+    return rows.withColumn("verdict", verdict).drop("_f", "_s", "committed_cost")

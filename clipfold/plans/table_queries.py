@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clipfold.functions import text, timeutil
-from clipfold.operators import artifacts, ledger, paging, signals, topics
+from clipfold.operators import artifacts, contracts, ledger, paging, publication, signals, topics
 from clipfold.plans.text_queries import table
 
 QUERIES: dict = {}
@@ -286,3 +286,70 @@ def artifact_lineage(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("ref-"), F.col("event_id").cast("string")).alias("output_reference"), F.row_number().over(w).alias("rn"), F.lag(F.concat(F.lit("ref-"), F.col("event_id").cast("string"))).over(w).alias("p")).filter("rn <= 4")
     return artifacts.ancestors(e.select("output_reference", F.when(F.col("p").isNotNull(), F.array("p")).otherwise(F.array().cast("array<string>")).alias("parent_output_references")))
+
+
+IDENT = """substring(sha256('{"generationOutputReference":"' || ref || '","runDate":"' || day || '","runId":"' || run || '"}'), 1, 20)"""
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, 'run-' || o_custkey AS run, 'ref-' || o_orderkey AS ref FROM orders), m AS (SELECT *, {IDENT} AS mark FROM r)
+ SELECT o_orderkey, 'post-' || replace(day, '-', '') || '-' || mark AS post_id, 'revision-' || replace(day, '-', '') || '-' || mark AS revision_id, 'ai-digital-education-' || day || '-' || substring(mark, 1, 8) AS slug, 'visual-' || mark AS visual_seed FROM m""")
+def publication_identity(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    made = publication.identity(F.to_date("o_orderdate"), F.concat(F.lit("run-"), F.col("o_custkey").cast("string")), F.concat(F.lit("ref-"), F.col("o_orderkey").cast("string")))
+    return o.select("o_orderkey", made.alias("p")).select("o_orderkey", "p.*")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 AND o_orderkey % 5 = 0 THEN 'absent' WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 11 = 0 THEN 'conflict' ELSE 'published' END AS receipt FROM orders""")
+def publish_receipts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("revision_id"))
+    posts = o.filter("o_orderkey % 7 <> 0")
+    shown = o.filter("o_orderkey % 5 <> 0").withColumn("revision_id", F.when((F.col("o_orderkey") % 11 == 0) , "other").otherwise(F.col("revision_id")))
+    return publication.receipts(o, "o_orderkey", ("post", posts), ("shown", shown))
+
+
+@query("""WITH c AS (SELECT o_custkey, count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS failed, count(*) FILTER (WHERE o_orderstatus = 'P') AS partial FROM orders GROUP BY 1)
+ SELECT o_custkey, CASE WHEN failed = total THEN CASE WHEN o_custkey % 2 = 0 THEN 'partial' ELSE 'failed' END WHEN failed > 0 OR partial > 0 THEN 'partial' ELSE 'succeeded' END AS status FROM c""")
+def ingestion_status(spark, sf_dir):
+    c = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("failed"), F.count_if(F.col("o_orderstatus") == "P").alias("partial"))
+    status = contracts.expected_status(F.col("total") - F.col("failed"), F.col("failed"), F.col("partial"), F.col("total"), F.when(F.col("o_custkey") % 2 == 0, 1).otherwise(0))
+    return c.select("o_custkey", status.alias("status"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'ready' WHEN 1 THEN 'withheld' WHEN 2 THEN 'blocked' ELSE 'failed' END AS disposition,
+ CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'QUALITY_REJECTED' WHEN 2 THEN 'BUDGET_EXCEEDED' ELSE 'MODEL_PROVIDER_ERROR' END AS reason, event_id % 8 = 3 AS retryable FROM events""")
+def generation_mapping(spark, sf_dir):
+    k = F.col("event_id") % 4
+    e = table(spark, sf_dir, "events").select(
+        "event_id", F.when(k == 0, "validated").otherwise("rejected").alias("status"), F.when(k == 1, "QUALITY_REJECTED").when(k == 2, "BUDGET_EXCEEDED").when(k == 3, "MODEL_PROVIDER_ERROR").alias("failure_code"),
+        F.when(F.col("event_id") % 8 == 3, "RATE_LIMITED").when(k == 3, "REFUSED").alias("provider_error_code"), F.when(k == 0, True).when(k == 1, False).alias("quality_passed"), (k == 0).alias("has_post"),
+    )
+    return e.select("event_id", contracts.generation_disposition().alias("d")).select("event_id", "d.*")
+
+
+@query("""WITH s AS (SELECT o_orderkey, 'slug-' || o_orderkey AS slug FROM orders) SELECT slug, o_orderkey AS post_id, CASE WHEN o_orderkey % 10 = 0 THEN 'container' WHEN o_orderkey % 15 = 5 THEN 'revision' END AS broken FROM s""")
+def slug_pointer(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("slug-"), F.col("o_orderkey").cast("string")).alias("slug"), F.col("o_orderkey").alias("post_id"))
+    containers = o.filter("post_id % 10 <> 0").withColumn("active_revision_id", F.col("post_id") * 2)
+    revisions = o.filter("post_id % 15 <> 5").select((F.col("post_id") * 2).alias("revision_id"), "post_id", "slug", F.lit("t").alias("title"))
+    return publication.by_pointer(o, containers, revisions).select("slug", "post_id", "broken")
+
+
+@query("""WITH a AS (SELECT o_orderkey, o_custkey, o_orderdate FROM orders WHERE CAST(o_orderdate + INTERVAL 9 HOUR AS DATE) >= DATE '1996-03-08' AND CAST(o_orderdate + INTERVAL 9 HOUR AS DATE) < DATE '1996-03-15' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))
+ SELECT o_orderkey, coalesce(array_to_string(list_sort(list(DISTINCT 'e' || l_suppkey) FILTER (WHERE l_suppkey IS NOT NULL)), ','), '') AS evidence_ids FROM a LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def rolling_materials(spark, sf_dir):
+    from clipfold.operators.materials import rolling
+
+    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("article_id"), F.col("o_custkey").alias("source_id"), F.col("o_orderdate").alias("published_at"))
+    s = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_id"), (F.col("c_acctbal") > 0).alias("enabled"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("article_id"), F.concat(F.lit("e"), F.col("l_suppkey").cast("string")).alias("evidence_id"))
+    return rolling(a, s, e, F.lit("1996-03-15").cast("date"), 7).select(F.col("article_id").alias("o_orderkey"), F.array_join("evidence_ids", ",").alias("evidence_ids"))
+
+
+@query(f"""WITH {CALLS}, l AS (SELECT user_id, event_id, CASE WHEN event_id % 3 = 0 THEN 'reserved' ELSE 'completed' END AS status, k FROM c WHERE event_id % 2 = 0),
+ h AS (SELECT user_id, sum(CASE WHEN event_id % 3 = 0 THEN k * 100 ELSE cost END) AS t FROM c WHERE event_id % 2 = 0 GROUP BY 1)
+ SELECT c.user_id, c.event_id, CASE WHEN l.event_id IS NULL THEN CASE WHEN coalesce(h.t, 0) + c.k * 100 <= 150000 THEN 'prepared' ELSE 'blocked' END WHEN c.event_id % 14 = 0 THEN 'conflict' ELSE l.status END AS verdict
+ FROM c LEFT JOIN l ON l.user_id = c.user_id AND l.event_id = c.event_id LEFT JOIN h ON h.user_id = c.user_id""")
+def invocation_verdicts(spark, sf_dir):
+    rows = calls(spark, sf_dir).withColumns({"fingerprint": F.when(F.col("event_id") % 14 == 0, "other").otherwise("same"), "reserved_cost": F.col("k") * 100})
+    stored = calls(spark, sf_dir).filter("event_id % 2 = 0").select("user_id", "event_id", F.lit("same").alias("fingerprint"), F.when(F.col("event_id") % 3 == 0, "reserved").otherwise("completed").alias("status"), (F.col("k") * 100).alias("reserved_cost"), F.col("cost").alias("actual_cost"))
+    return ledger.prepared(rows, stored, "user_id", "event_id", 150000).select("user_id", "event_id", "verdict")
