@@ -22,12 +22,12 @@ Sets = tuple[np.ndarray, np.ndarray]
 
 
 def rare_prefixes(rows: DataFrame, sets_of: Callable[[pa.Table], Sets], length_of: Callable[[np.ndarray], np.ndarray], per_block: int = 600) -> DataFrame:
-    """(key, node): the first elements of each node's set that another set has too.
+    """(key, node, size, place): the first elements of each node's set that another set has too.
 
     ``rows``: node and what ``sets_of`` needs to make distinct element hashes,
     one set after another, and where each begins. Elements are in one order
     for all sets, by count and then hash; of a set of n, the first
-    ``length_of(n)`` count.
+    ``length_of(n)`` count. ``place``: how many elements of the set come before.
     """
     blocks = partitions_for(rows.count(), per_block, 16)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
@@ -55,7 +55,7 @@ def rare_prefixes(rows: DataFrame, sets_of: Callable[[pa.Table], Sets], length_o
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table([left.column("node").slice(0, 0), pa.array([], pa.int64())], names=["node", "key"])
+            return pa.table([left.column("node").slice(0, 0), *(pa.array([], pa.int64()) for _ in range(3))], names=["node", "key", "size", "place"])
         grams, at = sets_of(left)
         keys = np.unique(grams)
         right = right.sort_by("part")
@@ -64,9 +64,10 @@ def rare_prefixes(rows: DataFrame, sets_of: Callable[[pa.Table], Sets], length_o
         owner = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((grams, total, owner))
         place = np.arange(len(grams)) - at[:-1][owner]
-        keep = order[(place < length_of(sizes)[owner]) & (total[order] > 1)]
-        return pa.table([left.column("node").take(pa.array(owner[keep])), pa.array(grams[keep].view(np.int64))], names=["node", "key"])
+        front = (place < length_of(sizes)[owner]) & (total[order] > 1)
+        keep = order[front]
+        return pa.table([left.column("node").take(pa.array(owner[keep])), pa.array(grams[keep].view(np.int64)), pa.array(sizes[owner[keep]]), pa.array(place[front])], names=["node", "key", "size", "place"])
 
     asked = dealt.groupBy("block").applyInArrow(ask, "part int, block long, n long, keys binary, counts binary")
     replies = saved(asked.groupBy("part").applyInArrow(answer, "block long, part int, totals binary"), "census")
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut, f"node {kind}, key long").select("key", "node")
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut, f"node {kind}, key long, size long, place long")

@@ -41,7 +41,7 @@ def _labelled(members: DataFrame, classes: DataFrame | None) -> DataFrame:
     return members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def linked(members: DataFrame, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], rounds: int = 2, narrowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(members: DataFrame, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], rounds: int = 2, narrowed: Callable[[DataFrame], DataFrame] | None = None, meets: str = "true") -> DataFrame:
     """node and component of all nodes with a link.
 
     ``members`` (key, node): candidates are two nodes of one key. In each round
@@ -54,7 +54,8 @@ def linked(members: DataFrame, plausible: Callable[[DataFrame], DataFrame], veri
     ``narrowed`` may give the keys for that: from the members of keys with
     several components (key, node, component) it makes members (key, node,
     component) such that linked nodes which share a key still share one, and
-    others rarely do. ``plausible`` drops pairs (a, b) that cannot be links, ``verified`` keeps
+    others rarely do; with further columns size and place, ``meets`` is what
+    two members of a key must fulfil (sa, pa and sb, pb). ``plausible`` drops pairs (a, b) that cannot be links, ``verified`` keeps
     those that are.
     """
     links, classes = None, None
@@ -80,9 +81,10 @@ def linked(members: DataFrame, plausible: Callable[[DataFrame], DataFrame], veri
     sizes = apart.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     spread = apart.join(main, "key")
-    others = spread.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"))
-    every = spread.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"))
-    left = others.join(every, "key").filter("ca <> cb and (in_main or a < b)")
+    more = [(c, c[0]) for c in ("size", "place") if c in apart.columns]
+    others = spread.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *(F.col(c).alias(f"{x}a") for c, x in more))
+    every = spread.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), *(F.col(c).alias(f"{x}b") for c, x in more))
+    left = others.join(every, "key").filter(f"ca <> cb and (in_main or a < b) and ({meets})")
     pairs = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     found = verified(saved(plausible(pairs.withColumn("n", F.lit(1))).select("a", "b"), "pairs"))
     return saved(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found.select("a", "b"))), "classes")

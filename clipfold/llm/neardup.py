@@ -144,8 +144,9 @@ def prefixed(apart: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataF
     """Members keyed by a shingle of their prefix, for ``linked``.
 
     Two sets as similar as ``percent`` share one of their first
-    |set| - ceil(percent |set|) + 1 elements in any common order. Rare ones come
-    first here, so copies that were edited apart seldom meet.
+    |set| - ceil(percent |set|) + 1 elements in any common order, and before
+    the first that they share there are no more than a set can do without.
+    Rare ones come first here, so copies that were edited apart seldom meet.
     """
     own = bodies.select("node", "__body").join(apart.select("node").distinct(), "node", "left_semi")
 
@@ -155,7 +156,7 @@ def prefixed(apart: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataF
         return shingles(words_of(text_array(texts), lower_ascii=True), n)
 
     keyed = rare_prefixes(own, sets_of, lambda size: size + (-percent * size) // 100 + 1)
-    return keyed.join(apart.select("node", "component").distinct(), "node").select("key", "node", "component")
+    return keyed.join(apart.select("node", "component").distinct(), "node").select("key", "node", "component", "size", "place")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, banding: Banding = Banding()) -> DataFrame:
@@ -184,11 +185,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, banding: Ban
     least = int(banding.hashes * share - 4 * (banding.hashes * share * (1 - share)) ** 0.5)
     equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
 
+    # The elements of a set that come before the first shared one aren't shared: what is left must hold the least intersection.
+    meets = f"(100 + {percent}) * least(sa - pa, sb - pb) >= {percent} * (sa + sb)"
+
     def plausible(pairs: DataFrame) -> DataFrame:
         sized = pairs.join(sign[0], "a").join(sign[1], "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return sized.filter(equal >= least).select("a", "b", "n")
 
-    found = linked(members, plausible, lambda pairs: confirmed(pairs, bodies, n, percent), narrowed=lambda apart: prefixed(apart, bodies, n, percent))
+    found = linked(members, plausible, lambda pairs: confirmed(pairs, bodies, n, percent), narrowed=lambda apart: prefixed(apart, bodies, n, percent), meets=meets)
     component = classes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     out = signatures.select("doc_id", *same).join(component, same, "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
