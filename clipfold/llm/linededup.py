@@ -255,7 +255,8 @@ def _gram_members(apart: DataFrame, texts: DataFrame, most: int, q: int = 8) ->
         return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
 
     keyed = rare_prefixes(own.select("node", "line"), sets_of, lambda size: np.full(len(size), q * most + 1), 4000)
-    return keyed.join(apart.select("node", "component").distinct(), "node").select("key", "node", "component")
+    lengths = own.select("node", F.length("line").cast("long").alias("size"))
+    return keyed.drop("size", "place").join(lengths, "node").join(apart.select("node", "component").distinct(), "node").select("key", "node", "component", "size")
 
 
 def close_pairs(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
@@ -276,7 +277,7 @@ def line_classes(docs: DataFrame, places: DataFrame, most: int = 2, least: int =
     members = saved(candidates(docs, most, least), "members")
     involved = places.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = saved(_line_texts(docs, involved, least), "lines")
-    return linked(members, lambda pairs: pairs, lambda pairs: close_pairs(pairs, texts, most), narrowed=lambda apart: _gram_members(apart, texts, most))
+    return linked(members, lambda pairs: pairs, lambda pairs: close_pairs(pairs, texts, most), narrowed=lambda apart: _gram_members(apart, texts, most), meets=f"abs(sa - sb) <= {most}")
 
 
 def deduplicated(docs: DataFrame, most: int = 2, least: int = 40) -> DataFrame:
