@@ -18,7 +18,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of text at most (a longer text comes alone)."""
     for batch in batches:
         if not batch.num_rows:

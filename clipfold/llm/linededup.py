@@ -164,7 +164,7 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=3_000_000):
+        for batch in slices(batches):
             lines = Lines(text_array(batch.column("text")), least)
             yield pa.RecordBatch.from_arrays([pa.array(lines.node), batch.column("doc_id").take(pa.array(lines.owner)), pa.array(lines.number.astype(np.int32))], names=["node", "doc_id", "line_no"])
 
@@ -180,7 +180,7 @@ def candidates(docs: DataFrame, most: int, least: int) -> DataFrame:
     ranges = partitions_for(docs.count(), 2500, 48)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=2_000_000):
+        for batch in slices(batches, limit=1_500_000):
             keys, nodes = Lines(text_array(batch.column("text")), least).keys(most)
             order = np.argsort(keys)
             keys, nodes = keys[order], nodes[order]

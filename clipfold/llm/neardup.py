@@ -155,7 +155,7 @@ def prefixed(apart: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataF
         texts = pa.array([wide(x).decode() for x in table.column("__body").to_pylist()], pa.large_string())
         return shingles(words_of(text_array(texts), lower_ascii=True), n)
 
-    keyed = rare_prefixes(own, sets_of, lambda size: size + (-percent * size) // 100 + 1)
+    keyed = rare_prefixes(own, sets_of, lambda size: size + (-percent * size) // 100 + 1, 300)
     return keyed.join(apart.select("node", "component").distinct(), "node").select("key", "node", "component", "size", "place")
 
 

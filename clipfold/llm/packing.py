@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipfold.llm.arrowtext import slices
-from clipfold.llm.store import saved
+from clipfold.llm.store import BATCH_ROWS, saved
 
 END = 0
 
@@ -62,6 +62,7 @@ def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
                 names=["row", "doc_id", "queue", "n_tokens", "ids"],
             )
 
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     wanted = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("source"), F.lit("")).alias("queue"), "text")
     return wanted.mapInArrow(work, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, queue string, n_tokens long, ids binary")
 

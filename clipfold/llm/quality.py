@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipfold.llm.arrowtext import SPACE, inside, mix, raw_bytes, slices, sums, text_array, windows, words_of
-from clipfold.llm.store import saved
+from clipfold.llm.store import BATCH_ROWS, saved
 
 _SYMBOL = np.zeros(256, dtype=np.int8)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -105,6 +105,7 @@ def counted(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "lang", "source", *COUNTS],
             )
 
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     kind = docs.select("doc_id", "lang", "source").schema
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kind)
     return docs.select("doc_id", "lang", "source", "text").mapInArrow(work, fields + "".join(f", {c} long" for c in COUNTS))

@@ -38,6 +38,11 @@ def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Rows of texts in one Arrow batch; the default of ten times as many takes hundreds of MB in a task.
+BATCH_ROWS = "1000"
+
+
 def with_text(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the wanted columns, a null text as the empty text."""
+    """Only the wanted columns, a null text as the empty text. The session's Arrow batches are kept small."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return docs.select(*columns, F.coalesce(F.col("text"), F.lit("")).alias("text"))
