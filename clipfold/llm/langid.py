@@ -105,7 +105,7 @@ def fit(labelled: DataFrame, prior: float = 0.5, weigh_on: int = 2000) -> Model
 
     The classifiers use counts of all rows. Only the weights of decoding are
     measured on a bounded sample: the ``weigh_on`` rows with the least hash of
-    their text. None if no row has a language.
+    their text, equal ones in any order. None if no row has a language.
     """
     labelled = with_text(labelled.filter(F.col("lang").isNotNull()), "lang")
     languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
@@ -119,7 +119,9 @@ def fit(labelled: DataFrame, prior: float = 0.5, weigh_on: int = 2000) -> Model
         one, zero = share[bit > 0], share[bit < 0]
         weights.append(np.log(one.mean(axis=0)) - (np.log(zero.mean(axis=0)) if len(zero) else 0))
     model = Model(languages, code, np.array(weights), np.ones_like(code))
-    rows = labelled.orderBy(F.xxhash64("text"), "lang").limit(weigh_on).collect()
+    hashed = F.xxhash64("text")
+    last = labelled.select(hashed.alias("h")).orderBy("h").limit(weigh_on).agg(F.max("h")).first()[0]
+    rows = labelled.filter(hashed <= last).limit(weigh_on).collect()  # only the chosen texts reach the driver
     right, seen = np.ones_like(code), np.full((len(languages), 1), 2.0)
     for k in range(0, len(rows), 200):
         part = rows[k : k + 200]
