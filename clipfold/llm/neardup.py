@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from clipfold.llm.arrowtext import Words, inside, mix, slices, sums, text_array, windows, words_of
 from clipfold.llm.census import rare_prefixes
 from clipfold.llm.linkage import linked
-from clipfold.llm.store import saved, with_text
+from clipfold.llm.store import partitions_for, saved, with_text
 
 
 @dataclass(frozen=True)
@@ -173,7 +173,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, banding: Ban
     classes = saved(full.groupBy(*same).agg(F.min("doc_id").alias("node")), "classes")
     nodes = full.join(classes.withColumnRenamed("node", "doc_id"), [*same, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     nodes = saved(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "nodes")
-    keyed = nodes.select("node", F.explode(banding.keys()).alias("key"))
+    parts = partitions_for(nodes.count() * banding.halves**2, 400_000)  # keys of a task, which combines them before it sends them
+    keyed = nodes.repartition(parts, "node").select("node", F.explode(banding.keys()).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = saved(keyed.join(shared, "key").select("key", "node"), "members")
     involved = members.select("node").distinct()
