@@ -41,8 +41,8 @@ class Grams:
     token at which each of them ends.
     """
 
-    def __init__(self, text: pa.Array, order: int):
-        words = words_of(text)
+    def __init__(self, text: pa.Array, order: int, lower_ascii: bool = False):
+        words = words_of(text, lower_ascii)
         n, width = len(text), len(words.vocabulary)
         counts = np.diff(words.offsets)
         self.ends = np.cumsum(counts + 2)
@@ -80,11 +80,11 @@ def _bounds(order: int, ranges: int) -> np.ndarray:
     return np.array([(top * i) // ranges for i in range(ranges)], dtype=np.uint64)
 
 
-def requests(docs: DataFrame, order: int, ranges: int) -> DataFrame:
+def requests(docs: DataFrame, order: int, ranges: int, lower_ascii: bool = False) -> DataFrame:
     """Per block, order and range: the block's distinct n-grams there and their training counts."""
 
     def ask(table: pa.Table) -> pa.Table:
-        grams = Grams(text_array(table.column("text")), order)
+        grams = Grams(text_array(table.column("text")), order, lower_ascii)
         block = table.column("block")[0].as_py()
         train = ~table.column("held_out").to_numpy().astype(bool)[grams.owner]
         rows: dict[str, list] = {k: [] for k in ("hashes", "block", "n", "order", "keys", "counts")}
@@ -291,7 +291,7 @@ def _scores(grams: Grams, counts: list[np.ndarray], words: Unigrams, weights: np
     return np.bincount(owner, weights=read, minlength=len(n))
 
 
-def scored(docs: DataFrame, held_out: Column, order: int = 2, block_bytes: int = 5_000_000, least_blocks: int = 48) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, order: int = 2, block_bytes: int = 5_000_000, least_blocks: int = 48, lower_ascii: bool = False) -> DataFrame:
     """Scores every document with a model of those for which ``held_out`` is not true.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (seen in
@@ -299,13 +299,14 @@ def scored(docs: DataFrame, held_out: Column, order: int = 2, block_bytes: int =
     log10 probabilities of the whole text with its end. A null text is the
     empty text: its end alone. Repeated rows count and score each for
     themselves; with no training rows every score is that of unseen words.
+    ``lower_ascii`` lower-cases A-Z before words are counted and scored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = with_text(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), "doc_id", "held_out")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = partitions_for(size, block_bytes, least_blocks)
     dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    found = saved(answers(requests(dealt, order, max(least_blocks, blocks // 2))), "ngrams")
+    found = saved(answers(requests(dealt, order, max(least_blocks, blocks // 2), lower_ascii)), "ngrams")
     total = found.filter("block = -1 and order = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "once", "twice"))).first()
     words = Unigrams(*total)
     replies = found.filter("block >= 0").select("block", "hashes", "order", "counts")
@@ -313,7 +314,7 @@ def scored(docs: DataFrame, held_out: Column, order: int = 2, block_bytes: int =
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.float64())})
-        grams = Grams(text_array(left.column("text")), order)
+        grams = Grams(text_array(left.column("text")), order, lower_ascii)
         train = ~left.column("held_out").to_numpy().astype(bool)[grams.owner]
         flat = _left_out(grams, _counts(grams, right), train, words).reshape(-1)
         at = np.flatnonzero(flat)
@@ -322,7 +323,7 @@ def scored(docs: DataFrame, held_out: Column, order: int = 2, block_bytes: int =
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return fields.empty_table()
-        grams = Grams(text_array(left.column("text")), order)
+        grams = Grams(text_array(left.column("text")), order, lower_ascii)
         counts = _counts(grams, right)
         flat = np.zeros((order - 1) * CLASSES * BINS)
         places = right.column("order").to_numpy()
@@ -356,5 +357,5 @@ def scored(docs: DataFrame, held_out: Column, order: int = 2, block_bytes: int =
     return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
 
 
-def held_out_scores(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 2) -> DataFrame:
-    return scored(docs, F.crc32(F.col("doc_id").cast("string")) % folds == out, order)
+def held_out_scores(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 2, lower_ascii: bool = False) -> DataFrame:
+    return scored(docs, F.crc32(F.col("doc_id").cast("string")) % folds == out, order, lower_ascii=lower_ascii)

@@ -22,7 +22,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return held_out_scores(documents_of(spark, sf_dir))
+    return held_out_scores(documents_of(spark, sf_dir), lower_ascii=True)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
