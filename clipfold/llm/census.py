@@ -21,13 +21,13 @@ from clipfold.llm.store import partitions_for, saved
 Sets = tuple[np.ndarray, np.ndarray]
 
 
-def rare_prefixes(rows: DataFrame, sets_of: Callable[[pa.Table], Sets], length_of: Callable[[np.ndarray], np.ndarray], per_block: int = 600) -> DataFrame:
+def rare_prefixes(rows: DataFrame, sets_of: Callable[[pa.Table], Sets], length_of: Callable[[np.ndarray], np.ndarray] | None, per_block: int = 600) -> DataFrame:
     """(key, node, size, place): the first elements of each node's set that another set has too.
 
     ``rows``: node and what ``sets_of`` needs to make distinct element hashes,
     one set after another, and where each begins. Elements are in one order
     for all sets, by count and then hash; of a set of n, the first
-    ``length_of(n)`` count. ``place``: how many elements of the set come before.
+    ``length_of(n)`` count, or as many as its column ``first`` says. ``place``: how many elements of the set come before.
     """
     blocks = partitions_for(rows.count(), per_block, 16)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
@@ -64,7 +64,8 @@ def rare_prefixes(rows: DataFrame, sets_of: Callable[[pa.Table], Sets], length_o
         owner = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((grams, total, owner))
         place = np.arange(len(grams)) - at[:-1][owner]
-        front = (place < length_of(sizes)[owner]) & (total[order] > 1)
+        first = length_of(sizes) if length_of else left.column("first").to_numpy()
+        front = (place < first[owner]) & (total[order] > 1)
         keep = order[front]
         return pa.table([left.column("node").take(pa.array(owner[keep])), pa.array(grams[keep].view(np.int64)), pa.array(sizes[owner[keep]]), pa.array(place[front])], names=["node", "key", "size", "place"])
 

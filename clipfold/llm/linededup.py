@@ -1,10 +1,10 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Two lines within ``most`` edits share one of ``most + 1`` segments of the
+Two lines within k edits share one of k + 1 segments of the
 shorter one, at nearly the same place. So each line is indexed under its
 segments, with its length and their number, and probes the indexes of its own
 and of slightly shorter lengths with the few substrings that can be such a
-segment. Candidates are checked by a banded bit-parallel edit distance. Of each
+segment; k grows with the length of the shorter line. Candidates are checked by a banded bit-parallel edit distance. Of each
 class of connected lines the first occurrence, by document and line, stays.
 """
 
@@ -39,6 +39,17 @@ def probes(most: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def allowed(length: np.ndarray, most: int, per: int) -> np.ndarray:
+    """Edits that a line may be away from a longer one: ``most``, and one more for each doubling of its length beyond ``per`` (0: none)."""
+    if not per:
+        return np.full(len(length), most, dtype=np.int64)
+    return most + np.frexp(np.maximum(length // per, 1))[1].astype(np.int64) - 1
+
+
+def _allowed_sql(length: str, most: int, per: int) -> str:
+    return f"{most} + length(bin({length} div {per})) - 1" if per else str(most)
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BLANK = np.zeros(256, dtype=bool)
@@ -79,7 +90,7 @@ class Lines:
         whole, digest = memoryview(data), xxhash.xxh3_64_intdigest
         self.node = np.fromiter((digest(whole[a:b]) for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)), dtype=np.uint64, count=len(self.start)).view(np.int64)
 
-    def keys(self, most: int) -> tuple[np.ndarray, np.ndarray]:
+    def keys(self, most: int, per: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(key, node) of every line: all keys under which it probes, twice a hash, and one more for those of its own segments, its index."""
         if not len(self.start):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -93,17 +104,23 @@ class Lines:
         back = np.full(len(points) + 1, _INVERSE, dtype=np.uint64)
         back[0] = 1
         np.cumprod(back, out=back)
-        at, length, parts = self.point[once], self.length[once], most + 1
-        out = []
-        for shorter, segment, shift in probes(most):
-            size = length - shorter
-            each, short = size // parts, parts - size % parts
-            begin = at + segment * each + np.maximum(segment - short, 0) + shift
-            end = begin + each + (segment >= short)
-            key = (total[end] - total[begin]) * back[begin]
-            key = mix(key ^ mix((size * parts + segment).astype(np.uint64)))
-            out.append(key << np.uint64(1) | np.uint64(shorter == 0 and shift == 0))
-        return np.concatenate(out), np.tile(self.node[once], len(out))
+        out, nodes = [], []
+        for edits in range(most, int(allowed(self.length[once], most, per).max()) + 1):
+            parts = edits + 1
+            for shorter in range(edits + 1):  # the shorter line's length says how many edits there may be
+                mine = once[(self.length[once] > shorter) & (allowed(self.length[once] - shorter, most, per) == edits)]
+                if not len(mine):
+                    continue
+                at, size = self.point[mine], self.length[mine] - shorter
+                for _, segment, shift in (p for p in probes(edits) if p[0] == shorter):
+                    each, short = size // parts, parts - size % parts
+                    begin = at + segment * each + np.maximum(segment - short, 0) + shift
+                    end = begin + each + (segment >= short)
+                    key = (total[end] - total[begin]) * back[begin]
+                    key = mix(key ^ mix((size * parts + segment).astype(np.uint64)))
+                    out.append(key << np.uint64(1) | np.uint64(shorter == 0 and shift == 0))
+                    nodes.append(self.node[mine])
+        return np.concatenate(out), np.concatenate(nodes)
 
 
 def within(left: list[str], right: list[str], most: int) -> np.ndarray:
@@ -171,17 +188,17 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
     return with_text(docs, "doc_id").mapInArrow(work, f"node long, doc_id {kind}, line_no int")
 
 
-def candidates(docs: DataFrame, most: int, least: int) -> DataFrame:
+def candidates(docs: DataFrame, most: int, least: int, per: int = 0) -> DataFrame:
     """(key, node) of the keys that two different lines share, one of which has it in its index.
 
     Keys travel packed: each slice of texts sends one row to each range of the
     hash space, with its sorted keys there and their nodes.
     """
-    ranges = partitions_for(docs.count(), 2500, 48)
+    ranges = partitions_for(docs.count(), 1000 if per else 2500, 48)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, limit=1_500_000):
-            keys, nodes = Lines(text_array(batch.column("text")), least).keys(most)
+        for batch in slices(batches, limit=600_000 if per else 1_500_000):
+            keys, nodes = Lines(text_array(batch.column("text")), least).keys(most, per)
             order = np.argsort(keys)
             keys, nodes = keys[order], nodes[order]
             cuts = np.searchsorted(keys, np.array([((1 << 64) * i) // ranges for i in range(ranges)], dtype=np.uint64))
@@ -235,11 +252,12 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return found.mapInArrow(widen, "node long, line string").dropDuplicates(["node"])
 
 
-def _gram_members(apart: DataFrame, texts: DataFrame, most: int, q: int = 8) -> DataFrame:
+def _gram_members(apart: DataFrame, texts: DataFrame, most: int, per: int = 0, q: int = 8) -> DataFrame:
     """Members keyed by a character gram of their prefix, for ``linked``.
 
-    Lines within ``most`` edits lack at most q * most of each other's grams, so
-    they share one of their first q * most + 1 in any common order. Rare ones
+    Lines within k edits lack at most q * k of each other's grams, so they
+    share one of their first q * k + 1 in any common order; a line takes the k
+    of its own length, which is no less than that of a shorter one. Rare ones
     come first here, so lines that were edited apart seldom meet. Lines of
     fewer grams have one element more, the same for all.
     """
@@ -248,23 +266,29 @@ def _gram_members(apart: DataFrame, texts: DataFrame, most: int, q: int = 8) ->
     def grams(line: str) -> np.ndarray:
         points = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
         found = np.unique(windows(mix(points), q))
-        return found if len(found) > q * most else np.append(found[found < np.uint64(2**64 - 1)], np.uint64(2**64 - 1))
+        return found if len(found) > q * allowed(np.array([len(line)]), most, per)[0] else np.append(found[found < np.uint64(2**64 - 1)], np.uint64(2**64 - 1))
 
     def sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         found = [grams(x) for x in table.column("line").to_pylist()]
         return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
 
-    keyed = rare_prefixes(own.select("node", "line"), sets_of, lambda size: np.full(len(size), q * most + 1), 4000)
+    first = F.expr(f"cast({q} * ({_allowed_sql('length(line)', most, per)}) + 1 as long)").alias("first")
+    keyed = rare_prefixes(own.select("node", "line", first), sets_of, None, 4000)
     lengths = own.select("node", F.length("line").cast("long").alias("size"))
     return keyed.drop("size", "place").join(lengths, "node").join(apart.select("node", "component").distinct(), "node").select("key", "node", "component", "size")
 
 
-def close_pairs(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
-    """Those pairs (a, b) of nodes whose lines are within ``most`` edits."""
+def close_pairs(pairs: DataFrame, texts: DataFrame, most: int, per: int = 0) -> DataFrame:
+    """Those pairs (a, b) of nodes whose lines are within the edits that the shorter one is allowed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "line_a", 2_000_000):
-            ok = within(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), most)
+            left, right = batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()
+            edits = allowed(np.array([min(len(a), len(b)) for a, b in zip(left, right, strict=True)], dtype=np.int64), most, per)
+            ok = np.zeros(len(left), dtype=bool)
+            for k in np.unique(edits).tolist():
+                mine = np.flatnonzero(edits == k)
+                ok[mine] = within([left[i] for i in mine], [right[i] for i in mine], k)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     one = texts.select(F.col("node").alias("a"), F.col("line").alias("line_a"))
@@ -272,26 +296,30 @@ def close_pairs(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "line_a", "line_b").mapInArrow(work, "a long, b long")
 
 
-def line_classes(docs: DataFrame, places: DataFrame, most: int = 2, least: int = 40) -> DataFrame:
-    """node and component of all lines that are within ``most`` edits of another one. ``places``: as ``occurrences`` gives."""
-    members = saved(candidates(docs, most, least), "members")
+def line_classes(docs: DataFrame, places: DataFrame, most: int = 2, least: int = 40, per: int = 0) -> DataFrame:
+    """node and component of all lines that are within the allowed edits of another one. ``places``: as ``occurrences`` gives."""
+    members = saved(candidates(docs, most, least, per), "members")
     involved = places.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = saved(_line_texts(docs, involved, least), "lines")
-    return linked(members, lambda pairs: pairs, lambda pairs: close_pairs(pairs, texts, most), narrowed=lambda apart: _gram_members(apart, texts, most), meets=f"abs(sa - sb) <= {most}")
+    meets = f"abs(sa - sb) <= {_allowed_sql('least(sa, sb)', most, per)}"
+    return linked(members, lambda pairs: pairs, lambda pairs: close_pairs(pairs, texts, most, per), narrowed=lambda apart: _gram_members(apart, texts, most, per), meets=meets)
 
 
-def deduplicated(docs: DataFrame, most: int = 2, least: int = 40) -> DataFrame:
+def deduplicated(docs: DataFrame, most: int = 2, least: int = 40, per: int = 0, short: bool = False) -> DataFrame:
     """All columns of ``docs`` with repeated lines removed from ``text``, then n_lines and n_removed.
 
-    Lines of fewer than ``least`` characters are left alone, as are blanks at
-    the ends of others. A line goes if a line of its class (equal, or connected
-    by steps of ``most`` edits) stands earlier, by document and line number;
+    A line goes if a line of its class (equal, or connected by steps of
+    ``most`` edits, and of one more for each doubling of the shorter line
+    beyond ``per`` characters) stands earlier, by document and line number.
+    Lines of fewer than ``least`` characters go where they equal an earlier one
+    if ``short``, and else are left alone; blank lines and blanks at the ends
+    of others stay;
     ``n_chars`` follows, where there is such a column. A null text stays null
     and an empty one empty; rows of one doc_id that repeat keep the same lines;
     an empty table stays empty.
     """
-    lines = saved(occurrences(docs, least), "places")
-    found = lines.join(line_classes(docs, lines, most, least), "node", "left").select(F.coalesce("component", "node").alias("kind"), F.struct("doc_id", "line_no").alias("place"))
+    lines = saved(occurrences(docs, 1 if short else least), "places")
+    found = lines.join(line_classes(docs, lines, most, least, per), "node", "left").select(F.coalesce("component", "node").alias("kind"), F.struct("doc_id", "line_no").alias("place"))
     first = found.groupBy("kind").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select("kind", "first")
     gone = saved(found.join(first, "kind").filter("place > first").groupBy("place.doc_id").agg(F.collect_set("place.line_no").alias("__gone")), "gone")
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]

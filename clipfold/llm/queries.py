@@ -43,7 +43,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(documents_of(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+    return deduplicated(documents_of(spark, sf_dir), per=80, short=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

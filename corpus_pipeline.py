@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that stand elsewhere earlier; a document left without a word goes."""
     words = F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return deduplicated(docs).filter((F.col("n_removed") == 0) | words).select(*docs.columns)
+    return deduplicated(docs, per=80, short=True).filter((F.col("n_removed") == 0) | words).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

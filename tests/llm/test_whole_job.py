@@ -5,9 +5,10 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 
-from clipfold.llm import queries
+from clipfold.llm import linededup, queries
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -30,3 +31,44 @@ def test_language_model_lower_cases_ascii(spark, tmp_path):
         t = tokens[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(counts[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel=1e-9)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def test_short_lines_and_longer_edits(spark, tmp_path):
+    rnd = np.random.default_rng(7)
+    lines = ["yes", "no", "yes", " yes ", "", "", "Yes"]
+    for size in (50, 79, 80, 159, 160, 161, 319, 321, 640):
+        base = "".join(rnd.choice(list("abcdefgh"), size))
+        lines.append(base)
+        for n in (1, 2, 3, 4, 5, 6):
+            x = list(base)
+            for i in rnd.choice(size, n, replace=False).tolist():
+                x[i] = "" if (i + n) % 3 == 0 and n > 1 else "z"
+            lines.append("".join(x))
+    order = [0, 1, 2, 3, 4, 5, 6, *(7 + rnd.permutation(len(lines) - 7)).tolist()]
+    lines = [lines[i] for i in order]
+    bare = [x.strip() for x in lines]
+    k = lambda x: 2 + max(0, int(np.floor(np.log2(max(len(x) / 80, 1)))))
+    kind = list(range(len(lines)))
+    for i, a in enumerate(bare):
+        for j in range(i):
+            b = bare[j]
+            near = min(len(a), len(b)) >= 40 and abs(len(a) - len(b)) <= 8 and edits(a, b) <= min(k(a), k(b))
+            if a and (a == b or near) and kind[i] != kind[j]:
+                old, new = max(kind[i], kind[j]), min(kind[i], kind[j])
+                kind = [new if c == old else c for c in kind]
+    want = "\n".join(x for i, x in enumerate(lines) if kind[i] == i)
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "fresh\nno")], "doc_id long, text string")
+    out = {r.doc_id: r for r in queries.op6_line_dedup(spark, folder(docs, tmp_path)).collect()}
+    assert out[1].text == want and out[2].text == "fresh"
+    assert out[1].n_removed == len(lines) - len(want.split("\n")) > 12
+    assert linededup.allowed(np.array([40, 159, 160, 319, 320, 10**5]), 2, 80).tolist() == [2, 2, 3, 3, 4, 12]
