@@ -111,6 +111,17 @@ def resampled(pcm: np.ndarray, offsets: np.ndarray, up: int, down: int) -> tuple
     return ((a * (up - part) + b * part) // up).astype(np.int16), ends
 
 
+def _features(pcm: np.ndarray, ends: np.ndarray) -> list[str]:
+    """Samples, root mean square, zero crossings and peak of each clip between two offsets."""
+    wide = pcm.astype(np.int64)
+    power, sign = sums(wide * wide, ends), pcm < 0
+    turns = np.zeros(len(pcm), dtype=bool)
+    turns[1:] = sign[1:] != sign[:-1]
+    turns[ends[:-1]] = False
+    turned, peaks = sums(turns, ends), np.maximum.reduceat(np.abs(wide), ends[:-1])
+    return [f"samples={n};rms={(p / n) ** 0.5:.3f};crossings={t};peak={k}" for n, p, t, k in zip(np.diff(ends).tolist(), power.tolist(), turned.tolist(), peaks.tolist(), strict=True)]
+
+
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and ``media``: the text's bytes, padded, as the samples of a WAVE file.
 
@@ -160,13 +171,7 @@ def decoded(media: DataFrame, rate: int = 16_000, with_pcm: bool = False) -> Dat
             starts = np.concatenate([[0], np.cumsum([len(c) for c in clips])])
             from_rate = read[0][1]
             pcm, ends = resampled(np.concatenate(clips), starts, rate, from_rate)
-            wide = pcm.astype(np.int64)
-            power, sign = sums(wide * wide, ends), pcm < 0
-            turns = np.zeros(len(pcm), dtype=bool)
-            turns[1:] = sign[1:] != sign[:-1]
-            turns[ends[:-1]] = False
-            turned, peaks = sums(turns, ends), np.maximum.reduceat(np.abs(wide), ends[:-1])
-            texts = [f"samples={n};rms={(p / n) ** 0.5:.3f};crossings={t};peak={k}" for n, p, t, k in zip(np.diff(ends).tolist(), power.tolist(), turned.tolist(), peaks.tolist(), strict=True)]
+            texts = _features(pcm, ends)
             columns = [batch.column(n) for n in names] + [pa.array(payloads, pa.binary()), pa.array([r[0] for r in read]), pa.array(texts)]
             if with_pcm:
                 columns.append(pa.array([c.astype("<i2").tobytes() for c in np.split(pcm, ends[1:-1])], pa.binary()))
@@ -176,11 +181,26 @@ def decoded(media: DataFrame, rate: int = 16_000, with_pcm: bool = False) -> Dat
     return media.mapInArrow(work, f"{fields}, payload binary, codec string, feature string" + ", pcm binary" * with_pcm)
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """Stores every document as audio, reads the stored files back and digests what they hold."""
-    back = decoded(saved(stored(docs), "audio"))
-    return back.select(
+def resampled_media(docs: DataFrame) -> DataFrame:
+    """Stores every document as audio, reads the files back and stores their resampled ``pcm`` with digests of what they hold."""
+    back = decoded(saved(stored(docs), "audio"), with_pcm=True)
+    return saved(back.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring(F.col("payload"), -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "feature", "codec",
-    )
+        F.sha2("media", 256).alias("media_sha256"), "codec", "pcm",
+    ), "pcm")
+
+
+def media_digests(docs: DataFrame) -> DataFrame:
+    """The digests of every document's stored audio; features are of the stored PCM, read back."""
+    media = resampled_media(docs)
+    names = [c for c in media.columns if c not in ("codec", "pcm")]
+    fields = ", ".join(f"{c} {media.schema[c].dataType.simpleString()}" for c in names)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "pcm", 8_000_000):
+            clips = [np.frombuffer(x, dtype="<i2") for x in batch.column("pcm").to_pylist()]
+            texts = _features(np.concatenate(clips), np.concatenate([[0], np.cumsum([len(c) for c in clips])]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts), batch.column("codec")], names=[*names, "feature", "codec"])
+
+    return media.mapInArrow(work, f"{fields}, feature string, codec string")
