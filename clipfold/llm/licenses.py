@@ -74,19 +74,35 @@ def known_digests() -> list[tuple[str, str]]:
     return sorted({(hashlib.sha256(canonical_words(text).encode()).hexdigest(), name) for name, text in KNOWN})
 
 
-def scanned(docs: DataFrame) -> DataFrame:
+def _whole(text: str) -> Column:
+    """The canonical form of a text without its copyright lines."""
+    return _canonical(F.array_join(F.filter(F.split(F.lower(text), "\n"), lambda x: ~x.rlike(COPYRIGHT)), " "))
+
+
+def digested(known: DataFrame) -> DataFrame:
+    """digest and license_id of known texts (license_id, text); texts without a word are none."""
+    form = known.select("license_id", _whole("text").alias("form")).filter("form <> ''")
+    return form.select(F.sha2("form", 256).alias("digest"), "license_id").distinct()
+
+
+def scanned(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, line_no (-1: the whole text), license_id and digest of each match.
 
-    Blank lines match nothing, nor does a null or empty text; repeated rows
-    match each for themselves; ties cannot be, a digest has one licence.
+    ``known``: texts and notices to look for (license_id, text), of any number
+    and size; without it the list of this module, which has no whole text of
+    the Apache, GNU, Mozilla and Creative Commons licences. Blank lines match nothing, nor does a null or empty text; repeated rows
+    match each for themselves; a digest that ``known`` has for several licences
+    gives a row for each.
     """
-    lines = F.filter(F.split(F.lower("text"), "\n"), lambda x: ~x.rlike(COPYRIGHT))
-    every = with_text(docs, "doc_id").select("doc_id", F.split(F.lower("text"), "\n").alias("lines"), _canonical(F.array_join(lines, " ")).alias("whole"))
+    every = with_text(docs, "doc_id").select("doc_id", F.split(F.lower("text"), "\n").alias("lines"), _whole("text").alias("whole"))
     each = F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), F.when(~x.rlike(COPYRIGHT), F.sha2(_canonical(x), 256)).alias("digest")))
     units = every.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("line_no"), F.sha2("whole", 256).alias("digest"))), each)).alias("u"))
-    known = docs.sparkSession.createDataFrame(known_digests(), "digest string, license_id string")
-    # The known texts are a list in this module.
-    return units.select("doc_id", "u.line_no", "u.digest").join(F.broadcast(known), "digest").select("doc_id", "line_no", "license_id", "digest")
+    if known is None:
+        # The known texts are a list in this module.
+        digests = F.broadcast(docs.sparkSession.createDataFrame(known_digests(), "digest string, license_id string"))
+    else:
+        digests = digested(known)
+    return units.select("doc_id", "u.line_no", "u.digest").join(digests, "digest").select("doc_id", "line_no", "license_id", "digest")
 
 
 def scan_sql() -> str:

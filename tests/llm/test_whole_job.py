@@ -1,6 +1,7 @@
 """Rows that the queries once left out or counted wrongly."""
 
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -8,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from clipfold.llm import audio, linededup, queries
+from clipfold.llm import audio, licenses, linededup, queries
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,3 +92,14 @@ def test_pcm_is_stored(spark, monkeypatch):
         assert bytes(r.pcm) == want.tobytes()
         peak, n = int(np.abs(want.astype(int)).max()), len(want)
         assert out[k].feature.startswith(f"samples={n};") and out[k].feature.endswith(f"peak={peak}")
+
+
+def test_licenses_take_further_known_texts(spark):
+    text = "Big License\nVersion 9\n\nYou may do as you like, without warranty."
+    known = spark.createDataFrame([("Big-9", "Copyright 2001 Them\n" + text), ("Big-9", text.upper()), ("Blank", " \n--"), ("Note", "Under the Big Licence.")], "license_id string, text string")
+    docs = spark.createDataFrame([(1, text.replace("\n\n", "\n")), (2, "\nprose\nunder the big license\n"), (3, ""), (4, None), (5, "Released under the MIT License.")], "doc_id long, text string")
+    rows = licenses.scanned(docs, known).collect()
+    assert {(r.doc_id, r.line_no, r.license_id) for r in rows} == {(1, -1, "Big-9"), (2, 2, "Note")} and len(rows) == 2
+    form = "big license version 9 you may do as you like without warranty"
+    assert {r.digest for r in rows if r.doc_id == 1} == {hashlib.sha256(form.encode()).hexdigest()}
+    assert {(r.doc_id, r.license_id) for r in licenses.scanned(docs).collect()} == {(5, "MIT")}
