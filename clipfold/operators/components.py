@@ -5,28 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipfold.plans.store import saved
+from clipfold.plans.store import saved, saved_with
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node and component (its least node) of all nodes of ``edges`` (a, b).
 
-    Alternates large-star and small-star steps; every step is a join and a
-    minimum by node, written to the shared folder, until nothing changes.
+    Alternates large-star and small-star steps, written to the shared folder,
+    until nothing changes. Least neighbours are minima with map-side sums and
+    are written before they are joined, so that a join on a hub with very many
+    neighbours is one of two plain tables, which adaptive execution splits.
     """
-    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    mark = None
+    least = lambda rows, key, value: rows.groupBy(F.col(key).alias("key")).agg(F.min(value).alias("m"))
+    marks = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+    start = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
+    now, mark = saved_with(start, "edges", *marks)
     for _ in range(most):
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(small.union(low.select("u", "m")).distinct(), "edges")
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
+        if not mark["n"]:
+            break
+        # Every edge's greater end goes to the least neighbour of the lesser one, or to that one itself.
+        low = saved(now.groupBy("u").agg(F.min("v").alias("m")), "low")
+        step = now.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        large = saved(step, "large")
+        low = saved(least(large, "u", "v"), "low")
+        small = large.join(low, large.u == low.key).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new_edges, new = saved_with(small.union(low.select("key", "m")).distinct().toDF("u", "v"), "edges", *marks)
+        now, done, mark = new_edges, new == mark, new
+        if done:
             break
-        mark = new
     else:
         raise RuntimeError(f"components did not settle in {most} steps")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
