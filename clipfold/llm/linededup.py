@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipfold.llm.arrowtext import mix, raw_bytes, slices, text_array, windows
-from clipfold.llm.census import rare_prefixes
 from clipfold.llm.linkage import linked
 from clipfold.llm.neardup import squeezed
 from clipfold.llm.packed import pack, unpack
+from clipfold.llm.rarity import prefixes, shared_only
 from clipfold.llm.store import partitions_for, saved, with_text
 
 
@@ -188,27 +188,40 @@ def occurrences(docs: DataFrame, least: int) -> DataFrame:
     return with_text(docs, "doc_id").mapInArrow(work, f"node long, doc_id {kind}, line_no int")
 
 
-def candidates(docs: DataFrame, most: int, least: int, per: int = 0) -> DataFrame:
-    """(key, node) of the keys that two different lines share, one of which has it in its index.
+def candidates(docs: DataFrame, most: int, least: int, per: int = 0, together: int = 2_500_000) -> DataFrame:
+    """(key, node, n: nodes of the key) of the keys that two different lines share, one of which has it in its index.
 
-    Keys travel packed: each slice of texts sends one row to each range of the
-    hash space, with its sorted keys there and their nodes.
+    Keys travel packed: each task sends one row to each range of the hash
+    space for every ``together`` keys, with those there and their nodes.
     """
-    ranges = partitions_for(docs.count(), 1000 if per else 2500, 48)
+    ranges = partitions_for(docs.count(), 4000, 48)
+    bounds = np.array([((1 << 64) * i) // ranges for i in range(ranges)], dtype=np.uint64)
+
+    def packed(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((nodes, keys))
+        keys, nodes = keys[order], nodes[order]
+        once = np.ones(len(keys), dtype=bool)  # copies in what is sent together
+        once[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+        keys, nodes = keys[once], nodes[once]
+        cuts = np.searchsorted(keys, bounds)
+        rows: list[tuple] = []
+        for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
+            if a < b:
+                part = keys[a:b].copy()
+                part[1:] -= keys[a : b - 1]
+                rows.append((i, pack(part), nodes[a:b].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "nodes"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in slices(batches, limit=600_000 if per else 1_500_000):
-            keys, nodes = Lines(text_array(batch.column("text")), least).keys(most, per)
-            order = np.argsort(keys)
-            keys, nodes = keys[order], nodes[order]
-            cuts = np.searchsorted(keys, np.array([((1 << 64) * i) // ranges for i in range(ranges)], dtype=np.uint64))
-            rows: list[tuple] = []
-            for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
-                if a < b:
-                    part = keys[a:b].copy()
-                    part[1:] -= keys[a : b - 1]
-                    rows.append((i, pack(part), nodes[a:b].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "keys", "nodes"])
+            held.append(Lines(text_array(batch.column("text")), least).keys(most, per))
+            n += len(held[-1][0])
+            if n >= together:
+                yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)))
 
     def meet(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()])
@@ -227,11 +240,12 @@ def candidates(docs: DataFrame, most: int, least: int, per: int = 0) -> DataFram
         fresh = new.copy()
         fresh[1:] |= nodes[1:] != nodes[:-1]
         useful = (np.bincount(group, weights=fresh) > 1) & (np.bincount(group, weights=own) > 0) if len(order) else np.zeros(0, bool)
+        size = np.bincount(group, weights=fresh).astype(np.int64) if len(order) else np.zeros(0, np.int64)
         keep = useful[group] & fresh if len(order) else fresh
-        return pa.table({"key": pa.array(hashes[keep].view(np.int64)), "node": pa.array(nodes[keep])})
+        return pa.table({"key": pa.array(hashes[keep].view(np.int64)), "node": pa.array(nodes[keep]), "n": pa.array(size[group[keep]])})
 
     sent = with_text(docs, "doc_id").select("text").mapInArrow(send, "part int, keys binary, nodes binary")
-    return sent.groupBy("part").applyInArrow(meet, "key long, node long")
+    return sent.groupBy("part").applyInArrow(meet, "key long, node long, n long")
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -261,21 +275,24 @@ def _gram_members(apart: DataFrame, texts: DataFrame, most: int, per: int = 0, q
     come first here, so lines that were edited apart seldom meet. Lines of
     fewer grams have one element more, the same for all.
     """
-    own = texts.join(apart.select("node").distinct(), "node", "left_semi")
+    own = saved(texts.join(apart, "node"), "apart-lines")
 
-    def grams(line: str) -> np.ndarray:
+    def grams(line: str, k: int) -> np.ndarray:
         points = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
         found = np.unique(windows(mix(points), q))
-        return found if len(found) > q * allowed(np.array([len(line)]), most, per)[0] else np.append(found[found < np.uint64(2**64 - 1)], np.uint64(2**64 - 1))
+        return found if len(found) > q * k else np.append(found[found < np.uint64(2**64 - 1)], np.uint64(2**64 - 1))
 
-    def sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        found = [grams(x) for x in table.column("line").to_pylist()]
+    def edits_of(lines: list[str]) -> np.ndarray:
+        return allowed(np.array([len(x) for x in lines], dtype=np.int64), most, per)
+
+    def sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lines = batch.column("line").to_pylist()
+        found = [grams(x, int(k)) for x, k in zip(lines, edits_of(lines), strict=True)]
         return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
 
-    first = F.expr(f"cast({q} * ({_allowed_sql('length(line)', most, per)}) + 1 as long)").alias("first")
-    keyed = rare_prefixes(own.select("node", "line", first), sets_of, None, 4000)
-    lengths = own.select("node", F.length("line").cast("long").alias("size"))
-    return keyed.drop("size", "place").join(lengths, "node").join(apart.select("node", "component").distinct(), "node").select("key", "node", "component", "size")
+    first = lambda batch, sizes: q * edits_of(batch.column("line").to_pylist()) + 1
+    own = own.withColumn("length", F.length("line"))
+    return shared_only(prefixes(own, sets_of, first, "line", ("component", "length")).drop("size", "place"))
 
 
 def close_pairs(pairs: DataFrame, texts: DataFrame, most: int, per: int = 0) -> DataFrame:
@@ -301,8 +318,8 @@ def line_classes(docs: DataFrame, places: DataFrame, most: int = 2, least: int =
     members = saved(candidates(docs, most, least, per), "members")
     involved = places.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = saved(_line_texts(docs, involved, least), "lines")
-    meets = f"abs(sa - sb) <= {_allowed_sql('least(sa, sb)', most, per)}"
-    return linked(members, lambda pairs: pairs, lambda pairs: close_pairs(pairs, texts, most, per), narrowed=lambda apart: _gram_members(apart, texts, most, per), meets=meets)
+    meets = f"abs(length_a - length_b) <= {_allowed_sql('least(length_a, length_b)', most, per)}"
+    return linked(members, lambda pairs: close_pairs(pairs, texts, most, per), lambda apart: _gram_members(apart, texts, most, per), meets)
 
 
 def deduplicated(docs: DataFrame, most: int = 2, least: int = 40, per: int = 0, short: bool = False) -> DataFrame:

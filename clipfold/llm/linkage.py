@@ -1,4 +1,4 @@
-"""Classes of nodes that verified links connect, from buckets of candidates, without all pairs of a bucket."""
+"""Classes of nodes that verified links connect, from groups of candidates, without all pairs of a group."""
 
 from __future__ import annotations
 
@@ -7,84 +7,74 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipfold.llm.store import saved
+from clipfold.llm.store import saved, saved_with
+from clipfold.operators.components import components
 
+__all__ = ["components", "linked", "roots"]
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node and component (its least node) of all nodes of ``edges`` (a, b).
 
-    Alternates large-star and small-star steps; every step is a join and a
-    minimum by node, written to the shared folder, until nothing changes.
-    """
-    now = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    mark = None
+def roots(parents: DataFrame, most: int = 60) -> DataFrame:
+    """node and component (its tree's root) of a forest (a, b): each a once, and no circles. Paths are halved until none is left."""
+    now = parents.select("a", "b")
     for _ in range(most):
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = saved(small.union(low.select("u", "m")).distinct(), "edges")
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
+        above = now.select(F.col("a").alias("b"), F.col("b").alias("top"))
+        step = now.join(above, "b", "left").select("a", F.coalesce("top", "b").alias("b"), F.col("top").isNotNull().cast("int").alias("moved"))
+        now, seen = saved_with(step, "roots", F.sum("moved").alias("moved"))
+        if not seen["moved"]:
             break
-        mark = new
     else:
-        raise RuntimeError(f"components did not settle in {most} steps")
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        raise RuntimeError(f"paths did not end in {most} steps")
+    stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _labelled(members: DataFrame, classes: DataFrame | None) -> DataFrame:
-    if classes is None:
-        return members.withColumn("component", F.col("node"))
-    return members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def linked(members: DataFrame, plausible: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], rounds: int = 2, narrowed: Callable[[DataFrame], DataFrame] | None = None, meets: str = "true") -> DataFrame:
+def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], narrowed: Callable[[DataFrame], DataFrame], meets: str = "true") -> DataFrame:
     """node and component of all nodes with a link.
 
-    ``members`` (key, node): candidates are two nodes of one key. In each round
-    every key has a hub, the least of its nodes in that round's order, and
-    every node tries the hub that it shares most keys with. That joins most of
-    a large group with as many checks as it has nodes. After that, every
-    candidate pair whose nodes are still apart is checked, so that no link is
-    left out; pairs inside a component never need to be.
+    ``members`` (key, node, n: the nodes of the key): candidates are two nodes
+    of one key. A node is known for the candidates it has. Every key's hub is
+    its best known node, and every node tries the hub that it shares most keys
+    with. The text that a family of copies was made from is candidate to
+    nearly all of them and so becomes their hub: one check a node joins what
+    lies near it. A hub is better known than the nodes that try it, so these
+    links make a forest.
 
-    ``narrowed`` may give the keys for that: from the members of keys with
-    several components (key, node, component) it makes members (key, node,
-    component) such that linked nodes which share a key still share one, and
-    others rarely do; with further columns size and place, ``meets`` is what
-    two members of a key must fulfil (sa, pa and sb, pb). ``plausible`` drops pairs (a, b) that cannot be links, ``verified`` keeps
-    those that are.
+    After that every candidate pair whose nodes are still apart is checked, so
+    that no link is left out; pairs inside a component never need to be.
+    ``narrowed`` gives the keys for that: from the nodes that are apart from
+    another of one of their keys (node, component) it makes members (key,
+    node, component, and more columns) such that linked nodes share a key, and
+    others rarely do; ``meets`` is what two members a and b of a key must
+    fulfil besides. ``verified`` keeps the pairs (a, b) that are links.
     """
-    links, classes = None, None
-    for turn in range(rounds):
-        rank = F.struct(F.xxhash64("node", F.lit(turn)).alias("rank"), F.col("node").alias("hub"))
-        hubs = members.groupBy("key").agg(F.min(rank).alias("h")).select("key", "h.hub")
-        tried = _labelled(members, classes).join(hubs, "key").filter("node <> hub")
-        if classes is not None:
-            theirs = classes.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-            tried = tried.join(theirs, "hub", "left").filter("component <> coalesce(hub_component, hub)")
-        shared = tried.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
-        pairs = plausible(shared.select(F.col("node").alias("a"), F.col("hub").alias("b"), "n"))
-        best = pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-        found = verified(best.select("a", "b"))
-        links = saved(found if links is None else links.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found.select("a", "b")), "links")
-        classes = saved(components(links), "classes")
-        links = classes
-    apart = _labelled(members, classes)
-    parts = apart.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    apart = saved(apart.join(parts, "key"), "apart")
-    if narrowed is not None:
-        apart = saved(narrowed(apart), "narrowed")
-    sizes = apart.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    spread = apart.join(main, "key")
-    more = [(c, c[0]) for c in ("size", "place") if c in apart.columns]
-    others = spread.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *(F.col(c).alias(f"{x}a") for c, x in more))
-    every = spread.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), *(F.col(c).alias(f"{x}b") for c, x in more))
+    fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
+    best = F.max(F.struct("fame", "node")).alias("h")
+    hubs = saved(members.join(fame, "node").groupBy("key").agg(best).select("key", F.col("h.node").alias("hub"), "h.fame"), "hubs")
+    tried = members.join(hubs, "key").filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"), F.max("fame").alias("fame"))
+    pairs = tried.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("n", "fame", "hub")).alias("b"))
+    classes = saved(roots(verified(pairs)), "classes")
+
+    now = members.select("key", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = saved(now, "now")
+    open_keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    apart = saved(now.join(saved(open_keys, "open"), "key").select("node", "component").distinct(), "apart")
+    keyed = saved(narrowed(apart), "narrowed")
+    parts = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+    main = saved(parts.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "main"), "main")
+    spread = keyed.join(main, "key")
+    more = [c for c in keyed.columns if c not in ("key", "node", "component")]
+    others = spread.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *(F.col(c).alias(f"{c}_a") for c in more))
+    every = spread.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), *(F.col(c).alias(f"{c}_b") for c in more))
     left = others.join(every, "key").filter(f"ca <> cb and (in_main or a < b) and ({meets})")
-    pairs = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = verified(saved(plausible(pairs.withColumn("n", F.lit(1))).select("a", "b"), "pairs"))
-    return saved(components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found.select("a", "b"))), "classes")
+    pairs = saved(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    found = saved(verified(pairs), "links")
+
+    # Only the classes are connected now, each of which counts as one node.
+    of = classes.select(F.col("node"), F.col("component").alias("c"))
+    between = found.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(between).toDF("c", "joined")
+    alone = joined.select(F.col("c").alias("node"), "c")
+    every = classes.select("node", F.col("component").alias("c")).union(alone).distinct()
+    label = saved(every.join(joined, "c", "left").select("node", F.coalesce("joined", "c").alias("c")), "labels")
+    least = label.groupBy("c").agg(F.min("node").alias("component"))
+    return saved(label.join(saved(least, "least"), "c").select("node", "component"), "classes")

@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipfold.llm.arrowtext import Words, inside, mix, slices, sums, text_array, windows, words_of
-from clipfold.llm.census import rare_prefixes
 from clipfold.llm.linkage import linked
+from clipfold.llm.rarity import prefixes, shared_only
 from clipfold.llm.store import partitions_for, saved, with_text
 
 
@@ -148,15 +148,15 @@ def prefixed(apart: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataF
     the first that they share there are no more than a set can do without.
     Rare ones come first here, so copies that were edited apart seldom meet.
     """
-    own = bodies.select("node", "__body").join(apart.select("node").distinct(), "node", "left_semi")
+    own = bodies.select("node", "__body").join(apart, "node")
 
-    def sets_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         wide = zstandard.ZstdDecompressor().decompress
-        texts = pa.array([wide(x).decode() for x in table.column("__body").to_pylist()], pa.large_string())
+        texts = pa.array([wide(x).decode() for x in batch.column("__body").to_pylist()], pa.large_string())
         return shingles(words_of(text_array(texts), lower_ascii=True), n)
 
-    keyed = rare_prefixes(own, sets_of, lambda size: size + (-percent * size) // 100 + 1, 300)
-    return keyed.join(apart.select("node", "component").distinct(), "node").select("key", "node", "component", "size", "place")
+    own = saved(own, "apart-bodies")
+    return shared_only(prefixes(own, sets_of, lambda batch, size: size + (-percent * size) // 100 + 1, "__body", ("component",)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, banding: Banding = Banding()) -> DataFrame:
@@ -175,25 +175,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, banding: Ban
     nodes = saved(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "signature"), "nodes")
     parts = partitions_for(nodes.count() * banding.halves**2, 400_000)  # keys of a task, which combines them before it sends them
     keyed = nodes.repartition(parts, "node").select("node", F.explode(banding.keys()).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = saved(keyed.join(shared, "key").select("key", "node"), "members")
-    involved = members.select("node").distinct()
-    bodies = saved(squeezed(docs).join(involved, "node", "left_semi").dropDuplicates(["node"]), "bodies")
-    marks = saved(nodes.join(involved, "node", "left_semi"), "marks")
-    sign = [marks.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab"]
-    # Equal minhashes that a linked pair has: four standard deviations below the mean at the threshold.
-    share = percent / 100
-    least = int(banding.hashes * share - 4 * (banding.hashes * share * (1 - share)) ** 0.5)
-    equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = saved(keyed.join(shared, "key").select("key", "node", "n"), "members")
+    sizes = nodes.select("node", "n_shingles").join(members.select("node").distinct(), "node", "left_semi")
+    bodies = saved(squeezed(docs).join(sizes.dropDuplicates(["node"]), "node").dropDuplicates(["node"]), "bodies")
     # The elements of a set that come before the first shared one aren't shared: what is left must hold the least intersection.
-    meets = f"(100 + {percent}) * least(sa - pa, sb - pb) >= {percent} * (sa + sb)"
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        sized = pairs.join(sign[0], "a").join(sign[1], "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return sized.filter(equal >= least).select("a", "b", "n")
-
-    found = linked(members, plausible, lambda pairs: confirmed(pairs, bodies, n, percent), narrowed=lambda apart: prefixed(apart, bodies, n, percent), meets=meets)
+    meets = f"(100 + {percent}) * least(size_a - place_a, size_b - place_b) >= {percent} * (size_a + size_b)"
+    found = linked(members, lambda pairs: confirmed(pairs, bodies, n, percent), lambda apart: prefixed(apart, bodies, n, percent), meets)
     component = classes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     out = signatures.select("doc_id", *same).join(component, same, "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

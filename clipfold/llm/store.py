@@ -1,32 +1,13 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Documents and intermediate tables of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clipfold.plans.store import saved, saved_with, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back.
-
-    It cuts the lineage: a lost executor costs only the tasks that were running.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["documents_of", "partitions_for", "saved", "saved_with", "shared_folder", "with_text"]
 
 
 def partitions_for(amount: float, each: float, least: int = 1) -> int:
