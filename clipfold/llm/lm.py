@@ -1,7 +1,7 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Counting: documents are dealt to blocks by a hash of their id. Each block sends
-its distinct n-grams (sorted 64-bit hashes, packed) with its training counts to
+Counting: documents are dealt to blocks by a hash of their id, and each block
+is stored as one compressed row. Each block sends its distinct n-grams (sorted 64-bit hashes, packed) with its training counts to
 the ranges of the hash space that they fall in; each range adds up the counts
 of all blocks and answers each block in the order of its question, so that
 only counts travel back. No table of n-grams is ever in one place.
@@ -13,21 +13,27 @@ leads to the next shorter context. Each text is read once from left to right.
 
 Probabilities interpolate orders (Jelinek-Mercer): the weight of an order
 depends on how often its context was seen, and is fitted by leaving one out
-over all training tokens (from the third order on, against lower orders
-weighed as the block itself would). Unseen words share the mass that absolute discounting
-takes from the seen ones.
+over all training tokens; while it is fitted, the orders below count by a
+plain share of their own (n / (n + 5) for a context seen n times), so that the
+weights are sums over tokens and don't depend on how documents fall into
+blocks. Unseen words share the mass that absolute discounting takes from the
+seen ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clipfold.llm.arrowtext import mix, text_array, words_of
+from clipfold.llm.neardup import squeezed
 from clipfold.llm.packed import pack, unpack
-from clipfold.llm.store import partitions_for, saved, with_text
+from clipfold.llm.store import partitions_for, saved
 
 _END, _START = np.uint64(0x51ED270B35A1D3C7), np.uint64(0xA3B195354A39B70D)
 CLASSES, BINS = 24, 128
@@ -80,13 +86,36 @@ def _bounds(order: int, ranges: int) -> np.ndarray:
     return np.array([(top * i) // ranges for i in range(ranges)], dtype=np.uint64)
 
 
-def requests(docs: DataFrame, order: int, ranges: int, lower_ascii: bool = False) -> DataFrame:
+def blocks_of(docs: DataFrame, blocks: int) -> DataFrame:
+    """block and body: the documents (doc_id, held_out, text) of each block as one compressed Arrow stream."""
+
+    def join(table: pa.Table) -> pa.Table:
+        wide = zstandard.ZstdDecompressor().decompress
+        text = pa.array([wide(x).decode() for x in table.column("__body").to_pylist()], pa.large_string())
+        held = pa.table([table.column("doc_id"), table.column("held_out"), text], names=["doc_id", "held_out", "text"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(held)
+        return pa.table([table.column("block").slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
+
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    return squeezed(dealt, "doc_id", "held_out", "block").groupBy("block").applyInArrow(join, "block long, body binary")
+
+
+def _opened(body: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(body.as_buffer()).read_all()
+
+
+def _flags(table: pa.Table) -> np.ndarray:
+    return table.column("held_out").to_numpy().astype(bool)
+
+
+def requests(stored: DataFrame, order: int, ranges: int, lower_ascii: bool = False) -> DataFrame:
     """Per block, order and range: the block's distinct n-grams there and their training counts."""
 
-    def ask(table: pa.Table) -> pa.Table:
+    def ask(block: int, table: pa.Table) -> pa.Table:
         grams = Grams(text_array(table.column("text")), order, lower_ascii)
-        block = table.column("block")[0].as_py()
-        train = ~table.column("held_out").to_numpy().astype(bool)[grams.owner]
+        train = ~_flags(table)[grams.owner]
         rows: dict[str, list] = {k: [] for k in ("hashes", "block", "n", "order", "keys", "counts")}
         for k in range(order):
             at = grams.at[k]
@@ -100,7 +129,12 @@ def requests(docs: DataFrame, order: int, ranges: int, lower_ascii: bool = False
                         rows[name].append(value)
         return pa.table(rows, schema=pa.schema([("hashes", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("order", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
-    return docs.groupBy("block").applyInArrow(ask, "hashes int, block long, n long, order int, keys binary, counts binary")
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from ask(batch.column("block")[i].as_py(), _opened(batch.column("body")[i])).to_batches()
+
+    return stored.mapInArrow(work, "hashes int, block long, n long, order int, keys binary, counts binary")
 
 
 def answers(asked: DataFrame) -> DataFrame:
@@ -183,7 +217,7 @@ def _left_out(grams: Grams, counts: list[np.ndarray], train: np.ndarray, words:
         bins = np.where(whole > 0, np.clip(np.rint(4 * np.log2(np.maximum(ratio, 1e-30))) + 48, 1, BINS - 1), 0).astype(np.int64)
         kinds = _classes(context)
         out[k - 1] = np.bincount(kinds * BINS + bins, minlength=CLASSES * BINS).reshape(CLASSES, BINS)
-        weight = fitted(out[k - 1])[kinds]
+        weight = context / (context + 5)
         low = low.copy()
         low[spots] = weight * whole / context + (1 - weight) * low[spots]
     return out
@@ -196,8 +230,9 @@ class Automaton:
         order = len(counts)
         self.width = len(counts[0])
         state_of, base = [], 1
-        for k in range(order - 1):  # a context that was never seen in training is no state
-            known = counts[k] > 0
+        final = grams.keys[0][grams.at[0]] == _END
+        for k in range(order - 1):  # a context that was never seen in training is no state, nor is one that the end ends
+            known = (counts[k] > 0) & ~final[grams.first[k]]
             ids = np.where(known, base + np.cumsum(known) - 1, 0)
             base += int(known.sum())
             state_of.append(ids)
@@ -291,7 +326,7 @@ def _scores(grams: Grams, counts: list[np.ndarray], words: Unigrams, weights: np
     return np.bincount(owner, weights=read, minlength=len(n))
 
 
-def scored(docs: DataFrame, held_out: Column, order: int = 2, block_bytes: int = 5_000_000, least_blocks: int = 48, lower_ascii: bool = False) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, order: int = 3, block_bytes: int = 5_000_000, least_blocks: int = 48, lower_ascii: bool = False) -> DataFrame:
     """Scores every document with a model of those for which ``held_out`` is not true.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (seen in
@@ -299,14 +334,16 @@ def scored(docs: DataFrame, held_out: Column, order: int = 2, block_bytes: int =
     log10 probabilities of the whole text with its end. A null text is the
     empty text: its end alone. Repeated rows count and score each for
     themselves; with no training rows every score is that of unseen words.
+    Texts of any length are read whole, long ones in runs that join without a
+    seam; a block holds at least one text. Other columns are not read.
     ``lower_ascii`` lower-cases A-Z before words are counted and scored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = with_text(docs.withColumn("held_out", F.coalesce(held_out, F.lit(False))), "doc_id", "held_out")
+    texts = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = partitions_for(size, block_bytes, least_blocks)
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    found = saved(answers(requests(dealt, order, max(least_blocks, blocks // 2), lower_ascii)), "ngrams")
+    stored = saved(blocks_of(texts, blocks), "blocks")
+    found = saved(answers(requests(stored, order, max(least_blocks, blocks // 2), lower_ascii)), "ngrams")
     total = found.filter("block = -1 and order = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "once", "twice"))).first()
     words = Unigrams(*total)
     replies = found.filter("block >= 0").select("block", "hashes", "order", "counts")
@@ -314,8 +351,9 @@ def scored(docs: DataFrame, held_out: Column, order: int = 2, block_bytes: int =
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.float64())})
+        left = _opened(left.column("body")[0])
         grams = Grams(text_array(left.column("text")), order, lower_ascii)
-        train = ~left.column("held_out").to_numpy().astype(bool)[grams.owner]
+        train = ~_flags(left)[grams.owner]
         flat = _left_out(grams, _counts(grams, right), train, words).reshape(-1)
         at = np.flatnonzero(flat)
         return pa.table({"cell": pa.array(at), "n": pa.array(flat[at])})
@@ -323,6 +361,7 @@ def scored(docs: DataFrame, held_out: Column, order: int = 2, block_bytes: int =
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return fields.empty_table()
+        left = _opened(left.column("body")[0])
         grams = Grams(text_array(left.column("text")), order, lower_ascii)
         counts = _counts(grams, right)
         flat = np.zeros((order - 1) * CLASSES * BINS)
@@ -348,14 +387,14 @@ def scored(docs: DataFrame, held_out: Column, order: int = 2, block_bytes: int =
     fields = pa.schema([("doc_id", out), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if order > 1:
-        cells = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(measure, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
+        cells = stored.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(measure, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
         by_order = F.floor(F.col("cell") / (CLASSES * BINS)).cast("int") + 1
         table = cells.groupBy(by_order.alias("order")).agg(F.collect_list(F.struct("cell", "n")).alias("histogram"))
         replies = replies.join(F.broadcast(table), "order", "left")  # a row per order, of 24 * 128 cells at most
     else:
         replies = replies.withColumn("histogram", F.array().cast("array<struct<cell:long,n:double>>"))
-    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
+    return stored.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
 
 
-def held_out_scores(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 2, lower_ascii: bool = False) -> DataFrame:
+def held_out_scores(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 3, lower_ascii: bool = False) -> DataFrame:
     return scored(docs, F.crc32(F.col("doc_id").cast("string")) % folds == out, order, lower_ascii=lower_ascii)

@@ -18,6 +18,9 @@ from clipfold.llm.pii import pseudonymized_texts
 from clipfold.llm.quality import judged
 from clipfold.llm.store import documents_of
 
+#: Target proportions of tokens in op2_packing: the source that may hold a third of all rows gets a fifth of each window.
+SHARES = {"src0": 0.2}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,7 +29,7 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(documents_of(spark, sf_dir))
+    return packed(documents_of(spark, sf_dir), SHARES)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

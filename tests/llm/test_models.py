@@ -12,11 +12,12 @@ from clipfold.llm import langid, lm, mixing, packing
 from clipfold.llm.arrowtext import text_array
 
 WORD = r"[^\x20\x09-\x0D]+"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def test_language_model_columns_and_gain(docs, texts):
-    out = lm.held_out_scores(docs, order=2).collect()
-    tokens = {k: [*re.findall(WORD, r.text), None] for k, r in texts.items()}
+    out = lm.held_out_scores(docs, lower_ascii=True).collect()
+    tokens = {k: [*re.findall(WORD, r.text.translate(LOWER)), None] for k, r in texts.items()}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in texts}
     counts = collections.Counter(w for k, t in tokens.items() if not held[k] for w in t)
     n, v = sum(counts.values()), len(counts)
@@ -40,8 +41,52 @@ def test_language_model_is_a_distribution_and_reads_like_the_formula(spark, orde
     # P(a b w ... ) over all continuations of "a b": the end, known words (times anything after) and unseen ones.
     assert all(s < 0 for s in out.values())
     one = {r.doc_id: r.score for r in lm.scored(df, F.col("doc_id") >= 1000, order, block_bytes=10**6, least_blocks=1).collect()}
-    near = 1e-9 if order < 3 else 0.3  # beyond two words the fit of weights sees a block's own lower weights
-    assert all(out[k] == pytest.approx(one[k], abs=near) for k in out)  # blocks don't matter
+    assert all(out[k] == pytest.approx(one[k], abs=1e-9) for k in out)  # blocks don't matter
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_match_brute_force(spark, order):
+    """Counts in dictionaries, the weights fitted from plain loops, and a recursion for each probability."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, " ".join(rnd.choice(list("abcdefg"), rnd.integers(0, 14), p=[0.4, 0.2, 0.15, 0.1, 0.05, 0.05, 0.05]))) for i in range(120)]
+    rows += [(200, "a b zz c"), (201, None), (202, "a a a b b"), (203, "A a")]
+    out = {r.doc_id: r for r in lm.scored(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") % 5 == 1, order, block_bytes=200, least_blocks=3, lower_ascii=True).collect()}
+    tokens = {k: ["<s>", *re.findall(WORD, (t or "").translate(LOWER)), "</s>"] for k, t in rows}
+    count = collections.Counter()
+    for k, t in tokens.items():
+        if k % 5 != 1:
+            count.update(tuple(t[i - n : i]) for i in range(1, len(t) + 1) for n in range(1, order + 1) if i >= n)
+    single = {w: c for (w, *more), c in count.items() if not more and w != "<s>"}
+    n, once, twice = sum(single.values()), sum(c == 1 for c in single.values()), sum(c == 2 for c in single.values())
+    discount = min(max(once / (once + 2 * twice), 0.1), 0.95) if once else 0.5
+    base = lambda c: (c - discount) / n if c > 0 else discount * len(single) / n
+    histogram = np.zeros((order - 1, lm.CLASSES, lm.BINS))
+    for k, t in tokens.items():
+        for i in range(1, len(t)) if k % 5 != 1 else ():
+            low = base(max(count[(t[i],)] - 1, 0))
+            for m in range(2, order + 1):
+                if i - m + 1 < 0:
+                    break
+                whole, context = count[tuple(t[i - m + 1 : i + 1])] - 1, count[tuple(t[i - m + 1 : i])] - 1
+                if context <= 0:
+                    continue
+                spot = 0 if whole <= 0 else int(np.clip(np.rint(4 * math.log2(whole / context / low)) + 48, 1, lm.BINS - 1))
+                histogram[m - 2, min(int(math.log2(context)), lm.CLASSES - 1), spot] += 1
+                w = context / (context + 5)
+                low = w * whole / context + (1 - w) * low
+    weights = lm.fitted(histogram)
+
+    def chance(words):
+        if len(words) == 1:
+            return base(count[words])
+        context = count[words[:-1]]
+        w = weights[len(words) - 2, min(int(math.log2(context)), lm.CLASSES - 1)] if context else 0.0
+        return w * count[words] / max(context, 1) + (1 - w) * chance(words[1:])
+
+    assert len(out) == len(rows)
+    for k, t in tokens.items():
+        want = sum(math.log10(chance(tuple(t[max(0, i - order + 1) : i + 1]))) for i in range(1, len(t)))
+        assert out[k].score == pytest.approx(want, rel=1e-9), k
 
 
 def test_automaton_equals_interpolation_and_sums_to_one():
@@ -91,25 +136,52 @@ def test_packing_round_trip(docs, odd, texts, odd_rows):
         assert len(filled) == -(-total // 1024)
 
 
-def test_packing_is_deficit_round_robin(spark):
+def test_added_tokens_in_a_text_are_those_of_the_file(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    rows = list(enumerate(["hi <|endoftext|> there", "<|endoftext|>", "<|endoftext|", "a\u00a0b\u3000c  \n\n d\t", "don't  'll Ünïcödé 日本語 🙂🙂 ١٢٣", "\x00\x7f", "x" * 3000, " " * 500]))
+    out = {r.doc_id: r for r in packing.tokenized(spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, source string")).collect()}
+    for k, t in rows:
+        assert np.frombuffer(bytes(out[k].ids), dtype="<u2").tolist() == [*own.encode(t, add_special_tokens=False).ids, 0]
+    assert packing.encoder(packing.vocabulary_path())("hi <|endoftext|> there") == [5303, 220, 50256, 612]
+
+
+@pytest.mark.parametrize("shares", [{"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.1}, {"c": 0.7, "b": 0.3}, None])
+def test_packing_is_deficit_round_robin(spark, shares):
     rnd = np.random.default_rng(8)
-    rows = [(i, ["a", "b", "c"][i % 3], int(rnd.integers(1, 90))) for i in range(400)]
-    frame = spark.createDataFrame(rows, "row long, queue string, n_tokens long")
-    shares, window = {"a": 0.5, "b": 0.3, "c": 0.2}, 500
+    rows = [(i, "abcd"[min(int(rnd.integers(0, 6)), 3)], int(rnd.integers(1, 90))) for i in range(400)]
+    frame, window = spark.createDataFrame(rows, "row long, queue string, n_tokens long"), 500
     out = {r.row: r for r in packing.placed(frame, shares, window).collect()}
-    order = {q: sorted((r.at, r.row) for r in out.values() if rows[r.row][1] == q) for q in shares}
-    for q, share in shares.items():  # the loop that the running totals stand for
-        deficit, k, queue = 0.0, 0, [row for _, row in order[q]]
-        while queue:
-            k += 1
-            deficit += share * window
-            while queue and rows[queue[0]][2] <= deficit + 1e-9:
-                deficit -= rows[queue[0]][2]
+    waiting = {q: [row for _, row in sorted((r.at, r.row) for r in out.values() if rows[r.row][1] == q)] for q in "abcd"}
+    total = {q: sum(rows[r][2] for r in x) for q, x in waiting.items()}
+    given = shares or {}
+    others = [q for q in total if q not in given]
+    part = {q: given.get(q, max(1 - sum(given.values()), 1e-9) * total[q] / max(sum(total[o] for o in others), 1)) for q in total}
+    # The loop: in every window each queue that isn't empty is granted its part, and what a dry one leaves goes to the others.
+    held, sent, k = dict.fromkeys(total, 0.0), dict.fromkeys(total, 0), 0
+    while any(waiting.values()):
+        k += 1
+        left = float(window)
+        while left > 1e-9 and (live := [q for q in total if held[q] < total[q] - 1e-9]):
+            whole = sum(part[q] for q in live)
+            step = min(left, *((total[q] - held[q]) / (part[q] / whole) for q in live))
+            for q in live:
+                held[q] += step * part[q] / whole
+            left -= step
+        for q, queue in waiting.items():
+            while queue and sent[q] + rows[queue[0]][2] <= held[q] + 1e-4:
+                sent[q] += rows[queue[0]][2]
                 assert out[queue.pop(0)].window == k
     spans = sorted((r.at, rows[r.row][2]) for r in out.values())
     assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:]))
 
 
+def test_packing_an_empty_table(spark, nothing):
+    assert packing.packed(nothing).count() == 0 and packing.packed(nothing, {"src0": 0.5}).count() == 0
+
+
 def test_language_identification(docs, texts, odd, nothing, odd_rows):
     out = langid.held_out_languages(docs).collect()
     held = [r for r in out if r.held_out]
