@@ -16,8 +16,14 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 @F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
-    """Unicode NFKC, which SQL lacks."""
-    return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    """Unicode NFKC, which SQL lacks. ASCII is its own."""
+    return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
+
+
+@F.pandas_udf(StringType())
+def nfc(values: pd.Series) -> pd.Series:
+    """Unicode NFC, which SQL lacks. ASCII is its own."""
+    return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
 
 
 def collapse(x: Column) -> Column:
@@ -61,6 +67,7 @@ def decode_references(text: Column) -> Column:
     return replaced_by(text, "(?i)&(?:#x[0-9a-f]+|#[0-9]+|amp|apos|gt|lt|nbsp|quot);", one)
 
 
+#: Tags that end a word.
 BLOCK_TAGS = "address|article|aside|blockquote|br|div|footer|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul"
 
 
@@ -160,8 +167,8 @@ UNITS = "퍼센트|억원|만원|개월|학년|단계|시간|년|월|일|시|분
 NUMBER = rf"[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?\s*(?:{UNITS})?"
 
 
-def numeric_tokens(x: Column) -> Column:
-    """Distinct numbers with their unit, as value|unit; grouping commas go, and percent has one spelling."""
+def numeric_tokens(x: Column, compose: bool = True) -> Column:
+    """Distinct numbers with their unit, as value|unit, of a text's compatibility form; grouping commas go, and percent has one spelling."""
 
     def one(raw: Column) -> Column:
         bare = F.regexp_replace(raw, r"\s+", "")
@@ -170,7 +177,7 @@ def numeric_tokens(x: Column) -> Column:
         plain = F.regexp_replace(F.regexp_replace(number, r"^0+(?=[0-9])", ""), r"(\.[0-9]*?)0+$", "$1")
         return F.concat(F.regexp_replace(plain, r"\.$", ""), F.lit("|"), F.when(unit == "퍼센트", F.lit("%")).otherwise(unit))
 
-    return F.array_distinct(F.transform(F.regexp_extract_all(x, F.lit(NUMBER), F.lit(0)), one))
+    return F.array_distinct(F.transform(F.regexp_extract_all(nfkc(x) if compose else x, F.lit(NUMBER), F.lit(0)), one))
 
 
 def unsupported_numbers(claim: Column, evidence: Column) -> Column:

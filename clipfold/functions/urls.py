@@ -14,7 +14,7 @@ BLOCKED_RANGES = (
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
     "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
 )
-_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*)(:[0-9]+)?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:]*)(:[0-9]+)?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
 def _part(url: Column, k: int) -> Column:
@@ -47,8 +47,14 @@ def canonical_url(url: Column) -> Column:
     )
 
 
+#: IPv6 prefixes that must not be fetched from: unspecified, loopback, mapped, discard, documentation, unique local, link local, multicast.
+BLOCKED_IPV6 = r"^(?:::1?|::ffff:.*|0*100:.*|2001:0?db8:.*|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|(?:0{1,4}:){7}0{0,3}[01])$"
+
+
 def is_private_host(name: Column) -> Column:
-    return name.isin("localhost", "0.0.0.0", "::1", "[::1]") | name.rlike(r"(\.localhost$|^127\.|^10\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.)")
+    """Whether a host is local by name, or an address in a range that isn't public."""
+    bare = F.regexp_replace(F.lower(name), r"^\[|\]$", "")
+    return name.isin("localhost") | name.rlike(r"\.localhost$") | F.coalesce(is_blocked_address(bare), F.lit(False))
 
 
 def is_fetchable(url: Column) -> Column:
@@ -61,14 +67,14 @@ def _number(address: Column) -> Column:
 
 
 def is_blocked_address(address: Column) -> Column:
-    """Whether an IPv4 literal lies in a range that isn't public; null for other text."""
+    """Whether an IPv4 or IPv6 literal lies in a range that isn't public; null for other text."""
     literal = address.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$")
     inside = F.lit(False)
     for text in BLOCKED_RANGES:
         base, bits = text.split("/")
         low = sum(int(x) << 8 * (3 - i) for i, x in enumerate(base.split(".")))
         inside = inside | _number(address).between(low, low + (1 << (32 - int(bits))) - 1)
-    return F.when(literal, inside)
+    return F.when(literal, inside).when(address.contains(":") & address.rlike("^[0-9A-Fa-f:.]+$"), F.lower(address).rlike(BLOCKED_IPV6))
 
 
 def promoted(url: Column, site_host: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clipfold.functions import text, urls
 from clipfold.operators.components import classes_by_keys
+from clipfold.plans.store import saved, saved_with
 
 URL_VERSION, FINGERPRINT_VERSION = "canonical-url-v1", "content-fingerprint-v1"
 
@@ -60,22 +61,34 @@ def carried_forward(current: DataFrame, stored: DataFrame, active: DataFrame, ke
     return kept.unionByName(new.withColumn("carried", F.lit(False)), allowMissingColumns=True)
 
 
-def run_status(failed: str = "failed", total: str = "total", inserted: str = "inserted", carried: str = "carried") -> F.Column:
+def run_status(failed: str = "failed", total: str = "total", carried: str = "carried") -> F.Column:
     """failed if every source failed and nothing was carried over, partial if some failed, else succeeded."""
     f, t, c = F.col(failed), F.col(total), F.col(carried)
     return F.when((f == t) & (c == 0), "failed").when(f > 0, "partial").otherwise("succeeded")
 
 
-def upsert(batch: DataFrame, stored: DataFrame, identities: list[str], order: str) -> DataFrame:
-    """Rows of ``batch`` marked inserted or duplicate: a duplicate shares an identity with a stored row or an earlier one of the batch."""
-    df = batch
-    seen = F.lit(False)
-    for k in identities:
-        known = stored.select(k).filter(F.col(k).isNotNull()).distinct().withColumn(f"_s_{k}", F.lit(True))
-        first = batch.groupBy(k).agg(F.min(order).alias(f"_f_{k}"))
-        df = df.join(known, k, "left").join(first, k, "left")
-        seen = seen | F.coalesce(F.col(f"_s_{k}"), F.lit(False)) | (F.col(f"_f_{k}") < F.col(order))
-    return df.withColumn("outcome", F.when(seen, "duplicate").otherwise("inserted")).select(*batch.columns, "outcome")
+def upsert(batch: DataFrame, stored: DataFrame, identities: list[str], order: str, most: int = 200) -> DataFrame:
+    """Rows of ``batch`` marked inserted or duplicate, as if they came one after another by ``order``, which is unique.
+
+    A duplicate shares an identity (nulls are none) with a stored row or an
+    earlier one that was inserted; only inserted rows register identities. In
+    each round all rows are decided that are the first undecided one of all
+    their identities, or share one with an inserted row.
+    """
+    now = saved(batch.select(order, *identities, F.lit(None).cast("string").alias("_outcome")), "upsert")
+    for _ in range(most):
+        df, taken, first = now, F.lit(False), F.lit(True)
+        for k in identities:
+            known = now.filter("_outcome = 'inserted'").select(k).union(stored.select(k)).filter(F.col(k).isNotNull()).distinct().withColumn(f"_s_{k}", F.lit(True))
+            least = now.filter("_outcome is null").filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_f_{k}"))
+            df = df.join(known, k, "left").join(least, k, "left")
+            taken = taken | F.coalesce(F.col(f"_s_{k}"), F.lit(False))
+            first = first & (F.col(k).isNull() | (F.col(f"_f_{k}") == F.col(order)))
+        outcome = F.coalesce("_outcome", F.when(taken, "duplicate").when(first, "inserted"))
+        now, left = saved_with(df.select(order, *identities, outcome.alias("_outcome")), "upsert", F.count_if(F.col("_outcome").isNull()).alias("n"))
+        if not left["n"]:
+            return batch.join(now.select(order, F.col("_outcome").alias("outcome")), order).select(*batch.columns, "outcome")
+    raise RuntimeError(f"rows were left undecided after {most} rounds")
 
 
 def identity_conflicts(batch: DataFrame, stored: DataFrame, key: str, compared: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clipfold.plans.store import saved, saved_with
+
 #: Stages in order, and the kind of artifact of each.
 STAGES = ("collect", "score", "generate", "validate", "publish")
 KINDS = ("news_ingestion", "topic_selection", "post_generation", "publication", "publish_receipt")
@@ -37,16 +39,32 @@ def lineage_violations(artifacts: DataFrame) -> DataFrame:
     return odd.union(joined.withColumn("violation", why).filter("violation is not null").select("output_reference", "parent", "violation"))
 
 
-def ancestors(artifacts: DataFrame, depth: int = 3) -> DataFrame:
-    """(output_reference, ancestor, distance) through at most ``depth`` edges."""
-    edges = artifacts.select(F.col("output_reference").alias("child"), F.explode("parent_output_references").alias("ancestor"))
-    now = edges.withColumn("distance", F.lit(1))
-    out = now
-    for k in range(2, depth + 1):
+def ancestors(artifacts: DataFrame, most: int = 1_000) -> DataFrame:
+    """(output_reference, ancestor, distance, cyclic) through any number of edges; ``cyclic``: the ancestor is the artifact itself.
+
+    Every step joins the newest pairs with the edges, written to the shared
+    folder, until none is new. A chain takes as many steps as it is long.
+    """
+    edges = saved(artifacts.select(F.col("output_reference").alias("child"), F.explode("parent_output_references").alias("ancestor")).distinct(), "edges")
+    found = saved(edges.withColumn("distance", F.lit(1)), "ancestors")
+    newest = found
+    for k in range(2, most + 2):
         up = edges.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("further"))
-        now = now.join(up, "ancestor").select("child", F.col("further").alias("ancestor"), F.lit(k).alias("distance"))
-        out = out.union(now)
-    return out.groupBy(F.col("child").alias("output_reference"), "ancestor").agg(F.min("distance").alias("distance"))
+        step = newest.filter("child <> ancestor").join(up, "ancestor").select("child", F.col("further").alias("ancestor"), F.lit(k).alias("distance")).distinct()
+        newest, seen = saved_with(step.join(found, ["child", "ancestor"], "left_anti").select("child", "ancestor", "distance"), "ancestors", F.count(F.lit(1)).alias("n"))
+        if not seen["n"]:
+            return found.select(F.col("child").alias("output_reference"), "ancestor", "distance", (F.col("child") == F.col("ancestor")).alias("cyclic"))
+        found = found.union(newest)
+    raise RuntimeError(f"ancestors were still found after {most} steps")
+
+
+def fingerprint_violations(artifacts: DataFrame) -> DataFrame:
+    """Artifacts (output_reference) whose fingerprint isn't the one that their kind, configuration, payload and their parents' fingerprints give."""
+    edges = artifacts.select("output_reference", F.explode("parent_output_references").alias("parent"))
+    theirs = artifacts.select(F.col("output_reference").alias("parent"), F.col("fingerprint").alias("theirs"))
+    of = edges.join(theirs, "parent", "left").groupBy("output_reference").agg(F.array_sort(F.collect_list(F.coalesce("theirs", F.lit("")))).alias("parents"))
+    own = fingerprint(F.col("kind"), F.col("config"), F.coalesce("parents", F.array().cast("array<string>")), F.col("payload"))
+    return artifacts.join(of, "output_reference", "left").filter(~own.eqNullSafe(F.col("fingerprint"))).select("output_reference", F.lit("FINGERPRINT").alias("violation"))
 
 
 def put_once(stored: DataFrame, offered: DataFrame, key: list[str], content: str) -> DataFrame:

@@ -155,6 +155,7 @@ def model_input_issues(items: DataFrame, documents: DataFrame, key: str, now: Co
     content_text, content_hash, retention_expires_at.
     """
     fields = ("source_name", "title", "passage", "locator")
+    items, documents = (df.withColumns({c: text.nfc(F.col(c)) for c in names}) for df, names in ((items, fields), (documents.withColumn("_hash", F.sha2("content_text", 256)), ("content_text",))))
     length: Callable[[str], Column] = lambda c: F.length(F.coalesce(F.col(c), F.lit("")))
     private = lambda *cs: F.bool_or(text.is_sensitive(F.concat_ws("\n", *cs)))
     ev = items.groupBy(key).agg(F.count(F.lit(1)).alias("n_items"), F.sum(sum((length(c) for c in fields), F.lit(0))).alias("graphemes"), private(*fields).alias("private_items"))
@@ -162,7 +163,7 @@ def model_input_issues(items: DataFrame, documents: DataFrame, key: str, now: Co
     tied = documents.withColumn("_d", F.struct("article_id", "source_name", "title")).join(own, [key, "evidence_id"], "full")
     doc = tied.groupBy(key).agg(
         F.count("document_id").alias("n_documents"), F.coalesce(F.max(F.length("content_text")), F.lit(0)).alias("longest"), F.coalesce(F.sum(F.length("content_text")), F.lit(0)).alias("total"),
-        F.bool_or(~F.col("_d").eqNullSafe(F.col("_i"))).alias("lineage"), F.bool_or(F.col("retention_expires_at") <= now).alias("expired"), F.bool_or(F.sha2("content_text", 256) != F.col("content_hash")).alias("hash"),
+        F.bool_or(~F.col("_d").eqNullSafe(F.col("_i"))).alias("lineage"), F.bool_or(F.col("retention_expires_at") <= now).alias("expired"), F.bool_or(F.col("_hash") != F.col("content_hash")).alias("hash"),
         private("source_name", "title", "content_text").alias("private_documents"), F.count_distinct("document_id").alias("ids"), F.count_distinct("evidence_id").alias("eids"), F.count(F.lit(1)).alias("rows"),
     )
     both = ev.join(doc, key, "full")

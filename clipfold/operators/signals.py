@@ -2,33 +2,203 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipfold.functions.similarity import clamp, dice, jaccard, novelty
-from clipfold.functions.text import bigrams, has_phrase, tokens
-
-#: Phrases and weights by category. Equal phrases of other case are entries of their own and count twice.
-TAXONOMY = {
-    "elementary": "초등학교 1, 초등학생 1, 초등교사 0.95, 초등 교사 0.95, 초등교육 0.95, 초등 수업 0.9, 초등 학부모 0.9, 초등 0.75, 학부모 0.35, 교사 0.3, 학생 0.25, 학교 0.2, 어린이 0.35, "
-    "primary school 1, elementary school 1, primary education 0.95, schoolchildren 0.9, pupils 0.5, parents 0.35, teachers 0.3, students 0.25, school 0.2, children 0.35",
-    "ai_digital": "AI 디지털교과서 1, AI 디지털 교과서 1, 인공지능 디지털교과서 1, 생성형 AI 교육 0.95, AI 교육 0.9, 인공지능 교육 0.9, AI 튜터 0.9, AI 코스웨어 0.9, 디지털교과서 0.85, "
-    "디지털 교과서 0.85, 디지털 교육 0.8, 디지털 학습 0.75, 디지털 리터러시 0.7, 미디어 리터러시 0.65, 에듀테크 0.7, 코딩 교육 0.6, 생성형 AI 0.65, 챗GPT 0.65, 인공지능 0.55, AI 0.55, LLM 0.45, "
-    "디지털 전환 0.45, AI 에이전트 0.8, 로봇 0.65, 휴머노이드 0.75, 알고리즘 0.6, 플랫폼 0.55, 가상현실 0.65, 증강현실 0.65, 메타버스 0.6, 사이버보안 0.7, 랜섬웨어 0.65, 딥페이크 0.75, 스마트폰 0.55, "
-    "artificial intelligence education 0.9, ai in education 0.9, digital education 0.8, digital learning 0.75, digital literacy 0.7, media literacy 0.65, edtech 0.7, coding education 0.6, "
-    "generative ai 0.65, artificial intelligence 0.55, ai 0.55, llm 0.45, digital transformation 0.45, ai agent 0.8, robot 0.65, algorithm 0.6, platform 0.55, virtual reality 0.65, "
-    "augmented reality 0.65, cybersecurity 0.7, ransomware 0.65, deepfake 0.75",
-    "context": "교육 0.7, 수업 0.7, 학습 0.65, 교실 0.65, 교사 0.6, 학생 0.55, 학교 0.55, 학부모 0.5, 교과서 0.65, 교육부 0.75, 교육청 0.7, education 0.7, teaching 0.7, learning 0.65, classroom 0.65, "
-    "teacher 0.6, student 0.55, pupil 0.55, school 0.55, parent 0.5, textbook 0.65",
-    "bridge": "아동 0.8, 청소년 0.75, 미성년자 0.85, 개인정보 0.85, 생체정보 0.9, 디지털 신원 0.8, 딥페이크 0.85, 합성 콘텐츠 0.75, 저작권 0.8, 창작자 0.65, 추천 알고리즘 0.75, AI 에이전트 0.8, "
-    "인공지능 에이전트 0.8, 자동 의사결정 0.85, 플랫폼 0.55, 스마트폰 0.6, 디지털 격차 0.85, 접근성 0.7, 중독 0.65, 허위정보 0.8, 신뢰 0.6, 보안 0.7, 랜섬웨어 0.8, 감시 0.75, 자동화 0.65, 노동 0.6, "
-    "일자리 0.6, 창작 0.65, 판단 0.65, privacy 0.85, biometric 0.9, deepfake 0.85, copyright 0.8, recommendation algorithm 0.75, ai agent 0.8, automated decision 0.85, digital divide 0.85, "
-    "misinformation 0.8, cybersecurity 0.7, ransomware 0.8, surveillance 0.75, automation 0.65",
-    "non_elementary": "중학교 1, 고등학교 1, 대학생 1, 대학 1, secondary school 1, higher education 1, university 1, college 1",
-    "social": "정책 0.65, 지침 0.7, 시행 0.65, 도입 0.55, 전국 0.6, 예산 0.55, 법안 0.75, 개인정보 0.8, 저작권 0.75, 안전 0.65, 윤리 0.65, 격차 0.8, 접근성 0.7, 공정성 0.7, 영향 0.55, 확대 0.5, 금지 0.6, "
-    "policy 0.65, guideline 0.7, implementation 0.65, rollout 0.55, nationwide 0.6, budget 0.55, legislation 0.75, privacy 0.8, data protection 0.8, copyright 0.75, safety 0.65, ethics 0.65, "
-    "digital divide 0.8, accessibility 0.7, fairness 0.7, impact 0.55, expansion 0.5, ban 0.6",
-}
+from clipfold.functions.text import bigrams, tokens
+
+#: Category, phrase and weight. Equal phrases of other case are entries of their own and count twice.
+TAXONOMY = (
+    ("elementary", "초등학교", 1),
+    ("elementary", "초등학생", 1),
+    ("elementary", "초등교사", 0.95),
+    ("elementary", "초등 교사", 0.95),
+    ("elementary", "초등교육", 0.95),
+    ("elementary", "초등 수업", 0.9),
+    ("elementary", "초등 학부모", 0.9),
+    ("elementary", "초등", 0.75),
+    ("elementary", "학부모", 0.35),
+    ("elementary", "교사", 0.3),
+    ("elementary", "학생", 0.25),
+    ("elementary", "학교", 0.2),
+    ("elementary", "어린이", 0.35),
+    ("elementary", "primary school", 1),
+    ("elementary", "elementary school", 1),
+    ("elementary", "primary education", 0.95),
+    ("elementary", "schoolchildren", 0.9),
+    ("elementary", "pupils", 0.5),
+    ("elementary", "parents", 0.35),
+    ("elementary", "teachers", 0.3),
+    ("elementary", "students", 0.25),
+    ("elementary", "school", 0.2),
+    ("elementary", "children", 0.35),
+    ("ai_digital", "AI 디지털교과서", 1),
+    ("ai_digital", "AI 디지털 교과서", 1),
+    ("ai_digital", "인공지능 디지털교과서", 1),
+    ("ai_digital", "생성형 AI 교육", 0.95),
+    ("ai_digital", "AI 교육", 0.9),
+    ("ai_digital", "인공지능 교육", 0.9),
+    ("ai_digital", "AI 튜터", 0.9),
+    ("ai_digital", "AI 코스웨어", 0.9),
+    ("ai_digital", "디지털교과서", 0.85),
+    ("ai_digital", "디지털 교과서", 0.85),
+    ("ai_digital", "디지털 교육", 0.8),
+    ("ai_digital", "디지털 학습", 0.75),
+    ("ai_digital", "디지털 리터러시", 0.7),
+    ("ai_digital", "미디어 리터러시", 0.65),
+    ("ai_digital", "에듀테크", 0.7),
+    ("ai_digital", "코딩 교육", 0.6),
+    ("ai_digital", "생성형 AI", 0.65),
+    ("ai_digital", "챗GPT", 0.65),
+    ("ai_digital", "인공지능", 0.55),
+    ("ai_digital", "AI", 0.55),
+    ("ai_digital", "LLM", 0.45),
+    ("ai_digital", "디지털 전환", 0.45),
+    ("ai_digital", "AI 에이전트", 0.8),
+    ("ai_digital", "로봇", 0.65),
+    ("ai_digital", "휴머노이드", 0.75),
+    ("ai_digital", "알고리즘", 0.6),
+    ("ai_digital", "플랫폼", 0.55),
+    ("ai_digital", "가상현실", 0.65),
+    ("ai_digital", "증강현실", 0.65),
+    ("ai_digital", "메타버스", 0.6),
+    ("ai_digital", "사이버보안", 0.7),
+    ("ai_digital", "랜섬웨어", 0.65),
+    ("ai_digital", "딥페이크", 0.75),
+    ("ai_digital", "스마트폰", 0.55),
+    ("ai_digital", "artificial intelligence education", 0.9),
+    ("ai_digital", "ai in education", 0.9),
+    ("ai_digital", "digital education", 0.8),
+    ("ai_digital", "digital learning", 0.75),
+    ("ai_digital", "digital literacy", 0.7),
+    ("ai_digital", "media literacy", 0.65),
+    ("ai_digital", "edtech", 0.7),
+    ("ai_digital", "coding education", 0.6),
+    ("ai_digital", "generative ai", 0.65),
+    ("ai_digital", "artificial intelligence", 0.55),
+    ("ai_digital", "ai", 0.55),
+    ("ai_digital", "llm", 0.45),
+    ("ai_digital", "digital transformation", 0.45),
+    ("ai_digital", "ai agent", 0.8),
+    ("ai_digital", "robot", 0.65),
+    ("ai_digital", "algorithm", 0.6),
+    ("ai_digital", "platform", 0.55),
+    ("ai_digital", "virtual reality", 0.65),
+    ("ai_digital", "augmented reality", 0.65),
+    ("ai_digital", "cybersecurity", 0.7),
+    ("ai_digital", "ransomware", 0.65),
+    ("ai_digital", "deepfake", 0.75),
+    ("context", "교육", 0.7),
+    ("context", "수업", 0.7),
+    ("context", "학습", 0.65),
+    ("context", "교실", 0.65),
+    ("context", "교사", 0.6),
+    ("context", "학생", 0.55),
+    ("context", "학교", 0.55),
+    ("context", "학부모", 0.5),
+    ("context", "교과서", 0.65),
+    ("context", "교육부", 0.75),
+    ("context", "교육청", 0.7),
+    ("context", "education", 0.7),
+    ("context", "teaching", 0.7),
+    ("context", "learning", 0.65),
+    ("context", "classroom", 0.65),
+    ("context", "teacher", 0.6),
+    ("context", "student", 0.55),
+    ("context", "pupil", 0.55),
+    ("context", "school", 0.55),
+    ("context", "parent", 0.5),
+    ("context", "textbook", 0.65),
+    ("bridge", "아동", 0.8),
+    ("bridge", "청소년", 0.75),
+    ("bridge", "미성년자", 0.85),
+    ("bridge", "개인정보", 0.85),
+    ("bridge", "생체정보", 0.9),
+    ("bridge", "디지털 신원", 0.8),
+    ("bridge", "딥페이크", 0.85),
+    ("bridge", "합성 콘텐츠", 0.75),
+    ("bridge", "저작권", 0.8),
+    ("bridge", "창작자", 0.65),
+    ("bridge", "추천 알고리즘", 0.75),
+    ("bridge", "AI 에이전트", 0.8),
+    ("bridge", "인공지능 에이전트", 0.8),
+    ("bridge", "자동 의사결정", 0.85),
+    ("bridge", "플랫폼", 0.55),
+    ("bridge", "스마트폰", 0.6),
+    ("bridge", "디지털 격차", 0.85),
+    ("bridge", "접근성", 0.7),
+    ("bridge", "중독", 0.65),
+    ("bridge", "허위정보", 0.8),
+    ("bridge", "신뢰", 0.6),
+    ("bridge", "보안", 0.7),
+    ("bridge", "랜섬웨어", 0.8),
+    ("bridge", "감시", 0.75),
+    ("bridge", "자동화", 0.65),
+    ("bridge", "노동", 0.6),
+    ("bridge", "일자리", 0.6),
+    ("bridge", "창작", 0.65),
+    ("bridge", "판단", 0.65),
+    ("bridge", "privacy", 0.85),
+    ("bridge", "biometric", 0.9),
+    ("bridge", "deepfake", 0.85),
+    ("bridge", "copyright", 0.8),
+    ("bridge", "recommendation algorithm", 0.75),
+    ("bridge", "ai agent", 0.8),
+    ("bridge", "automated decision", 0.85),
+    ("bridge", "digital divide", 0.85),
+    ("bridge", "misinformation", 0.8),
+    ("bridge", "cybersecurity", 0.7),
+    ("bridge", "ransomware", 0.8),
+    ("bridge", "surveillance", 0.75),
+    ("bridge", "automation", 0.65),
+    ("non_elementary", "중학교", 1),
+    ("non_elementary", "고등학교", 1),
+    ("non_elementary", "대학생", 1),
+    ("non_elementary", "대학", 1),
+    ("non_elementary", "secondary school", 1),
+    ("non_elementary", "higher education", 1),
+    ("non_elementary", "university", 1),
+    ("non_elementary", "college", 1),
+    ("social", "정책", 0.65),
+    ("social", "지침", 0.7),
+    ("social", "시행", 0.65),
+    ("social", "도입", 0.55),
+    ("social", "전국", 0.6),
+    ("social", "예산", 0.55),
+    ("social", "법안", 0.75),
+    ("social", "개인정보", 0.8),
+    ("social", "저작권", 0.75),
+    ("social", "안전", 0.65),
+    ("social", "윤리", 0.65),
+    ("social", "격차", 0.8),
+    ("social", "접근성", 0.7),
+    ("social", "공정성", 0.7),
+    ("social", "영향", 0.55),
+    ("social", "확대", 0.5),
+    ("social", "금지", 0.6),
+    ("social", "policy", 0.65),
+    ("social", "guideline", 0.7),
+    ("social", "implementation", 0.65),
+    ("social", "rollout", 0.55),
+    ("social", "nationwide", 0.6),
+    ("social", "budget", 0.55),
+    ("social", "legislation", 0.75),
+    ("social", "privacy", 0.8),
+    ("social", "data protection", 0.8),
+    ("social", "copyright", 0.75),
+    ("social", "safety", 0.65),
+    ("social", "ethics", 0.65),
+    ("social", "digital divide", 0.8),
+    ("social", "accessibility", 0.7),
+    ("social", "fairness", 0.7),
+    ("social", "impact", 0.55),
+    ("social", "expansion", 0.5),
+    ("social", "ban", 0.6),
+)
 #: Phrases that make an article explicitly about elementary schools.
 EXPLICIT = ("초등", "primary school", "elementary school", "primary education")
 #: Reliability of a source by publisher type, and adjustments.
@@ -40,38 +210,72 @@ WEIGHTS = {"elementary_relevance": 30, "ai_digital_specificity": 20, "reliabilit
 LEAST = {"total": 70, "elementary_relevance": 18, "ai_digital_specificity": 10, "reliability": 12, "novelty": 10}
 
 Phrases = list[tuple[str, float]]
+CATEGORIES = tuple(dict.fromkeys(c for c, *_ in TAXONOMY))
 
 
 def phrases(category: str) -> Phrases:
-    """Normalized phrases and weights of a category, in order."""
-    out = []
-    for entry in TAXONOMY[category].split(", "):
-        phrase, weight = entry.rsplit(" ", 1)
-        out.append((phrase.lower(), float(weight)))
-    return out
+    """Lower-cased phrases and weights of a category, in order."""
+    return [(phrase.lower(), weight) for c, phrase, weight in TAXONOMY if c == category]
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is computed once however often ``then`` uses it."""
+    return F.transform(F.array(value), lambda v: then(v))[0]
+
+
+def needle(phrase: str) -> str:
+    """What to look for in a text with a blank at either end: ASCII phrases as whole words, others anywhere."""
+    return f" {phrase} " if re.search("[a-z0-9]", phrase) else phrase
+
+
+def _signal(hits: Column) -> Column:
+    return F.when(F.size(hits) == 0, 0.0).otherwise(clamp(F.array_max(F.transform(hits, lambda h: h["weight"])) + F.least(F.lit(0.15), (F.size(hits) - 1) * 0.03)))
+
+
+def _entry(category: str, phrase: str, weight: float) -> Column:
+    return F.struct(F.lit(category).alias("category"), F.lit(needle(phrase)).alias("needle"), F.lit(weight).alias("weight"))
+
+
+def _found(text: Column, entries: Column) -> Column:
+    return bound(F.concat(F.lit(" "), text, F.lit(" ")), lambda t: F.filter(entries, lambda e: t.contains(e["needle"])))
 
 
 def keyword_signal(text: Column, listed: Phrases) -> Column:
-    """The highest weight of a phrase found, and 0.03 for each further one, 0.15 at most."""
-    hits = F.array_compact(F.array(*(F.when(has_phrase(text, F.lit(p)), F.lit(w)) for p, w in listed)))
-    return F.when(F.size(hits) == 0, 0.0).otherwise(clamp(F.array_max(hits) + F.least(F.lit(0.15), (F.size(hits) - 1) * 0.03)))
+    """The highest weight of a phrase found in a normalized text, and 0.03 for each further one, 0.15 at most."""
+    return bound(_found(text, F.array(*(_entry("", p, w) for p, w in listed))), _signal)
+
+
+def raw_signals(text: Column) -> Column:
+    """The signal of each category of the taxonomy, and ``explicit``: all phrases are looked for once."""
+    entries = [_entry(c, p.lower(), w) for c, p, w in TAXONOMY] + [_entry("explicit", p, 1.0) for p in EXPLICIT]
+
+    def of(hits: Column) -> Column:
+        mine = lambda c: F.filter(hits, lambda h: h["category"] == c)
+        return F.struct(*(bound(mine(c), _signal).alias(c) for c in CATEGORIES), F.exists(hits, lambda h: h["category"] == "explicit").alias("explicit"))
+
+    return bound(_found(text, F.array(*entries)), of)
+
+
+def gated(raw: Column) -> Column:
+    """(elementary_relevance, ai_digital_specificity, social_meaning) of raw signals."""
+    digital, bridge, context = raw["ai_digital"], raw["bridge"], raw["context"]
+    # Other levels of school cap the first signal unless elementary ones are named.
+    capped = F.when((raw["non_elementary"] > 0) & ~raw["explicit"], F.least(raw["elementary"], F.lit(0.15))).otherwise(raw["elementary"])
+    # A digital topic that touches children or rights counts for both signals by itself.
+    angle = (digital >= 0.45) & (bridge >= 0.65)
+    specific = F.when(angle, F.greatest(digital, F.lit(0.6))).when((digital > 0) & (context == 0), F.least(digital, F.lit(0.25))).when(digital > 0, clamp(digital + context * 0.1)).otherwise(digital)
+    first = F.struct(F.when(angle, F.greatest(capped, F.lit(0.65))).otherwise(capped).alias("e"), specific.alias("a"), F.when(angle, F.greatest(raw["social"], bridge)).otherwise(raw["social"]).alias("s"))
+
+    def last(x: Column) -> Column:
+        meaning = F.when((x["e"] > 0) & (x["a"] > 0), clamp(x["s"] * F.least(F.lit(1.0), (x["e"] + x["a"]) / 1.2))).otherwise(0.0)
+        return F.struct(x["e"].alias("elementary_relevance"), x["a"].alias("ai_digital_specificity"), meaning.alias("social_meaning"))
+
+    return bound(first, last)
 
 
 def article_signals(text: Column) -> Column:
-    """(elementary, ai_digital, social) of one article's normalized text, with the gates in their order."""
-    raw = {k: keyword_signal(text, phrases(k)) for k in TAXONOMY}
-    explicit = F.exists(F.array(*map(F.lit, EXPLICIT)), lambda p: has_phrase(text, p))
-    capped = F.when((raw["non_elementary"] > 0) & ~explicit, F.least(raw["elementary"], F.lit(0.15))).otherwise(raw["elementary"])
-    angle = (raw["ai_digital"] >= 0.45) & (raw["bridge"] >= 0.65)
-    ai = (
-        F.when((raw["ai_digital"] > 0) & (raw["context"] == 0) & ~angle, F.least(raw["ai_digital"], F.lit(0.25)))
-        .when(angle, F.greatest(raw["ai_digital"], F.lit(0.6)))
-        .when(raw["ai_digital"] > 0, clamp(raw["ai_digital"] + raw["context"] * 0.1))
-        .otherwise(raw["ai_digital"])
-    )
-    elementary = F.when(angle, F.greatest(capped, F.lit(0.65))).otherwise(capped)
-    social = clamp(F.greatest(raw["social"], F.when(angle, raw["bridge"]).otherwise(0.0)) * F.least(F.lit(1.0), (elementary + ai) / 1.2))
-    return F.struct(elementary.alias("elementary_relevance"), ai.alias("ai_digital_specificity"), F.when((elementary > 0) & (ai > 0), social).otherwise(0.0).alias("social_meaning"))
+    """(elementary_relevance, ai_digital_specificity, social_meaning) of one article's normalized text."""
+    return bound(raw_signals(text), gated)
 
 
 def source_reliability(publisher_type: Column, origin_type: Column, role: Column, authority: Column) -> Column:
@@ -93,27 +297,53 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.greatest(jaccard(tokens(a), tokens(b)), dice(bigrams(a), bigrams(b)))
 
 
-def similar_titles(articles: DataFrame, history: DataFrame, node: str) -> DataFrame:
-    """Pairs of articles and history titles with a positive similarity, found by a shared bigram or token.
+#: Titles on the smaller side that are compared with each title directly; their number is checked.
+FEW = 5_000
+
+
+def _featured(titles: DataFrame, name: str) -> DataFrame:
+    return titles.select(F.col(name).alias("title"), bigrams(F.col(name)).alias("b"), tokens(F.col(name)).alias("t")).distinct()
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, measure: str, least: float) -> DataFrame:
+    """(left_title, right_title, similarity) of titles with at least ``least``, which is above 0.
 
-    Both have normalized_title; equal titles are compared once. A pair without
-    any shared bigram has similarity 0 and makes no row, so no product of the
-    tables is formed.
+    ``left`` and ``right`` have a normalized ``title``, which counts once;
+    ``measure``: jaccard (words), dice (pairs of characters), or greatest (the
+    greater of both). If ``right`` has ``FEW`` titles at most, each is compared with every left
+    one; beyond that, two titles meet by an element of their prefixes: of a
+    set of n elements those that leave fewer than the least intersection.
+    Both ways give the same rows.
     """
-    left = articles.select("normalized_title").distinct().withColumn("lb", bigrams(F.col("normalized_title"))).withColumn("lt", tokens(F.col("normalized_title")))
-    right = history.select(F.col("normalized_title").alias("previous")).distinct().withColumn("rb", bigrams(F.col("previous"))).withColumn("rt", tokens(F.col("previous")))
-    by_bigram = left.select("normalized_title", F.size("lb").alias("nl"), F.explode("lb").alias("g")).join(right.select("previous", F.size("rb").alias("nr"), F.explode("rb").alias("g")), "g")
-    d = by_bigram.groupBy("normalized_title", "previous").agg((2 * F.count(F.lit(1)) / (F.first("nl") + F.first("nr"))).alias("dice"))
-    by_token = left.select("normalized_title", F.size("lt").alias("nl"), F.explode("lt").alias("g")).join(right.select("previous", F.size("rt").alias("nr"), F.explode("rt").alias("g")), "g")
-    n = F.count(F.lit(1))
-    j = by_token.groupBy("normalized_title", "previous").agg((n / (F.first("nl") + F.first("nr") - n)).alias("jaccard"))
-    pairs = d.join(j, ["normalized_title", "previous"], "full").select("normalized_title", "previous", F.greatest(F.coalesce("dice", F.lit(0.0)), F.coalesce("jaccard", F.lit(0.0))).alias("similarity"))
-    return pairs
+    one, two = _featured(left, "title"), _featured(right, "title")
+    j = lambda a, b: jaccard(a["t"], b["t"])
+    d = lambda a, b: dice(a["b"], b["b"])
+    of = {"jaccard": j, "dice": d, "greatest": lambda a, b: F.greatest(j(a, b), d(a, b))}[measure]
+    if two.count() <= FEW:
+        listed = F.broadcast(two.agg(F.collect_list(F.struct("title", "b", "t")).alias("_all")))  # one row of FEW titles
+        own = F.struct("b", "t")
+        each = F.filter(F.transform("_all", lambda h: F.struct(h["title"].alias("right_title"), bound(own, lambda o: of(o, h)).alias("similarity"))), lambda x: x["similarity"] >= least)
+        return one.join(listed).select(F.col("title").alias("left_title"), F.explode(each).alias("x")).select("left_title", "x.*")
+    keyed = []
+    for kind, field in (("jaccard", "t"), ("dice", "b")):
+        if measure in (kind, "greatest"):
+            share = least if kind == "jaccard" else least / (2 - least)  # of a set's elements, that the other one must have
+            sides = []
+            for side in (one, two):
+                flat = side.select("title", F.size(field).alias("n"), F.explode(field).alias("g"))
+                place = F.row_number().over(Window.partitionBy("title").orderBy(F.xxhash64("g"), "g"))
+                sides.append(flat.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share) + 1).select("title", "g"))
+            keyed.append(sides[0].toDF("left_title", "g").join(sides[1].toDF("right_title", "g"), "g").select("left_title", "right_title"))
+    pairs = (keyed[0] if len(keyed) == 1 else keyed[0].union(keyed[1])).distinct()
+    whole = pairs.join(one.select(F.col("title").alias("left_title"), F.struct("b", "t").alias("l")), "left_title").join(two.select(F.col("title").alias("right_title"), F.struct("b", "t").alias("r")), "right_title")
+    return whole.select("left_title", "right_title", of(F.col("l"), F.col("r")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
 def novelty_by_article(articles: DataFrame, history: DataFrame, node: str) -> DataFrame:
     """Novelty of each article against titles (normalized_title) and fingerprints (content_fingerprint) of history."""
-    best = similar_titles(articles, history, node).groupBy("normalized_title").agg(F.max("similarity").alias("similarity"))
+    titles = lambda df: df.select(F.col("normalized_title").alias("title"))
+    pairs = similar_pairs(titles(articles), titles(history), "greatest", 1e-9)
+    best = pairs.groupBy(F.col("left_title").alias("normalized_title")).agg(F.max("similarity").alias("similarity"))
     seen = history.select("content_fingerprint").filter("content_fingerprint is not null").distinct().withColumn("seen", F.lit(True))
     known = history.limit(1).count() > 0
     joined = articles.join(best, "normalized_title", "left").join(seen, "content_fingerprint", "left")

@@ -6,22 +6,56 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipfold.functions.text import bigrams, has_phrase
+from clipfold.functions.text import bigrams, normalize_title
 from clipfold.operators import signals
 
 VERSION, SIMILAR, IMMEDIATE = "daily-topic-selection-v3", 0.42, {"total": 82, "social_meaning": 6}
-#: Phrases that stand for one concept each, in both languages.
+#: Number of a concept and a phrase that stands for it, in both languages.
 CONCEPTS = (
-    "초등학교, 초등교육, 초등학생, primary school, elementary school, primary education, schoolchildren", "인공지능, ai, artificial intelligence",
-    "디지털 교육, 디지털 학습, digital education, digital learning", "개인정보, privacy, data protection", "지침, guideline, guidelines, guidance",
-    "교사, teacher, teachers", "학생, student, students, pupil, pupils", "학교, school, schools", "디지털 리터러시, digital literacy", "안전, safety",
-)
+    (0, "초등학교"),
+    (0, "초등교육"),
+    (0, "초등학생"),
+    (0, "primary school"),
+    (0, "elementary school"),
+    (0, "primary education"),
+    (0, "schoolchildren"),
+    (1, "인공지능"),
+    (1, "ai"),
+    (1, "artificial intelligence"),
+    (2, "디지털 교육"),
+    (2, "디지털 학습"),
+    (2, "digital education"),
+    (2, "digital learning"),
+    (3, "개인정보"),
+    (3, "privacy"),
+    (3, "data protection"),
+    (4, "지침"),
+    (4, "guideline"),
+    (4, "guidelines"),
+    (4, "guidance"),
+    (5, "교사"),
+    (5, "teacher"),
+    (5, "teachers"),
+    (6, "학생"),
+    (6, "student"),
+    (6, "students"),
+    (6, "pupil"),
+    (6, "pupils"),
+    (7, "학교"),
+    (7, "school"),
+    (7, "schools"),
+    (8, "디지털 리터러시"),
+    (8, "digital literacy"),
+    (9, "안전"),
+    (9, "safety"),
+)
 
 
 def concepts(title: Column) -> Column:
     """Numbers of the concepts in a normalized title."""
-    found = (F.when(F.exists(F.array(*map(F.lit, group.split(", "))), lambda p: has_phrase(title, p)), F.lit(i)) for i, group in enumerate(CONCEPTS))
-    return F.array_compact(F.array(*found))
+    listed = F.array(*(F.struct(F.lit(i).alias("number"), F.lit(signals.needle(p)).alias("needle")) for i, p in CONCEPTS))
+    hits = signals.bound(F.concat(F.lit(" "), title, F.lit(" ")), lambda t: F.filter(listed, lambda e: t.contains(e["needle"])))
+    return F.array_distinct(F.transform(hits, lambda h: h["number"]))
 
 
 def _similarity(a: tuple[frozenset, frozenset], b: tuple[frozenset, frozenset]) -> float:
@@ -31,19 +65,18 @@ def _similarity(a: tuple[frozenset, frozenset], b: tuple[frozenset, frozenset])
     return max(2 * len(a[0] & b[0]) / (len(a[0]) + len(b[0])), share)
 
 
-def grouped(articles: DataFrame, block: str, most: int = 2000) -> DataFrame:
-    """Adds group_no within each ``block`` (a run's window): greedy complete linkage over titles, newest first.
+def grouped(articles: DataFrame, *block: str) -> DataFrame:
+    """Adds group_no within each ``block`` (a run's window of days, of a source if one likes): greedy complete linkage over titles, newest first.
 
-    An article joins the first group all of whose members are similar. This
-    is sequential in a block, so a block of more than ``most`` articles is an
-    error; blocks are independent of one another.
+    An article joins the first group all of whose members are similar. That
+    goes by one article after another, so a block is a task's work; blocks are
+    independent of one another, and a window of days doesn't grow with the
+    archive.
     """
     rows = articles.withColumns({"_bigrams": bigrams(F.col("normalized_title")), "_concepts": concepts(F.col("normalized_title"))})
     kept = [f for f in articles.schema]
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > most:
-            raise ValueError(f"a block of {len(frame)} articles; the limit is {most}")
         frame = frame.sort_values(["published_at", "article_id"], ascending=[False, True], kind="stable")
         groups: list[list[tuple]] = []
         numbers = []
@@ -57,7 +90,7 @@ def grouped(articles: DataFrame, block: str, most: int = 2000) -> DataFrame:
         return frame.assign(group_no=numbers)[[f.name for f in kept] + ["group_no"]]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", group_no long"
-    return rows.groupBy(block).applyInPandas(link, schema)
+    return rows.groupBy(*block).applyInPandas(link, schema)
 
 
 def independence(evidence: DataFrame, topic: str) -> DataFrame:
@@ -95,17 +128,18 @@ def topic_id(article_ids: Column) -> Column:
 
 
 def candidates(grouped_articles: DataFrame, evidence: DataFrame, history: DataFrame, block: str) -> DataFrame:
-    """One row per group that passes thresholds and the independence policy.
+    """One row per group that passes thresholds and the independence policy, titled by its newest article.
 
     ``grouped_articles``: as ``grouped`` gives, with title, excerpt,
     content_fingerprint, publisher_group_id and reliability (of its source).
     ``evidence``: article_id and its source's fields.
     """
     key = [block, "group_no"]
-    text = F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", "title", "normalized_title", F.coalesce("excerpt", F.lit("")))), r"[^\p{L}\p{N}]+", " "))
-    rows = grouped_articles.withColumn("s", signals.article_signals(text)).join(signals.novelty_by_article(grouped_articles, history, "article_id"), "article_id")
+    text = normalize_title(F.concat_ws(" ", "title", "normalized_title", F.coalesce("excerpt", F.lit(""))))
+    rows = grouped_articles.withColumn("_text", text).withColumn("s", signals.article_signals(F.col("_text"))).join(signals.novelty_by_article(grouped_articles, history, "article_id"), "article_id")
     names = ("elementary_relevance", "ai_digital_specificity", "social_meaning")
-    per = rows.groupBy(*key).agg(*(F.max(f"s.{n}").alias(n) for n in names), F.min("novelty").alias("novelty"), F.collect_set("article_id").alias("article_ids"))
+    per = rows.groupBy(*key).agg(*(F.max(f"s.{n}").alias(n) for n in names), F.min("novelty").alias("novelty"), F.collect_set("article_id").alias("article_ids"),
+        F.min_by("title", F.struct((-F.unix_micros(F.col("published_at").cast("timestamp"))).alias("at"), "article_id")).alias("title"))
     keyed = rows.withColumn("_k", F.struct(*key))
     trust = signals.reliability(keyed, "_k", "publisher_group_id", "reliability").select("_k.*", "reliability")
     tied = evidence.join(rows.select("article_id", F.struct(*key).alias("_k")), "article_id")

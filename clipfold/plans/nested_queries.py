@@ -50,12 +50,15 @@ def posts(spark, sf_dir):
     return rows.select("l_orderkey", post.alias("post"), F.array_distinct(pick("e")).alias("evidence"), F.lit("two_independent_sources").alias("policy"), F.lit(False).alias("allow_single"))
 
 
-@query("""WITH o AS (SELECT l_orderkey, count(DISTINCT l_suppkey % 5) AS pubs, count(DISTINCT l_suppkey % 7) AS provs, bool_or(n = 1 AND l_quantity <= 10) AS hidden FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem) GROUP BY 1)
- SELECT l_orderkey, hidden AS uncited_key_claim, pubs >= 2 AND provs >= 2 AS independent FROM o""")
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem),
+ c AS (SELECT l_orderkey, count(*) AS entries, count(DISTINCT l_suppkey) AS suppliers FROM (SELECT DISTINCT l_orderkey, l_suppkey, CASE WHEN l_partkey % 3 = 0 THEN q ELSE '0' END AS p FROM n) GROUP BY 1),
+ o AS (SELECT l_orderkey, count(DISTINCT l_suppkey % 5) AS pubs, count(DISTINCT l_suppkey % 7) AS provs, bool_or(n = 1 AND l_quantity <= 10) AS hidden, count(*) AS lines, sum(CASE WHEN n > 1 THEN length('sold ' || q || '개') ELSE 0 END) AS body FROM n GROUP BY 1)
+ SELECT l_orderkey, true AS schema_passed, entries = suppliers AS source_metadata_passed, true AS evidence_links_passed, NOT hidden AS key_claim_citations_passed, false AS content_length_passed, pubs >= 2 AND provs >= 2 AS source_independence_passed FROM o JOIN c USING (l_orderkey)""")
 def quality_structural(spark, sf_dir):
     out = gates.structural(posts(spark, sf_dir))
+    kinds = ("schema", "source_metadata", "evidence_links", "key_claim_citations", "content_length", "source_independence")
     of = lambda k: F.filter("checks", lambda c: c["type"] == k)[0]["passed"]
-    return out.select("l_orderkey", (~of("key_claim_citations")).alias("uncited_key_claim"), of("source_independence").alias("independent"))
+    return out.select("l_orderkey", *(of(k).alias(f"{k}_passed") for k in kinds))
 
 
 @query("""WITH i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, l_suppkey, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q, CASE WHEN l_partkey % 3 = 0 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) ELSE '0' END AS p FROM lineitem),

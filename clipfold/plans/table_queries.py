@@ -280,12 +280,16 @@ def events_hopping_window(spark, sf_dir):
     return out.select(F.to_date("window_start").cast("string").alias("window_start"), "event_type", "n", "cents")
 
 
-@query("""WITH s AS (SELECT 'run-' || user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), a AS (SELECT run_id, rn, 'ref-' || event_id AS r, lag('ref-' || event_id) OVER (PARTITION BY run_id ORDER BY rn) AS p FROM s WHERE rn <= 4)
- SELECT x.r AS output_reference, y.r AS ancestor, CAST(x.rn - y.rn AS INTEGER) AS distance FROM a x JOIN a y ON x.run_id = y.run_id AND y.rn < x.rn""")
+@query("""WITH RECURSIVE s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+ a AS (SELECT user_id, rn, rn // 2 AS up, 1 AS d FROM s WHERE rn > 1 UNION ALL SELECT user_id, rn, up // 2, d + 1 FROM a WHERE up > 1)
+ SELECT 'ref-' || user_id || '-' || rn AS output_reference, 'ref-' || user_id || '-' || up AS ancestor, CAST(d AS INTEGER) AS distance, false AS cyclic FROM a""")
 def artifact_lineage(spark, sf_dir):
+    """All events of a user are a run's artifacts, and each comes from that of half its number: a tree, whose paths grow with the logarithm."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select("user_id", F.concat(F.lit("ref-"), F.col("event_id").cast("string")).alias("output_reference"), F.row_number().over(w).alias("rn"), F.lag(F.concat(F.lit("ref-"), F.col("event_id").cast("string"))).over(w).alias("p")).filter("rn <= 4")
-    return artifacts.ancestors(e.select("output_reference", F.when(F.col("p").isNotNull(), F.array("p")).otherwise(F.array().cast("array<string>")).alias("parent_output_references")))
+    name = lambda n: F.concat_ws("-", F.lit("ref"), F.col("user_id").cast("string"), n.cast("string"))
+    e = table(spark, sf_dir, "events").select("user_id", F.row_number().over(w).alias("rn"))
+    up = F.when(F.col("rn") > 1, F.array(name(F.floor(F.col("rn") / 2)))).otherwise(F.array().cast("array<string>"))
+    return artifacts.ancestors(e.select(name(F.col("rn")).alias("output_reference"), up.alias("parent_output_references")))
 
 
 IDENT = """substring(sha256('{"generationOutputReference":"' || ref || '","runDate":"' || day || '","runId":"' || run || '"}'), 1, 20)"""

@@ -103,13 +103,13 @@ def html_title_and_gate(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract(html, r"<title>([\s\S]*?)</title>", 1).alias("raw_title"), text.gate(html).alias("gate"), text.looks_like_feed(html).alias("is_feed"))
 
 
-EXC = rf"trim(regexp_replace(regexp_replace(substring(text, 1, 2000), '<[^>]*>', ' ', 'g'), '{SP}', ' ', 'g'))"
+EXC = rf"trim(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '{SP}', ' ', 'g'))"
 EXC800 = f"CASE WHEN length_grapheme({EXC}) <= 800 THEN {EXC} ELSE trim(left_grapheme({EXC}, 800)) END"
 
 
 @query(f"SELECT doc_id, passage, CAST(length_grapheme(passage) AS BIGINT) AS n_graphemes, length_grapheme(passage) >= 40 AS eligible FROM (SELECT doc_id, {EXC800} AS passage FROM documents)")
 def excerpt_sanitize(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.sanitize_excerpt(F.substring("text", 1, 2000)).alias("passage"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.sanitize_excerpt(F.col("text")).alias("passage"))
     n = text.graphemes(F.col("passage")).cast("bigint")
     return docs.select("doc_id", "passage", n.alias("n_graphemes"), (n >= 40).alias("eligible"))
 
@@ -121,7 +121,7 @@ def evidence_items(spark, sf_dir):
     from clipfold.operators.evidence import from_excerpts
 
     docs = table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", F.concat(F.lit("article:"), F.col("doc_id").cast("string")).alias("article_id"), F.substring("text", 1, 2000).alias("excerpt"), F.struct(F.col("source").alias("source_id"), F.lit("evidence").alias("content_use"), F.lit("rss").alias("collection_type")).alias("source"))
+    rows = docs.select("doc_id", F.concat(F.lit("article:"), F.col("doc_id").cast("string")).alias("article_id"), F.col("text").alias("excerpt"), F.struct(F.col("source").alias("source_id"), F.lit("evidence").alias("content_use"), F.lit("rss").alias("collection_type")).alias("source"))
     return from_excerpts(rows, locators={"rss": "rss-excerpt", "search": "search-excerpt"}).select("doc_id", "evidence_id", "passage_id", "passage_hash", F.col("source.source_id").alias("source_id"), "authority")
 
 
@@ -167,18 +167,19 @@ GRAMS = "list_distinct([substring(replace(nt, ' ', ''), i, 2) for i in range(1,
 R6 = "floor({} * 1000000 + 0.5) / 1000000"
 
 
+def _pairs(spark, sf_dir, measure: str, least: float) -> DataFrame:
+    left = titled(spark, sf_dir).select(F.col("normalized_title").alias("title"))
+    right = table(spark, sf_dir, "benchmark").select(text.normalize_title(title()).alias("title"))
+    out = signals.similar_pairs(left, right, measure, least)
+    return out.withColumn("similarity", F.floor(F.col("similarity") * 1000000 + 0.5) / 1000000)
+
+
 @query(f"""WITH {HIST}, dt AS (SELECT nt, unnest(list_distinct(list_filter(string_split(nt, ' '), lambda x: x <> ''))) AS t FROM d), ht AS (SELECT nt, unnest(list_distinct(list_filter(string_split(nt, ' '), lambda x: x <> ''))) AS t FROM h),
  dn AS (SELECT nt, count(*) AS n FROM dt GROUP BY nt), hn AS (SELECT nt, count(*) AS n FROM ht GROUP BY nt),
  p AS (SELECT dt.nt AS a, ht.nt AS b, count(*) AS n FROM dt JOIN ht USING (t) GROUP BY ALL)
  SELECT a AS left_title, b AS right_title, {R6.format('p.n / CAST(dn.n + hn.n - p.n AS DOUBLE)')} AS jaccard FROM p JOIN dn ON dn.nt = a JOIN hn ON hn.nt = b""")
 def token_jaccard_pairs(spark, sf_dir):
-    left = titled(spark, sf_dir).select("normalized_title").distinct().withColumn("t", text.tokens(F.col("normalized_title")))
-    right = table(spark, sf_dir, "benchmark").select(text.normalize_title(title()).alias("right_title")).distinct().withColumn("t", text.tokens(F.col("right_title")))
-    a = left.select(F.col("normalized_title").alias("left_title"), F.size("t").alias("na"), F.explode("t").alias("g"))
-    b = right.select("right_title", F.size("t").alias("nb"), F.explode("t").alias("g"))
-    n = F.count(F.lit(1))
-    j = n / (F.first("na") + F.first("nb") - n)
-    return a.join(b, "g").groupBy("left_title", "right_title").agg((F.floor(j * 1000000 + 0.5) / 1000000).alias("jaccard"))
+    return _pairs(spark, sf_dir, "jaccard", 1e-9).withColumnRenamed("similarity", "jaccard")
 
 
 @query(f"""WITH {HIST}, dt AS (SELECT nt, unnest({GRAMS}) AS t FROM d WHERE nt <> ''), ht AS (SELECT nt, unnest({GRAMS}) AS t FROM h WHERE nt <> ''),
@@ -186,12 +187,7 @@ def token_jaccard_pairs(spark, sf_dir):
  p AS (SELECT dt.nt AS a, ht.nt AS b, count(*) AS n FROM dt JOIN ht USING (t) GROUP BY ALL)
  SELECT a AS left_title, b AS right_title, {R6.format('2 * p.n / CAST(dn.n + hn.n AS DOUBLE)')} AS dice FROM p JOIN dn ON dn.nt = a JOIN hn ON hn.nt = b WHERE 2 * p.n / CAST(dn.n + hn.n AS DOUBLE) >= 0.42""")
 def bigram_dice_pairs(spark, sf_dir):
-    left = titled(spark, sf_dir).select("normalized_title").distinct().withColumn("t", text.bigrams(F.col("normalized_title")))
-    right = table(spark, sf_dir, "benchmark").select(text.normalize_title(title()).alias("right_title")).distinct().withColumn("t", text.bigrams(F.col("right_title")))
-    a = left.select(F.col("normalized_title").alias("left_title"), F.size("t").alias("na"), F.explode("t").alias("g"))
-    b = right.select("right_title", F.size("t").alias("nb"), F.explode("t").alias("g"))
-    d = a.join(b, "g").groupBy("left_title", "right_title").agg((2 * F.count(F.lit(1)) / (F.first("na") + F.first("nb"))).alias("d"))
-    return d.filter("d >= 0.42").select("left_title", "right_title", (F.floor(F.col("d") * 1000000 + 0.5) / 1000000).alias("dice"))
+    return _pairs(spark, sf_dir, "dice", 0.42).withColumnRenamed("similarity", "dice")
 
 
 SIM = f"""{HIST}, df AS (SELECT nt, list_distinct(list_filter(string_split(nt, ' '), lambda x: x <> '')) AS t, CASE WHEN nt = '' THEN [] ELSE {GRAMS} END AS g FROM d),
@@ -213,13 +209,13 @@ def novelty_signal(spark, sf_dir):
 PHRASES = [("the of", 0.9), ("and the", 0.7), ("que", 0.6), ("de la", 0.55), ("und", 0.5), ("ingth", 0.45), ("é", 0.2)]
 _P = "[" + ", ".join(f"{{'p': '{p}', 'w': {w}}}" for p, w in PHRASES) + "]"
 KEY = f"""x AS (SELECT doc_id, nt, list_transform(list_filter({_P}, lambda k: CASE WHEN regexp_matches(k.p, '[a-z0-9]') THEN contains(' ' || nt || ' ', ' ' || k.p || ' ') ELSE contains(nt, k.p) END), lambda k: CAST(k.w AS DOUBLE)) AS hits
- FROM (SELECT doc_id, {NORM.format("substring(text, 1, 2000)")} AS nt FROM documents)),
+ FROM (SELECT doc_id, {NORM.format("text")} AS nt FROM documents)),
  s AS (SELECT doc_id, CAST(len(hits) AS BIGINT) AS n_hits, CASE WHEN len(hits) = 0 THEN 0.0 ELSE floor(greatest(0, least(1, list_max(hits) + least(0.15, (len(hits) - 1) * CAST(0.03 AS DOUBLE)))) * 1000 + 0.5) / 1000 END AS signal FROM x)"""
 
 
 @query(f"WITH {KEY} SELECT doc_id, signal FROM s")
 def keyword_signal(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize_title(F.substring("text", 1, 2000)).alias("nt"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.normalize_title(F.col("text")).alias("nt"))
     return docs.select("doc_id", signals.keyword_signal(F.col("nt"), PHRASES).alias("signal"))
 
 
@@ -253,7 +249,7 @@ def score_thresholds(spark, sf_dir):
 def model_reservation(spark, sf_dir):
     from clipfold.operators.ledger import reservation
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", reservation(F.col("text"), F.lit(4000)).alias("r"), F.length("text").cast("bigint").alias("estimated_tokens"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", reservation(F.col("text"), F.lit(4000)).alias("r"), F.length(text.nfc(F.col("text"))).cast("bigint").alias("estimated_tokens"))
     return docs.select("doc_id", "r.reserved_tokens", (F.col("r.cost_usd") * 10000000).cast("bigint").alias("cost_tenth_micros"), "estimated_tokens")
 
 
@@ -292,11 +288,9 @@ def carry_forward_merge(spark, sf_dir):
  concat_ws(',', CASE WHEN bool_or(quality = 0) THEN 'LOW_QUALITY' END, CASE WHEN bool_or(toxic = 1) THEN 'TOXIC' END) AS blocking FROM labels l JOIN documents d USING (doc_id) GROUP BY d.source""")
 def run_status_by_source(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    out = rows.groupBy("source").agg(F.count(F.lit(1)).alias("labelled"), F.count_if(F.col("quality") == 0).alias("failed"), F.bool_and(F.col("quality") == 1).alias("all_passed"), F.bool_or(F.col("toxic") == 1).alias("any_toxic"))
+    out = rows.groupBy("source").agg(F.count(F.lit(1)).alias("labelled"), F.count_if(F.col("quality") == 0).alias("failed"), F.bool_and(F.col("quality") == 1).alias("all_passed"), F.bool_or(F.col("toxic") == 1).alias("any_toxic"), F.lit(0).alias("carried"))
     blocking = F.concat_ws(",", F.when(F.col("failed") > 0, "LOW_QUALITY"), F.when(F.col("any_toxic"), "TOXIC"))
-    return out.select("source", "labelled", "failed", "all_passed", "any_toxic", articles.run_status("failed", "labelled", "labelled", "failed").alias("s0"), blocking.alias("blocking")).withColumn(
-        "status", F.when(F.col("failed") == F.col("labelled"), "failed").otherwise(F.when(F.col("failed") > 0, "partial").otherwise("succeeded"))
-    ).drop("s0")
+    return out.select("source", "labelled", "failed", "all_passed", "any_toxic", articles.run_status("failed", "labelled", "carried").alias("status"), blocking.alias("blocking"))
 
 
 @query()
@@ -304,4 +298,36 @@ def topic_groups(spark, sf_dir):
     from clipfold.operators.topics import grouped
 
     rows = titled(spark, sf_dir).select("doc_id", "source", F.concat(F.lit("article:"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("article_id"), F.timestamp_seconds(F.col("doc_id") * 60).alias("published_at"), "normalized_title")
-    return grouped(rows, "source").select("doc_id", "source", "group_no")
+    rows = rows.withColumn("day", F.to_date("published_at"))
+    return grouped(rows, "source", "day").select("doc_id", "source", "day", "group_no")
+
+
+#: Phrases of the taxonomy that stand in for words of the invented texts: by id, each document has some in its title.
+_TOLD = sorted({p.lower() for _, p, _ in signals.TAXONOMY} | set(signals.EXPLICIT))
+_NTOLD = len(_TOLD)
+_MIX = ((1, 0), (7, 3), (13, 5))
+
+
+def told_titles(spark, sf_dir, *more: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    listed = F.array(*map(F.lit, _TOLD))
+    parts = [F.when(F.col("doc_id") % (i + 2) == 0, F.element_at(listed, ((F.col("doc_id") * k + c) % _NTOLD + 1).cast("int"))) for i, (k, c) in enumerate(_MIX)]
+    return docs.select("doc_id", *more, F.concat_ws(" ", text.normalize_title(title(), compose=False), *parts).alias("nt"))
+
+
+_ENTRIES = "[" + ", ".join(f"{{'c': '{c}', 'n': '{signals.needle(p.lower())}', 'w': CAST({w} AS DOUBLE)}}" for c, p, w in (*signals.TAXONOMY, *(("explicit", p, 1.0) for p in signals.EXPLICIT))) + "]"
+_LIST = "[" + ", ".join(f"'{p}'" for p in _TOLD) + "]"
+_RAW = ", ".join(f"CASE WHEN len(list_filter(h, lambda x: x.c = '{c}')) = 0 THEN 0.0 ELSE floor(greatest(0, least(1, list_max(list_transform(list_filter(h, lambda x: x.c = '{c}'), lambda x: x.w)) + least(0.15, (len(list_filter(h, lambda x: x.c = '{c}')) - 1) * CAST(0.03 AS DOUBLE)))) * 1000 + 0.5) / 1000 END AS {c}" for c in signals.CATEGORIES)
+_R3 = "floor(greatest(0, least(1, {})) * 1000 + 0.5) / 1000"
+TOLD = f"""t AS (SELECT doc_id, source, concat_ws(' ', {NT}, {', '.join(f"CASE WHEN doc_id % {i + 2} = 0 THEN ({_LIST})[CAST((doc_id * {k} + {c}) % {_NTOLD} + 1 AS BIGINT)] END" for i, (k, c) in enumerate(_MIX))}) AS nt FROM documents),
+ f AS (SELECT doc_id, source, list_filter({_ENTRIES}, lambda e: contains(' ' || nt || ' ', e.n)) AS h FROM t),
+ r AS (SELECT doc_id, source, {_RAW}, len(list_filter(h, lambda x: x.c = 'explicit')) > 0 AS explicit FROM f),
+ a AS (SELECT *, ai_digital >= 0.45 AND bridge >= 0.65 AS angle, CASE WHEN non_elementary > 0 AND NOT explicit THEN least(elementary, 0.15) ELSE elementary END AS capped FROM r),
+ b AS (SELECT *, CASE WHEN angle THEN greatest(capped, 0.65) ELSE capped END AS e, CASE WHEN angle THEN greatest(ai_digital, 0.6) WHEN ai_digital > 0 AND context = 0 THEN least(ai_digital, 0.25) WHEN ai_digital > 0 THEN {_R3.format('ai_digital + context * CAST(0.1 AS DOUBLE)')} ELSE ai_digital END AS d,
+ CASE WHEN angle THEN greatest(social, bridge) ELSE social END AS s FROM a),
+ g AS (SELECT doc_id, source, CAST(e AS DOUBLE) AS elementary_relevance, CAST(d AS DOUBLE) AS ai_digital_specificity, CAST(CASE WHEN e > 0 AND d > 0 THEN {_R3.format('s * least(1.0, (e + d) / 1.2)')} ELSE 0 END AS DOUBLE) AS social_meaning FROM b)"""
+
+
+@query(f"WITH {TOLD} SELECT doc_id, elementary_relevance, ai_digital_specificity, social_meaning FROM g")
+def taxonomy_signals(spark, sf_dir):
+    return told_titles(spark, sf_dir).select("doc_id", signals.article_signals(F.col("nt")).alias("s")).select("doc_id", "s.*")

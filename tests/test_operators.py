@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from clipfold.functions import text, urls
 from clipfold.operators import articles, artifacts, evidence, gates, ledger, signals, topics
 from clipfold.sources import feeds, tables
 
@@ -59,7 +61,7 @@ def test_scores(spark):
 
 
 def test_taxonomy_gates(spark):
-    sizes = {k: len(signals.phrases(k)) for k in signals.TAXONOMY}
+    sizes = {k: len(signals.phrases(k)) for k in signals.CATEGORIES}
     assert sizes == {"elementary": 23, "ai_digital": 56, "context": 21, "bridge": 42, "non_elementary": 8, "social": 35}
     texts = {"safety": "초등학교 안전 점검", "export": "ai 반도체 수출 증가", "bridge": "로봇 판단 자동화 논의", "college": "대학 ai 교육 학생", "double": "ai"}
     rows = spark.createDataFrame(list(texts.items()), "k string, t string").select("k", signals.article_signals(F.col("t")).alias("s"), signals.keyword_signal(F.col("t"), signals.phrases("ai_digital")).alias("ai")).collect()
@@ -87,8 +89,6 @@ def test_grouping_does_not_chain(spark):
     for given in (frame, frame.orderBy("article_id")):
         got = {r.article_id: r.group_no for r in topics.grouped(given, "block").collect()}
         assert got["a"] == got["b"] != got["c"] and got["d"] == got["e"]
-    with pytest.raises(Exception, match="limit is 2"):
-        topics.grouped(frame, "block", most=2).collect()
 
 
 def test_independence(spark):
@@ -198,3 +198,53 @@ def test_strict_schema(spark):
         tables.strict(frame, tables.ARTICLE)
     with pytest.raises(ValueError, match="unknown columns"):
         tables.strict(frame, "other string")
+
+
+def test_upsert_registers_only_what_it_inserts(spark):
+    rows = [(1, "u1", "f2", None), (2, "u3", "f2", "e1"), (3, "u3", "f9", None), (4, "u4", "f4", "e1"), (5, "u5", None, None), (6, "u5", None, None), (7, "u9", "f9", "e9")]
+    stored = [("u1", "f0", None)]
+    batch = spark.createDataFrame(rows, "n long, u string, f string, e string")
+    got = {r.n: r.outcome for r in articles.upsert(batch, spark.createDataFrame(stored, "u string, f string, e string"), ["u", "f", "e"], "n").collect()}
+    seen = [set(x for x in column if x) for column in zip(*stored)]
+    for n, *keys in rows:  # one after another
+        fresh = not any(k in s for k, s in zip(keys, seen))
+        assert got[n] == ("inserted" if fresh else "duplicate")
+        if fresh:
+            for k, s in zip(keys, seen):
+                s.update({k} - {None})
+    assert got[2] == "inserted"
+
+
+def test_ancestors_of_a_long_chain_and_a_circle(spark):
+    rows = [(str(i), [str(i - 1)] if i else []) for i in range(9)] + [("x", ["z"]), ("y", ["x"]), ("z", ["y"])]
+    out = artifacts.ancestors(spark.createDataFrame(rows, "output_reference string, parent_output_references array<string>")).collect()
+    assert {(int(r.output_reference), int(r.ancestor)): r.distance for r in out if r.output_reference.isdigit()} == {(i, j): i - j for i in range(9) for j in range(i)}
+    assert {r.output_reference for r in out if r.cyclic} == {"x", "y", "z"}
+
+
+@pytest.mark.parametrize("measure", ["jaccard", "dice", "greatest"])
+def test_similar_pairs_both_ways(spark, monkeypatch, measure):
+    rnd = random.Random(4)
+    names = [" ".join(rnd.choice(["ai", "school", "law", "교육", "안전", "ban", "robot", "art"]) for _ in range(rnd.randint(0, 6))) for _ in range(120)]
+    left, right = (spark.createDataFrame([(x,) for x in part], "title string") for part in (names[:80], names[80:]))
+    one = {(r.left_title, r.right_title): round(r.similarity, 9) for r in signals.similar_pairs(left, right, measure, 0.42).collect()}
+    monkeypatch.setattr(signals, "FEW", 1)
+    two = {(r.left_title, r.right_title): round(r.similarity, 9) for r in signals.similar_pairs(left, right, measure, 0.42).collect()}
+    pairs = lambda x: {x.replace(" ", "")[i : i + 2] for i in range(max(len(x.replace(" ", "")) - 1, 1))} if x.strip() else set()
+    want = {}
+    for a in set(names[:80]):
+        for b in set(names[80:]):
+            t, u, g, h = set(a.split()), set(b.split()), pairs(a), pairs(b)
+            j, d = (len(t & u) / len(t | u), 2 * len(g & h) / (len(g) + len(h))) if t and u else (0, 0)
+            s = {"jaccard": j, "dice": d, "greatest": max(j, d)}[measure]
+            if s >= 0.42:
+                want[a, b] = round(s, 9)
+    assert one == two == want
+
+
+def test_numbers_and_addresses(spark):
+    row = spark.createDataFrame([("１５퍼센트와 1,200명",)], "x string").select(text.numeric_tokens(F.col("x")).alias("n")).first()
+    assert sorted(row.n) == ["1200|명", "15|%"]
+    links = {"https://[::1]/a": False, "https://[fd00::1]/": False, "https://[2606:4700::1111]/x": True, "https://198.18.0.1/": False, "https://8.8.8.8/": True, "https://x.kr/": True, "https://a.localhost/": False}
+    out = spark.createDataFrame([(k,) for k in links], "u string").select("u", urls.is_fetchable(F.col("u")).alias("ok")).collect()
+    assert {r.u: r.ok for r in out} == links
