@@ -1,7 +1,7 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Counting: documents are dealt to blocks by a hash of their id, and each block
-is stored as one compressed row. Each block sends its distinct n-grams (sorted 64-bit hashes, packed) with its training counts to
+Counting: each task stores the documents it reads in blocks, each one
+compressed row. Each block sends its distinct n-grams (sorted 64-bit hashes, packed) with its training counts to
 the ranges of the hash space that they fall in; each range adds up the counts
 of all blocks and answers each block in the order of its question, so that
 only counts travel back. No table of n-grams is ever in one place.
@@ -27,13 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipfold.llm.arrowtext import mix, text_array, words_of
-from clipfold.llm.neardup import squeezed
+from clipfold.llm.arrowtext import mix, slices, text_array, words_of
 from clipfold.llm.packed import pack, unpack
-from clipfold.llm.store import partitions_for, saved
+from clipfold.llm.store import partitions_for, saved, with_text
 
 _END, _START = np.uint64(0x51ED270B35A1D3C7), np.uint64(0xA3B195354A39B70D)
 CLASSES, BINS = 24, 128
@@ -86,24 +86,37 @@ def _bounds(order: int, ranges: int) -> np.ndarray:
     return np.array([(top * i) // ranges for i in range(ranges)], dtype=np.uint64)
 
 
-def blocks_of(docs: DataFrame, blocks: int) -> DataFrame:
-    """block and body: the documents (doc_id, held_out, text) of each block as one compressed Arrow stream."""
+def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """block and body: the documents (doc_id, held_out, text) as compressed Arrow streams of about ``block_bytes`` of text.
 
-    def join(table: pa.Table) -> pa.Table:
-        wide = zstandard.ZstdDecompressor().decompress
-        text = pa.array([wide(x).decode() for x in table.column("__body").to_pylist()], pa.large_string())
-        held = pa.table([table.column("doc_id"), table.column("held_out"), text], names=["doc_id", "held_out", "text"])
+    Results don't depend on which documents are in a block, so each task makes
+    its own of what it reads, and no text is dealt anew. A longer text is in a
+    block with others all the same, and never cut.
+    """
+
+    def stream(parts: list[pa.RecordBatch]) -> bytes:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(held)
-        return pa.table([table.column("block").slice(0, 1), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "body"])
+        with pa.ipc.new_stream(sink, parts[0].schema) as out:
+            out.write_table(pa.Table.from_batches(parts).combine_chunks())
+        return zstandard.ZstdCompressor(level=7).compress(sink.getvalue())
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([stream(held)], pa.binary())], names=["block", "body"])
+        for batch in slices(batches, limit=block_bytes):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= block_bytes:
+                yield row()
+                held, size, number = [], 0, number + 1
+        if held:
+            yield row()
 
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    return squeezed(dealt, "doc_id", "held_out", "block").groupBy("block").applyInArrow(join, "block long, body binary")
+    return with_text(docs, "doc_id", "held_out").mapInArrow(work, "block long, body binary")
 
 
 def _opened(body: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(body.as_buffer()).read_all()
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body.as_py())).read_all()
 
 
 def _flags(table: pa.Table) -> np.ndarray:
@@ -335,14 +348,14 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, block_bytes: int =
     empty text: its end alone. Repeated rows count and score each for
     themselves; with no training rows every score is that of unseen words.
     Texts of any length are read whole, long ones in runs that join without a
-    seam; a block holds at least one text. Other columns are not read.
+    seam. Other columns are not read.
     ``lower_ascii`` lower-cases A-Z before words are counted and scored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = partitions_for(size, block_bytes, least_blocks)
-    stored = saved(blocks_of(texts, blocks), "blocks")
+    stored = saved(blocks_of(texts, block_bytes), "blocks")
     found = saved(answers(requests(stored, order, max(least_blocks, blocks // 2), lower_ascii)), "ngrams")
     total = found.filter("block = -1 and order = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "once", "twice"))).first()
     words = Unigrams(*total)
