@@ -19,11 +19,13 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of text at most (a longer text comes alone)."""
+    """The same rows in batches of about ``limit`` bytes in ``column`` at most (a longer text or list comes alone)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        values = batch.column(column)
+        lengths = pc.multiply(pc.list_value_length(values), 8) if pa.types.is_list(values.type) else pc.binary_length(values)
+        sizes = pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(sizes, dtype=np.int64), 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

@@ -42,22 +42,22 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], narro
     After that every candidate pair whose nodes are still apart is checked, so
     that no link is left out; pairs inside a component never need to be.
     ``narrowed`` gives the keys for that: from the nodes that are apart from
-    another of one of their keys (node, component) it makes members (key,
-    node, component, and more columns) such that linked nodes share a key, and
-    others rarely do; ``meets`` is what two members a and b of a key must
+    another of one of their keys (node, component, and the hub it tried, if
+    any) it makes members (key, node, component, and more columns) such that
+    linked nodes share a key, and others rarely do; ``meets`` is what two members a and b of a key must
     fulfil besides. ``verified`` keeps the pairs (a, b) that are links.
     """
     fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
     best = F.max(F.struct("fame", "node")).alias("h")
     hubs = saved(members.join(fame, "node").groupBy("key").agg(best).select("key", F.col("h.node").alias("hub"), "h.fame"), "hubs")
     tried = members.join(hubs, "key").filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"), F.max("fame").alias("fame"))
-    pairs = tried.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("n", "fame", "hub")).alias("b"))
+    pairs = saved(tried.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("n", "fame", "hub")).alias("b")), "tried")
     classes = saved(roots(verified(pairs)), "classes")
 
     now = members.select("key", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     now = saved(now, "now")
     open_keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    apart = saved(now.join(saved(open_keys, "open"), "key").select("node", "component").distinct(), "apart")
+    apart = saved(now.join(saved(open_keys, "open"), "key").select("node", "component").distinct().join(pairs.toDF("node", "hub"), "node", "left"), "apart")
     keyed = saved(narrowed(apart), "narrowed")
     parts = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
     main = saved(parts.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "main"), "main")

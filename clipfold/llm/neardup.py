@@ -15,6 +15,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -140,23 +142,78 @@ def confirmed(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> Data
     return pairs.join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b").mapInArrow(work, f"a {kind}, b {kind}")
 
 
+def _sets(bodies: pa.Array, n: int) -> list[np.ndarray]:
+    wide = zstandard.ZstdDecompressor().decompress
+    texts = pa.array([wide(x).decode() for x in bodies.to_pylist()], pa.large_string())
+    grams, at = shingles(words_of(text_array(texts), lower_ascii=True), n)
+    return [grams[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+
+
+def differing(apart: DataFrame, bodies: DataFrame, n: int) -> DataFrame:
+    """node, component, hub, size of the set, and ``own``: the shingles that the node or its hub has and the other hasn't.
+
+    A node without a hub, or one that shares less with it than it differs by,
+    has hub and own null.
+    """
+    hubs = bodies.select(F.col("node").alias("hub"), F.col("__body").alias("__hub_body"))
+    rows = apart.join(bodies.select("node", "__body"), "node").join(hubs, "hub", "left").select("node", "component", "hub", "__body", "__hub_body")
+    kind = apart.schema["node"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = zstandard.ZstdCompressor().compress(b"")
+        for batch in slices(batches, "__body", 1_000_000):
+            mine, theirs = _sets(batch.column("__body"), n), _sets(pc.fill_null(batch.column("__hub_body"), empty), n)
+            own = [np.setxor1d(x, y, assume_unique=True) for x, y in zip(mine, theirs, strict=True)]
+            near = pa.array([2 * len(d) < len(x) + len(y) and len(y) > 0 for d, x, y in zip(own, mine, theirs, strict=True)])
+            lists = pa.array([d.view(np.int64) if ok else None for d, ok in zip(own, near.to_pylist(), strict=True)], pa.list_(pa.int64()))
+            hub = pc.if_else(near, batch.column("hub"), pa.scalar(None, batch.column("hub").type))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("component"), hub, pa.array([len(x) for x in mine], pa.int64()), lists], names=["node", "component", "hub", "size", "own"])
+
+    return rows.mapInArrow(work, f"node {kind}, component {kind}, hub {kind}, size long, own array<long>")
+
+
 def prefixed(apart: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataFrame:
-    """Members keyed by a shingle of their prefix, for ``linked``.
+    """Members keyed by an element of their prefix, for ``linked``.
 
     Two sets as similar as ``percent`` share one of their first
     |set| - ceil(percent |set|) + 1 elements in any common order, and before
     the first that they share there are no more than a set can do without.
-    Rare ones come first here, so copies that were edited apart seldom meet.
-    """
-    own = bodies.select("node", "__body").join(apart, "node")
 
-    def sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        wide = zstandard.ZstdDecompressor().decompress
-        texts = pa.array([wide(x).decode() for x in batch.column("__body").to_pylist()], pa.large_string())
-        return shingles(words_of(text_array(texts), lower_ascii=True), n)
-
-    own = saved(own, "apart-bodies")
-    return shared_only(prefixes(own, sets_of, lambda batch, size: size + (-percent * size) // 100 + 1, "__body", ("component",)))
+    Nodes with one hub differ from each other by what their differences from
+    it don't share. So two that are linked share so many of these that the
+    rest is within the bound; if they needn't share any, both are linked with
+    the hub. Differences are small, and those of copies that were edited apart
+    have little in common, so they are what such nodes meet by; whole sets are
+    for nodes of different hubs. Rare elements come first in both.
+    """
+    own = saved(differing(apart, bodies, n), "differences")
+    # In integers: what a node differs by beyond what its size allows for. Two need at least the sum / (2 * (100 + percent)) in common.
+    beyond = (100 + percent) * F.size("own") - (100 - percent) * F.col("size")
+    near = own.filter("own is not null").withColumn("beyond", beyond.cast("long"))
+    least = near.groupBy("hub").agg(F.min("beyond").alias("least"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("beyond") + F.col("least")) / (2 * (100 + percent)))).cast("long")
+    near = saved(near.join(saved(least, "least"), "hub").withColumn("need", need).filter(F.col("need") <= F.size("own")), "near")
+
+    def tagged(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lists = batch.column("own")
+        at = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        seeds = np.array([xxhash.xxh3_64_intdigest(str(h).encode()) for h in batch.column("hub").to_pylist()], dtype=np.uint64)
+        return mix(values ^ np.repeat(seeds, np.diff(at))), at
+
+    by_hub = prefixes(near, tagged, lambda batch, size: size - batch.column("need").to_numpy() + 1, "own", ("component", "hub", "beyond"))
+    by_hub = by_hub.select("key", "node", "component", "hub", "size", "place", "beyond")
+
+    texts = saved(bodies.select("node", "__body").join(own.select("node", "component", "hub"), "node"), "apart-bodies")
+    whole = prefixes(texts, lambda batch: _joined(_sets(batch.column("__body"), n)), lambda batch, size: size + (-percent * size) // 100 + 1, "__body", ("component", "hub"))
+    whole = whole.select("key", "node", "component", "hub", "size", "place", F.lit(None).cast("long").alias("beyond"))
+    several = whole.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count("hub").alias("with_hub"), F.min("hub").alias("low"), F.max("hub").alias("high"))
+    several = several.filter("n > 1 and (with_hub < n or low < high)").select("key")
+    return shared_only(by_hub).union(whole.join(several, "key", "left_semi"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, banding: Banding = Banding()) -> DataFrame:
@@ -180,7 +237,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, banding: Ban
     sizes = nodes.select("node", "n_shingles").join(members.select("node").distinct(), "node", "left_semi")
     bodies = saved(squeezed(docs).join(sizes.dropDuplicates(["node"]), "node").dropDuplicates(["node"]), "bodies")
     # The elements of a set that come before the first shared one aren't shared: what is left must hold the least intersection.
-    meets = f"(100 + {percent}) * least(size_a - place_a, size_b - place_b) >= {percent} * (size_a + size_b)"
+    whole = f"not (hub_a <=> hub_b and hub_a is not null) and (100 + {percent}) * least(size_a - place_a, size_b - place_b) >= {percent} * (size_a + size_b)"
+    by_hub = f"2 * (100 + {percent}) * least(size_a - place_a, size_b - place_b) >= beyond_a + beyond_b"
+    meets = f"if(beyond_a is null, {whole}, beyond_b is not null and {by_hub})"
     found = linked(members, lambda pairs: confirmed(pairs, bodies, n, percent), lambda apart: prefixed(apart, bodies, n, percent), meets)
     component = classes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     out = signatures.select("doc_id", *same).join(component, same, "left")
