@@ -103,7 +103,7 @@ def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, TaskContext.get().partitionId() << 32
         row = lambda: pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([stream(held)], pa.binary())], names=["block", "body"])
-        for batch in slices(batches, limit=block_bytes):
+        for batch in slices(batches, limit=block_bytes // 4):
             held.append(batch)
             size += batch.nbytes
             if size >= block_bytes:
