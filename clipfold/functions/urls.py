@@ -84,3 +84,12 @@ def promoted(url: Column, site_host: Column) -> Column:
 
 def origin(url: Column) -> Column:
     return F.regexp_extract(url, "^(https://[^/]+)", 1)
+
+
+def https_url(url: Column, hosts: tuple[str, ...] = ()) -> Column:
+    """An https address without its fragment, null if it isn't one or its host isn't among ``hosts`` (none given: any)."""
+    ok = (scheme(url) == "https") & (host(url) != "")
+    if hosts:
+        ok = ok & host(url).isin(*hosts)
+    bare = F.concat(F.lit("https://"), host(url), F.when(_part(url, 4) == ":443", F.lit("")).otherwise(_part(url, 4)), F.when(_part(url, 5) == "", F.lit("/")).otherwise(_part(url, 5)))
+    return F.when(ok, F.concat(bare, F.regexp_extract(url, r"^[^?#]*(\?[^#]*)?", 1)))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from clipfold.functions import text, timeutil
-from clipfold.operators import artifacts, contracts, ledger, paging, publication, signals, topics
+from clipfold.functions import text, timeutil, urls
+from clipfold.operators import artifacts, contracts, ledger, paging, persistence, publication, signals, topics
 from clipfold.plans.text_queries import table
 
 QUERIES: dict = {}
@@ -357,3 +357,64 @@ def invocation_verdicts(spark, sf_dir):
     rows = calls(spark, sf_dir).withColumns({"fingerprint": F.when(F.col("event_id") % 14 == 0, "other").otherwise("same"), "reserved_cost": F.col("k") * 100})
     stored = calls(spark, sf_dir).filter("event_id % 2 = 0").select("user_id", "event_id", F.lit("same").alias("fingerprint"), F.when(F.col("event_id") % 3 == 0, "reserved").otherwise("completed").alias("status"), (F.col("k") * 100).alias("reserved_cost"), F.col("cost").alias("actual_cost"))
     return ledger.prepared(rows, stored, "user_id", "event_id", 150000).select("user_id", "event_id", "verdict")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN c_name || ' new' ELSE c_name END AS c_name,
+ c_custkey % 2 = 0 AND c_custkey % 3 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS refreshed FROM customer""")
+def refresh_unreferenced(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    new = rows.filter("c_custkey % 2 = 0").withColumn("c_name", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit(" new"))))
+    used = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return persistence.refreshed(rows, new, "c_custkey", ["c_name"], used)
+
+
+@query("""SELECT c_custkey, CASE WHEN starts_with(c_mktsegment, 'FUR') AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') THEN 'OLD-' || substring(c_mktsegment, 4) ELSE c_mktsegment END AS label FROM customer""")
+def relabel_unreferenced(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("label"))
+    used = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return persistence.relabelled(rows, "c_custkey", "label", "FUR", "OLD-", used)
+
+
+@query("""WITH a AS (SELECT o_custkey AS topic_id, count(*) AS n, arg_min(o_orderpriority, ROW(-epoch_us(o_orderdate), 'a' || o_orderkey)) AS newest, arg_max(o_orderpriority, o_orderkey) AS title FROM orders GROUP BY 1)
+ SELECT topic_id, concat_ws(',', CASE WHEN topic_id % 5 = 0 THEN 'IDS' END, CASE WHEN title <> newest THEN 'TITLE' END, CASE WHEN topic_id % 7 = 0 THEN 'CONFLICT' END) AS issues FROM a""")
+def topic_persist_checks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("topic_id"), F.concat(F.lit("a"), F.col("o_orderkey").cast("string")).alias("article_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("published_at"), "o_orderkey")
+    t = o.groupBy("topic_id").agg(F.collect_set("article_id").alias("article_ids"), F.max_by("title", "o_orderkey").alias("title"))
+    t = t.withColumn("article_ids", F.when(F.col("topic_id") % 5 == 0, F.array_append("article_ids", F.lit("more"))).otherwise(F.col("article_ids")))
+    old = t.filter("topic_id % 2 = 0 or topic_id % 7 = 0").withColumn("title", F.when(F.col("topic_id") % 7 == 0, F.lit("other")).otherwise(F.col("title")))
+    return persistence.topic_issues(t, o, old).select("topic_id", F.array_join("issues", ",").alias("issues"))
+
+
+@query("""SELECT user_id, concat_ws(',', CASE WHEN user_id % 4 = 1 THEN 'MODEL_CALLS' END, CASE WHEN user_id % 3 = 0 THEN 'INPUT_TOKENS' END, CASE WHEN bool_or(event_id % 50 = 0) THEN 'ATTEMPTS' END) AS issues FROM events GROUP BY user_id""")
+def audit_totals(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("call_id"), F.when(F.col("event_id") % 50 != 0, 1).alias("attempt"), (F.col("event_id") % 100).alias("input_tokens"), (F.col("event_id") % 10).alias("output_tokens"), F.lit(5).alias("cost"))
+    use = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("model_calls"), *(F.sum(c).alias(c) for c in ("input_tokens", "output_tokens", "cost")))
+    use = use.withColumns({"model_calls": F.col("model_calls") + (F.col("user_id") % 4 == 1).cast("int"), "input_tokens": F.col("input_tokens") + (F.col("user_id") % 3 == 0).cast("int")})
+    return persistence.audit_issues(e, use, "user_id").select("user_id", F.array_join("issues", ",").alias("issues"))
+
+
+@query("""SELECT o_orderkey, concat_ws(',', CASE WHEN o_custkey % 10 = 0 THEN 'SOURCE' END, CASE WHEN o_custkey % 10 = 0 OR o_orderkey % 4 = 0 THEN 'PUBLISHER' END, CASE WHEN o_custkey % 10 = 0 OR o_orderkey % 6 = 0 THEN 'ORIGIN' END,
+ CASE WHEN o_custkey % 10 = 0 OR o_orderkey % 9 = 0 THEN 'PROVENANCE' END, CASE WHEN o_custkey % 10 = 0 OR o_custkey % 3 = 0 OR o_custkey % 8 = 0 THEN 'ACCESS' END) AS issues FROM orders""")
+def registry_checks(spark, sf_dir):
+    name = lambda x, c: F.concat(F.lit(x), F.col(c).cast("string"))
+    a = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("article_id"), F.col("o_custkey").alias("source_id"), F.when(F.col("o_orderkey") % 4 == 0, "x").otherwise(name("g", "o_custkey")).alias("publisher_group_id"),
+        F.when(F.col("o_orderkey") % 6 == 0, "wire").otherwise("unknown").alias("origin_type"), F.when(F.col("o_orderkey") % 9 == 0, "q:1").otherwise(F.concat(name("p", "o_custkey"), F.lit(":1"))).alias("provenance_group_key"),
+    )
+    s = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source_id")).distinct().filter("source_id % 10 <> 0").select(
+        "source_id", name("g", "source_id").alias("publisher_group_id"), F.lit("unknown").alias("origin_type"), name("p", "source_id").alias("provenance_group_prefix"),
+        (F.col("source_id") % 3 != 0).alias("enabled"), F.when(F.col("source_id") % 8 == 0, "blocked").otherwise("allowed").alias("access_status"),
+    )
+    return persistence.registry_issues(a, s).select(F.col("article_id").alias("o_orderkey"), F.array_join("issues", ",").alias("issues"))
+
+
+@query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '^https://') THEN regexp_replace(regexp_replace(url, '#.*$', ''), '^(https://[^/?]+)(\?|$)', '\1/\2') END AS https_url FROM pages""")
+def https_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", urls.https_url(F.col("url")).alias("https_url"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, length(props) - length(replace(props, ':', '')) = 1 AS one_key, '{"event_id":' || event_id || CASE WHEN event_id % 2 = 0 THEN ',"kind":"' || event_type || '"' ELSE '' END || '}' AS bare FROM events""")
+def record_fields(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "props", F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("kind"))
+    fields = persistence.fields_removed(persistence.fields_merged(F.create_map(F.lit("k"), F.lit("0"), F.lit("x"), F.lit("1")), F.from_json("props", "map<string,string>")), "x")
+    return e.select("event_id", fields["k"].alias("k"), persistence.fields_exact(F.col("props"), "k").alias("one_key"), persistence.json_without_nulls("event_id", "kind").alias("bare"))
