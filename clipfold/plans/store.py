@@ -20,14 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read back.
+def saved(df: DataFrame, label: str, level: int = 3) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and return the table read back; ``level`` is zstd's.
 
     It cuts the lineage: a lost executor costs only the tasks that were running.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
