@@ -2,7 +2,9 @@
 
 mu-law and A-law bytes expand through 256-entry tables that are built from
 their defining rules. ADPCM blocks carry their own start, so one numpy step
-decodes the same sample of every block of a batch.
+decodes the same sample of every block of a batch. Resampled PCM is stored
+without loss in two bands: even samples, and what odd ones differ by from the
+mean of their neighbours, which is nothing in most of what was upsampled.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ RATE, BLOCK = 8000, 64
 #: WAVE format tags.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17}
 CODECS = ("mulaw", "alaw", "adpcm")
+#: zstd's level for what is kept: audio is several times as large as its text.
+LEVEL = 9
 
 #: Change of the step index by the low three bits of an ADPCM code.
 INDEX_STEP = np.array([-1, -1, -1, -1, 2, 4, 6, 8], dtype=np.int32)
@@ -82,20 +86,20 @@ def wave(codec: str, payload: bytes, rate: int = RATE, block: int = BLOCK) -> by
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def read_wave(media: bytes) -> tuple[str, int, bytes]:
-    """Codec, rate and data of a WAVE file, chunk by chunk."""
+def read_wave(media: bytes) -> tuple[str, int, int, bytes]:
+    """Codec, rate, block size and data of a WAVE file, chunk by chunk."""
     if media[:4] != b"RIFF" or media[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
-    at, codec, rate, data = 12, "", 0, b""
+    at, codec, rate, block, data = 12, "", 0, 1, b""
     while at + 8 <= len(media):
         name, size = media[at : at + 4], struct.unpack_from("<I", media, at + 4)[0]
         if name == b"fmt ":
-            tag, _, rate = struct.unpack_from("<HHI", media, at + 8)
+            tag, _, rate, _, block = struct.unpack_from("<HHIIH", media, at + 8)
             codec = next(k for k, v in TAGS.items() if v == tag)
         elif name == b"data":
             data = media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
-    return codec, rate, data
+    return codec, rate, block, data
 
 
 def resampled(pcm: np.ndarray, offsets: np.ndarray, up: int, down: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +115,35 @@ def resampled(pcm: np.ndarray, offsets: np.ndarray, up: int, down: int) -> tuple
     return ((a * (up - part) + b * part) // up).astype(np.int16), ends
 
 
+def _halves(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all samples of clips between offsets: where they go when each clip's even ones come first; where odd ones and their neighbours are."""
+    sizes = np.diff(ends)
+    start, size = np.repeat(ends[:-1], sizes), np.repeat(sizes, sizes)
+    place = np.arange(ends[-1]) - start
+    goes = start + np.where(place % 2, (size + 1) // 2, 0) + place // 2
+    odd = np.flatnonzero(place % 2)
+    return goes, odd, odd - 1, np.where(place[odd] + 1 < size[odd], odd + 1, odd - 1)
+
+
+def banded(pcm: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The two bands of each clip between two offsets, even samples first; differences wrap at 16 bits, so nothing is lost."""
+    goes, odd, left, right = _halves(ends)
+    wide = pcm.astype(np.int32)
+    out, bands = pcm.astype(np.int16), np.empty(len(pcm), np.int16)
+    out[odd] = (wide[odd] - ((wide[left] + wide[right]) >> 1)).astype(np.int16)
+    bands[goes] = out
+    return bands
+
+
+def unbanded(bands: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The samples that ``banded`` was given."""
+    goes, odd, left, right = _halves(ends)
+    pcm = bands[goes]
+    wide = pcm.astype(np.int32)
+    pcm[odd] = (wide[odd] + ((wide[left] + wide[right]) >> 1)).astype(np.int16)
+    return pcm
+
+
 def _features(pcm: np.ndarray, ends: np.ndarray) -> list[str]:
     """Samples, root mean square, zero crossings and peak of each clip between two offsets."""
     wide = pcm.astype(np.int64)
@@ -142,65 +175,72 @@ def stored(docs: DataFrame) -> DataFrame:
     return with_text(docs, "doc_id").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def decoded(media: DataFrame, rate: int = 16_000, with_pcm: bool = False) -> DataFrame:
-    """Adds ``payload`` (the data chunk), ``codec``, ``feature`` and on demand ``pcm`` (16 bits, resampled to ``rate``).
-
-    Further columns pass through. Features are of the resampled PCM: samples,
-    root mean square, zero crossings and peak.
+def _clips(read: list[tuple[str, int, int, bytes]], rate: int) -> tuple[np.ndarray, np.ndarray]:
+    """PCM of files at ``rate`` and the offsets of each, in order; files of one codec, rate and block size are decoded at once."""
+    clips: list[np.ndarray] = [np.zeros(0, np.int16)] * len(read)
+    for codec, own, block in sorted({r[:3] for r in read}):
+        mine = [i for i, r in enumerate(read) if r[:3] == (codec, own, block)]
+        data = [r[3] for r in (read[i] for i in mine)]
+        if codec == "adpcm":
+            data = [x[: len(x) // block * block] for x in data]
+        flat, per = np.frombuffer(b"".join(data), dtype=np.uint8), np.array([len(x) for x in data])
+        if codec == "adpcm":
+            pcm, per = adpcm_samples(flat, block).reshape(-1), per // block * (1 + 2 * (block - 4))
+        else:
+            pcm = (MULAW if codec == "mulaw" else ALAW)[flat]
+        pcm, ends = resampled(pcm, np.concatenate([[0], np.cumsum(per)]), rate, own)
+        for i, clip in zip(mine, np.split(pcm, ends[1:-1]), strict=True):
+            clips[i] = clip
+    return np.concatenate(clips), np.concatenate([[0], np.cumsum([len(c) for c in clips])]).astype(np.int64)
+
+
+def decoded(media: DataFrame, rate: int = 16_000) -> DataFrame:
+    """Adds ``payload`` (the data chunk), ``codec`` and ``bands``: the PCM, resampled to ``rate``, as ``banded`` stores it.
+
+    Each file is read by its own rate and block size; a last ADPCM block that
+    isn't whole makes no samples. Further columns pass through; payload, codec
+    and bands are replaced. A null file is an error, an empty table stays empty.
     """
-    own = [f for f in media.schema if f.name not in ("payload", "codec", "feature", "pcm")]
+    own = [f for f in media.schema if f.name not in ("payload", "codec", "bands")]
     names = [f.name for f in own]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media", 2_000_000):
             read = [read_wave(m) for m in batch.column("media").to_pylist()]
-            payloads = [r[2] for r in read]
-            clips: list[np.ndarray] = [np.zeros(0, np.int16)] * len(read)
-            for codec in CODECS:
-                mine = [i for i, r in enumerate(read) if r[0] == codec]
-                if not mine:
-                    continue
-                data = np.frombuffer(b"".join(payloads[i] for i in mine), dtype=np.uint8)
-                per = [len(payloads[i]) for i in mine]
-                if codec == "adpcm":
-                    pcm, per = adpcm_samples(data).reshape(-1), [n // BLOCK * (1 + 2 * (BLOCK - 4)) for n in per]
-                else:
-                    pcm = (MULAW if codec == "mulaw" else ALAW)[data]
-                for i, clip in zip(mine, np.split(pcm, np.cumsum(per)[:-1]), strict=True):
-                    clips[i] = clip
-            starts = np.concatenate([[0], np.cumsum([len(c) for c in clips])])
-            from_rate = read[0][1]
-            pcm, ends = resampled(np.concatenate(clips), starts, rate, from_rate)
-            texts = _features(pcm, ends)
-            columns = [batch.column(n) for n in names] + [pa.array(payloads, pa.binary()), pa.array([r[0] for r in read]), pa.array(texts)]
-            if with_pcm:
-                columns.append(pa.array([c.astype("<i2").tobytes() for c in np.split(pcm, ends[1:-1])], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "payload", "codec", "feature", *["pcm"] * with_pcm])
+            pcm, ends = _clips(read, rate)
+            bands = np.split(banded(pcm, ends), ends[1:-1])
+            added = [pa.array([r[3] for r in read], pa.binary()), pa.array([r[0] for r in read]), pa.array([c.astype("<i2").tobytes() for c in bands], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *added], names=[*names, "payload", "codec", "bands"])
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
-    return media.mapInArrow(work, f"{fields}, payload binary, codec string, feature string" + ", pcm binary" * with_pcm)
+    return media.mapInArrow(work, f"{fields}, payload binary, codec string, bands binary")
 
 
 def resampled_media(docs: DataFrame) -> DataFrame:
-    """Stores every document as audio, reads the files back and stores their resampled ``pcm`` with digests of what they hold."""
-    back = decoded(saved(stored(docs), "audio"), with_pcm=True)
+    """Stores every document as audio, reads the files back and stores their resampled PCM (``bands``) with digests of what they hold."""
+    back = decoded(saved(stored(docs), "audio", LEVEL))
     return saved(back.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring(F.col("payload"), -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "codec", "pcm",
-    ), "pcm")
+        F.sha2("media", 256).alias("media_sha256"), "codec", "bands",
+    ), "pcm", LEVEL)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """The digests of every document's stored audio; features are of the stored PCM, read back."""
+    """The digests of every document's stored audio; ``feature`` is of the stored PCM, read back.
+
+    It has the number of samples, their root mean square, zero crossings and
+    peak. Texts of any length are whole files; further columns aren't read.
+    """
     media = resampled_media(docs)
-    names = [c for c in media.columns if c not in ("codec", "pcm")]
+    names = [c for c in media.columns if c not in ("codec", "bands")]
     fields = ", ".join(f"{c} {media.schema[c].dataType.simpleString()}" for c in names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "pcm", 8_000_000):
-            clips = [np.frombuffer(x, dtype="<i2") for x in batch.column("pcm").to_pylist()]
-            texts = _features(np.concatenate(clips), np.concatenate([[0], np.cumsum([len(c) for c in clips])]))
+        for batch in slices(batches, "bands", 8_000_000):
+            clips = [np.frombuffer(x, dtype="<i2") for x in batch.column("bands").to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(c) for c in clips])]).astype(np.int64)
+            texts = _features(unbanded(np.concatenate(clips), ends), ends)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts), batch.column("codec")], names=[*names, "feature", "codec"])
 
     return media.mapInArrow(work, f"{fields}, feature string, codec string")

@@ -90,3 +90,48 @@ def test_adpcm_matches_a_loop():
 def test_resampling_keeps_clips_apart():
     pcm, ends = audio.resampled(np.array([0, 100, 7], np.int16), np.array([0, 2, 3]), 2, 1)
     assert pcm.tolist() == [0, 50, 100, 100, 7, 7] and ends.tolist() == [0, 4, 6]
+
+
+def test_bands_give_all_samples_back():
+    rnd = np.random.default_rng(11)
+    sizes = np.array([1, 2, 3, 0, 7, 64, 1, 501])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    pcm = rnd.integers(-32768, 32768, ends[-1]).astype(np.int16)
+    assert np.array_equal(audio.unbanded(audio.banded(pcm, ends), ends), pcm)
+    up, ends = audio.resampled(np.arange(-300, 300, 7, dtype=np.int16), np.array([0, 40, 86]), 2, 1)
+    assert not audio.banded(up, ends)[40:80].any()
+
+
+def slow_clip(codec, payload, rate, block, to):
+    if codec == "adpcm":
+        pcm = [int(x) for k in range(0, len(payload) // block * block, block) for x in audio.adpcm_samples(np.frombuffer(payload[k : k + block], np.uint8), block)[0]]
+    else:
+        pcm = [int((audio.MULAW if codec == "mulaw" else audio.ALAW)[x]) for x in payload]
+    out = []
+    for j in range(-(-len(pcm) * to // rate)):
+        at, part = divmod(j * rate, to)
+        out.append((pcm[at] * (to - part) + pcm[min(at + 1, len(pcm) - 1)] * part) // to)
+    return out
+
+
+def test_files_of_mixed_rates_and_blocks(spark):
+    rnd = np.random.default_rng(3)
+    files = [(c, rnd.integers(0, 256, n, dtype=np.uint8).tobytes(), rate, block) for n, rate, block in ((64, 8000, 64), (200, 6000, 32), (512, 16000, 256)) for c in audio.CODECS]
+    rows = [(i, bytearray(audio.wave(*f))) for i, f in enumerate(files)]
+    out = audio.decoded(spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1)).collect()
+    for r in out:
+        codec, payload, rate, block = files[r.doc_id]
+        bands = np.frombuffer(bytes(r.bands), "<i2")
+        assert (r.codec, bytes(r.payload)) == (codec, payload)
+        assert audio.unbanded(bands, np.array([0, len(bands)])).tolist() == slow_clip(codec, payload, rate, block, 16000)
+
+
+def test_features_match_a_loop(odd, odd_rows):
+    got = {r.doc_id: r for r in audio.media_digests(odd).collect()}
+    for k, text, *_ in odd_rows:
+        raw = (text or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        pcm = slow_clip(got[k].codec, payload, 8000, 64, 16000)
+        turns = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))
+        rms = (sum(x * x for x in pcm) / len(pcm)) ** 0.5
+        assert got[k].feature == f"samples={len(pcm)};rms={rms:.3f};crossings={turns};peak={max(map(abs, pcm))}"

@@ -78,18 +78,19 @@ def test_short_lines_and_longer_edits(spark, tmp_path):
 def test_pcm_is_stored(spark, monkeypatch):
     texts = {1: "one", 2: "two " * 50, 3: None, 4: "x" * 129, 5: "y", 6: "zz"}
     tables = {}
-    keep = lambda df, label: tables.setdefault(label, spark.createDataFrame(df.collect(), df.schema))
+    keep = lambda df, label, level: tables.setdefault(label, spark.createDataFrame(df.collect(), df.schema))
     monkeypatch.setattr(audio, "saved", keep)
     out = {r.doc_id: r for r in audio.media_digests(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
     stored = {r.doc_id: r for r in tables["pcm"].collect()}
     media = {r.doc_id: bytes(r.media) for r in tables["audio"].collect()}
     assert set(stored) == set(out) == set(texts)
     for k, r in stored.items():
-        codec, rate, payload = audio.read_wave(media[k])
+        codec, rate, _, payload = audio.read_wave(media[k])
         data = np.frombuffer(payload, dtype=np.uint8)
         clip = audio.adpcm_samples(data).reshape(-1) if codec == "adpcm" else (audio.MULAW if codec == "mulaw" else audio.ALAW)[data]
         want = audio.resampled(clip, np.array([0, len(clip)]), 16_000, rate)[0].astype("<i2")
-        assert bytes(r.pcm) == want.tobytes()
+        bands = np.frombuffer(bytes(r.bands), "<i2")
+        assert audio.unbanded(bands, np.array([0, len(bands)])).tobytes() == want.tobytes()
         peak, n = int(np.abs(want.astype(int)).max()), len(want)
         assert out[k].feature.startswith(f"samples={n};") and out[k].feature.endswith(f"peak={peak}")
 
