@@ -3,8 +3,8 @@
 mu-law and A-law bytes expand through 256-entry tables that are built from
 their defining rules. ADPCM blocks carry their own start, so one numpy step
 decodes the same sample of every block of a batch. Resampled PCM is stored
-without loss in two bands: even samples, and what odd ones differ by from the
-mean of their neighbours, which is nothing in most of what was upsampled.
+without loss in two bands: steps from one even sample to the next, and what odd
+ones differ by from the mean of their neighbours, nothing in what was upsampled.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipfold.llm.arrowtext import raw_bytes, slices, sums, text_array
+from clipfold.llm.arrowtext import raw_bytes, slices, text_array
 from clipfold.llm.store import saved, with_text
 
 RATE, BLOCK = 8000, 64
@@ -105,6 +105,15 @@ def read_wave(media: bytes) -> tuple[str, int, int, bytes]:
 def resampled(pcm: np.ndarray, offsets: np.ndarray, up: int, down: int) -> tuple[np.ndarray, np.ndarray]:
     """Linear resampling of each clip between two offsets by ``up / down``; no clip sees its neighbour."""
     counts = np.diff(offsets)
+    if up % down == 0:  # every sample has as many successors: no positions are needed
+        times = up // down
+        a, b = pcm.astype(np.int32), np.append(pcm[1:], pcm[-1:]).astype(np.int32)
+        last = offsets[1:][counts > 0] - 1
+        b[last] = a[last]
+        out = np.empty((len(pcm), times), dtype=np.int16)
+        for k in range(times):
+            out[:, k] = (a * (times - k) + b * k) // times
+        return out.reshape(-1), offsets * times
     sizes = -(-counts * up // down)
     ends = np.concatenate([[0], np.cumsum(sizes)])
     owner = np.repeat(np.arange(len(counts)), sizes)
@@ -115,43 +124,58 @@ def resampled(pcm: np.ndarray, offsets: np.ndarray, up: int, down: int) -> tuple
     return ((a * (up - part) + b * part) // up).astype(np.int16), ends
 
 
-def _halves(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all samples of clips between offsets: where they go when each clip's even ones come first; where odd ones and their neighbours are."""
+def _halves(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which samples are odd in their clips, where even and odd ones of each clip begin among their like, and the even neighbours of each odd one."""
     sizes = np.diff(ends)
-    start, size = np.repeat(ends[:-1], sizes), np.repeat(sizes, sizes)
-    place = np.arange(ends[-1]) - start
-    goes = start + np.where(place % 2, (size + 1) // 2, 0) + place // 2
-    odd = np.flatnonzero(place % 2)
-    return goes, odd, odd - 1, np.where(place[odd] + 1 < size[odd], odd + 1, odd - 1)
-
-
-def banded(pcm: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The two bands of each clip between two offsets, even samples first; differences wrap at 16 bits, so nothing is lost."""
-    goes, odd, left, right = _halves(ends)
-    wide = pcm.astype(np.int32)
-    out, bands = pcm.astype(np.int16), np.empty(len(pcm), np.int16)
-    out[odd] = (wide[odd] - ((wide[left] + wide[right]) >> 1)).astype(np.int16)
-    bands[goes] = out
-    return bands
-
-
-def unbanded(bands: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The samples that ``banded`` was given."""
-    goes, odd, left, right = _halves(ends)
-    pcm = bands[goes]
-    wide = pcm.astype(np.int32)
-    pcm[odd] = (wide[odd] + ((wide[left] + wide[right]) >> 1)).astype(np.int16)
+    odd = (np.arange(ends[-1]) & 1).astype(bool) ^ np.repeat((ends[:-1] & 1).astype(bool), sizes)
+    evens, odds = (np.concatenate([[0], np.cumsum(n)]) for n in ((sizes + 1) // 2, sizes // 2))
+    left = np.arange(odds[-1]) + np.repeat(evens[:-1] - odds[:-1], sizes // 2)
+    right = np.minimum(left + 1, np.repeat(evens[1:] - 1, sizes // 2))
+    return odd, evens, odds, left, right
+
+
+def banded(pcm: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both bands of clips between offsets, and the offsets of each: differences of even samples, and odd ones less the mean of their neighbours.
+
+    Differences wrap at 16 bits, so nothing is lost whatever the samples are.
+    """
+    odd, evens, odds, left, right = _halves(ends)
+    even = pcm[~odd].astype(np.int32)
+    high = (pcm[odd] - ((even[left] + even[right]) >> 1)).astype(np.int16)
+    low = np.diff(even, prepend=0)
+    first = evens[:-1][np.diff(evens) > 0]
+    low[first] = even[first]
+    return low.astype(np.int16), evens, high, odds
+
+
+def unbanded(low: np.ndarray, high: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The samples that ``banded`` was given, of clips between ``ends``."""
+    odd, evens, _, left, right = _halves(ends)
+    total = np.cumsum(low, dtype=np.int64)
+    before = np.append(0, total)[evens[:-1]]
+    even = (total - np.repeat(before, np.diff(evens))).astype(np.int16).astype(np.int32)
+    pcm = np.empty(ends[-1], np.int16)
+    pcm[~odd] = even
+    pcm[odd] = (high + ((even[left] + even[right]) >> 1)).astype(np.int16)
     return pcm
 
 
+def pcm_of(low: list[bytes], high: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of stored clips and their offsets."""
+    ends = np.concatenate([[0], np.cumsum([(len(a) + len(b)) // 2 for a, b in zip(low, high, strict=True)])]).astype(np.int64)
+    a, b = (np.frombuffer(b"".join(x), dtype="<i2") for x in (low, high))
+    return unbanded(a, b, ends), ends
+
+
 def _features(pcm: np.ndarray, ends: np.ndarray) -> list[str]:
-    """Samples, root mean square, zero crossings and peak of each clip between two offsets."""
-    wide = pcm.astype(np.int64)
-    power, sign = sums(wide * wide, ends), pcm < 0
+    """Samples, root mean square, zero crossings and peak of each clip between two offsets; none is empty."""
+    wide, starts = pcm.astype(np.int32), ends[:-1]
+    power, peaks = np.add.reduceat(wide * wide, starts, dtype=np.int64), np.maximum(np.maximum.reduceat(wide, starts), -np.minimum.reduceat(wide, starts))
+    sign = pcm < 0
     turns = np.zeros(len(pcm), dtype=bool)
     turns[1:] = sign[1:] != sign[:-1]
-    turns[ends[:-1]] = False
-    turned, peaks = sums(turns, ends), np.maximum.reduceat(np.abs(wide), ends[:-1])
+    turns[starts] = False
+    turned = np.add.reduceat(turns, starts, dtype=np.int64)
     return [f"samples={n};rms={(p / n) ** 0.5:.3f};crossings={t};peak={k}" for n, p, t, k in zip(np.diff(ends).tolist(), power.tolist(), turned.tolist(), peaks.tolist(), strict=True)]
 
 
@@ -194,35 +218,40 @@ def _clips(read: list[tuple[str, int, int, bytes]], rate: int) -> tuple[np.ndarr
     return np.concatenate(clips), np.concatenate([[0], np.cumsum([len(c) for c in clips])]).astype(np.int64)
 
 
+def _cut(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The 16-bit values between offsets, a binary each."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 2).astype(np.int32)), pa.py_buffer(data.astype("<i2"))])
+
+
 def decoded(media: DataFrame, rate: int = 16_000) -> DataFrame:
-    """Adds ``payload`` (the data chunk), ``codec`` and ``bands``: the PCM, resampled to ``rate``, as ``banded`` stores it.
+    """Adds ``payload`` (the data chunk), ``codec``, and ``low`` and ``high``: the bands of the PCM, resampled to ``rate`` (see ``banded``).
 
     Each file is read by its own rate and block size; a last ADPCM block that
-    isn't whole makes no samples. Further columns pass through; payload, codec
-    and bands are replaced. A null file is an error, an empty table stays empty.
+    isn't whole makes no samples. Further columns pass through; those of the
+    names above are replaced. A null file is an error, an empty table stays empty.
     """
-    own = [f for f in media.schema if f.name not in ("payload", "codec", "bands")]
+    made = ("payload", "codec", "low", "high")
+    own = [f for f in media.schema if f.name not in made]
     names = [f.name for f in own]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "media", 2_000_000):
+        for batch in slices(batches, "media", 500_000):
             read = [read_wave(m) for m in batch.column("media").to_pylist()]
-            pcm, ends = _clips(read, rate)
-            bands = np.split(banded(pcm, ends), ends[1:-1])
-            added = [pa.array([r[3] for r in read], pa.binary()), pa.array([r[0] for r in read]), pa.array([c.astype("<i2").tobytes() for c in bands], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *added], names=[*names, "payload", "codec", "bands"])
+            low, evens, high, odds = banded(*_clips(read, rate))
+            added = [pa.array([r[3] for r in read], pa.binary()), pa.array([r[0] for r in read], pa.string()), _cut(low, evens), _cut(high, odds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *added], names=[*names, *made])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own)
-    return media.mapInArrow(work, f"{fields}, payload binary, codec string, bands binary")
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in own)
+    return media.mapInArrow(work, f"{fields}payload binary, codec string, low binary, high binary")
 
 
 def resampled_media(docs: DataFrame) -> DataFrame:
-    """Stores every document as audio, reads the files back and stores their resampled PCM (``bands``) with digests of what they hold."""
+    """Stores every document as audio, reads the files back and stores their resampled PCM (``low`` and ``high``) with digests of what they hold."""
     back = decoded(saved(stored(docs), "audio", LEVEL))
     return saved(back.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.substring(F.col("payload"), -64, 64)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), "codec", "bands",
+        F.sha2("media", 256).alias("media_sha256"), "codec", "low", "high",
     ), "pcm", LEVEL)
 
 
@@ -233,14 +262,12 @@ def media_digests(docs: DataFrame) -> DataFrame:
     peak. Texts of any length are whole files; further columns aren't read.
     """
     media = resampled_media(docs)
-    names = [c for c in media.columns if c not in ("codec", "bands")]
+    names = [c for c in media.columns if c not in ("codec", "low", "high")]
     fields = ", ".join(f"{c} {media.schema[c].dataType.simpleString()}" for c in names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "bands", 8_000_000):
-            clips = [np.frombuffer(x, dtype="<i2") for x in batch.column("bands").to_pylist()]
-            ends = np.concatenate([[0], np.cumsum([len(c) for c in clips])]).astype(np.int64)
-            texts = _features(unbanded(np.concatenate(clips), ends), ends)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts), batch.column("codec")], names=[*names, "feature", "codec"])
+        for batch in slices(batches, "low", 1_000_000):
+            texts = _features(*pcm_of(batch.column("low").to_pylist(), batch.column("high").to_pylist()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(texts, pa.string()), batch.column("codec")], names=[*names, "feature", "codec"])
 
     return media.mapInArrow(work, f"{fields}, feature string, codec string")
