@@ -61,6 +61,16 @@ def carried_forward(current: DataFrame, stored: DataFrame, active: DataFrame, ke
     return kept.unionByName(new.withColumn("carried", F.lit(False)), allowMissingColumns=True)
 
 
+def carried_through(current: DataFrame, stored: DataFrame, active: DataFrame, outcomes: DataFrame, key: str = "article_id", source: str = "source_id") -> DataFrame:
+    """``carried_forward``; where every source failed all stored rows are carried, those of sources that are off too.
+
+    ``outcomes``: status of each source of the run; no row is no outage.
+    """
+    out = outcomes.agg(F.coalesce(F.bool_and(F.col("status") == "failed"), F.lit(False)).alias("_out"))
+    all_stored = stored.select(source).distinct().join(F.broadcast(out)).filter("_out").select(source)  # of one row
+    return carried_forward(current, stored, active.select(source).union(all_stored).distinct(), key, source)
+
+
 def run_status(failed: str = "failed", total: str = "total", carried: str = "carried") -> F.Column:
     """failed if every source failed and nothing was carried over, partial if some failed, else succeeded."""
     f, t, c = F.col(failed), F.col(total), F.col(carried)

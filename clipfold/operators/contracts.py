@@ -17,6 +17,53 @@ def named(*found: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(condition, F.lit(name)) for name, condition in found)))
 
 
+#: Ids that a published post may use, and how dates and addresses in it begin.
+POST_ID, POST_DATE, POST_ADDRESS = "^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$", "^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "^https://"
+
+
+def _sized(value: Column, most: int, least: int = 1) -> Column:
+    """Whether a text, without blanks around it, has ``least`` to ``most`` characters; null hasn't."""
+    return F.coalesce(F.length(F.trim(value)).between(least, most), F.lit(False))
+
+
+def _between(items: Column, least: int, most: int) -> Column:
+    return F.coalesce(F.size(items).between(least, most), F.lit(False))
+
+
+def _cites(ids: Column) -> Column:
+    """Whether a list has ids, all of them well formed and none twice."""
+    formed = F.forall(ids, lambda i: F.coalesce(i.rlike(POST_ID), F.lit(False)))
+    return F.coalesce((F.size(ids) > 0) & formed & (F.size(F.array_distinct(ids)) == F.size(ids)), F.lit(False))
+
+
+def post_issues(post: Column) -> Column:
+    """Of a published post: the parts that aren't as they must be, in order; none for a valid one.
+
+    ``post``: title, summary, visual (kind, seed, template_version),
+    one_line_summary (text, source_ids), body (paragraphs of claims, each a
+    text and source_ids), questions, and sources (id, title, publisher,
+    published_date, original_url). REFERENCES: a cited source isn't listed.
+    """
+    line, body, sources = post["one_line_summary"], post["body"], post["sources"]
+    visual = (post["visual"]["kind"] == "pattern") & F.length(post["visual"]["seed"]).between(16, 128) & _sized(post["visual"]["template_version"], 64)
+    claims = F.flatten(F.transform(body, lambda p: p["claims"]))
+    full = _between(body, 3, 5) & F.forall(body, lambda p: F.coalesce(F.size(p["claims"]) > 0, F.lit(False)))
+    said = F.forall(claims, lambda c: _sized(c["text"], 260) & _cites(c["source_ids"]))
+    known = F.forall(
+        sources,
+        lambda s: F.coalesce(s["id"].rlike(POST_ID), F.lit(False)) & _sized(s["title"], 500) & _sized(s["publisher"], 200)
+        & (s["published_date"].isNull() | s["published_date"].rlike(POST_DATE)) & F.coalesce(s["original_url"].rlike(POST_ADDRESS), F.lit(False)),
+    )
+    ids = F.transform(sources, lambda s: s["id"])
+    cited = F.array_union(line["source_ids"], F.flatten(F.transform(claims, lambda c: c["source_ids"])))
+    parts = {
+        "TITLE": _sized(post["title"], 500), "SUMMARY": _sized(post["summary"], 100), "VISUAL": visual, "ONE_LINE": _sized(line["text"], 260) & _cites(line["source_ids"]), "BODY": full & said,
+        "QUESTIONS": _between(post["questions"], 1, 2) & F.forall(post["questions"], lambda q: _sized(q, 80)), "SOURCES": (F.size(sources) > 0) & known & (F.size(F.array_distinct(ids)) == F.size(ids)),
+        "REFERENCES": F.size(F.array_except(cited, ids)) == 0,
+    }
+    return named(*((name, ~F.coalesce(holds, F.lit(False))) for name, holds in parts.items()))
+
+
 def candidate_issues() -> Column:
     """Of a topic candidate: evidence_ids, new_fact_evidence_ids, score, independence and evidence_policy."""
     passed = F.col("independence.passed")

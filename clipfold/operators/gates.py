@@ -142,6 +142,23 @@ def findings(posts: DataFrame, key: str) -> DataFrame:
     return promo.unionByName(cause).unionByName(number)
 
 
+def reviewed(found: DataFrame, reviews: DataFrame, posts: DataFrame, key: str) -> DataFrame:
+    """Findings with those of an external review, equal ones once; a review that can't be right is a finding itself.
+
+    ``reviews``: key, passed and ``findings`` (surface, claim_id, code, detail).
+    REVIEW_MISSING: a post has none. REVIEW_INVALID: it passed with findings or
+    failed without, or one names a claim that the post hasn't.
+    """
+    none = F.lit(None).cast("string")
+    rows = posts.select(key, F.transform("post.claims", lambda c: c["claim_id"]).alias("_claims")).join(reviews.select(key, "passed", "findings"), key, "left")
+    strange = F.exists("findings", lambda f: F.coalesce(~F.array_contains("_claims", f["claim_id"]), F.lit(False)))
+    wrong = F.coalesce(F.col("passed") == (F.size("findings") > 0), F.lit(True)) | F.coalesce(strange, F.lit(False))
+    code = F.when(F.col("findings").isNull(), "REVIEW_MISSING").when(wrong, "REVIEW_INVALID")
+    broken = rows.select(key, F.lit("review").alias("surface"), none.alias("claim_id"), code.alias("code"), none.alias("detail")).filter("code is not null")
+    told = rows.filter(code.isNull()).select(key, F.explode("findings").alias("f")).select(key, "f.surface", "f.claim_id", "f.code", "f.detail")
+    return found.unionByName(told).unionByName(broken).distinct()
+
+
 def merged(results: DataFrame, key: str) -> DataFrame:
     """Verdicts of several gates (key, passed, blocking) as one: all must pass, reasons are distinct."""
     return results.groupBy(key).agg(F.bool_and("passed").alias("passed"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("blocking")))).alias("blocking"))

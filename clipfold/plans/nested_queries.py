@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from clipfold.operators import gates
+from clipfold.operators import contracts, gates
 from clipfold.plans.text_queries import table
 
 QUERIES: dict = {}
@@ -83,3 +83,47 @@ def html_body_extract(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").withColumn("html", F.regexp_replace("html", "<article>", '<article id="body">'))
     body = page_body(F.col("html"), ("body",))
     return pages.select("page_id", body.alias("body"), F.length(body).cast("bigint").alias("n_chars"))
+
+
+@query("""WITH n AS (SELECT l_orderkey, l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem),
+ o AS (SELECT l_orderkey, count(*) AS lines, bool_or(l_suppkey % 10 = 0) AS hidden, bool_and(l_suppkey % 10 = 0) AS bare, bool_or(l_partkey % 20 = 0 AND l_suppkey % 10 <> 0) AS plain FROM n GROUP BY 1)
+ SELECT l_orderkey, concat_ws(',', CASE WHEN l_orderkey % 13 = 0 THEN 'TITLE' END, CASE WHEN l_orderkey % 17 = 0 THEN 'VISUAL' END, CASE WHEN lines NOT BETWEEN 3 AND 5 THEN 'BODY' END,
+ CASE WHEN bare OR plain THEN 'SOURCES' END, CASE WHEN hidden THEN 'REFERENCES' END) AS issues FROM o""")
+def published_post_checks(spark, sf_dir):
+    """An order as a published post: each line is a paragraph that cites its supplier; one in ten suppliers isn't listed, one part in twenty has an address without encryption."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    key, supplier = F.col("l_orderkey"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))
+    claim = F.struct(F.concat(F.lit("sold by "), supplier).alias("text"), F.array(supplier).alias("source_ids"))
+    insecure = F.max((F.col("l_partkey") % 20 == 0).cast("int")).over(Window.partitionBy("l_orderkey", "l_suppkey"))
+    source = F.struct(
+        supplier.alias("id"), F.lit("title").alias("title"), F.lit("publisher").alias("publisher"), F.lit(None).cast("string").alias("published_date"),
+        F.concat(F.when(F.col("_plain") == 1, "http://").otherwise("https://"), supplier).alias("original_url"),
+    )
+    rows = items.withColumn("_plain", insecure).groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", claim.alias("c")))).alias("x"),
+        F.array_sort(F.collect_set(F.when(F.col("l_suppkey") % 10 != 0, source))).alias("sources"),
+    )
+    claims = F.transform("x", lambda i: i["c"])
+    post = F.struct(
+        F.when(key % 13 == 0, " ").otherwise("order").alias("title"), F.lit("summary").alias("summary"),
+        F.struct(F.lit("pattern").alias("kind"), F.repeat(F.lit("0"), F.when(key % 17 == 0, 15).otherwise(16)).alias("seed"), F.lit("v1").alias("template_version")).alias("visual"),
+        claims[0].alias("one_line_summary"), F.transform(claims, lambda c: F.struct(F.array(c).alias("claims"))).alias("body"), F.array(F.lit("why?")).alias("questions"), F.col("sources"),
+    )
+    return rows.select("l_orderkey", F.array_join(contracts.post_issues(post), ",").alias("issues"))
+
+
+@query("""WITH f AS (SELECT source, doc_id % 11 = 0 AS broken, doc_id % 7 = 0 AS bare FROM documents)
+ SELECT source AS source_id, count(*) FILTER (WHERE NOT broken AND NOT bare) AS items, count(*) FILTER (WHERE broken) AS issues,
+ CASE WHEN count(*) FILTER (WHERE broken) = 0 THEN 'succeeded' WHEN count(*) FILTER (WHERE NOT broken AND NOT bare) > 0 THEN 'partial' ELSE 'failed' END AS status FROM f GROUP BY 1""")
+def feed_outcomes(spark, sf_dir):
+    """A document as a feed of its source: of one item, of none, or with its end cut off."""
+    from clipfold.sources.feeds import outcomes, parsed_feeds
+
+    n = F.col("doc_id").cast("string")
+    item = F.concat(F.lit("<item><title>t"), n, F.lit("</title><link>https://h.example/"), n, F.lit("</link><pubDate>Thu, 13 Aug 2026 09:00:00 +0900</pubDate></item>"))
+    body = F.concat(F.lit("<rss><channel>"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(item), F.when(F.col("doc_id") % 11 == 0, "").otherwise("</channel></rss>"))
+    feeds = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("source_id"), body.alias("body"), F.lit("https://h.example").alias("site_url"), F.lit("evidence").alias("content_use"), F.lit("p").alias("publisher"), F.lit(5).alias("max_items"),
+        F.lit("2026-08-14").cast("timestamp").alias("discovered_at"),
+    )
+    return outcomes(parsed_feeds(feeds), feeds)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from clipfold.functions import text, urls
 from clipfold.functions.timeutil import feed_moment
@@ -29,18 +30,43 @@ def _link(item: Column) -> Column:
     return text.decode_references(F.coalesce(_element(item, "link"), href))
 
 
+def _is_tree(body: str | None) -> bool:
+    if body is None:
+        return False
+    parser = expat.ParserCreate("utf-8")
+    parser.UseForeignDTD(True)  # entities that are named nowhere are skipped, as none is ever loaded
+    try:
+        parser.Parse(body.encode("utf-8", "surrogatepass"), True)
+    except expat.ExpatError:
+        return False
+    return True
+
+
+def well_formed(body: Column) -> Column:
+    """Whether a text is one XML tree; null is none."""
+
+    @F.pandas_udf(BooleanType())
+    def check(bodies: pd.Series) -> pd.Series:
+        return bodies.map(_is_tree).astype(bool)
+
+    return check(body)
+
+
 def parsed_feeds(feeds: DataFrame) -> DataFrame:
     """One row per item of each feed, in document order and at most max_items per feed.
 
     ``feeds``: source_id, body, site_url, content_use, publisher, max_items and
     discovered_at. ``issue`` is null for a good item, ITEM_SKIPPED for one
     without a title, a fetchable link or a date, and INVALID_SOURCE_DATA (on a
-    row of its own, item_index -1) for a document with a DTD or of no known kind.
+    row of its own, item_index -1) for a document with a DTD, of no known kind,
+    or that isn't a tree. A good feed without items makes no row.
     """
     kind = F.when(F.col("body").rlike(r"(?i)<!\s*(DOCTYPE|ENTITY)\b"), None).when(F.col("body").rlike(r"<(rss|rdf:RDF)[\s>]"), "item").when(F.col("body").rlike(r"<feed[\s>]"), "entry")
-    items = F.when(kind == "item", F.regexp_extract_all("body", F.lit(r"(?s)<item(?:\s[^>]*)?>.*?</item\s*>"), F.lit(0))).when(kind == "entry", F.regexp_extract_all("body", F.lit(r"(?s)<entry(?:\s[^>]*)?>.*?</entry\s*>"), F.lit(0)))
+    feeds = feeds.withColumn("_tree", well_formed(F.col("body")))
+    kind = F.when(F.col("_tree"), kind)
+    items = F.when(kind == "item", F.regexp_extract_all("body", F.lit(r"(?s)<item(?:\s[^>]*)?(?:/>|>.*?</item\s*>)"), F.lit(0))).when(kind == "entry", F.regexp_extract_all("body", F.lit(r"(?s)<entry(?:\s[^>]*)?(?:/>|>.*?</entry\s*>)"), F.lit(0)))
     known = feeds.withColumn("_items", F.when(kind.isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.slice(items, F.lit(1), F.greatest(F.col("max_items"), F.lit(1)))))
-    rows = known.select(*(c for c in feeds.columns if c not in ("body", "max_items")), kind.isNull().alias("_bad"), F.posexplode("_items").alias("item_index", "item"))
+    rows = known.select(*(c for c in feeds.columns if c not in ("body", "max_items", "_tree")), kind.isNull().alias("_bad"), F.posexplode("_items").alias("item_index", "item"))
     item = F.col("item")
     link = urls.promoted(_link(item), urls.host(F.col("site_url")))
     moment = feed_moment(_element(item, "pubDate", "published", "updated", "dc:date"))
@@ -56,9 +82,11 @@ def parsed_feeds(feeds: DataFrame) -> DataFrame:
     return out.withColumn("issue", F.when(F.col("_bad"), "INVALID_SOURCE_DATA").when(~good, "ITEM_SKIPPED")).drop("_bad")
 
 
-def outcomes(items: DataFrame) -> DataFrame:
-    """Per source: good items, issues and status."""
+def outcomes(items: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
+    """Per source: good items, issues and status. With ``feeds`` also the sources whose feeds had no items."""
     out = items.groupBy("source_id").agg(F.count_if(F.col("issue").isNull()).alias("items"), F.count_if(F.col("issue").isNotNull()).alias("issues"))
+    if feeds is not None:
+        out = feeds.select("source_id").distinct().join(out, "source_id", "left").fillna(0, ["items", "issues"])
     return out.withColumn("status", F.when(F.col("issues") == 0, "succeeded").when(F.col("items") > 0, "partial").otherwise("failed"))
 
 
@@ -79,33 +107,50 @@ def search_items(results: DataFrame, publishers: DataFrame, max_items: int) -> D
 
 
 class _Body(HTMLParser):
-    """Text of the element with a wanted id, without parts that aren't prose."""
+    """Text of the element with a wanted id, without parts that aren't prose. Elements whose end tags are left out end where HTML has them end."""
 
-    SKIP, BLOCK, VOID = {"script", "style", "nav", "aside", "form", "noscript"}, {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "section", "article"}, {"br", "img", "hr", "input", "meta", "link"}
+    SKIP, VOID = {"script", "style", "nav", "aside", "form", "noscript"}, {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+    BLOCK = {"p", "div", "br", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "section", "article", "ul", "ol", "table", "tr"}
+    #: Which open elements a start tag ends.
+    ENDS = {"li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"td", "th", "tr", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 
     def __init__(self, wanted: str):
         super().__init__(convert_charrefs=True)
-        self.wanted, self.depth, self.skipped, self.parts, self.found = wanted, 0, 0, [], False
+        self.wanted, self.open, self.root, self.skipped, self.parts, self.found = wanted, [], 0, 0, [], False
+
+    def _close(self):
+        tag = self.open.pop()
+        if self.root:
+            self.skipped -= tag in self.SKIP
+            if tag in self.BLOCK:
+                self.parts.append("\n")
+        if len(self.open) < self.root:
+            self.root = 0
 
     def handle_starttag(self, tag, attrs):
-        if not self.depth and not self.found and dict(attrs).get("id") == self.wanted:
-            self.depth = self.found = True
-        elif self.depth and tag not in self.VOID:
-            self.depth += 1
-        if self.depth and tag in self.SKIP:
-            self.skipped += 1
-        if self.depth and tag == "br":
+        if tag in self.VOID:
+            if self.root and tag == "br":
+                self.parts.append("\n")
+            return
+        if self.root and tag in self.BLOCK:
             self.parts.append("\n")
+        ends = self.ENDS.get(tag, {"p"} if tag in self.BLOCK else set())
+        while self.open and self.open[-1] in ends:
+            self._close()
+        self.open.append(tag)
+        if not self.found and dict(attrs).get("id") == self.wanted:
+            self.root, self.found = len(self.open), True
+        if self.root:
+            self.skipped += tag in self.SKIP
 
     def handle_endtag(self, tag):
-        if self.depth and tag not in self.VOID:
-            self.depth -= 1
-            self.skipped -= tag in self.SKIP and self.skipped > 0
-            if tag in self.BLOCK:
-                self.parts.append("\n")
+        if tag in self.open:
+            while self.open[-1] != tag:
+                self._close()
+            self._close()
 
     def handle_data(self, data):
-        if self.depth and not self.skipped:
+        if self.root and not self.skipped:
             self.parts.append(data)
 
 

@@ -1,11 +1,12 @@
 import datetime as dt
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from clipfold.functions import text, urls
-from clipfold.operators import articles, artifacts, evidence, gates, ledger, signals, topics
+from clipfold.operators import articles, artifacts, evidence, gates, ingestion, ledger, signals, topics
 from clipfold.sources import feeds, tables
 
 SOURCE = "source_id string, publisher_group_id string, provenance_group_prefix string, origin_type string"
@@ -130,6 +131,56 @@ def test_feeds(spark):
     assert {r.source_id: r.status for r in feeds.outcomes(items).collect()} == {"rss": "partial", "atom": "succeeded", "dtd": "failed", "html": "failed"}
 
 
+def test_feeds_that_are_no_trees_and_empty_ones(spark):
+    item = "<item><title>a &nbsp; b</title><link>https://x.kr/1</link><pubDate>Thu, 13 Aug 2026 09:00:00 +0900</pubDate></item>"
+    rows = [("open", f"<rss><channel>{item}", 5), ("crossed", f"<rss><channel>{item}</rss></channel>", 5), ("empty", "<rss><channel></channel></rss>", 5), ("good", f"<rss><channel>{item}</channel></rss>", 5), ("null", None, 5)]
+    frame = spark.createDataFrame([(s, b, "https://x.kr", "evidence", "pub", m, dt.datetime(2026, 8, 14)) for s, b, m in rows], "source_id string, body string, site_url string, content_use string, publisher string, max_items int, discovered_at timestamp")
+    items = feeds.parsed_feeds(frame)
+    assert {(r.source_id, r.item_index, r.issue) for r in items.collect()} == {(s, -1, "INVALID_SOURCE_DATA") for s in ("open", "crossed", "null")} | {("good", 0, None)}
+    assert {r.source_id: (r.items, r.status) for r in feeds.outcomes(items, frame).collect()} == {"open": (0, "failed"), "crossed": (0, "failed"), "null": (0, "failed"), "empty": (0, "succeeded"), "good": (1, "succeeded")}
+
+
+def test_bodies_with_ends_left_out(spark):
+    pages = ["<div id=body><p>one<p>two</div><div>LATER</div>", "<main><div id=body><ul><li>one<li>two</ul></main>LATER", "<div id=body>one</span><div>two</div></div>LATER", "<div id=body>one<script>if (a</b) x</script><nav>no<p>no</nav><p>two</div>LATER", "<p>none</p>"]
+    frame = spark.createDataFrame(list(enumerate(pages)), "i int, html string")
+    got = [r[0] for r in frame.orderBy("i").select(feeds.page_body(F.col("html"), ("body",))).collect()]
+    assert got == ["one\ntwo"] * 4 + [None]
+
+
+def test_outage_carries_all(spark):
+    stored = spark.createDataFrame([("a", "on"), ("b", "off")], "article_id string, source_id string")
+    current, active = spark.createDataFrame([("c", "on")], stored.schema), spark.createDataFrame([("on",)], "source_id string")
+    ids = lambda rows, *states: {r.article_id for r in articles.carried_through(rows, stored, active, spark.createDataFrame([(s,) for s in states], "status string")).collect()}
+    assert ids(current, "failed", "partial") == {"a", "c"} and ids(current.limit(0), "failed", "failed") == {"a", "b"} and ids(current) == {"a", "c"}
+
+
+def test_external_reviews(spark):
+    post = "struct<claims array<struct<claim_id string>>>".replace("<claims", "<claims:").replace("claim_id ", "claim_id:")
+    posts = spark.createDataFrame([(i, ([("c1",)],)) for i in range(1, 6)], f"k int, post {post}")
+    reviews = spark.createDataFrame([(1, True, []), (2, False, [("s1", "c1", "PROMOTIONAL", None)]), (3, True, [("s1", "c1", "X", None)]), (4, False, [("s1", "c9", "X", None)])], "k int, passed boolean, findings array<struct<surface:string,claim_id:string,code:string,detail:string>>")
+    found = spark.createDataFrame([(2, "s1", "c1", "PROMOTIONAL", None)], "k int, surface string, claim_id string, code string, detail string")
+    assert {(r.k, r.code) for r in gates.reviewed(found, reviews, posts, "k").collect()} == {(2, "PROMOTIONAL"), (3, "REVIEW_INVALID"), (4, "REVIEW_INVALID"), (5, "REVIEW_MISSING")}
+    assert gates.reviewed(found, reviews, posts, "k").count() == 4
+
+
+def test_ingestion(spark):
+    item = "<item><title>{}</title><link>https://{}.kr/{}</link><pubDate>Thu, 13 Aug 2026 09:00:00 +0900</pubDate><description>{}</description></item>"
+    long = "초등학교 AI 교육 이야기 " * 20
+    bodies = {"a": item.format("초등학교 AI 교육", "a", 1, long) + item.format("초등학교 AI 교육!", "a", "1?utm_source=x", long) + "<item/>", "b": item.format("다른 소식", "b", 2, "짧다"), "c": "<rss>", "off": item.format("꺼짐", "off", 3, long)}
+    frame = spark.createDataFrame([(s, b if b == "<rss>" else f"<rss><channel>{b}</channel></rss>", f"https://{s}.kr", "evidence", s, 10, dt.datetime(2026, 8, 14)) for s, b in bodies.items()], "source_id string, body string, site_url string, content_use string, publisher string, max_items int, discovered_at timestamp")
+    sources = spark.createDataFrame([(s, f"g{s}", f"p{s}", "original", "evidence", "rss", 0.8, s != "off") for s in bodies], "source_id string, publisher_group_id string, provenance_group_prefix string, origin_type string, content_use string, collection_type string, reliability double, enabled boolean")
+    stored = spark.createDataFrame([(hashlib.sha256(b"https://b.kr/2").hexdigest(), None)], "canonical_url_hash string, content_fingerprint string")
+    past = spark.createDataFrame([("다른 글", None)], "normalized_title string, content_fingerprint string")
+    out = ingestion.ingested(frame, sources, stored, past)
+    assert {r.source_id: r.status for r in out.outcomes.collect()} == {"a": "partial", "b": "succeeded", "c": "failed"}
+    assert {r.canonical_url: (r.outcome, r.group_size) for r in out.articles.collect()} == {"https://a.kr/1": ("inserted", 2), "https://b.kr/2": ("duplicate", 1)}
+    assert len(out.evidence.collect()) == 1
+    told = {r.article_id: r for r in out.candidates.collect()}
+    ids = {r.canonical_url: r.article_id for r in out.articles.collect()}
+    assert set(told) == set(ids.values()) and told[ids["https://a.kr/1"]].elementary_relevance > told[ids["https://b.kr/2"]].elementary_relevance == 0
+    assert out.summary.first().asDict() == {"total": 3, "failed": 1, "collected": 3, "deduplicated": 2, "inserted": 1, "status": "partial"}
+
+
 def test_search_results_and_pages(spark):
     rows = [(1, "<b>하나</b>", "d", "https://a.kr/1", None, dt.datetime(2026, 8, 1)), (2, "하나 새로", "d", "https://a.kr/1", None, dt.datetime(2026, 8, 2)), (3, "둘", "d", "https://a.kr/2", None, dt.datetime(2026, 8, 3)), (4, "남", "d", "https://z.kr/2", None, dt.datetime(2026, 8, 3))]
     out = feeds.search_items(spark.createDataFrame(rows, "seq long, title string, description string, original_link string, link string, pub_date timestamp"), spark.createDataFrame([("a.kr", "s", "p")], "host string, source_id string, publisher string"), 5).collect()
