@@ -18,17 +18,30 @@ ROUNDS = 8
 #: Days from 1900-01-01 on that dates are permuted in: 271 * 271 of them, to 2101-01-28.
 DAYS = 271
 
+#: Lengths of IBANs by country, for those written in groups of four.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC",
+}
+GROUPED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + f" [A-Z0-9]{{{n % 4}}}" * (n % 4 > 0) for n, c in IBAN_LENGTHS.items())
+MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+#: How dates are written; of days and months with slashes the month is first unless that makes no date.
+DATES = {
+    "[0-9]{4}-[0-9]{2}-[0-9]{2}": ("yyyy-MM-dd",), "[0-9]{4}/[0-9]{2}/[0-9]{2}": ("yyyy/MM/dd",), "[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}": ("dd.MM.yyyy",),
+    "[0-9]{2}/[0-9]{2}/[0-9]{4}": ("MM/dd/yyyy", "dd/MM/yyyy"), f"{MONTH} [0-9]{{1,2}}, [0-9]{{4}}": ("MMMM d, yyyy",), f"[0-9]{{1,2}} {MONTH} [0-9]{{4}}": ("d MMMM yyyy",),
+}
 #: The formats that are looked for, the more special ones first.
 FORMATS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9+(])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{GROUPED})(?![A-Za-z0-9])",
+    "phone": r"(?<![0-9+(])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,6}(?![0-9])|(?<![0-9.-])(?:[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.)|0[0-9]{1,2}-[0-9]{3,4}-)[0-9]{4}(?![0-9]|[.-][0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[.-][0-9])",
+    "date": rf"(?<![0-9./-])(?:{'|'.join(DATES)})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9-])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})(?![0-9])",
+    "card": r"(?<![0-9-])(?:[0-9]{4}(?:-[0-9]{4}-[0-9]{4}-| [0-9]{4} [0-9]{4} )[0-9]{4}|3[47][0-9]{2}(?:-[0-9]{6}-| [0-9]{6} )[0-9]{5}|[0-9]{13,19})(?![0-9])",
 }
-FOUND = "|".join(FORMATS.values()).replace(r"([ -])[0-9]{4}\1[0-9]{4}\1", "(?:-[0-9]{4}-[0-9]{4}-| [0-9]{4} [0-9]{4} )")
+FOUND = "|".join(FORMATS.values())
 
 
 def _whole(kind: str) -> str:
@@ -103,11 +116,13 @@ def _card(x: Column, key: str) -> Column:
 
 
 def _iban(x: Column, key: str) -> Column:
-    body = F.substring(x, F.lit(5), F.length(x) - 4)
+    bare = F.replace(x, F.lit(" "))
+    body = F.substring(bare, F.lit(5), F.length(bare) - 4)
     digits = _bare(body)
     new = F.when(F.length(digits) >= 2, _refilled(body, digits_permuted(digits, key, F.lit("iban")))).otherwise(body)
-    check = F.lit(98) - mod97(F.concat(new, F.substring(x, F.lit(1), F.lit(2)), F.lit("00")))
-    return F.concat(F.substring(x, F.lit(1), F.lit(2)), F.lpad(check.cast("string"), 2, "0"), new)
+    check = F.lit(98) - mod97(F.concat(new, F.substring(bare, F.lit(1), F.lit(2)), F.lit("00")))
+    whole = F.concat(F.substring(bare, F.lit(1), F.lit(2)), F.lpad(check.cast("string"), 2, "0"), new)
+    return F.when(x.contains(" "), F.regexp_replace(whole, "(.{4})(?=.)", "$1 ")).otherwise(whole)
 
 
 def _ssn(x: Column, key: str) -> Column:
@@ -126,14 +141,16 @@ def _ip(x: Column, key: str) -> Column:
 
 
 def _day(x: Column) -> Column:
-    dotted = F.concat_ws("-", F.substring(x, F.lit(7), F.lit(4)), F.substring(x, F.lit(4), F.lit(2)), F.substring(x, F.lit(1), F.lit(2)))
-    return F.datediff(F.try_to_date(F.when(x.rlike("^[0-9]{4}"), x).otherwise(dotted), "yyyy-MM-dd"), F.lit("1900-01-01").cast("date"))
+    """Days from 1900-01-01 to a written date, null if there is no such date."""
+    read = [F.when(x.rlike(f"^{form}$"), F.coalesce(*(F.try_to_date(x, way) for way in ways))) for form, ways in DATES.items()]
+    return F.datediff(F.coalesce(*read), F.lit("1900-01-01").cast("date"))
 
 
 def _date(x: Column, key: str) -> Column:
     out = feistel(F.floor(_day(x) / DAYS), _day(x) % DAYS, F.lit(DAYS), F.lit(DAYS), key, F.lit("date"))
     day = F.date_add(F.lit("1900-01-01").cast("date"), (out["high"] * DAYS + out["low"]).cast("int"))
-    return F.when(x.rlike("^[0-9]{4}"), F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "dd.MM.yyyy"))
+    written = [F.when(x.rlike(f"^{form}$") & F.try_to_date(x, way).isNotNull(), F.date_format(day, way)) for form, ways in DATES.items() for way in ways]
+    return F.coalesce(*written)
 
 
 def _email(x: Column, key: str) -> Column:
@@ -145,7 +162,10 @@ def _valid(kind: str, x: Column) -> Column:
     if kind == "card":
         return luhn_sum(_bare(x), False) % 10 == 0
     if kind == "iban":
-        return mod97(F.concat(F.substring(x, F.lit(5), F.length(x) - 4), F.substring(x, F.lit(1), F.lit(4)))) == 1
+        bare = F.replace(x, F.lit(" "))
+        return mod97(F.concat(F.substring(bare, F.lit(5), F.length(bare) - 4), F.substring(bare, F.lit(1), F.lit(4)))) == 1
+    if kind == "phone":
+        return F.length(_bare(x)).between(8, 15)
     if kind == "ip":
         return F.forall(F.split(x, "\\."), lambda p: p.cast("int") <= 255)
     if kind == "date":
@@ -159,9 +179,10 @@ def _pseudonym(kind: str, x: Column, key: str) -> Column:
     made = {"card": _card, "iban": _iban, "ssn": _ssn, "ip": _ip, "date": _date, "email": _email}
     if kind in made:
         return made[kind](x, key)
-    digits = _bare(x)  # a telephone number: the country stays, ten digits change
-    keep = F.length(digits) - 10
-    return _refilled(x, F.concat(F.substring(digits, F.lit(1), keep), digits_permuted(F.substring(digits, keep + 1, F.lit(10)), key, F.lit("phone"))))
+    digits = _bare(x)  # a telephone number: the country stays, and so does the zero of a trunk call
+    country = F.when(x.startswith("+"), F.when(x.rlike("^\\+[17]"), 1).otherwise(2)).when(F.length(digits) > 11, F.length(digits) - 10).otherwise((x.startswith("0") | (F.length(digits) == 11)).cast("int"))
+    size = F.length(digits) - country
+    return _refilled(x, F.concat(F.substring(digits, F.lit(1), country), digits_permuted(F.substring(digits, country + 1, size), key, F.lit("phone"))))
 
 
 def kind_of(x: Column) -> Column:
@@ -169,29 +190,35 @@ def kind_of(x: Column) -> Column:
     return reduce(lambda chain, kind: chain.when(x.rlike(_whole(kind)), F.when(_valid(kind, x), F.lit(kind))), FORMATS, F.when(F.lit(False), F.lit("")))
 
 
-def pseudonymized(docs: DataFrame, key: str = "change this key") -> DataFrame:
+def pseudonymized(docs: DataFrame, key: str) -> DataFrame:
     """All columns of ``docs`` with personal values in ``text`` replaced, then n_found and ``kinds`` (value kinds in order).
 
     Values that fail their check stay as they are. A null text stays null; an
     empty one is empty; equal values have equal pseudonyms in all rows, so
     repeated rows stay equal. Columns named n_found or kinds are replaced.
+    Numbers are permuted among those of their length, so whoever has the key
+    can undo it; of dates with slashes that holds while the month is first.
     """
+    told_of = "_told"
+    while told_of in docs.columns:
+        told_of += "_"
     text = F.coalesce(F.col("text"), F.lit(""))
     may = text.rlike("[0-9@]")
     values = F.when(may, F.regexp_extract_all(text, F.lit(FOUND), F.lit(0))).otherwise(F.array().cast("array<string>"))
     told = F.transform(values, lambda x: F.struct(x.alias("x"), kind_of(x).alias("kind")))
-    rows = docs.drop("n_found", "kinds").withColumn("_told", told)
+    rows = docs.drop("n_found", "kinds").withColumn(told_of, told)
 
     def new(v: Column) -> Column:
         chain = reduce(lambda c, kind: c.when(v["kind"] == kind, _pseudonym(kind, v["x"], key)), FORMATS, F.when(v["kind"].isNull(), v["x"]))
         return chain
 
-    put = F.transform("_told", new)
+    put = F.transform(told_of, new)
     joined = F.array_join(F.flatten(F.zip_with(F.split(text, FOUND, -1), put, lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
-    kinds = F.filter(F.transform("_told", lambda v: v["kind"]), lambda k: k.isNotNull())
+    kinds = F.filter(F.transform(told_of, lambda v: v["kind"]), lambda k: k.isNotNull())
     out = rows.withColumn("kinds", kinds).withColumn("text", F.when(F.size("kinds") > 0, joined).otherwise(F.col("text")))
-    return out.drop("_told").withColumn("n_found", F.size("kinds")).select(*(c for c in docs.columns if c not in ("n_found", "kinds")), "n_found", "kinds")
+    return out.drop(told_of).withColumn("n_found", F.size("kinds")).select(*(c for c in docs.columns if c not in ("n_found", "kinds")), "n_found", "kinds")
 
 
-def pseudonymized_texts(docs: DataFrame, key: str = "change this key") -> DataFrame:
+def pseudonymized_texts(docs: DataFrame, key: str) -> DataFrame:
+    """``pseudonymized`` of doc_id and text alone, a null text as the empty one; texts of any length are read whole."""
     return pseudonymized(with_text(docs, "doc_id"), key)

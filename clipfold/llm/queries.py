@@ -20,6 +20,8 @@ from clipfold.llm.store import documents_of
 
 #: Target proportions of tokens in op2_packing: the source that may hold a third of all rows gets a fifth of each window.
 SHARES = {"src0": 0.2}
+#: The key of op7_pii_pseudonyms, for the synthetic tables only.
+KEY = "synthetic tables"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,7 +52,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymized_texts(documents_of(spark, sf_dir))
+    return pseudonymized_texts(documents_of(spark, sf_dir), KEY)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

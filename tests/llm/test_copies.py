@@ -153,7 +153,7 @@ def test_pseudonyms_keep_their_format(spark):
     text = "4845168114407329, 4845-1681-1440-7329 +1 (017) 555-7713 129.38.82.176. und.34@mail7.example.com 2024-02-29 31.12.1999 123-45-6789 DE89370400440532013000"
     kept = " no: 7086638319846192 2023-02-30 999.1.1.1 000-12-3456 DE00370400440532013000 1.2.3"
     rows = spark.createDataFrame([(1, text + kept), (2, "again 4845168114407329"), (3, None), (4, "")], "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymized(rows).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymized(rows, "k").collect()}
     new = out[1].text
     assert out[1].kinds == ["card", "card", "phone", "ip", "email", "date", "date", "ssn", "iban"] and new.endswith(kept)
     for value in text.replace(",", "").replace("176. ", "176 ").split(" "):
@@ -167,10 +167,42 @@ def test_pseudonyms_keep_their_format(spark):
     assert out[3].text is None and out[4].text == "" and out[3].n_found == 0
 
 
+def test_pseudonyms_of_further_formats(spark):
+    values = {
+        "555-123-4567": "phone", "555.123.4567": "phone", "+49 30 1234567": "phone", "+493012345678": "phone", "010-1234-5678": "phone", "12/31/1999": "date", "31/12/1999": "date",
+        "2024/02/29": "date", "March 5, 2001": "date", "17 August 1987": "date", "DE89 3704 0044 0532 0130 00": "iban", "GB29 NWBK 6016 1331 9268 19": "iban",
+        "PL61 1090 1014 0000 0712 1981 2874": "iban", "3782-822463-10005": "card", "3782 822463 10005": "card", "378282246310005": "card",
+    }
+    kept = ["DE88 3704 0044 0532 0130 00", "3782-822463-10004", "31/31/1999", "February 30, 2001", "+49 30 12", "1/2", "v1.2.3"]
+    rows = spark.createDataFrame([(i, f"a {v} 5, b") for i, v in enumerate([*values, *kept])], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymized(rows, "k").collect()}
+    form = lambda x: re.sub("[0-9]", "0", x)
+    new = {}
+    for i, (v, kind) in enumerate(values.items()):
+        if v[0] == "+":
+            continue
+        got = out[i].text
+        assert out[i].kinds == [kind] and got.startswith("a ") and got.endswith(" 5, b") and v not in got
+        new[v] = got[2:-5]
+        if not re.search("[a-z]", v):
+            assert form(new[v]) == form(v)
+    assert re.fullmatch("[A-Z][a-z]+ [0-9]{1,2}, [0-9]{4}", new["March 5, 2001"]) and re.fullmatch("[0-9]{1,2} [A-Z][a-z]+ [0-9]{4}", new["17 August 1987"])
+    for v in ("DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "PL61 1090 1014 0000 0712 1981 2874"):
+        x = new[v].replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert len({new[v].replace("-", "").replace(" ", "") for v in values if values[v] == "card"}) == 1
+    for i, v in enumerate(kept, len(values)):
+        assert out[i].text == f"a {v} 5, b"
+    alone = spark.createDataFrame([(1, "+49 30 1234567."), (2, "+49301234567"), (3, "+1 (212) 555-1234"), (4, "(212) 555-1234 212-555-1234")], "doc_id long, text string")
+    told = {r.doc_id: r.text for r in pii.pseudonymized(alone, "k").collect()}
+    assert re.fullmatch(r"\+49 [0-9]{2} [0-9]{7}\.", told[1]) and re.sub("[^0-9]", "", told[1]) == told[2][1:] and told[2] != "+49301234567"
+    assert told[3][3:] == told[4][:14] and re.sub("[^0-9]", "", told[4][:14]) == told[4][15:].replace("-", "")
+
+
 def test_pseudonyms_edges(odd, nothing, odd_rows):
-    out = pii.pseudonymized(odd)
+    out = pii.pseudonymized(odd.withColumn("_told", F.lit(1)), "k").drop("_told")
     assert out.columns == [*odd.columns, "n_found", "kinds"] and out.count() == len(odd_rows)
-    assert pii.pseudonymized_texts(nothing).count() == 0
+    assert pii.pseudonymized_texts(nothing, "k").count() == 0
 
 
 def test_licenses_are_found_whatever_their_spelling(spark):
