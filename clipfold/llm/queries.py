@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clipfold.llm.audio import media_digests
+from clipfold.llm.filteraudit import audit_sql, filter_audit
 from clipfold.llm.langid import held_out_languages
 from clipfold.llm.licenses import scan_sql, scanned
 from clipfold.llm.linededup import deduplicated
@@ -16,7 +17,9 @@ from clipfold.llm.neardup import near_duplicates
 from clipfold.llm.packing import packed
 from clipfold.llm.pii import pseudonymized_texts
 from clipfold.llm.quality import judged
+from clipfold.llm.spelling import spelling_variants, variants_sql
 from clipfold.llm.store import documents_of
+from clipfold.llm.toxicity import held_out_toxicity
 
 #: Target proportions of tokens in op2_packing: the source that may hold a third of all rows gets a fifth of each window.
 SHARES = {"src0": 0.2}
@@ -67,5 +70,21 @@ def op10_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(documents_of(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_model, op2_packing, op3_mixing, op4_language_id, op5_license_scan, op6_line_dedup, op7_pii_pseudonyms, op8_near_duplicates, op9_quality_rules, op10_telephony_audio)}
-ORACLE_SQL: dict[str, str] = {"op5_license_scan": scan_sql()}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents_of(spark, sf_dir))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return held_out_toxicity(documents_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+_ALL = (
+    op1_language_model, op2_packing, op3_mixing, op4_language_id, op5_license_scan, op6_line_dedup, op7_pii_pseudonyms, op8_near_duplicates, op9_quality_rules, op10_telephony_audio,
+    op11_filter_audit, op12_spelling_variants, op13_toxicity,
+)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
+ORACLE_SQL: dict[str, str] = {"op5_license_scan": scan_sql(), "op11_filter_audit": audit_sql(), "op12_spelling_variants": variants_sql()}
