@@ -134,8 +134,8 @@ def fit_weights(owner: np.ndarray, feature: np.ndarray, ratios: np.ndarray, labe
     """Weights (times the ratios) and bias of the logistic model, both classes weighing the same: accelerated gradient."""
     value, n = ratios[feature], len(label)
     weigh = np.where(label == 1, 0.5 / max((label == 1).sum(), 1), 0.5 / max((label == 0).sum(), 1))
-    forth = lambda w: np.bincount(owner, weights=value * w[feature], minlength=n)
-    back = lambda r: np.bincount(feature, weights=value * r[owner], minlength=len(ratios))
+    forth = lambda w: np.bincount(owner, weights=value * w[feature], minlength=n) + 0.0
+    back = lambda r: np.bincount(feature, weights=value * r[owner], minlength=len(ratios)) + 0.0
     probe, top = np.ones(len(ratios)), 1.0
     for _ in range(12):  # the largest curvature
         probe = back(weigh * forth(probe))
