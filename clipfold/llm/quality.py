@@ -4,7 +4,9 @@ Every measure is sketched per language and source in relative-error buckets
 (a value's bucket is the rounded logarithm), so a sketch is a table of bucket
 counts: merging is a sum, it does not depend on the order of rows, and the
 sketches of a language or of the whole corpus are sums of the small ones.
-Fences around the quartiles of a document's own group replace fixed cutoffs.
+Every fence is set by two quantiles of the document's own group, into whose
+sketch those of its language and of the corpus are blended, and a document is
+beyond it only if its own counts say so beyond their noise.
 """
 
 from __future__ import annotations
@@ -15,11 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipfold.llm.arrowtext import SPACE, inside, mix, raw_bytes, slices, sums, text_array, windows, words_of
-from clipfold.llm.store import BATCH_ROWS, saved
+from clipfold.llm.store import BATCH_ROWS, saved, saved_with
 
 _SYMBOL = np.zeros(256, dtype=np.int8)
 _SYMBOL[list(b"#*$%&|<>")] = 1
@@ -31,21 +33,24 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 @dataclass(frozen=True)
 class Measure:
-    """A ratio of two counts; ``slack`` is the least width of the middle half that a fence allows for."""
+    """A ratio of two counts. Its upper fence is the quantile ``high`` and ``reach`` times its distance from the quantile ``low``."""
 
     name: str
     over: str
     under: str
-    slack: float
+    low: float
+    high: float
+    reach: float
     two_sided: bool = False
 
 
+#: Quantiles in the body where a measure is nearly the same for all, in the tail where a few good documents have much of it.
 MEASURES = (
-    Measure("symbols", "n_symbols", "n_words", 0.05),
-    Measure("repeats", "n_repeat_words", "n_words", 0.12),
-    Measure("dup_lines", "n_dup_lines", "n_lines", 0.2),
-    Measure("upper", "n_upper", "word_chars", 0.05),
-    Measure("word_length", "word_chars", "n_words", 0.8, True),
+    Measure("symbols", "n_symbols", "n_words", 0.5, 0.85, 3.0),
+    Measure("repeats", "n_repeat_words", "n_words", 0.9, 0.99, 3.0),
+    Measure("dup_lines", "n_dup_lines", "n_lines", 0.9, 0.99, 3.0),
+    Measure("upper", "n_upper", "word_chars", 0.5, 0.99, 2.0),
+    Measure("word_length", "word_chars", "n_words", 0.5, 0.9, 3.0, True),
 )
 
 
@@ -115,85 +120,86 @@ def _value(m: Measure) -> F.Column:
     return F.col(m.over) / F.greatest(F.col(m.under), F.lit(1))
 
 
-def sketches(counts: DataFrame, accuracy: float = 0.02, least: float = 1e-4) -> DataFrame:
-    """Bucket counts per level, language, source and measure. Level 0: one source in one language; 1: a language; 2: all."""
-    log = float(np.log((1 + accuracy) / (1 - accuracy)))
-    entry = [
-        F.struct(F.lit(m.name).alias("measure"), F.ceil(F.log(F.greatest(_value(m), F.lit(least))) / log).cast("int").alias("bucket"))
-        for m in MEASURES
-    ]
-    own = (
-        counts.filter("n_words > 0")
-        .select("lang", "source", F.explode(F.array(*entry)).alias("e"))
-        .groupBy("lang", "source", "e.measure", "e.bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    levels = F.explode(
-        F.array(
-            F.struct(F.lit(0).alias("level"), F.col("lang").alias("g_lang"), F.col("source").alias("g_source")),
-            F.struct(F.lit(1).alias("level"), F.col("lang").alias("g_lang"), F.lit(None).cast("string").alias("g_source")),
-            F.struct(F.lit(2).alias("level"), F.lit(None).cast("string").alias("g_lang"), F.lit(None).cast("string").alias("g_source")),
-        )
-    )
-    return own.select("measure", "bucket", "n", levels.alias("g")).groupBy("g.level", "g.g_lang", "g.g_source", "measure", "bucket").agg(F.sum("n").alias("n"))
+ACCURACY, LEAST = 0.02, 1e-4
+_LOG = float(np.log((1 + ACCURACY) / (1 - ACCURACY)))
+
+
+def sketches(counts: DataFrame) -> DataFrame:
+    """lang, source, measure, bucket and n: the sketch of every measure in each group. Sketches of larger groups are sums of these."""
+    bucket = lambda m: F.ceil(F.log(F.greatest(_value(m), F.lit(LEAST))) / _LOG).cast("int")
+    entry = [F.struct(F.lit(m.name).alias("measure"), bucket(m).alias("bucket")) for m in MEASURES]
+    rows = counts.filter("n_words > 0").select("lang", "source", F.explode(F.array(*entry)).alias("e"))
+    return rows.groupBy("lang", "source", "e.measure", "e.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _shares(sketch: DataFrame, *group: str) -> DataFrame:
+    """Each bucket's share of its group's documents."""
+    return sketch.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*group, "measure")))
+
 
+def blended(sketch: DataFrame, prior: float) -> DataFrame:
+    """Sketches of the groups, with ``prior`` documents spread as in the group's language, and in that ``prior`` spread as in the whole corpus."""
+    whole = _shares(sketch.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))).select("measure", "bucket", (F.col("share") * prior).alias("n"))
+    languages = sketch.groupBy("lang", "measure", "bucket").agg(F.sum("n").cast("double").alias("n"))
+    every = languages.select("lang", "measure").distinct().join(whole, "measure").select("lang", "measure", "bucket", "n")
+    languages = _shares(languages.union(every).groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")), "lang")
+    groups = sketch.select(F.col("lang").alias("of"), "source", F.col("measure").alias("m")).distinct()
+    given = groups.join(languages, F.col("of").eqNullSafe(F.col("lang")) & (F.col("m") == F.col("measure"))).select("lang", "source", "measure", "bucket", (F.col("share") * prior).alias("n"))
+    return sketch.select("lang", "source", "measure", "bucket", F.col("n").cast("double").alias("n")).union(given).groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
 
-def fences(sketch: DataFrame, reach: float = 3.0, accuracy: float = 0.02, least: float = 1e-4) -> DataFrame:
-    """One row per level and group: its size, and the lower and upper fence of each measure."""
-    gamma = (1 + accuracy) / (1 - accuracy)
-    group = ["level", "g_lang", "g_source", "measure"]
+
+def fences(sketch: DataFrame) -> DataFrame:
+    """One row per language and source: the upper fence of each measure, and the lower one of those with two sides."""
+    group = ["lang", "source", "measure"]
     ranked = sketch.select(
-        "*",
-        F.sum("n").over(Window.partitionBy(*group).orderBy("bucket")).alias("upto"),
-        F.sum("n").over(Window.partitionBy(*group)).alias("total"),
+        "*", F.sum("n").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(Window.partitionBy(*group)).alias("total")
     )
-    zero = int(np.ceil(np.log(least) / np.log(gamma)))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), F.col("bucket")))
-    value = lambda b: F.when(b <= zero, F.lit(0.0)).otherwise(2 * F.pow(F.lit(gamma), b) / (gamma + 1))
-    quartiles = ranked.groupBy(*group).agg(value(at(0.25)).alias("q1"), value(at(0.75)).alias("q3"), F.max("total").alias("total"))
-    pick = lambda c, m: F.max(F.when(F.col("measure") == m, F.col(c)))
+    zero = int(np.ceil(np.log(LEAST) / _LOG))
+
+    def at(m: Measure, q: float) -> Column:
+        reached = (F.col("measure") == m.name) & (F.col("upto") >= F.col("total") * (q - 1e-9))
+        b = F.min(F.when(reached, F.col("bucket")))
+        return F.when(b <= zero, F.lit(0.0)).otherwise(2 * F.exp(b * _LOG) / (float(np.exp(_LOG)) + 1))
+
     out = []
     for m in MEASURES:
-        width = F.greatest(pick("q3", m.name) - pick("q1", m.name), F.lit(m.slack)) * reach
-        out.append((pick("q3", m.name) + width).alias(f"{m.name}_most"))
+        out.append((at(m, m.high) + m.reach * (at(m, m.high) - at(m, m.low))).alias(f"{m.name}_most"))
         if m.two_sided:
-            out.append((pick("q1", m.name) - width).alias(f"{m.name}_least"))
-    return quartiles.groupBy("level", "g_lang", "g_source").agg(F.max("total").alias("group_docs"), *out)
+            out.append((at(m, 1 - m.high) - m.reach * (at(m, 1 - m.low) - at(m, 1 - m.high))).alias(f"{m.name}_least"))
+    return ranked.groupBy("lang", "source").agg(*out)
 
 
-def judged(docs: DataFrame, min_group: int = 40, min_words: int = 50, max_repeat: int = 50) -> DataFrame:
+def judged(docs: DataFrame, prior: float = 100, min_words: int = 50, max_repeat: int = 50, noise: float = 3.0, small: int = 20_000) -> DataFrame:
     """Counts, verdict and the measures beyond their fences (``reasons``) of every document.
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat``
-    percent of them in repeated 3-word windows. The fences are those of the
-    document's language and source if that group has ``min_group`` documents,
-    else of its language, else of all. A null language or source is a group of
-    its own; an empty or null text has no words and fails the base rule; equal
-    rows get equal verdicts; further columns of ``docs`` are not read.
+    percent of them in repeated 3-word windows; such documents don't shape the
+    sketches. The fences are quantiles of the document's language and source,
+    blended with ``prior`` documents of the language and of all, so a small
+    group follows its parents and a large one itself. A count c passes for
+    ``noise`` times sqrt(c) less (or more, at a lower fence) than it is.
+
+    A null language or source is a group of its own; an empty or null text has
+    no words and fails the base rule; texts of any length are counted whole;
+    equal rows get equal verdicts; an empty table gives no row; further columns
+    of ``docs`` are not read. Fences of up to ``small`` groups are broadcast;
+    more are joined, where adaptive execution splits a hot group.
     """
     counts = saved(counted(docs), "quality")
-    bars = fences(sketches(counts))
+    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+    bars, seen = saved_with(fences(blended(sketches(counts.filter(~base)), prior)), "fences", F.count(F.lit(1)).alias("groups"))
     names = [c for c in bars.columns if c.endswith(("_most", "_least"))]
-    groups, languages, whole = (bars.filter(F.col("level") == k).select("g_lang", "g_source", "group_docs", F.struct(*names).alias(f"bars{k}"), F.lit(0).alias("all")) for k in range(3))
-    own = (
-        groups.alias("g")
-        .join(languages.alias("l"), F.col("g.g_lang").eqNullSafe(F.col("l.g_lang")))
-        .join(whole.alias("w"), F.col("g.all") == F.col("w.all"))
-        .select(
-            "g.g_lang", "g.g_source",
-            F.when(F.col("g.group_docs") >= min_group, F.col("bars0")).when(F.col("l.group_docs") >= min_group, F.col("bars1")).otherwise(F.col("bars2")).alias("bar"),
-        )
-    )
-    joined = counts.join(own, counts.lang.eqNullSafe(own.g_lang) & counts.source.eqNullSafe(own.g_source), "left")
+    own = bars.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), F.struct(*names).alias("bar"))
+    joined = counts.join(F.broadcast(own) if seen["groups"] <= small else own, counts.lang.eqNullSafe(own.g_lang) & counts.source.eqNullSafe(own.g_source), "left")
     bar = F.col("bar")
     found = []
     for m in MEASURES:
-        beyond = _value(m) > bar[f"{m.name}_most"]
+        over, under = F.col(m.over), F.col(m.under)
+        beyond = over - noise * F.sqrt(over) > bar[f"{m.name}_most"] * under
         if m.two_sided:
-            beyond = beyond | (_value(m) < bar[f"{m.name}_least"])
+            beyond = beyond | (over + noise * F.sqrt(over) < bar[f"{m.name}_least"] * under)
         found.append(F.when(beyond, F.lit(m.name)))
     reasons = F.filter(F.array(*found), lambda x: x.isNotNull())
-    base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     return joined.select(
         "doc_id", *COUNTS[:5], base.alias("base_failed"),
         (~base & (F.size(reasons) == 0)).alias("kept"),

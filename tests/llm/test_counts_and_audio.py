@@ -4,9 +4,10 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from clipfold.llm import audio
-from clipfold.llm.quality import fences, judged, sketches
+from clipfold.llm.quality import MEASURES, blended, counted, fences, judged, sketches
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,14 +35,75 @@ def test_quality_of_nothing(nothing):
     assert judged(nothing).count() == 0
 
 
+FIELDS = "lang string, source string, word_chars long, n_words long, n_lines long, n_symbols long, n_repeat_words long, n_dup_lines long, n_upper long"
+
+
 def test_sketch_quantiles_are_within_their_error_and_merge(spark):
-    rows = [(float(v % 97) + 1, g) for v in range(3000) for g in ("a", "b")]
-    df = spark.createDataFrame([("en", g, int(v), 100, 100, 0, 0, 0, 1) for v, g in rows], "lang string, source string, word_chars long, n_words long, n_lines long, n_symbols long, n_repeat_words long, n_dup_lines long, n_upper long")
-    out = {(r.level, r.g_source): r for r in fences(sketches(df), reach=0.0).collect()}
-    q3 = np.quantile([v for v, _ in rows], 0.75) / 100
-    for r in out.values():
-        assert abs(r.word_length_most - q3) < 0.05 * q3
-    assert out[2, None].group_docs == 6000
+    values = [v % 97 + 1 for v in range(3000)]
+    df = spark.createDataFrame([("en", g, v, 100, 100, 0, 0, 0, 1) for v in values for g in ("a", "b", None)], FIELDS)
+    one = sketches(df)
+    halves = sketches(df.filter("word_chars % 2 = 0")).union(sketches(df.filter("word_chars % 2 = 1"))).groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
+    assert sorted(map(str, one.collect())) == sorted(map(str, halves.collect()))
+    q = lambda p: np.quantile(values, p) / 100
+    rows = fences(blended(one, 50)).collect()
+    assert {r.source for r in rows} == {"a", "b", None}
+    for r in rows:
+        assert abs(r.word_length_most - (q(0.9) + 3 * (q(0.9) - q(0.5)))) < 0.05 * 4 * q(0.9)
+        assert abs(r.word_length_least - (q(0.1) - 3 * (q(0.5) - q(0.1)))) < 0.05 * 4 * q(0.5)
+
+
+def fences_by_hand(counts, prior):
+    """Fences from sorted values with weights instead of sketches, and the verdicts they give."""
+    good = [r for r in counts if not (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and r.n_words > 0]
+
+    def quantile(m, lang, source, q):
+        of = lambda rows: [getattr(r, m.over) / max(getattr(r, m.under), 1) for r in rows]
+        every, own_lang, own = of(good), of([r for r in good if r.lang == lang]), of([r for r in good if (r.lang, r.source) == (lang, source)])
+        n, k = len(own_lang), len(own)
+        weights = [(v, 1.0) for v in own] + [(v, prior / (n + prior)) for v in own_lang] + [(v, prior / (n + prior) * prior / len(every)) for v in every]
+        weights.sort()
+        total = 0
+        for v, w in weights:
+            total += w
+            if total >= (k + prior) * (q - 1e-9):
+                return v
+
+    def fence(m, r, side):
+        a, b = (quantile(m, r.lang, r.source, q if side > 0 else 1 - q) for q in (m.low, m.high))
+        return b + m.reach * (b - a), 0.021 * ((1 + m.reach) * b + m.reach * a)  # a sketch's values are 2 % off at most
+
+    return fence
+
+
+def test_verdicts_match_exact_quantiles(spark):
+    """No fence is a constant: each is what the sorted values of its groups make it, and few documents lie within a sketch's error of it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = {r.doc_id: r for r in judged(docs, prior=20).collect()}
+    counts = counted(docs).collect()
+    fence, near = fences_by_hand(counts, 20), 0
+    for r in counts:
+        got = out[r.doc_id]
+        if got.base_failed:
+            assert not got.kept
+            continue
+        want, close = set(), False
+        for m in MEASURES:
+            over, under = getattr(r, m.over), getattr(r, m.under)
+            for low, side in ((over - 3 * over**0.5, 1), *([(over + 3 * over**0.5, -1)] if m.two_sided else [])):
+                edge, slip = fence(m, r, side)
+                if side * low > side * edge * under:
+                    want.add(m.name)
+                close |= slip > 0 and abs(low - edge * under) <= slip * under
+        near += close
+        assert close or set(filter(None, got.reasons.split(","))) == want, (r.doc_id, got.reasons, want)
+        assert got.kept == (got.reasons == "")
+    assert near < 0.1 * len(counts) and any(r.reasons for r in out.values())
+
+
+def test_a_small_group_follows_its_parents_and_a_large_one_itself(spark):
+    rows = [("en", "big", 5000 + i % 50, 1000, 100, 0, 0, 0, 1) for i in range(2000)] + [("en", "new", 9000, 1000, 100, 0, 0, 0, 1)] * 3 + [("de", "other", 9000 + i % 50, 1000, 100, 0, 0, 0, 1) for i in range(2000)]
+    bars = {(r.lang, r.source): r for r in fences(blended(sketches(spark.createDataFrame(rows, FIELDS)), 100)).collect()}
+    assert bars["en", "new"].word_length_most < 6 and bars["en", "big"].word_length_most < 6 and bars["de", "other"].word_length_most > 8.5
 
 
 def test_junk_goes_and_clean_documents_stay(spark):
