@@ -2,23 +2,108 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import ipaddress
+import re
+import unicodedata
+from urllib.parse import quote, unquote
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from clipfold.functions import addresses
+from clipfold.functions.text import bound
 
 #: Query parameters that only track, besides utm_*.
 TRACKING = ("dclid", "fbclid", "gclid", "mc_cid", "mc_eid", "referrer", "yclid")
-#: IPv4 ranges that must not be fetched from.
-BLOCKED_RANGES = (
-    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
-    "192.88.99.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
-)
-_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:]*)(:[0-9]+)?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+#: Schemes whose addresses have a host, and the port that need not be named.
+PORTS = {"http": 80, "https": 443, "ws": 80, "wss": 443, "ftp": 21}
+#: Characters that stand for themselves in each part of an address, besides ASCII letters and digits.
+_PATH, _QUERY, _FRAGMENT, _USER = "!$%&'()*+,-./:;=@[]\\^_|~", "!$%&()*+,-./:;=?@[]\\^_`{|}~", "!#$%&'()*+,-./:;=?@[]\\^_{|}~", "!$%&'()*+,-._~"
+_WHOLE = r"^([A-Za-z][A-Za-z0-9+.-]*):/*([^/]*)(.*)$"
+_HOST = r"^(\[[^\]]*\]|[^:]*)(?::([0-9]*))?$"
+_PARSED = StructType([StructField(x, StringType()) for x in ("scheme", "user", "host", "port", "path", "query", "fragment")])
+
+
+def _host_of(name: str) -> str | None:
+    """A host as browsers spell it, or None: labels beyond ASCII encoded, addresses in their usual spelling."""
+    if name.startswith("["):
+        try:
+            return f"[{_six(name[1:-1])}]" if name.endswith("]") else None
+        except ValueError:
+            return None
+    labels = []
+    for x in re.split("[.\u3002\uff0e\uff61]", unquote(name)):
+        x = x.lower() if x.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFKC", x).lower())
+        labels.append(x if x.isascii() else "xn--" + x.encode("punycode").decode())
+    name = ".".join(labels)
+    if not name or re.search(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]", name):
+        return None
+    parts = name.removesuffix(".").split(".")
+    if not re.fullmatch("[0-9]+|0x[0-9a-f]*", parts[-1]):
+        return name
+    try:
+        values = [int(p[2:] or "0", 16) if p.startswith("0x") else int(p, 8 if p[0] == "0" and len(p) > 1 else 10) for p in parts]
+    except (ValueError, IndexError):
+        return None
+    if len(values) > 4 or any(v > 255 for v in values[:-1]) or values[-1] >= 256 ** (5 - len(values)):
+        return None
+    return str(ipaddress.IPv4Address(sum(v << 8 * (3 - i) for i, v in enumerate(values[:-1])) + values[-1]))
+
+
+def _six(text: str) -> str:
+    """The usual spelling of an IPv6 address, without dots; zones aren't allowed in addresses of pages."""
+    if "%" in text:
+        raise ValueError(text)
+    n = int(ipaddress.IPv6Address(text))
+    return f"::ffff:{n >> 16 & 0xFFFF:x}:{n & 0xFFFF:x}" if n >> 32 == 0xFFFF else ipaddress.IPv6Address(n).compressed
+
+
+def _parts(url: str | None) -> tuple | None:
+    """The parts of an address as browsers spell them (see ``_PARSED``; port, query and fragment with their marks), None if it is none."""
+    if url is None:
+        return None
+    x = re.sub("[\t\n\r]", "", re.sub("^[\x00-\x20]+|[\x00-\x20]+$", "", url))
+    head, query, fragment = re.match(r"([^?#]*)(\?[^#]*)?(#.*)?", x, re.S).groups("")
+    found = re.match(_WHOLE, head.replace("\\", "/"), re.S)
+    if not found or found[1].lower() not in PORTS:
+        return None
+    scheme = found[1].lower()
+    user, at, place = found[2].rpartition("@")
+    place = re.match(_HOST, place)
+    host = _host_of(place[1]) if place else None
+    port = int(place[2] or PORTS[scheme]) if place else 0
+    if host is None or port > 65535:
+        return None
+    name, _, word = user.partition(":")
+    user = quote(name, safe=_USER) + (":" + quote(word, safe=_USER) if word else "")
+    kept: list[str] = []
+    for part in found[3].removeprefix("/").split("/"):
+        kind = re.sub("(?i)%2e", ".", part)
+        if kind == "..":
+            kept = kept[:-1]
+        elif kind != ".":
+            kept.append(part)
+    if kind in (".", ".."):
+        kept.append("")
+    path = "/" + quote("/".join(kept), safe=_PATH)
+    return scheme, user + "@" if user else "", host, "" if port == PORTS[scheme] else f":{port}", path, quote(query, safe=_QUERY), quote(fragment, safe=_FRAGMENT)
+
+
+@F.pandas_udf(_PARSED)
+def parsed(urls: pd.Series) -> pd.DataFrame:
+    """The parts of each address as browsers spell them, nulls if it is none."""
+    return pd.DataFrame([_parts(x) or (None,) * 7 for x in urls], columns=_PARSED.names, dtype=object)
+
+
+def _cleaned(url: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
 
 
 def _part(url: Column, k: int) -> Column:
-    return F.regexp_extract(url, _PARTS, k)
+    head = F.replace(F.regexp_extract(_cleaned(url), "^[^?#]*", 0), F.lit("\\"), F.lit("/"))
+    return F.regexp_extract(head, _WHOLE, k)
 
 
 def scheme(url: Column) -> Column:
@@ -26,55 +111,65 @@ def scheme(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(_part(url, 3))
+    """The host as written, in lower case; empty if there is none."""
+    return F.when(scheme(url).isin(*PORTS), F.lower(F.regexp_extract(F.regexp_replace(_part(url, 2), "^.*@", ""), _HOST, 1))).otherwise("")
 
 
 def has_credentials(url: Column) -> Column:
-    return url.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*@")
+    return _part(url, 2).contains("@")
 
 
-def canonical_url(url: Column) -> Column:
-    """Without fragment, credentials, default port and tracking parameters; parameters sorted by name and value."""
-    pairs = F.filter(F.split(_part(url, 6), "&"), lambda p: p != "")
-    split = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("").alias("value")))
-    kept = F.filter(split, lambda p: ~(F.lower(p["name"]).startswith("utm_") | F.lower(p["name"]).isin(*TRACKING)))
-    query = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
-    port, path, name = _part(url, 4), _part(url, 5), scheme(url)
-    plain = ((name == "https") & (port == ":443")) | ((name == "http") & (port == ":80"))
-    return F.concat(
-        name, F.lit("://"), host(url), F.when(plain, F.lit("")).otherwise(port), F.when(path == "", F.lit("/")).otherwise(path),
-        F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)),
+def normal_url(url: Column) -> Column:
+    """The address as browsers spell it: dot segments resolved, percents where they belong, usual port and empty path; null if it is none."""
+    p = parsed(url)
+    return F.concat(p["scheme"], F.lit("://"), p["user"], p["host"], p["port"], p["path"], p["query"], p["fragment"])
+
+
+def resolved(url: Column, base: Column) -> Column:
+    """``url``, which may be relative to ``base``, as browsers spell it."""
+    x = _cleaned(url)
+    top = F.concat(_part(base, 1), F.lit("://"), _part(base, 2))
+    folder = F.regexp_extract(_part(base, 3), "^(.*/)", 1)
+    page = F.regexp_replace(_cleaned(base), "#.*$", "")
+    whole = (
+        F.when(x.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), x).when(x.rlike(r"^[/\\]{2}"), F.concat(_part(base, 1), F.lit(":"), x)).when(x.rlike(r"^[/\\]"), F.concat(top, x))
+        .when(x.startswith("?"), F.concat(top, _part(base, 3), x)).when((x == "") | x.startswith("#"), F.concat(page, x)).otherwise(F.concat(top, F.when(folder == "", "/").otherwise(folder), x))
     )
+    return normal_url(whole)
 
 
-#: IPv6 prefixes that must not be fetched from: unspecified, loopback, mapped, discard, documentation, unique local, link local, multicast.
-BLOCKED_IPV6 = r"^(?:::1?|::ffff:.*|0*100:.*|2001:0?db8:.*|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|(?:0{1,4}:){7}0{0,3}[01])$"
+def parameters(query: Column) -> Column:
+    """Names and values of a query as forms spell them: plus and percents decoded, bytes that aren't UTF-8 replaced."""
+    plain = lambda x: F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+    pairs = F.filter(F.split(F.regexp_replace(query, r"^\?", ""), "&"), lambda p: p != "")
+    return F.transform(pairs, lambda p: F.struct(plain(F.substring_index(p, "=", 1)).alias("name"), F.when(p.contains("="), plain(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("").alias("value")))
 
 
-def is_private_host(name: Column) -> Column:
-    """Whether a host is local by name, or an address in a range that isn't public."""
-    bare = F.regexp_replace(F.lower(name), r"^\[|\]$", "")
-    return name.isin("localhost") | name.rlike(r"\.localhost$") | F.coalesce(is_blocked_address(bare), F.lit(False))
+def canonical_url(url: Column) -> Column:
+    """The address as browsers spell it, without fragment, credentials and tracking parameters; parameters sorted by name and value, as a dictionary of English sorts words."""
+    p = parsed(url)
+    kept = F.filter(parameters(p["query"]), lambda q: ~(F.lower(q["name"]).startswith("utm_") | F.lower(q["name"]).isin(*TRACKING)))
+    order = lambda a, b: F.when(a < b, -1).when(a > b, 1).otherwise(0)
+    word = lambda q, field: F.collate(q[field], "UNICODE")
+    by = lambda a, b: F.when(word(a, "name") == word(b, "name"), order(word(a, "value"), word(b, "value"))).otherwise(order(word(a, "name"), word(b, "name")))
+    query = F.array_join(F.transform(F.array_sort(kept, by), lambda q: F.concat(F.url_encode(q["name"]), F.lit("="), F.url_encode(q["value"]))), "&")
+    return F.concat(p["scheme"], F.lit("://"), p["host"], p["port"], p["path"], bound(query, lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q))))
 
 
-def is_fetchable(url: Column) -> Column:
-    """https, a host that isn't local or private, and no credentials."""
-    return F.coalesce((scheme(url) == "https") & (host(url) != "") & ~has_credentials(url) & ~is_private_host(host(url)), F.lit(False))
+def is_private_host(name: Column) -> Column:
+    """Whether a host is local by name, or an address, however it is spelled, in a range that isn't public."""
 
+    def private(bare: Column) -> Column:
+        number = bound(addresses.host_number(bare), lambda n: F.when(n >= 0, addresses.in_ranges(n)))
+        return bare.isin("localhost") | bare.rlike(r"\.localhost$") | F.coalesce(number, addresses.is_blocked(bare), F.lit(False))
 
-def _number(address: Column) -> Column:
-    return reduce(lambda n, p: n * 256 + p, (F.element_at(F.split(address, "\\."), k).cast("bigint") for k in range(1, 5)))
+    return bound(F.regexp_replace(F.lower(name), r"\.$", ""), private)
 
 
-def is_blocked_address(address: Column) -> Column:
-    """Whether an IPv4 or IPv6 literal lies in a range that isn't public; null for other text."""
-    literal = address.rlike(r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$")
-    inside = F.lit(False)
-    for text in BLOCKED_RANGES:
-        base, bits = text.split("/")
-        low = sum(int(x) << 8 * (3 - i) for i, x in enumerate(base.split(".")))
-        inside = inside | _number(address).between(low, low + (1 << (32 - int(bits))) - 1)
-    return F.when(literal, inside).when(address.contains(":") & address.rlike("^[0-9A-Fa-f:.]+$"), F.lower(address).rlike(BLOCKED_IPV6))
+def is_fetchable(url: Column) -> Column:
+    """https, a host that isn't local or private, and no credentials."""
+    p = parsed(url)
+    return F.coalesce((p["scheme"] == "https") & (p["user"] == "") & ~has_credentials(url) & ~is_private_host(p["host"]), F.lit(False))
 
 
 def promoted(url: Column, site_host: Column) -> Column:
@@ -91,5 +186,6 @@ def https_url(url: Column, hosts: tuple[str, ...] = ()) -> Column:
     ok = (scheme(url) == "https") & (host(url) != "")
     if hosts:
         ok = ok & host(url).isin(*hosts)
-    bare = F.concat(F.lit("https://"), host(url), F.when(_part(url, 4) == ":443", F.lit("")).otherwise(_part(url, 4)), F.when(_part(url, 5) == "", F.lit("/")).otherwise(_part(url, 5)))
-    return F.when(ok, F.concat(bare, F.regexp_extract(url, r"^[^?#]*(\?[^#]*)?", 1)))
+    port, path = F.regexp_extract(_part(url, 2), ":[0-9]+$", 0), _part(url, 3)
+    bare = F.concat(F.lit("https://"), host(url), F.when(port == ":443", F.lit("")).otherwise(port), F.when(path == "", F.lit("/")).otherwise(path))
+    return F.when(ok, F.concat(bare, F.regexp_extract(_cleaned(url), r"^[^?#]*(\?[^#]*)?", 1)))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipfold.functions.similarity import clamp, dice, jaccard, novelty
-from clipfold.functions.text import bigrams, tokens
+from clipfold.functions.text import bigrams, bound, tokens
 
 #: Category, phrase and weight. Equal phrases of other case are entries of their own and count twice.
 TAXONOMY = (
@@ -218,11 +217,6 @@ def phrases(category: str) -> Phrases:
     return [(phrase.lower(), weight) for c, phrase, weight in TAXONOMY if c == category]
 
 
-def bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of ``value``, which is computed once however often ``then`` uses it."""
-    return F.transform(F.array(value), lambda v: then(v))[0]
-
-
 def needle(phrase: str) -> str:
     """What to look for in a text with a blank at either end: ASCII phrases as whole words, others anywhere."""
     return f" {phrase} " if re.search("[a-z0-9]", phrase) else phrase

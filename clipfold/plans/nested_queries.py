@@ -121,7 +121,7 @@ def feed_outcomes(spark, sf_dir):
 
     n = F.col("doc_id").cast("string")
     item = F.concat(F.lit("<item><title>t"), n, F.lit("</title><link>https://h.example/"), n, F.lit("</link><pubDate>Thu, 13 Aug 2026 09:00:00 +0900</pubDate></item>"))
-    body = F.concat(F.lit("<rss><channel>"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(item), F.when(F.col("doc_id") % 11 == 0, "").otherwise("</channel></rss>"))
+    body = F.concat(F.lit("<rss><channel><title>feed</title>"), F.when(F.col("doc_id") % 7 == 0, "").otherwise(item), F.when(F.col("doc_id") % 11 == 0, "").otherwise("</channel></rss>"))
     feeds = table(spark, sf_dir, "documents").select(
         F.col("source").alias("source_id"), body.alias("body"), F.lit("https://h.example").alias("site_url"), F.lit("evidence").alias("content_use"), F.lit("p").alias("publisher"), F.lit(5).alias("max_items"),
         F.lit("2026-08-14").cast("timestamp").alias("discovered_at"),

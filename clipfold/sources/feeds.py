@@ -2,80 +2,169 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import StringType
 
 from clipfold.functions import text, urls
 from clipfold.functions.timeutil import feed_moment
 
 
-def _element(item: Column, *names: str) -> Column:
-    """Text of the first of the named child elements that isn't empty, CDATA unwrapped, null if none is."""
-    found = []
-    for name in names:
-        body = F.regexp_extract(item, rf"(?s)<{name}(?:\s[^>]*)?(?<!/)>(.*?)</{name}\s*>", 1)
-        bare = F.trim(F.regexp_replace(body, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"))
-        found.append(F.when(bare != "", bare))
-    return F.coalesce(*found)
+class _Node:
+    """An element inside an item: its attributes, pieces of text, and children by name."""
+
+    def __init__(self, attributes: dict[str, str]):
+        self.attributes, self.pieces, self.children = attributes, [], {}
+
+    def text(self) -> str | None:
+        return "".join(self.pieces).strip() or None
 
 
-def _link(item: Column) -> Column:
-    """An item's link: the text of <link>, else the href of an alternate one."""
-    href = F.coalesce(*(F.when(x != "", x) for x in (F.regexp_extract(item, r"<link\b(?=[^>]*rel=[\"']alternate[\"'])[^>]*href=[\"']([^\"']+)[\"']", 1), F.regexp_extract(item, r"<link\b(?![^>]*rel=)[^>]*href=[\"']([^\"']+)[\"']", 1))))
-    return text.decode_references(F.coalesce(_element(item, "link"), href))
+class _Items:
+    """Items of one feed, read event by event: only elements at the path of an item are kept, as small trees.
 
+    ``feed``: whether there is a container that can hold items. A feed has one
+    channel at most, which isn't empty.
+    """
 
-def _is_tree(body: str | None) -> bool:
-    if body is None:
-        return False
-    parser = expat.ParserCreate("utf-8")
-    parser.UseForeignDTD(True)  # entities that are named nowhere are skipped, as none is ever loaded
+    PATHS = {("rss", "channel", "item"): 2, ("rdf:RDF", "item"): 1, ("feed", "entry"): 1}
+
+    def __init__(self, most: int):
+        self.most, self.items, self.path, self.open, self.raw = most, [], [], [], False
+        self.holders, self.full, self.piece = 0, False, []
+
+    def start(self, name: str, attributes: dict[str, str]) -> None:
+        self.close_piece()
+        self.path.append(name)
+        at = tuple(self.path)
+        if at in (("rss", "channel"), ("rdf:RDF",), ("feed",)):
+            self.holders += 1
+            self.full |= bool(attributes)
+        elif at[:-1] in (("rss", "channel"), ("rdf:RDF",), ("feed",)):
+            self.full = True
+        if self.open or at in self.PATHS:
+            node = _Node(attributes)
+            if self.open:
+                self.open[-1].children.setdefault(name, []).append(node)
+            elif len(self.items) < self.most:
+                self.items.append(node)
+            self.open.append(node)
+
+    def end(self, _: str) -> None:
+        self.close_piece()
+        self.path.pop()
+        if self.open:
+            self.open.pop()
+
+    def data(self, text: str) -> None:
+        if self.open:
+            self.piece.append(text)
+
+    def close_piece(self, *_: str) -> None:
+        """What stands between two tags, comments or CDATA sections is a piece, without blanks at its ends."""
+        if self.piece:
+            text = "".join(self.piece)
+            self.open[-1].pieces.append(text if self.raw else text.strip())
+            self.piece = []
+
+    def cdata(self, inside: bool) -> None:
+        self.close_piece()
+        self.raw = inside
+
+
+_MARKED = re.compile(r"<!\[CDATA\[.*?\]\]>|<!--.*?-->|<\?.*?\?>|<[^!?][^>]*>|&", re.S)
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#x[0-9A-Fa-f]+|\w{1,20});", re.A)
+
+
+def _read(body: str | None, most: int) -> list[_Node] | None:
+    """Items of a feed, at most ``most``; null for what isn't one tree, has a DTD, or is no feed. References in it stay as written."""
+    if body is None or re.search(r"<!\s*(?:DOCTYPE|ENTITY)\b", body, re.I):
+        return None
+    loose = False
+
+    def keep(found: re.Match) -> str:
+        nonlocal loose
+        if found[0] != "&":
+            return found[0] if found[0].startswith(("<!", "<?")) else found[0].replace("&", "&amp;")
+        loose |= _REFERENCE.match(found.string, found.start()) is None
+        return "&amp;"
+
+    parser, items = expat.ParserCreate("utf-8"), _Items(most)
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = items.start, items.end, items.data
+    parser.CommentHandler, parser.ProcessingInstructionHandler = items.close_piece, items.close_piece
+    parser.StartCdataSectionHandler, parser.EndCdataSectionHandler = lambda: items.cdata(True), lambda: items.cdata(False)
+    text = re.sub(r"^\ufeff?\s*<\?xml[^>]*\?>", "", body)
     try:
-        parser.Parse(body.encode("utf-8", "surrogatepass"), True)
+        parser.Parse(_MARKED.sub(keep, text if text != body else body.lstrip("\ufeff")).encode("utf-8", "surrogatepass"), True)
     except expat.ExpatError:
-        return False
-    return True
+        return None
+    return None if loose or items.holders != 1 or not items.full else items.items
+
 
+def _first(item: _Node, *names: str) -> str | None:
+    """Text of the first of the named children that has some. A child that comes twice has none."""
+    for name in names:
+        found = item.children.get(name, ())
+        if len(found) == 1 and (text := found[0].text()) is not None:
+            return text
+    return None
 
-def well_formed(body: Column) -> Column:
-    """Whether a text is one XML tree; null is none."""
 
-    @F.pandas_udf(BooleanType())
-    def check(bodies: pd.Series) -> pd.Series:
-        return bodies.map(_is_tree).astype(bool)
+def _fields(item: _Node) -> dict[str, str | None]:
+    links, authors = item.children.get("link", []), item.children.get("author", [])
+    href = next((x.attributes["href"].strip() for x in links if x.attributes.get("href", "").strip() and (x.attributes.get("rel") or "").strip() in ("", "alternate")), None)
+    name = _first(authors[0], "name") if len(authors) == 1 else None
+    return {
+        "title": _first(item, "title"), "link": _first(item, "link") or href, "moment": _first(item, "pubDate", "published", "updated", "dc:date"), "external_id": _first(item, "guid", "id"),
+        "excerpt": _first(item, "description", "summary"), "author": _first(item, "author", "dc:creator") or name,
+    }
+
+
+def feed_items(body: Column, most: Column) -> Column:
+    """Raw fields of the items of an RSS or Atom text, in order, at most ``most``; null if it is no feed.
+
+    The text is read as a tree: items stand directly in a channel, an RDF root
+    or a feed, their fields are direct children by their names as written,
+    and what stands in comments or CDATA is no element.
+    """
+
+    @F.pandas_udf("array<struct<title string, link string, moment string, external_id string, excerpt string, author string>>")
+    def read(bodies: pd.Series, mosts: pd.Series) -> pd.Series:
+        found = (_read(x, max(int(n), 1)) for x, n in zip(bodies, mosts, strict=True))
+        return pd.Series([None if x is None else [_fields(i) for i in x] for x in found], dtype=object)
 
-    return check(body)
+    return read(body, most)
 
 
 def parsed_feeds(feeds: DataFrame) -> DataFrame:
     """One row per item of each feed, in document order and at most max_items per feed.
 
     ``feeds``: source_id, body, site_url, content_use, publisher, max_items and
-    discovered_at. ``issue`` is null for a good item, ITEM_SKIPPED for one
+    discovered_at, and feed_url if links can be relative. ``issue`` is null for a good item, ITEM_SKIPPED for one
     without a title, a fetchable link or a date, and INVALID_SOURCE_DATA (on a
     row of its own, item_index -1) for a document with a DTD, of no known kind,
     or that isn't a tree. A good feed without items makes no row.
     """
-    kind = F.when(F.col("body").rlike(r"(?i)<!\s*(DOCTYPE|ENTITY)\b"), None).when(F.col("body").rlike(r"<(rss|rdf:RDF)[\s>]"), "item").when(F.col("body").rlike(r"<feed[\s>]"), "entry")
-    feeds = feeds.withColumn("_tree", well_formed(F.col("body")))
-    kind = F.when(F.col("_tree"), kind)
-    items = F.when(kind == "item", F.regexp_extract_all("body", F.lit(r"(?s)<item(?:\s[^>]*)?(?:/>|>.*?</item\s*>)"), F.lit(0))).when(kind == "entry", F.regexp_extract_all("body", F.lit(r"(?s)<entry(?:\s[^>]*)?(?:/>|>.*?</entry\s*>)"), F.lit(0)))
-    known = feeds.withColumn("_items", F.when(kind.isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.slice(items, F.lit(1), F.greatest(F.col("max_items"), F.lit(1)))))
-    rows = known.select(*(c for c in feeds.columns if c not in ("body", "max_items", "_tree")), kind.isNull().alias("_bad"), F.posexplode("_items").alias("item_index", "item"))
-    item = F.col("item")
-    link = urls.promoted(_link(item), urls.host(F.col("site_url")))
-    moment = feed_moment(_element(item, "pubDate", "published", "updated", "dc:date"))
+    known = feeds.withColumn("_items", feed_items(F.col("body"), F.coalesce("max_items", F.lit(1))))
+    bad = F.col("_items").isNull()
+    rows = known.select(
+        *(c for c in feeds.columns if c not in ("body", "max_items")), bad.alias("_bad"), F.posexplode(F.when(bad, F.array(F.lit(None).cast(known.schema["_items"].dataType.elementType))).otherwise(F.col("_items"))).alias("item_index", "item")
+    )
+    base = F.col("feed_url") if "feed_url" in feeds.columns else F.col("site_url")
+    link = urls.promoted(urls.resolved(F.col("item.link"), base), urls.host(F.col("site_url")))
+    moment = feed_moment(F.col("item.moment"))
     plain = lambda x, most: text.truncate_points(text.strip_markup(x), most)
-    author = F.coalesce(_element(_element(item, "author"), "name"), _element(item, "author", "dc:creator"))
-    excerpt = F.when(F.col("content_use") != "discovery_only", plain(_element(item, "description", "summary"), 800))
+    excerpt = F.when(F.col("content_use") != "discovery_only", plain(F.col("item.excerpt"), 800))
+    author = plain(F.col("item.author"), 300)
     out = rows.select(
-        "source_id", F.when(F.col("_bad"), -1).otherwise(F.col("item_index")).alias("item_index"), plain(_element(item, "guid", "id"), 512).alias("external_id"), link.alias("original_url"),
-        plain(_element(item, "title"), 500).alias("title"), F.when(excerpt != "", excerpt).alias("excerpt"), plain(author, 300).alias("author"), "publisher", moment["at"].alias("published_at"),
+        "source_id", F.when(F.col("_bad"), -1).otherwise(F.col("item_index")).alias("item_index"), plain(F.col("item.external_id"), 512).alias("external_id"), link.alias("original_url"),
+        plain(F.col("item.title"), 500).alias("title"), F.when(excerpt != "", excerpt).alias("excerpt"), F.when(author != "", author).alias("author"), "publisher", moment["at"].alias("published_at"),
         moment["precision"].alias("published_at_precision"), "discovered_at", "_bad",
     )
     good = F.coalesce((F.col("title") != "") & urls.is_fetchable(F.col("original_url")) & F.col("published_at").isNotNull(), F.lit(False))

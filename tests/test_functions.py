@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from clipfold.functions import text, timeutil, urls
+from clipfold.functions import addresses, text, timeutil, urls
 from clipfold.operators import paging
 
 
@@ -64,10 +64,54 @@ def test_urls(one):
     ok = {"https://x.kr/a": True, "http://x.kr/": False, "https://u:p@x.kr/": False, "https://localhost/": False, "https://172.20.1.1/": False, "https://172.32.1.1/": True, "not a url": False}
     assert {u: one(urls.is_fetchable(F.lit(u))) for u in ok} == ok
     blocked = {"10.1.2.3": True, "100.127.0.1": True, "8.8.8.8": False, "198.19.0.1": True, "224.0.0.1": True, "x": None}
-    assert {a: one(urls.is_blocked_address(F.lit(a))) for a in blocked} == blocked
+    assert {a: one(addresses.is_blocked(F.lit(a))) for a in blocked} == blocked
     assert one(urls.promoted(F.lit("http://x.kr/a"), F.lit("X.kr"))) == "https://x.kr/a" and one(urls.promoted(F.lit("http://y.kr/a"), F.lit("x.kr"))) == "http://y.kr/a"
 
 
+def test_urls_as_browsers_spell_them(spark):
+    want = {
+        "https://x.kr/?q=a%20b": "https://x.kr/?q=a+b", "https://x.kr/a/../b": "https://x.kr/b", "https://X.KR:443": "https://x.kr/", "https://x.kr/a/./b/%2e%2E/c/.": "https://x.kr/a/c/",
+        "http://x.kr:0080/한글 경로?x=é&A=1&a=2&b=%zz+c&utm_x=1#f": "http://x.kr/%ED%95%9C%EA%B8%80%20%EA%B2%BD%EB%A1%9C?a=2&A=1&b=%25zz+c&x=%C3%A9", "https://0x7f.1/": "https://127.0.0.1/",
+        "https://[::ffff:7f00:1]/x": "https://[::ffff:7f00:1]/x", "https://[2001:DB8:0:0:1:0:0:1]:8443": "https://[2001:db8::1:0:0:1]:8443/", "https://bücher.example/": "https://xn--bcher-kva.example/",
+        "https://x.kr\\a\\b": "https://x.kr/a/b", "  https:/x.kr/\n": "https://x.kr/", "mailto:a@b": None, "https://1.2.3.4.5/": None, "https://x.kr:99999/": None, "https://[::1": None,
+        "https://x.kr/?a&b=&": "https://x.kr/?a=&b=", "https://x.kr/?q=%E9&p=%F0%9F%98%80": "https://x.kr/?p=%F0%9F%98%80&q=%EF%BF%BD", "https://": None, "": None,
+    }
+    rows = spark.createDataFrame([(u,) for u in [*want, None]], "u string")
+    assert {r.u: r.c for r in rows.select("u", urls.canonical_url(F.col("u")).alias("c")).collect()} == {**want, None: None}
+    private = ["https://0x7f.1/", "https://2130706433/", "https://0177.0.0.1/", "https://[::ffff:7f00:1]/", "https://[fe80::1]/", "https://ＬＯＣＡＬＨＯＳＴ/", "https://a.localhost./", "https://[::]/"]
+    public = ["https://[::ffff:8.8.8.8]/", "https://[2606:4700::1111]/", "https://8.8.8.8/", "https://8.8.8.8.kr/"]
+    rows = spark.createDataFrame([(u,) for u in private + public], "u string")
+    assert {r.u for r in rows.filter(urls.is_fetchable(F.col("u"))).collect()} == set(public)
+
+
+def test_relative_urls(spark):
+    base = "https://x.kr/a/feed.xml?v=1#f"
+    want = {"b": "https://x.kr/a/b", "/b": "https://x.kr/b", "../b?c": "https://x.kr/b?c", "//y.kr/b": "https://y.kr/b", "?w": "https://x.kr/a/feed.xml?w", "": "https://x.kr/a/feed.xml?v=1", "#g": "https://x.kr/a/feed.xml?v=1#g", "http://z.kr": "http://z.kr/", "ftp://z.kr": "ftp://z.kr/"}
+    rows = spark.createDataFrame([(u,) for u in want], "u string")
+    assert {r.u: r.c for r in rows.select("u", urls.resolved(F.col("u"), F.lit(base)).alias("c")).collect()} == want
+
+
+def test_addresses(spark):
+    import ipaddress
+    import random
+
+    rnd = random.Random(4)
+    blocked = ["4000::1", "64:ff9b::7f00:1", "0:0:0:0:0:ffff:7f00:1", "0:0::1", "::127.0.0.1", "fec0::1", "2001:db8::1", "[::1]", "fe80::1%eth0", "::", "203.0.113.255", "::ffff:10.0.0.1"]
+    public = ["::ffff:8.8.8.8", "2606:4700::1111", "2001:4860:4860:0:0:0:0:8888", "1.2.3.4", "203.0.114.0", "2001::"]
+    none = ["01.2.3.4", "256.1.1.1", "1::2::3", "g::1", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "::1.2.3", "1:2:3:4:5:6:7:8::", "", "a", "12345::1", "::ffff:1.2.3.4.5"]
+    rows = spark.createDataFrame([(a,) for a in [*blocked, *public, *none, None]], "a string")
+    got = {r.a: r.b for r in rows.select("a", addresses.is_blocked(F.col("a")).alias("b")).collect()}
+    assert got == dict.fromkeys(blocked, True) | dict.fromkeys(public, False) | dict.fromkeys(none) | {None: None}
+    numbers = [rnd.getrandbits(128) & ~(rnd.getrandbits(128) if rnd.random() < 0.5 else 0) & (-1 << rnd.choice([0, 16, 48, 80, 112])) & (1 << 128) - 1 for _ in range(300)]
+    spelled = [(str(i), rnd.choice([ipaddress.IPv6Address(n).compressed, ipaddress.IPv6Address(n).exploded.upper(), ":".join(f"{n >> 16 * k & 65535:x}" for k in range(7, -1, -1))])) for i, n in enumerate(numbers)]
+    rows = spark.createDataFrame(spelled, "i string, a string").select("i", addresses.ipv6_number(F.col("a")).alias("n"), addresses.ipv6_text(addresses.ipv6_groups(F.col("a"))).alias("t"))
+    for r in rows.collect():
+        n = numbers[int(r.i)]
+        assert (r.n.high % (1 << 64) << 64 | r.n.low % (1 << 64)) == n
+        if "." not in ipaddress.IPv6Address(n).compressed:
+            assert r.t == ipaddress.IPv6Address(n).compressed
+
+
 def test_dates(one):
     at = lambda s: F.lit(s).cast("timestamp")
     assert one(timeutil.kst_date(at("2026-08-13 15:00:00"))) == dt.date(2026, 8, 14)

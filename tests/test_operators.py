@@ -133,11 +133,33 @@ def test_feeds(spark):
 
 def test_feeds_that_are_no_trees_and_empty_ones(spark):
     item = "<item><title>a &nbsp; b</title><link>https://x.kr/1</link><pubDate>Thu, 13 Aug 2026 09:00:00 +0900</pubDate></item>"
-    rows = [("open", f"<rss><channel>{item}", 5), ("crossed", f"<rss><channel>{item}</rss></channel>", 5), ("empty", "<rss><channel></channel></rss>", 5), ("good", f"<rss><channel>{item}</channel></rss>", 5), ("null", None, 5)]
+    rows = [("open", f"<rss><channel>{item}", 5), ("crossed", f"<rss><channel>{item}</rss></channel>", 5), ("empty", "<rss><channel><title>t</title></channel></rss>", 5), ("hollow", "<rss><channel></channel></rss>", 5), ("twice", "<rss><channel><title/></channel><channel><title/></channel></rss>", 5), ("loose", f"<rss><channel>{item.replace('&nbsp;', '&')}</channel></rss>", 5), ("good", f"<rss><channel>{item}</channel></rss>", 5), ("null", None, 5)]
     frame = spark.createDataFrame([(s, b, "https://x.kr", "evidence", "pub", m, dt.datetime(2026, 8, 14)) for s, b, m in rows], "source_id string, body string, site_url string, content_use string, publisher string, max_items int, discovered_at timestamp")
     items = feeds.parsed_feeds(frame)
-    assert {(r.source_id, r.item_index, r.issue) for r in items.collect()} == {(s, -1, "INVALID_SOURCE_DATA") for s in ("open", "crossed", "null")} | {("good", 0, None)}
-    assert {r.source_id: (r.items, r.status) for r in feeds.outcomes(items, frame).collect()} == {"open": (0, "failed"), "crossed": (0, "failed"), "null": (0, "failed"), "empty": (0, "succeeded"), "good": (1, "succeeded")}
+    assert {(r.source_id, r.item_index, r.issue) for r in items.collect()} == {(s, -1, "INVALID_SOURCE_DATA") for s in ("open", "crossed", "null", "hollow", "twice", "loose")} | {("good", 0, None)}
+    assert {r.source_id: (r.items, r.status) for r in feeds.outcomes(items, frame).collect()} == {"open": (0, "failed"), "crossed": (0, "failed"), "null": (0, "failed"), "hollow": (0, "failed"), "twice": (0, "failed"), "loose": (0, "failed"), "empty": (0, "succeeded"), "good": (1, "succeeded")}
+
+
+def test_feeds_are_trees(spark):
+    when, link = "<pubDate>Thu, 13 Aug 2026 09:00:00 +0900</pubDate>", "<link>https://x.kr/1</link>"
+    items = {
+        "nested": (f"<item><source><title>wrong</title></source><title>right</title>{link}{when}</item>", "right", None, None),
+        "cdata": (f"<item><title>a</title>{link}{when}<description><![CDATA[x</item>y &amp; <b>z</b>]]></description></item>", "a", "xy & z", None),
+        "comment": (f"<!-- <item><title>no</title></item> --><item><title>a <!-- b --> c</title>{link}{when}</item>", "ac", None, None),
+        "twice": (f"<item><title>a</title><title>b</title>{link}{when}<description>d</description><description>e</description><summary>f</summary></item>", None, "f", "ITEM_SKIPPED"),
+        "prefix": (f"<item><media:title>no</media:title><title>a &lt;i&gt;b&lt;/i&gt;</title><atom:link href='https://no.kr'/>{link}{when}</item>", "a b", None, None),
+        "deep": (f"<image><item><title>no</title></item></image><item><title>a</title>{link}{when}</item>", "a", None, None),
+        "author": (f"<item><title>a</title>{link}{when}<author><name>kim</name></author><dc:creator>lee</dc:creator></item>", "a", None, None),
+        "mixed": (f"<item><title>one <b>two</b> three</title>{link}{when}</item>", "onethree", None, None),
+        "links": (f"<item><title>a</title><link rel='self' href='https://no.kr/'/><link rel='alternate' href='../1?a=1&amp;b=2'/>{when}</item>", "a", None, None),
+    }
+    rows = [(k, f"\ufeff<?xml version='1.0' encoding='utf-8'?>\n<rss version='2.0'><channel>{x[0]}</channel></rss>", "https://x.kr", "https://x.kr/f/feed", "evidence", "pub", 9, dt.datetime(2026, 8, 14)) for k, x in items.items()]
+    frame = spark.createDataFrame(rows, "source_id string, body string, site_url string, feed_url string, content_use string, publisher string, max_items int, discovered_at timestamp")
+    got = {r.source_id: r for r in feeds.parsed_feeds(frame).collect()}
+    assert len(got) == len(items)
+    for k, (_, title, excerpt, issue) in items.items():
+        assert (got[k].item_index, got[k].title, got[k].excerpt, got[k].issue) == (0, title, excerpt, issue), k
+    assert got["author"].author == "lee" and got["links"].original_url == "https://x.kr/1?a=1&amp;b=2" and got["prefix"].original_url == "https://x.kr/1"
 
 
 def test_bodies_with_ends_left_out(spark):
