@@ -104,10 +104,11 @@ def fit(labelled: DataFrame, prior: float = 0.5, weigh_on: int = 2000) -> Model
     """Learns from ``text`` and ``lang`` of rows with a language.
 
     The classifiers use counts of all rows. Only the weights of decoding are
-    measured on a bounded sample: the ``weigh_on`` rows with the least hash of
-    their text, equal ones in any order. None if no row has a language.
+    measured on a bounded sample: the rows of the ``weigh_on`` doc_ids with the
+    least hash, the smaller doc_id first. Their texts stay in tasks, which send
+    sums by language. None if no row has a language.
     """
-    labelled = with_text(labelled.filter(F.col("lang").isNotNull()), "lang")
+    labelled = with_text(labelled.filter(F.col("lang").isNotNull()), "doc_id", "lang")
     languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     if not languages:
         return None
@@ -119,16 +120,23 @@ def fit(labelled: DataFrame, prior: float = 0.5, weigh_on: int = 2000) -> Model
         one, zero = share[bit > 0], share[bit < 0]
         weights.append(np.log(one.mean(axis=0)) - (np.log(zero.mean(axis=0)) if len(zero) else 0))
     model = Model(languages, code, np.array(weights), np.ones_like(code))
-    hashed = F.xxhash64("text")
-    last = labelled.select(hashed.alias("h")).orderBy("h").limit(weigh_on).agg(F.max("h")).first()[0]
-    rows = labelled.filter(hashed <= last).limit(weigh_on).collect()  # only the chosen texts reach the driver
-    right, seen = np.ones_like(code), np.full((len(languages), 1), 2.0)
-    for k in range(0, len(rows), 200):
-        part = rows[k : k + 200]
-        lang = np.array([languages.index(r["lang"]) for r in part])
-        hit = model.margins(text_array(pa.array([r["text"] for r in part], pa.large_string()))) * code[lang] > 0
-        np.add.at(right, lang, hit)
-        np.add.at(seen, lang, 1)
+    chosen = labelled.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(weigh_on)  # ids alone
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        right, seen = np.zeros(code.shape, np.int64), np.zeros(len(code), np.int64)
+        for batch in slices(batches):
+            lang = np.array([place[x] for x in batch.column("lang").to_pylist()])
+            np.add.at(right, lang, model.margins(text_array(batch.column("text"))) * code[lang] > 0)
+            np.add.at(seen, lang, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(code))), pa.array(seen), pa.array(right.tolist(), pa.list_(pa.int64()))], names=["lang", "seen", "right"])
+
+    place = {x: i for i, x in enumerate(languages)}
+    right, seen = np.ones(code.shape), np.full((len(languages), 1), 2.0)
+    each = labelled.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(weigh, "lang long, seen long, right array<long>")
+    bits = [F.sum(F.col("right")[k]).alias(f"b{k}") for k in range(code.shape[1])]
+    for r in each.groupBy("lang").agg(F.sum("seen").alias("seen"), *bits).collect():  # a row for each language
+        seen[r.lang] += r.seen
+        right[r.lang] += [r[f"b{k}"] for k in range(code.shape[1])]
     trust = np.clip(right / seen, 0.05, 1)
     model.trust = trust / trust.sum(axis=1, keepdims=True) * code.shape[1]
     return model
@@ -138,7 +146,9 @@ def predicted(docs: DataFrame, model: Model | None, lead: float = 1.0) -> DataFr
     """doc_id, lang_pred, score (0 to 1) and ``ambiguous`` of every document, from its whole text only.
 
     ``und`` with score 0 if the text is null, has no letter, or nothing was
-    learned. Equal texts get equal rows; other columns are never read.
+    learned; a text with a letter and no trigram of one goes by the decoder's
+    weights alone. Texts of any length are read whole; equal texts get equal
+    rows; an empty table gives no row; other columns are never read.
     """
     letters = F.col("text").rlike("\\p{L}").alias("letters")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean"

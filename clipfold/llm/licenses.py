@@ -8,9 +8,6 @@ looked up; there is no fuzzy match.
 
 from __future__ import annotations
 
-import hashlib
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,24 +51,17 @@ KNOWN = (
 )
 
 
-def canonical_words(text: str) -> str:
-    """The canonical form, for the known texts."""
-    lines = [x for x in text.lower().split("\n") if not re.match(COPYRIGHT.replace(r"\p{L}\p{N}", "a-z0-9"), x)]
-    out = re.sub("[^a-z0-9]+", " ", " ".join(lines)).strip()
-    for a, b in EQUAL:
-        out = out.replace(a, b)
-    return out
-
-
 def _canonical(text: Column) -> Column:
-    out = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+    """Words in single blanks, and equal spellings of whole words alike; for texts that are looked up and known ones."""
+    out = F.concat(F.lit("  "), F.replace(F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " ")), F.lit(" "), F.lit("  ")), F.lit("  "))
     for a, b in EQUAL:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+        out = F.replace(out, F.lit(_words(a)), F.lit(_words(b)))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
-def known_digests() -> list[tuple[str, str]]:
-    return sorted({(hashlib.sha256(canonical_words(text).encode()).hexdigest(), name) for name, text in KNOWN})
+def _words(spelling: str) -> str:
+    """A spelling as whole words: one blank of its own at each end."""
+    return f" {spelling.replace(' ', '  ')} "
 
 
 def _whole(text: str) -> Column:
@@ -92,34 +82,37 @@ def scanned(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     and size; without it the list of this module, which has no whole text of
     the Apache, GNU, Mozilla and Creative Commons licences. Blank lines match nothing, nor does a null or empty text; repeated rows
     match each for themselves; a digest that ``known`` has for several licences
-    gives a row for each.
+    gives a row for each; texts of any length are read whole; an empty
+    table gives no row; further columns of ``docs`` are not read.
     """
     every = with_text(docs, "doc_id").select("doc_id", F.split(F.lower("text"), "\n").alias("lines"), _whole("text").alias("whole"))
     each = F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), F.when(~x.rlike(COPYRIGHT), F.sha2(_canonical(x), 256)).alias("digest")))
     units = every.select("doc_id", F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("line_no"), F.sha2("whole", 256).alias("digest"))), each)).alias("u"))
     if known is None:
         # The known texts are a list in this module.
-        digests = F.broadcast(docs.sparkSession.createDataFrame(known_digests(), "digest string, license_id string"))
+        digests = F.broadcast(digested(docs.sparkSession.createDataFrame(KNOWN, "license_id string, text string")))
     else:
         digests = digested(known)
     return units.select("doc_id", "u.line_no", "u.digest").join(digests, "digest").select("doc_id", "line_no", "license_id", "digest")
 
 
 def scan_sql() -> str:
-    """The same rows from DuckDB."""
+    """The same rows from DuckDB, which brings the known texts to their form itself."""
     drop = f"regexp_matches(x, '{COPYRIGHT}')"
-    form = lambda x: _nested(f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))")
-    known = ", ".join(f"('{d}', '{n}')" for d, n in known_digests())
+
+    def form(x: str) -> str:
+        out = f"'  ' || replace(trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ', '  ') || '  '"
+        for a, b in EQUAL:
+            out = f"replace({out}, '{_words(a)}', '{_words(b)}')"
+        return f"trim(replace({out}, '  ', ' '))"
+
+    whole = lambda lines: form("array_to_string(list_filter(" + lines + ", lambda x: NOT " + drop + "), ' ')")
+    known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
     return f"""
-    WITH known(digest, license_id) AS (VALUES {known}),
+    WITH texts(license_id, text) AS (VALUES {known}),
+    known AS (SELECT DISTINCT sha256(form) AS digest, license_id FROM (SELECT license_id, {whole("string_split(lower(text), chr(10))")} AS form FROM texts) WHERE form <> ''),
     l AS (SELECT doc_id, string_split(lower(coalesce(text, '')), chr(10)) AS lines FROM documents),
     e AS (SELECT doc_id, unnest(lines) AS x, generate_subscripts(lines, 1) - 1 AS line_no FROM l),
     u AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, sha256({form("x")}) AS digest FROM e WHERE NOT {drop}
-          UNION ALL SELECT doc_id, -1, sha256({form("array_to_string(list_filter(lines, lambda x: NOT " + drop + "), ' ')")}) FROM l)
+          UNION ALL SELECT doc_id, -1, sha256({whole("lines")}) FROM l)
     SELECT doc_id, line_no, license_id, digest FROM u JOIN known USING (digest)"""
-
-
-def _nested(x: str) -> str:
-    for a, b in EQUAL:
-        x = f"replace({x}, '{a}', '{b}')"
-    return x

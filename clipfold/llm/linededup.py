@@ -19,6 +19,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from clipfold.llm.arrowtext import mix, raw_bytes, slices, text_array, windows
 from clipfold.llm.linkage import linked
@@ -90,6 +91,11 @@ class Lines:
         whole, digest = memoryview(data), xxhash.xxh3_64_intdigest
         self.node = np.fromiter((digest(whole[a:b]) for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)), dtype=np.uint64, count=len(self.start)).view(np.int64)
 
+    def second(self) -> np.ndarray:
+        """Another hash of each line, so that different lines that share ``node`` can be told apart."""
+        whole, digest = memoryview(self.data), xxhash.xxh64_intdigest
+        return np.fromiter((digest(whole[a:b], 7) for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)), dtype=np.uint64, count=len(self.start)).view(np.int64)
+
     def keys(self, most: int, per: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """(key, node) of every line: all keys under which it probes, twice a hash, and one more for those of its own segments, its index."""
         if not len(self.start):
@@ -177,15 +183,15 @@ def _banded(long: list[str], short: list[str], m: np.ndarray, n: np.ndarray, mos
 
 
 def occurrences(docs: DataFrame, least: int) -> DataFrame:
-    """node, doc_id and line_no of every line of ``least`` characters or more."""
+    """node, second (another hash of the line), doc_id and line_no of every line of ``least`` characters or more."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             lines = Lines(text_array(batch.column("text")), least)
-            yield pa.RecordBatch.from_arrays([pa.array(lines.node), batch.column("doc_id").take(pa.array(lines.owner)), pa.array(lines.number.astype(np.int32))], names=["node", "doc_id", "line_no"])
+            yield pa.RecordBatch.from_arrays([pa.array(lines.node), pa.array(lines.second()), batch.column("doc_id").take(pa.array(lines.owner)), pa.array(lines.number.astype(np.int32))], names=["node", "second", "doc_id", "line_no"])
 
-    return with_text(docs, "doc_id").mapInArrow(work, f"node long, doc_id {kind}, line_no int")
+    return with_text(docs, "doc_id").mapInArrow(work, f"node long, second long, doc_id {kind}, line_no int")
 
 
 def candidates(docs: DataFrame, most: int, least: int, per: int = 0, together: int = 2_500_000) -> DataFrame:
@@ -336,12 +342,15 @@ def deduplicated(docs: DataFrame, most: int = 2, least: int = 40, per: int = 0,
     an empty table stays empty.
     """
     lines = saved(occurrences(docs, 1 if short else least), "places")
-    found = lines.join(line_classes(docs, lines, most, least, per), "node", "left").select(F.coalesce("component", "node").alias("kind"), F.struct("doc_id", "line_no").alias("place"))
-    first = found.groupBy("kind").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select("kind", "first")
-    gone = saved(found.join(first, "kind").filter("place > first").groupBy("place.doc_id").agg(F.collect_set("place.line_no").alias("__gone")), "gone")
+    found = lines.join(line_classes(docs, lines, most, least, per), "node", "left")
+    # Lines that are near no other are equal if both hashes are; together they have 128 bits.
+    found = found.select(F.coalesce("component", "node").alias("kind"), F.when(F.col("component").isNull(), F.col("second")).alias("second"), F.struct("doc_id", "line_no").alias("place"))
+    first = found.groupBy("kind", "second").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last").select("kind", F.col("second").alias("also"), "first")
+    later = found.join(first, (found.kind == first.kind) & found.second.eqNullSafe(F.col("also"))).filter("place > first")
+    gone = saved(later.groupBy("place.doc_id").agg(F.collect_set("place.line_no").alias("__gone")), "gone")
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    more = [c for c in names if c != "doc_id"]
-    joined = squeezed(docs.withColumn("__had_text", F.col("text").isNotNull()), "doc_id", "__had_text", *more).join(gone, "doc_id", "left")
+    rest = F.struct(*(F.col(f"`{c}`") for c in names)).alias("__rest")  # the caller's columns, whatever their names
+    joined = squeezed(docs.select("doc_id", "text", F.col("text").isNotNull().alias("__had_text"), rest), "doc_id", "__had_text", "__rest").join(gone, "doc_id", "left")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = zstandard.ZstdDecompressor().decompress
@@ -355,11 +364,11 @@ def deduplicated(docs: DataFrame, most: int = 2, least: int = 40, per: int = 0,
                     out = set(drop)
                     parts = [x for k, x in enumerate(parts) if k not in out]
                 texts.append("\n".join(parts) if had else None)
-            columns = [batch.column(c) for c in names] + [pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "text", "n_lines", "n_removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("__rest"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["__rest", "text", "n_lines", "n_removed"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    out = joined.mapInArrow(rewrite, f"{fields}, text string, n_lines long, n_removed long")
+    kinds = StructType([joined.schema["__rest"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
+    out = joined.mapInArrow(rewrite, kinds)
+    own = {c: F.col("__rest").getField(c).alias(c) for c in names} | {"text": F.col("text")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*(c for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__rest.n_chars")).alias("n_chars")
+    return out.select(*(own[c] for c in docs.columns if c not in ("n_lines", "n_removed")), "n_lines", "n_removed")

@@ -150,10 +150,18 @@ def requests(stored: DataFrame, order: int, ranges: int, lower_ascii: bool = Fal
     return stored.mapInArrow(work, "hashes int, block long, n long, order int, keys binary, counts binary")
 
 
+def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the sum of each one's counts (in 32 bits if all fit, else in 64), and where each given key is among them."""
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, inverse, counts.astype(np.int64))
+    return distinct, total.astype(np.uint32) if not len(total) or total.max() < 1 << 32 else total, inverse
+
+
 def answers(asked: DataFrame) -> DataFrame:
     """Total counts for each request, in its order; and a row of statistics of words per range (block -1)."""
-    schema = "block long, hashes int, order int, counts binary, tokens long, types long, once long, twice long"
-    fields = pa.schema([("block", pa.int64()), ("hashes", pa.int32()), ("order", pa.int32()), ("counts", pa.binary()), *((c, pa.int64()) for c in ("tokens", "types", "once", "twice"))])
+    schema = "block long, hashes int, order int, counts binary, wide boolean, tokens long, types long, once long, twice long"
+    fields = pa.schema([("block", pa.int64()), ("hashes", pa.int32()), ("order", pa.int32()), ("counts", pa.binary()), ("wide", pa.bool_()), *((c, pa.int64()) for c in ("tokens", "types", "once", "twice"))])
 
     def add(table: pa.Table) -> pa.Table:
         rows: dict[str, list] = {f.name: [] for f in fields}
@@ -163,15 +171,14 @@ def answers(asked: DataFrame) -> DataFrame:
             part = table.filter(pa.array(orders == k))
             keys = np.concatenate([np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in part.column("keys").to_pylist()])
             counts = np.concatenate([unpack(x, np.uint32) for x in part.column("counts").to_pylist()])
-            distinct, inverse = np.unique(keys, return_inverse=True)
-            total = np.bincount(inverse, weights=counts).astype(np.uint32)
+            distinct, total, inverse = totals(keys, counts)
             stats = [0, 0, 0, 0]
             if k == 0:
                 seen = total[distinct != _START]
                 stats = [int(seen.sum(dtype=np.int64)), int((seen > 0).sum()), int((seen == 1).sum()), int((seen == 2).sum())]
             back = np.split(total[inverse], np.cumsum(part.column("n").to_numpy())[:-1])
             for block, found in [*zip(part.column("block").to_pylist(), back, strict=True), (-1, None)]:
-                for name, value in zip(rows, (block, here, k, None if found is None else pack(found), *stats), strict=True):
+                for name, value in zip(rows, (block, here, k, None if found is None else pack(found), total.dtype == np.int64, *stats), strict=True):
                     rows[name].append(value)
         return pa.table(rows, schema=fields)
 
@@ -212,7 +219,8 @@ def _counts(grams: Grams, table: pa.Table) -> list[np.ndarray]:
     table = table.sort_by([("order", "ascending"), ("hashes", "ascending")])
     order = table.column("order").to_numpy()
     for k in range(len(out)):
-        parts = [unpack(x, np.uint32) for x in table.filter(pa.array(order == k)).column("counts").to_pylist()]
+        mine = table.filter(pa.array(order == k))
+        parts = [unpack(x, np.int64 if wide else np.uint32) for x, wide in zip(mine.column("counts").to_pylist(), mine.column("wide").to_pylist(), strict=True)]
         if parts:
             out[k] = np.concatenate(parts).astype(np.int64)
     return out
@@ -359,7 +367,7 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, block_bytes: int =
     found = saved(answers(requests(stored, order, max(least_blocks, blocks // 2), lower_ascii)), "ngrams")
     total = found.filter("block = -1 and order = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "once", "twice"))).first()
     words = Unigrams(*total)
-    replies = found.filter("block >= 0").select("block", "hashes", "order", "counts")
+    replies = found.filter("block >= 0").select("block", "hashes", "order", "counts", "wide")
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:

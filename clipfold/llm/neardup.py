@@ -20,6 +20,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from clipfold.llm.arrowtext import Words, inside, mix, slices, sums, text_array, windows, words_of
 from clipfold.llm.linkage import linked
@@ -118,8 +119,7 @@ def squeezed(docs: DataFrame, key: str = "node", *more: str) -> DataFrame:
             bodies = [squeeze(x.encode()) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bodies, pa.binary())], names=[*names, "__body"])
 
-    fields = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in names)
-    return texts.mapInArrow(work, f"{fields}, `__body` binary")
+    return texts.mapInArrow(work, StructType([*(texts.schema[c] for c in names), StructField("__body", BinaryType())]))
 
 
 def confirmed(pairs: DataFrame, bodies: DataFrame, n: int, percent: int) -> DataFrame:

@@ -8,8 +8,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from clipfold.llm import audio, licenses, linededup, queries
+from clipfold.llm import audio, licenses, linededup, lm, queries
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -94,6 +95,27 @@ def test_pcm_is_stored(spark, monkeypatch):
         assert out[k].feature.startswith(f"samples={n};") and out[k].feature.endswith(f"peak={peak}")
 
 
+def test_licenses_replace_whole_words_alone(spark):
+    row = spark.range(1).select(*(licenses._canonical(F.lit(x)).alias(str(i)) for i, x in enumerate(["rates per century of work", "Licence, licence; LICENCE licences".lower(), "ten per cent, whilst", "x per cent per cent"]))).first()
+    assert list(row) == ["rates per century of work", "license license license licences", "ten percent while", "x percent percent"]
+
+
+def test_totals_go_beyond_32_bits():
+    keys = np.array([5, 9, 5, 5, 7], np.uint64)
+    distinct, total, inverse = lm.totals(keys, np.array([2**31, 4, 2**31, 2**31, 0], np.uint32))
+    assert distinct.tolist() == [5, 7, 9] and total.tolist() == [3 * 2**31, 0, 4] and total[inverse].tolist() == [3 * 2**31, 4, 3 * 2**31, 3 * 2**31, 0]
+    assert lm.totals(keys, np.ones(5, np.uint32))[1].dtype == np.uint32 and len(lm.totals(keys[:0], keys[:0])[1]) == 0
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    long = "a line that is long enough to be looked at by its segments"
+    rows = [(1, f"{long}\nyes", 1, b"b", [1], "r", 9, 9), (2, f"{long}s\nyes\nno", 2, b"c", [2], "s", 9, 9), (3, None, 3, b"d", None, None, 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__had_text` int, `__body` binary, `__gone` array<int>, `__rest` string, `a b.c` int, second long")
+    out = linededup.deduplicated(docs, per=80, short=True)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert [(r.doc_id, r.text, r["__had_text"], bytes(r["__body"]), r["__gone"], r["__rest"], r["a b.c"]) for r in sorted(out.collect())] == [(1, rows[0][1], 1, b"b", [1], "r", 9), (2, "no", 2, b"c", [2], "s", 9), (3, None, 3, b"d", None, None, 9)]
+
+
 def test_licenses_take_further_known_texts(spark):
     text = "Big License\nVersion 9\n\nYou may do as you like, without warranty."
     known = spark.createDataFrame([("Big-9", "Copyright 2001 Them\n" + text), ("Big-9", text.upper()), ("Blank", " \n--"), ("Note", "Under the Big Licence.")], "license_id string, text string")
