@@ -92,7 +92,8 @@ def graphemes(x: Column) -> Column:
 
 
 def truncate_graphemes(x: Column, most: int) -> Column:
-    return F.when(graphemes(x) <= most, x).otherwise(F.trim(F.regexp_extract(x, rf"^(\X{{0,{most}}})", 1)))
+    """The first ``most`` graphemes of a text without blanks at its ends. One of no more code points passes at once; of a longer one only the front is looked at."""
+    return F.when(F.length(x) <= most, x).otherwise(F.trim(F.regexp_extract(x, rf"^(\X{{0,{most}}})", 1)))
 
 
 def truncate_points(x: Column, most: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipfold.functions import text, urls
+from clipfold.operators.automata import resolved_chains
 from clipfold.operators.components import classes_by_keys
 from clipfold.plans.store import saved, saved_with
 
@@ -82,22 +83,32 @@ def upsert(batch: DataFrame, stored: DataFrame, identities: list[str], order: st
 
     A duplicate shares an identity (nulls are none) with a stored row or an
     earlier one that was inserted; only inserted rows register identities. In
-    each round all rows are decided that are the first undecided one of all
-    their identities, or share one with an inserted row.
+    each round a row is decided if it is the first undecided one of all its
+    identities, or shares one with an inserted row. A row that waits for one
+    other alone is what that one isn't: such chains are followed by doubling,
+    so that a chain of any length takes one round.
     """
-    now = saved(batch.select(order, *identities, F.lit(None).cast("string").alias("_outcome")), "upsert")
+    now = saved(batch.select(order, *identities, F.lit(None).cast("int").alias("_in")), "upsert")
     for _ in range(most):
-        df, taken, first = now, F.lit(False), F.lit(True)
+        df, taken, waits = now, F.lit(False), []
         for k in identities:
-            known = now.filter("_outcome = 'inserted'").select(k).union(stored.select(k)).filter(F.col(k).isNotNull()).distinct().withColumn(f"_s_{k}", F.lit(True))
-            least = now.filter("_outcome is null").filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_f_{k}"))
-            df = df.join(known, k, "left").join(least, k, "left")
+            known = now.filter("_in = 1").select(k).union(stored.select(k)).filter(F.col(k).isNotNull()).distinct().withColumn(f"_s_{k}", F.lit(True))
+            held = now.filter("_in is null").filter(F.col(k).isNotNull()).select(k, order)
+            first = held.groupBy(k).agg(F.min(order).alias(f"_f_{k}"))
+            second = held.join(first, k).filter(F.col(order) > F.col(f"_f_{k}")).groupBy(k).agg(F.min(order).alias(f"_g_{k}"))
+            df = df.join(known, k, "left").join(first.join(second, k, "left"), k, "left")
             taken = taken | F.coalesce(F.col(f"_s_{k}"), F.lit(False))
-            first = first & (F.col(k).isNull() | (F.col(f"_f_{k}") == F.col(order)))
-        outcome = F.coalesce("_outcome", F.when(taken, "duplicate").when(first, "inserted"))
-        now, left = saved_with(df.select(order, *identities, outcome.alias("_outcome")), "upsert", F.count_if(F.col("_outcome").isNull()).alias("n"))
+            # What the row waits for: nothing, the first holder, or several (the row itself stands for these).
+            waits.append(F.when(F.col(k).isNull() | (F.col(f"_f_{k}") == F.col(order)), None).when(F.col(f"_g_{k}") == F.col(order), F.col(f"_f_{k}")).otherwise(F.col(order)))
+        for_whom = F.array_distinct(F.array_compact(F.array(*waits)))
+        open_ = F.col("_in").isNull() & ~taken
+        chained = open_ & (F.size(for_whom) == 1) & (for_whom[0] != F.col(order))
+        outcome = F.coalesce("_in", F.when(taken, 0).when(F.size(for_whom) == 0, 1))
+        step = saved(df.select(order, *identities, outcome.cast("int").alias("_in"), F.when(chained, for_whom[0]).alias("_to"), F.lit(1).alias("_flip")), "upsert")
+        now, left = saved_with(resolved_chains(step, order, "_in", "_to", "_flip").select(order, *identities, "_in"), "upsert", F.count_if(F.col("_in").isNull()).alias("n"))
         if not left["n"]:
-            return batch.join(now.select(order, F.col("_outcome").alias("outcome")), order).select(*batch.columns, "outcome")
+            outcome = F.when(F.col("_in") == 1, "inserted").otherwise("duplicate")
+            return batch.join(now.select(order, outcome.alias("outcome")), order).select(*batch.columns, "outcome")
     raise RuntimeError(f"rows were left undecided after {most} rounds")
 
 

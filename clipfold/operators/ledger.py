@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipfold.operators.automata import moves, states_before
+
 #: Tokens reserved for framing, and dollars per million tokens in and out.
 FRAMING, IN_PRICE, OUT_PRICE = 16_384, "1.5", "9"
 
@@ -90,3 +92,82 @@ def prepared(intents: DataFrame, ledger_rows: DataFrame, run: str, call: str, li
     fits = F.coalesce("committed_cost", F.lit(0)) + F.col("reserved_cost") <= limit
     verdict = F.when(F.col("_f").isNull(), F.when(fits, "prepared").otherwise("blocked")).when(F.col("_f") != F.col("fingerprint"), "conflict").otherwise(F.col("_s"))
     return rows.withColumn("verdict", verdict).drop("_f", "_s", "committed_cost")
+
+
+#: States of a call in the ledger, and what each kind of event makes of them: a request, or the end of a call with its audit,
+#: that equals the one on record or differs from it; no_audit is an end without a valid audit.
+NONE, RESERVED, COMPLETED = range(3)
+MOVES = {"prepare": (RESERVED, RESERVED, COMPLETED), "finalize": (NONE, COMPLETED, COMPLETED)}
+#: The outcome of each kind of event by the state that it finds.
+OUTCOMES = {
+    "prepare": ("prepared", "reserved", "completed"),
+    "prepare_other": ("INVOCATION_CONFLICT", "INVOCATION_CONFLICT", "INVOCATION_CONFLICT"),
+    "finalize": ("INVOCATION_NOT_FOUND", "completed", "already_completed"),
+    "finalize_other": ("INVOCATION_NOT_FOUND", "INVOCATION_CONFLICT", "INVOCATION_CONFLICT"),
+    "no_audit": ("INVOCATION_NOT_FOUND", "INVALID_INVOCATION_AUDIT", "INVOCATION_CONFLICT"),
+}
+
+
+def transitions(events: DataFrame, call: list[str], order: str, chunk: int = 200) -> DataFrame:
+    """``events`` with the state that each finds in the ledger and its outcome.
+
+    ``events``: the call's identity, ``order`` (whole numbers from 0, each once a
+    call), action (prepare or finalize), request (a fingerprint), audit (of a
+    finalize; null if it isn't valid) and refused (the error of a lease that
+    didn't hold, else null). The first request that isn't refused reserves the
+    call; the first end with that request and a valid audit completes it; equal
+    ones are replayed, others are conflicts, and what is refused changes
+    nothing.
+    """
+    valid = F.col("refused").isNull()
+    asked = events.filter(valid & (F.col("action") == "prepare")).groupBy(*call).agg(F.min(F.struct(F.col(order).alias("at"), "request")).alias("_asked"))
+    rows = events.join(asked, call, "left")
+    ends = valid & (F.col("action") == "finalize") & F.col("audit").isNotNull() & (F.col("request") == F.col("_asked.request")) & (F.col(order) > F.col("_asked.at"))
+    done = rows.filter(ends).groupBy(*call).agg(F.min(F.struct(F.col(order).alias("at"), "audit")).alias("_done"))
+    same = F.coalesce(F.col("request") == F.col("_asked.request"), F.lit(False))
+    finalize = F.when(~same, "finalize_other").when(F.col("audit").isNull(), "no_audit").when(F.coalesce(F.col("audit") == F.col("_done.audit"), F.lit(True)), "finalize").otherwise("finalize_other")
+    kind = F.when(~valid, "refused").when(F.col("action") == "prepare", F.when(same, "prepare").otherwise("prepare_other")).otherwise(finalize)
+    told = rows.join(done, call, "left").select(*events.columns, kind.alias("_kind"))
+    found = states_before(told.withColumn("_move", moves(F.col("_kind"), MOVES)), call, order, "_move", 3, NONE, chunk)
+    outcome = F.col("refused")
+    for name, by in OUTCOMES.items():
+        outcome = F.when(F.col("_kind") == name, F.element_at(F.array(*map(F.lit, by)), F.col("state") + 1)).otherwise(outcome)
+    state = F.element_at(F.array(*map(F.lit, ("none", "reserved", "completed"))), F.col("state") + 1)
+    return found.select(*events.columns, state.alias("found"), outcome.alias("outcome"))
+
+
+def journal_regressions(journal: DataFrame, run: str, fixed: list[str]) -> DataFrame:
+    """run, revision and what in a revision doesn't follow from the one before: REVISION, USAGE, ATTEMPTS, STEPS, REASON, DEFINITION, TIME.
+
+    ``journal``: run, revision, usage (a struct of growing numbers, and
+    has_unpriced_calls), attempts (an array), steps (structs with stage and
+    status), terminal_reason, updated_at and the ``fixed`` columns of the run's
+    definition. Attempts are a prefix of those of the next revision, steps that
+    succeeded stay as they are, and the order of stages is part of the
+    definition. A revision is joined with its predecessor's number, so a long
+    run is not sorted; REVISION: there is no such predecessor, and it isn't the
+    first of its run.
+    """
+    columns = ["usage", "attempts", "steps", "terminal_reason", "updated_at", *fixed]
+    before = journal.select(run, (F.col("revision") + 1).alias("revision"), F.struct(*columns).alias("_p"))
+    first = journal.groupBy(run).agg(F.min("revision").alias("_first"))
+    rows = journal.join(first, run).join(before, [run, "revision"], "left")
+    p = F.col("_p")
+    less = F.lit(False)
+    for f in journal.schema["usage"].dataType.names:
+        if f == "has_unpriced_calls":
+            less = less | (p["usage"][f] & ~F.col(f"usage.{f}"))
+        else:
+            less = less | (F.col(f"usage.{f}") < p["usage"][f])
+    stages = lambda steps: F.transform(steps, lambda s: s["stage"])
+    kept = F.forall(p["steps"], lambda s: (s["status"] != "succeeded") | F.exists("steps", lambda t: t.eqNullSafe(s)))
+    defined = stages(p["steps"]).eqNullSafe(stages(F.col("steps")))
+    for c in fixed:
+        defined = defined & F.col(c).eqNullSafe(p[c])
+    has = p.isNotNull()
+    found = [
+        ("REVISION", ~has & (F.col("revision") > F.col("_first"))), ("USAGE", has & less), ("ATTEMPTS", has & ~F.slice("attempts", F.lit(1), F.size(p["attempts"])).eqNullSafe(p["attempts"])), ("STEPS", has & ~kept),
+        ("REASON", has & p["terminal_reason"].isNotNull() & ~F.col("terminal_reason").eqNullSafe(p["terminal_reason"])), ("DEFINITION", has & ~defined), ("TIME", has & (F.col("updated_at") < p["updated_at"])),
+    ]
+    issues = F.array_compact(F.array(*(F.when(F.coalesce(wrong, F.lit(False)), F.lit(name)) for name, wrong in found)))
+    return rows.select(run, "revision", issues.alias("violations")).filter(F.size("violations") > 0)

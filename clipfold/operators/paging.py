@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clipfold.functions.text import base64url, from_base64url
+from clipfold.operators.automata import numbered
 
 SIZE, VERSION = 12, "v1"
 
@@ -50,11 +51,20 @@ def by_slug(rows: DataFrame, slug: str) -> DataFrame:
     return rows.filter(F.col("slug") == slug).limit(2)
 
 
-def order_violations(rows: DataFrame, at: str, key: str, place: str) -> DataFrame:
-    """Rows, in the order of ``place``, that don't come strictly after the one before them."""
-    w = Window.orderBy(place)
-    before = F.struct(F.lag(at).over(w).alias("a"), F.lag(key).over(w).alias("k"))
-    return rows.withColumn("_b", before).filter(F.col("_b.a").isNotNull() & (F.struct(F.col(at).alias("a"), F.col(key).alias("k")) >= F.col("_b"))).drop("_b")
+def order_violations(rows: DataFrame, at: str, key: str, place: str, parts: int = 0) -> DataFrame:
+    """Rows, in the order of ``place``, that don't come strictly after the one before them.
+
+    Rows are compared within ranges of ``place`` (``parts`` of them; 0: as many
+    as shuffles have); where two ranges meet, the last row of the earlier one
+    comes from a table of a row for each range.
+    """
+    ranges = numbered(rows, [place], parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = F.struct(F.col(at).alias("a"), F.col(key).alias("k"))
+    last = ranges.groupBy("_part").agg(F.max_by(own, place).alias("_l"))
+    seams = last.select("_part", F.lag("_l").over(Window.orderBy("_part")).alias("_seam"))  # a row for each range
+    before = F.coalesce(F.lag(own).over(Window.partitionBy("_part").orderBy(place)), F.col("_seam"))
+    out = ranges.join(F.broadcast(seams), "_part").withColumn("_b", before)
+    return out.filter(F.col("_b.a").isNotNull() & (own >= F.col("_b"))).drop("_b", "_seam", "_part")
 
 
 def empty_like(spark: SparkSession, rows: DataFrame) -> DataFrame:
