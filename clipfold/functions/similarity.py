@@ -15,11 +15,14 @@ def dice(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))
 
 
+#: Similarities from the highest, and the novelty of what reaches them.
+NOVELTY = ((0.95, 0.0), (0.8, 0.1), (0.65, 0.25), (0.45, 0.55), (0.25, 0.8))
+
+
 def novelty(similarity: Column) -> Column:
     """Fixed steps from the highest similarity to history; no history is new."""
-    steps = ((0.95, 0.0), (0.8, 0.1), (0.65, 0.25), (0.45, 0.55), (0.25, 0.8))
     out = F.when(similarity.isNull(), 1.0)
-    for least, value in steps:
+    for least, value in NOVELTY:
         out = out.when(similarity >= least, value)
     return out.otherwise(1.0)
 

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipfold.functions.similarity import clamp, dice, jaccard, novelty
+from clipfold.functions.similarity import NOVELTY, clamp, dice, jaccard, novelty
 from clipfold.functions.text import bigrams, bound, tokens
+from clipfold.plans.store import saved
 
 #: Category, phrase and weight. Equal phrases of other case are entries of their own and count twice.
 TAXONOMY = (
@@ -322,10 +323,12 @@ def similar_pairs(left: DataFrame, right: DataFrame, measure: str, least: float)
     for kind, field in (("jaccard", "t"), ("dice", "b")):
         if measure in (kind, "greatest"):
             share = least if kind == "jaccard" else least / (2 - least)  # of a set's elements, that the other one must have
+            # Elements that few right titles have come first; those that none has lead to nothing.
+            often = two.select(F.explode(field).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("often"))
             sides = []
             for side in (one, two):
-                flat = side.select("title", F.size(field).alias("n"), F.explode(field).alias("g"))
-                place = F.row_number().over(Window.partitionBy("title").orderBy(F.xxhash64("g"), "g"))
+                flat = side.select("title", F.size(field).alias("n"), F.explode(field).alias("g")).join(often, "g", "left")
+                place = F.row_number().over(Window.partitionBy("title").orderBy(F.coalesce("often", F.lit(0)), F.xxhash64("g"), "g"))
                 sides.append(flat.withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * share) + 1).select("title", "g"))
             keyed.append(sides[0].toDF("left_title", "g").join(sides[1].toDF("right_title", "g"), "g").select("left_title", "right_title"))
     pairs = (keyed[0] if len(keyed) == 1 else keyed[0].union(keyed[1])).distinct()
@@ -333,11 +336,31 @@ def similar_pairs(left: DataFrame, right: DataFrame, measure: str, least: float)
     return whole.select("left_title", "right_title", of(F.col("l"), F.col("r")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
+#: Similarities at which novelty changes, from the highest.
+STEPS = tuple(least for least, _ in NOVELTY)
+
+
+def best_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left_title and the highest similarity to a right title, of those that have the lowest of ``STEPS`` or more.
+
+    Beyond ``FEW`` right titles it goes down a ladder: titles that have a right
+    one at a step are done, and only the others look at the next, which shares
+    more elements and so meets more titles.
+    """
+    few = right.select("title").distinct().count() <= FEW
+    found = None
+    for least in (STEPS[-1:] if few else STEPS):
+        best = similar_pairs(left, right, "greatest", least).groupBy("left_title").agg(F.max("similarity").alias("similarity"))
+        best = best if few else saved(best, "similar")
+        left = left.join(best.select(F.col("left_title").alias("title")), "title", "left_anti")
+        found = best if found is None else found.union(best)
+    return found
+
+
 def novelty_by_article(articles: DataFrame, history: DataFrame, node: str) -> DataFrame:
-    """Novelty of each article against titles (normalized_title) and fingerprints (content_fingerprint) of history."""
+    """Novelty of each article against titles (normalized_title) and fingerprints (content_fingerprint) of history, and its highest similarity (0 below the lowest step)."""
     titles = lambda df: df.select(F.col("normalized_title").alias("title"))
-    pairs = similar_pairs(titles(articles), titles(history), "greatest", 1e-9)
-    best = pairs.groupBy(F.col("left_title").alias("normalized_title")).agg(F.max("similarity").alias("similarity"))
+    best = best_similarity(titles(articles), titles(history)).withColumnRenamed("left_title", "normalized_title")
     seen = history.select("content_fingerprint").filter("content_fingerprint is not null").distinct().withColumn("seen", F.lit(True))
     known = history.limit(1).count() > 0
     joined = articles.join(best, "normalized_title", "left").join(seen, "content_fingerprint", "left")

@@ -197,7 +197,7 @@ SIM = f"""{HIST}, df AS (SELECT nt, list_distinct(list_filter(string_split(nt, '
 NOV = "CASE WHEN s >= 0.95 THEN 0.0 WHEN s >= 0.8 THEN 0.1 WHEN s >= 0.65 THEN 0.25 WHEN s >= 0.45 THEN 0.55 WHEN s >= 0.25 THEN 0.8 ELSE 1.0 END"
 
 
-@query(f"WITH {SIM} SELECT doc_id, {R6.format('s')} AS similarity, CAST({NOV} AS DOUBLE) AS novelty FROM (SELECT doc_id, {NT} AS nt FROM documents) JOIN m USING (nt)")
+@query(f"WITH {SIM} SELECT doc_id, CASE WHEN s >= 0.25 THEN {R6.format('s')} ELSE 0.0 END AS similarity, CAST({NOV} AS DOUBLE) AS novelty FROM (SELECT doc_id, {NT} AS nt FROM documents) JOIN m USING (nt)")
 def novelty_signal(spark, sf_dir):
     rows = titled(spark, sf_dir).withColumn("content_fingerprint", F.sha2(F.concat_ws("\n", "source", "normalized_title"), 256))
     history = table(spark, sf_dir, "benchmark").select(text.normalize_title(title()).alias("normalized_title"), F.lit(None).cast("string").alias("content_fingerprint"))

@@ -295,6 +295,18 @@ def test_ancestors_of_a_long_chain_and_a_circle(spark):
     assert {r.output_reference for r in out if r.cyclic} == {"x", "y", "z"}
 
 
+def test_novelty_down_the_ladder(spark, monkeypatch):
+    rnd = random.Random(9)
+    words = ["ai", "school", "law", "교육", "안전", "ban", "robot", "art", "teacher", "policy", "budget", "exam"]
+    past = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 7))) for _ in range(80)]
+    new = [*past[:5], "", *(" ".join([*p.split()[:-1], rnd.choice(words), "zz" * rnd.randint(0, 9)]).strip() for p in past[5:40]), "qqqq wwww"]
+    frame = lambda names: spark.createDataFrame([(i, x, None) for i, x in enumerate(names)], "id long, normalized_title string, content_fingerprint string")
+    direct = {r.id: (r.similarity, r.novelty) for r in signals.novelty_by_article(frame(new), frame(past), "id").collect()}
+    monkeypatch.setattr(signals, "FEW", 3)
+    ladder = {r.id: (r.similarity, r.novelty) for r in signals.novelty_by_article(frame(new), frame(past), "id").collect()}
+    assert ladder == direct and len(direct) == len(new) and len({x for _, x in direct.values()}) >= 4
+
+
 @pytest.mark.parametrize("measure", ["jaccard", "dice", "greatest"])
 def test_similar_pairs_both_ways(spark, monkeypatch, measure):
     rnd = random.Random(4)
