@@ -338,8 +338,9 @@ def deduplicated(docs: DataFrame, most: int = 2, least: int = 40, per: int = 0,
     if ``short``, and else are left alone; blank lines and blanks at the ends
     of others stay;
     ``n_chars`` follows, where there is such a column. A null text stays null
-    and an empty one empty; rows of one doc_id that repeat keep the same lines;
-    an empty table stays empty.
+    and an empty one empty; texts and lines of any length are read whole; rows
+    of one doc_id that repeat keep the same lines; columns of ``docs`` may have
+    any name; an empty table stays empty.
     """
     lines = saved(occurrences(docs, 1 if short else least), "places")
     found = lines.join(line_classes(docs, lines, most, least, per), "node", "left")

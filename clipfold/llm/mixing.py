@@ -190,8 +190,11 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] | N
     """row, doc_id, n_tokens, domain (the likeliest), posterior, rate and copies of every document of ``docs``.
 
     ``copies`` is the rate rounded up or down by a draw from the id's hash.
-    Null and empty texts count one token; repeated rows get equal rates; labels
-    of other documents are not used; without any label all rates are 1.
+    Null and empty texts count one token; texts of any length are read whole;
+    repeated rows get equal rates; labels of other documents are not used;
+    without any label all rates are 1; an empty table gives no row; further
+    columns are not read. Rates are those of ``fit_rates``'s last step, which
+    may be short of the least squares where targets conflict.
     """
     model = fit_domains(docs, labelled)
     domains = model.domains if model else ["all"]

@@ -221,8 +221,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5, banding: Ban
 
     Texts are lower-cased (A-Z). A null text, an empty one or one without words
     has an empty set, links with nothing and is its own component; equal sets
-    are one node, whatever their number; repeated rows get equal rows; other
-    columns are not read. ``doc_id`` identifies a text.
+    are one node, whatever their number; repeated rows get equal rows; texts of
+    any length are read whole; an empty table gives no row; other columns are
+    not read. ``doc_id`` identifies a text.
     """
     signatures = saved(signed(docs, n, banding.hashes), "signatures")
     full = signatures.filter("n_shingles > 0")

@@ -25,17 +25,24 @@ IBAN_LENGTHS = {
     29: "BR PS QA UA", 30: "JO KW MU", 31: "MT SC",
 }
 GROUPED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + f" [A-Z0-9]{{{n % 4}}}" * (n % 4 > 0) for n, c in IBAN_LENGTHS.items())
+#: Digits after the country of telephone numbers, for countries where their number is the same for all.
+NATIONAL = {10: "1 7 44 91", 9: "31 33 34 41 48 61 351 420", 8: "45 47 65 852", 11: "86"}
+ABROAD = "|".join(rf"(?:{codes.replace(' ', '|')})(?:[ .-]?\(?[0-9]\)?){{{n}}}" for n, codes in NATIONAL.items())
+SHORT = "(?:Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 MONTH = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
 #: How dates are written; of days and months with slashes the month is first unless that makes no date.
 DATES = {
     "[0-9]{4}-[0-9]{2}-[0-9]{2}": ("yyyy-MM-dd",), "[0-9]{4}/[0-9]{2}/[0-9]{2}": ("yyyy/MM/dd",), "[0-9]{2}\\.[0-9]{2}\\.[0-9]{4}": ("dd.MM.yyyy",),
     "[0-9]{2}/[0-9]{2}/[0-9]{4}": ("MM/dd/yyyy", "dd/MM/yyyy"), f"{MONTH} [0-9]{{1,2}}, [0-9]{{4}}": ("MMMM d, yyyy",), f"[0-9]{{1,2}} {MONTH} [0-9]{{4}}": ("d MMMM yyyy",),
+    "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}": ("M/d/yyyy", "d/M/yyyy"), f"{SHORT} [0-9]{{1,2}}, [0-9]{{4}}": ("MMM d, yyyy",), f"[0-9]{{1,2}} {SHORT} [0-9]{{4}}": ("d MMM yyyy",),
 }
 #: The formats that are looked for, the more special ones first.
 FORMATS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{GROUPED})(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9+(])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,6}(?![0-9])|(?<![0-9.-])(?:[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.)|0[0-9]{1,2}-[0-9]{3,4}-)[0-9]{4}(?![0-9]|[.-][0-9])",
+    "phone": r"(?<![0-9+(])(?:\+?[0-9]{1,3}[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    rf"|(?<![0-9A-Za-z+])\+(?:{ABROAD})(?![0-9])" r"|(?<![0-9A-Za-z+])\+[1-9][0-9]{0,2}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,6}(?![0-9])"
+    r"|(?<![0-9.-])(?:[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.)|0[0-9]{1,2}-[0-9]{3,4}-)[0-9]{4}(?![0-9]|[.-][0-9])|(?<![0-9A-Za-z+.-])0[1-9][0-9]{2}(?:[0-9] [0-9]{6}| [0-9]{3} [0-9]{4})(?![0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "date": rf"(?<![0-9./-])(?:{'|'.join(DATES)})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",

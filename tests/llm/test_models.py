@@ -193,6 +193,58 @@ def test_language_identification(docs, texts, odd, nothing, odd_rows):
     assert langid.held_out_languages(nothing).count() == 0
 
 
+def trigrams(text):
+    """Cells of a text's byte trigrams: lower case, other ASCII than letters as gaps, none beside two of them in a row."""
+    data = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode())
+    out = []
+    for a, b, c in zip(data, data[1:], data[2:]):
+        if not (b == 32 and 32 in (a, c)):
+            key = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+            out.append((key ^ key >> 15) * 0x2C1B3C6D % 2**32 >> 32 - langid.BITS)
+    return out
+
+
+def test_classifiers_and_decoder_match_loops(spark):
+    rnd = np.random.default_rng(3)
+    alphabets = {"aa": "abcdé", "bb": "defgü", "cc": "ghbañ"}
+    rows = [(i, " ".join("".join(rnd.choice(list(alphabets[k]), rnd.integers(1, 7))) for _ in range(rnd.integers(1, 30))), k) for i, k in enumerate(rnd.choice(list(alphabets), 90).tolist())]
+    rows += [(200, "Ab, cD!", None), (201, "é", None), (202, None, None), (203, "123", None), (204, "zzzz zzzz", None)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), weigh_on=40)
+    names = sorted(alphabets)
+    assert model.languages == names and model.code.tolist() == [[1, 1, 1], [-1, 1, -1], [1, -1, -1]]
+    cells = 1 << langid.BITS
+    counts = {k: collections.Counter(c for _, t, lang in rows if lang == k for c in trigrams(t)) for k in names}
+    share = lambda k, c: (counts[k][c] + 0.5) / (sum(counts[k].values()) + 0.5 * cells)
+
+    def margins(text):
+        found = trigrams(text or "")
+        out = []
+        for bit in range(3):
+            sides = [[k for k, word in zip(names, model.code) if word[bit] == sign] for sign in (1, -1)]
+            mean = lambda side, c: sum(share(k, c) for k in side) / len(side)
+            scores = [math.log(mean(sides[0], c)) - math.log(mean(sides[1], c)) for c in found]
+            out.append(sum(scores) / len(scores) * min(len(scores), 40) if scores else 0.0)
+        return out
+
+    chosen = {r.doc_id for r in spark.createDataFrame([(r[0],) for r in rows if r[2]], "doc_id long").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(40).collect()}
+    trust = []
+    for k, word in zip(names, model.code):
+        mine = [margins(t) for i, t, lang in rows if lang == k and i in chosen]
+        right = [(1 + sum(m[bit] * word[bit] > 0 for m in mine)) / (2 + len(mine)) for bit in range(3)]
+        right = [min(max(x, 0.05), 1) for x in right]
+        trust.append([x / sum(right) * 3 for x in right])
+    assert np.allclose(model.trust, trust)
+    out = {r.doc_id: r for r in langid.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()}
+    for i, t, _ in rows:
+        losses = [sum(math.log1p(math.exp(-m * s)) * w for m, s, w in zip(margins(t), word, weigh)) for word, weigh in zip(model.code, trust)]
+        if not any(c.isalpha() for c in t or ""):
+            assert (out[i].lang_pred, out[i].score, out[i].ambiguous) == ("und", 0.0, True)
+            continue
+        best = sorted(losses)
+        assert out[i].lang_pred == names[losses.index(best[0])] and out[i].ambiguous == (best[1] - best[0] < 1)
+        assert out[i].score == pytest.approx(math.exp(-best[0]) / sum(math.exp(-x) for x in losses))
+
+
 @pytest.mark.parametrize("n", [1, 2, 4, 5, 9, 40])
 def test_codewords_differ(n):
     code = langid.code_matrix(n)

@@ -5,7 +5,7 @@ from clipfold.llm.queries import QUERIES
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages(spark):
@@ -25,7 +25,19 @@ def test_stages(spark):
     assert set(total) == before and all(total[r.doc_id] == r.doc_tokens for r in pieces)
 
 
-def test_stages_take_odd_rows(spark, odd, nothing):
+def test_stages_take_odd_rows(spark, odd, nothing, odd_rows):
+    folder = "/root/testdata/sf0.001"
+    copies = collections.Counter(r[0] for r in odd_rows)
+    got = {name: collections.Counter(r.doc_id for r in stage(spark, odd, folder).collect()) for name, stage in corpus_pipeline.STAGES}
+    assert got["quality"] == {k: copies[k] for k in (5, 6, 7, 8)}  # the others have fewer than 50 words
+    kept = got["line_dedup"]
+    assert {0, 1, 2, 3, 5, 6, 9, 10, 11} <= set(kept) and not {4, 7} & set(kept) and all(n == copies[k] for k, n in kept.items())
+    assert got["near_dedup"] == dict.fromkeys((0, 1, 2, 3, 5, 6, 9, 10, 11), 1)
+    assert all(n == copies[k] for k, n in got["mixing"].items())
+    assert set(got["packing"]) == set(copies)
+    tokens = collections.Counter()
+    for r in corpus_pipeline.STAGES[-1][1](spark, odd, folder).collect():
+        tokens[r.doc_id, r.doc_tokens] += r.length
+    assert all(n == size * copies[k] for (k, size), n in tokens.items())
     for name, stage in corpus_pipeline.STAGES:
-        for frame in (odd, nothing):
-            assert stage(spark, frame, "/root/testdata/sf0.001").count() >= 0, name
+        assert stage(spark, nothing, folder).count() == 0, name
