@@ -272,6 +272,35 @@ def _line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return found.mapInArrow(widen, "node long, line string").dropDuplicates(["node"])
 
 
+#: What lines are told apart by before they are compared: two bits for each of 64 kinds of characters, one for each of 128 kinds of pairs of neighbours, and of pairs around one.
+MARKS = ("ones", "more_ones", "twos", "more_twos", "gaps", "more_gaps")
+
+
+def marks(lines: list[str]) -> np.ndarray:
+    """Counts of each line's characters by kind, modulo 4 in Gray code, so that one more or less turns one bit, and parities of its pairs."""
+    out = np.zeros((len(lines), len(MARKS)), np.uint64)
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    for i, line in enumerate(lines):
+        points = mix(np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64))
+        count = np.bincount((points >> np.uint64(58)).astype(np.int64), minlength=64) & 3
+        pairs, gaps = (np.bincount((x >> np.uint64(57)).astype(np.int64), minlength=128) & 1 for x in (windows(points, 2), mix(points[:-2] * np.uint64(5) ^ points[2:])))
+        out[i] = [bits[x == 1].sum() for x in (count >> 1, (count ^ count >> 1) & 1, pairs[:64], pairs[64:], gaps[:64], gaps[64:])]
+    return out
+
+
+def _near_by_marks(edits: str) -> str:
+    """SQL: whether the marks of a and b leave room for ``edits``.
+
+    A replaced character turns two bits of the characters at most, four of the
+    neighbours and four of the pairs around one; one put in or left out turns
+    one, three and five. As many as the lengths differ by were put in or left
+    out.
+    """
+    turned = lambda mark: f"bit_count({mark}_a ^ {mark}_b) + bit_count(more_{mark}_a ^ more_{mark}_b)"
+    less = "abs(length_a - length_b)"
+    return f"{turned('ones')} + {less} <= 2 * ({edits}) and {turned('twos')} + {less} <= 4 * ({edits}) and {turned('gaps')} <= 5 * ({edits})"
+
+
 def _gram_members(apart: DataFrame, texts: DataFrame, most: int, per: int = 0, q: int = 8) -> DataFrame:
     """Members keyed by a character gram of their prefix, for ``linked``.
 
@@ -281,7 +310,13 @@ def _gram_members(apart: DataFrame, texts: DataFrame, most: int, per: int = 0, q
     come first here, so lines that were edited apart seldom meet. Lines of
     fewer grams have one element more, the same for all.
     """
-    own = saved(texts.join(apart, "node"), "apart-lines")
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "line", 1_000_000):
+            found = marks(batch.column("line").to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "line", "component")), *map(pa.array, found.view(np.int64).T)], names=["node", "line", "component", *MARKS])
+
+    fields = "node long, line string, component long, " + ", ".join(f"{c} long" for c in MARKS)
+    own = saved(texts.join(apart, "node").select("node", "line", "component").mapInArrow(mark, fields), "apart-lines")
 
     def grams(line: str, k: int) -> np.ndarray:
         points = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
@@ -298,7 +333,7 @@ def _gram_members(apart: DataFrame, texts: DataFrame, most: int, per: int = 0, q
 
     first = lambda batch, sizes: q * edits_of(batch.column("line").to_pylist()) + 1
     own = own.withColumn("length", F.length("line"))
-    return shared_only(prefixes(own, sets_of, first, "line", ("component", "length")).drop("size", "place"))
+    return shared_only(prefixes(own, sets_of, first, "line", ("component", "length", *MARKS)).drop("size", "place"))
 
 
 def close_pairs(pairs: DataFrame, texts: DataFrame, most: int, per: int = 0) -> DataFrame:
@@ -324,7 +359,8 @@ def line_classes(docs: DataFrame, places: DataFrame, most: int = 2, least: int =
     members = saved(candidates(docs, most, least, per), "members")
     involved = places.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = saved(_line_texts(docs, involved, least), "lines")
-    meets = f"abs(length_a - length_b) <= {_allowed_sql('least(length_a, length_b)', most, per)}"
+    edits = _allowed_sql("least(length_a, length_b)", most, per)
+    meets = f"abs(length_a - length_b) <= {edits} and {_near_by_marks(edits)}"
     return linked(members, lambda pairs: close_pairs(pairs, texts, most, per), lambda apart: _gram_members(apart, texts, most, per), meets)
 
 

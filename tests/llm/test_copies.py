@@ -112,6 +112,28 @@ def test_banded_distance_matches_the_full_table(most):
     assert linededup.within(left, right, most).tolist() == [edits(a, b) <= most for a, b in zip(left, right)]
 
 
+def test_marks_leave_room_for_every_edit(spark):
+    rnd = np.random.default_rng(6)
+    rows = []
+    for n in range(600):
+        line = list(rnd.choice(list("abcdeéü 日"), rnd.integers(0, 60)))
+        other, k = list(line), int(rnd.integers(0, 6))
+        for _ in range(k):
+            at, way = int(rnd.integers(0, len(other) + 1)), int(rnd.integers(0, 3))
+            if way == 0 or not other:
+                other.insert(at, rnd.choice(list("abé日z")))
+            elif way == 1:
+                del other[at % len(other)]
+            else:
+                other[at % len(other)] = rnd.choice(list("abé日z"))
+        a, b = "".join(line), "".join(other)
+        rows.append((k, len(a), len(b), *(int(x) for side in linededup.marks([a, b]).view(np.int64) for x in side)))
+    frame = spark.createDataFrame(rows, "k int, length_a int, length_b int, " + ", ".join(f"{m}_{side} long" for side in "ab" for m in linededup.MARKS))
+    assert frame.filter(linededup._near_by_marks("k")).count() == len(rows)
+    far = frame.filter("k = 5").filter(linededup._near_by_marks("0")).count()
+    assert far < 5
+
+
 def test_line_classes_match_brute_force(spark):
     rnd = np.random.default_rng(11)
     lines = ["".join(rnd.choice(list("abcdefgh "), 50)).strip().ljust(50, "z") for _ in range(40)]
