@@ -153,8 +153,7 @@ def requests(stored: DataFrame, order: int, ranges: int, lower_ascii: bool = Fal
 def totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the sum of each one's counts (in 32 bits if all fit, else in 64), and where each given key is among them."""
     distinct, inverse = np.unique(keys, return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, inverse, counts.astype(np.int64))
+    total = np.bincount(inverse, weights=counts, minlength=len(distinct)).astype(np.int64)  # exact up to 2^53
     return distinct, total.astype(np.uint32) if not len(total) or total.max() < 1 << 32 else total, inverse
 
 
