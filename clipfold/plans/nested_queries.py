@@ -50,12 +50,27 @@ def posts(spark, sf_dir):
     return rows.select("l_orderkey", post.alias("post"), F.array_distinct(pick("e")).alias("evidence"), F.lit("two_independent_sources").alias("policy"), F.lit(False).alias("allow_single"))
 
 
+def _varied(rows, lines):
+    """Posts that keep some rules and break others: an untaxed line adds a claim that nothing uses, one without a discount a piece of evidence that isn't there, and one that isn't returned two paragraphs."""
+    flags = lines.groupBy("l_orderkey").agg(F.bool_or(F.col("l_tax") == 0).alias("_tax"), F.bool_or(F.col("l_discount") == 0).alias("_discount"), F.bool_or(F.col("l_returnflag") == "N").alias("_long"))
+    post = F.col("post")
+    text, none = F.lit, F.array().cast("array<struct<evidence_id string, support string>>")
+    unused = F.struct(text("unused").alias("claim_id"), text("claim").alias("text"), text("interpretation").alias("kind"), text("supporting").alias("importance"), F.lit(False).alias("display_citation"), none.alias("evidence_refs"))
+    more = [F.struct(F.array(F.struct(text(k).alias("sentence_id"), F.repeat(text("가"), 190).alias("text"), F.array(text("c1")).alias("claim_ids"))).alias("sentences")) for k in ("f1", "f2")]
+    new = post.withField("claims", F.when(F.col("_tax"), F.concat(post["claims"], F.array(unused))).otherwise(post["claims"]))
+    new = new.withField("used_evidence_ids", F.when(F.col("_discount"), F.concat(post["used_evidence_ids"], F.array(text("nowhere")))).otherwise(post["used_evidence_ids"]))
+    new = new.withField("body", F.when(F.col("_long"), F.concat(post["body"], F.array(*more))).otherwise(post["body"]))
+    return rows.join(flags, "l_orderkey").withColumn("post", new).drop("_tax", "_discount", "_long")
+
+
 @query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem),
  c AS (SELECT l_orderkey, count(*) AS entries, count(DISTINCT l_suppkey) AS suppliers FROM (SELECT DISTINCT l_orderkey, l_suppkey, CASE WHEN l_partkey % 3 = 0 THEN q ELSE '0' END AS p FROM n) GROUP BY 1),
- o AS (SELECT l_orderkey, count(DISTINCT l_suppkey % 5) AS pubs, count(DISTINCT l_suppkey % 7) AS provs, bool_or(n = 1 AND l_quantity <= 10) AS hidden, count(*) AS lines, sum(CASE WHEN n > 1 THEN length('sold ' || q || '개') ELSE 0 END) AS body FROM n GROUP BY 1)
- SELECT l_orderkey, true AS schema_passed, entries = suppliers AS source_metadata_passed, true AS evidence_links_passed, NOT hidden AS key_claim_citations_passed, false AS content_length_passed, pubs >= 2 AND provs >= 2 AS source_independence_passed FROM o JOIN c USING (l_orderkey)""")
+ o AS (SELECT l_orderkey, count(DISTINCT l_suppkey % 5) AS pubs, count(DISTINCT l_suppkey % 7) AS provs, bool_or(n = 1 AND l_quantity <= 10) AS hidden, sum(CASE WHEN n > 1 THEN length('sold ' || q || '개') ELSE 0 END) AS body,
+ bool_or(l_tax = 0) AS untaxed, bool_or(l_discount = 0) AS dear, bool_or(l_returnflag = 'N') AS long FROM n GROUP BY 1)
+ SELECT l_orderkey, NOT (untaxed OR dear) AS schema_passed, entries = suppliers AS source_metadata_passed, NOT dear AS evidence_links_passed, NOT hidden AS key_claim_citations_passed, long AND body + 380 BETWEEN 400 AND 650 AS content_length_passed,
+ pubs >= 2 AND provs >= 2 AS source_independence_passed FROM o JOIN c USING (l_orderkey)""")
 def quality_structural(spark, sf_dir):
-    out = gates.structural(posts(spark, sf_dir))
+    out = gates.structural(_varied(posts(spark, sf_dir), table(spark, sf_dir, "lineitem")))
     kinds = ("schema", "source_metadata", "evidence_links", "key_claim_citations", "content_length", "source_independence")
     of = lambda k: F.filter("checks", lambda c: c["type"] == k)[0]["passed"]
     return out.select("l_orderkey", *(of(k).alias(f"{k}_passed") for k in kinds))

@@ -84,3 +84,27 @@ def feed_items(spark, sf_dir):
         F.lit("p").alias("publisher"), F.lit(5).alias("max_items"), F.lit("2026-08-14").cast("timestamp").alias("discovered_at"),
     )
     return parsed_feeds(feeds).select("source_id", "item_index", "title", "excerpt", "issue", "original_url")
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, doc_id % 24 AS q, {TITLE} AS title, doc_id % 11 = 0 AS numeric FROM documents),
+ ok AS (SELECT * FROM d WHERE q % 12 NOT IN (5, 7) AND NOT numeric AND doc_id % 13 > 0)
+ SELECT 's-' || source AS source_id, least(count(ok.doc_id), 40) AS items, (SELECT count(DISTINCT q) FROM d WHERE q % 12 IN (5, 7)) AS issues, CASE WHEN count(ok.doc_id) > 0 THEN 'partial' ELSE 'failed' END AS status
+ FROM (SELECT DISTINCT source FROM documents) LEFT JOIN ok USING (source) GROUP BY source""")
+def search_run(spark, sf_dir):
+    """Documents as results of 24 search queries, some of which failed, came too late or answered something else; some results have a number for a title or an address without encryption."""
+    from clipfold.sources.feeds import search_run as run
+
+    docs = table(spark, sf_dir, "documents")
+    n = F.col("doc_id").cast("string")
+    host = F.concat(F.lit("h"), F.col("source"), F.lit(".example"))
+    field = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    quoted = lambda x: F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2)
+    item = F.concat(
+        F.lit("{"), field("title", F.when(F.col("doc_id") % 11 == 0, n).otherwise(quoted(title()))), F.lit(","), field("description", quoted(F.col("lang"))), F.lit(","),
+        field("original_link", quoted(F.concat(F.when(F.col("doc_id") % 13 == 0, "http://").otherwise("https://"), F.upper(host), F.lit("/x/../"), n, F.lit("#f")))), F.lit(',"link":null,"pub_date_iso":"2026-08-13T09:00:00Z"}'),
+    )
+    bodies = docs.withColumn("q", F.col("doc_id") % 24).groupBy("q").agg(F.concat(F.lit('{"items":['), F.array_join(F.collect_list(item), ","), F.lit("]}")).alias("body"))
+    late, off, other = F.col("q") == 5, F.col("q") == 7, (F.col("q") % 12).isin(5, 7)
+    responses = bodies.select(F.col("q").alias("seq"), F.concat(F.lit("query "), F.col("q").cast("string")).alias("query"), F.when(off, 503).when(~late, 200).alias("status"), F.when(other & ~late & ~off, '{"items":{}}').otherwise(F.col("body")).alias("body"))
+    publishers = docs.select(F.lower(host).alias("host"), F.concat(F.lit("s-"), F.col("source")).alias("source_id"), F.col("source").alias("publisher")).distinct()
+    return run(responses, publishers, 40)[1]

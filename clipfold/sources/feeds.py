@@ -195,6 +195,43 @@ def search_items(results: DataFrame, publishers: DataFrame, max_items: int) -> D
     )
 
 
+def _told(item: Column, name: str) -> Column:
+    """A field of an open JSON object if it is a string, else null."""
+    value = F.try_variant_get(item, f"$.{name}", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(item, f"$.{name}", "string"))
+
+
+def search_responses(responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results of search queries, as ``search_items`` takes them, and the issues of queries that failed.
+
+    ``responses``: seq (their order), query, status (of the answer, null if none
+    came in time) and body. A query that failed, or whose body has no array of
+    items, is an issue of its own and costs only its own items. Results are
+    taken if title, description and date are strings and their address, or the
+    hosted one in its place, is https; its fragment is left out.
+    """
+    items = F.try_variant_get(F.try_parse_json("body"), "$.items", "array<variant>")
+    answered = F.coalesce(F.col("status").between(200, 299), F.lit(False))
+    told = responses.select("seq", "query", "status", F.when(answered, items).alias("_items"))
+    code = F.when(F.col("status").isNull(), "COLLECTION_TIMEOUT").otherwise("SOURCE_UNAVAILABLE")
+    issues = told.filter(F.col("_items").isNull()).select("query", code.alias("issue"))
+    each = told.select("seq", F.posexplode("_items").alias("place", "item"))
+    fields = each.select((F.col("seq") * (1 << 20) + F.col("place")).alias("seq"), *(_told(F.col("item"), c).alias(c) for c in ("title", "description", "original_link", "link", "pub_date_iso")))
+    address = F.regexp_replace(urls.normal_url(F.coalesce("original_link", "link")), "#.*$", "")
+    rows = fields.select("seq", "title", "description", address.alias("original_link"), "link", F.try_to_timestamp(F.col("pub_date_iso")).alias("pub_date"))
+    return rows.filter(F.col("original_link").startswith("https://") & F.col("title").isNotNull() & F.col("description").isNotNull() & F.col("pub_date").isNotNull()), issues
+
+
+def search_run(responses: DataFrame, publishers: DataFrame, max_items: int) -> tuple[DataFrame, DataFrame]:
+    """Articles of all search results, and each source's items, issues and status: one failed query makes every source partial, or failed if it has no items."""
+    results, issues = search_responses(responses)
+    found = search_items(results, publishers, max_items)
+    wrong = issues.agg(F.count(F.lit(1)).alias("_issues"))  # a row
+    counts = publishers.select("source_id").distinct().join(found.groupBy("source_id").agg(F.count(F.lit(1)).alias("items")), "source_id", "left").fillna(0, ["items"]).join(F.broadcast(wrong), F.lit(True))
+    status = F.when(F.col("_issues") == 0, "succeeded").when(F.col("items") > 0, "partial").otherwise("failed")
+    return found, counts.select("source_id", "items", F.when(status == "succeeded", 0).otherwise(F.col("_issues")).alias("issues"), status.alias("status"))
+
+
 class _Body(HTMLParser):
     """Text of the element with a wanted id, without parts that aren't prose. Elements whose end tags are left out end where HTML has them end."""
 
