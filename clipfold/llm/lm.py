@@ -346,6 +346,20 @@ def _scores(grams: Grams, counts: list[np.ndarray], words: Unigrams, weights: np
     return np.bincount(owner, weights=read, minlength=len(n))
 
 
+def weights_of(cells: DataFrame, order: int) -> DataFrame:
+    """One row of the interpolation weights, by order and class: 24 for each order beyond the first. ``cells``: cell and n of the histograms, each cell once."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.zeros((order - 1) * CLASSES * BINS)
+            for cell in batch.column("cells")[0].as_py():
+                flat[cell["cell"]] = cell["n"]
+            weights = fitted(flat.reshape(order - 1, CLASSES, BINS)).reshape(-1)
+            yield pa.RecordBatch.from_arrays([pa.array([weights.tolist()], pa.list_(pa.float64()))], names=["weights"])
+
+    return cells.agg(F.collect_list(F.struct("cell", "n")).alias("cells")).mapInArrow(fit, "weights array<double>")
+
+
 def scored(docs: DataFrame, held_out: Column, order: int = 3, block_bytes: int = 5_000_000, least_blocks: int = 48, lower_ascii: bool = False) -> DataFrame:
     """Scores every document with a model of those for which ``held_out`` is not true.
 
@@ -381,16 +395,10 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, block_bytes: int =
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return fields.empty_table()
+        weights = np.array(left.column("weights")[0].as_py(), dtype=float).reshape(order - 1, CLASSES)
         left = _opened(left.column("body")[0])
         grams = Grams(text_array(left.column("text")), order, lower_ascii)
         counts = _counts(grams, right)
-        flat = np.zeros((order - 1) * CLASSES * BINS)
-        places = right.column("order").to_numpy()
-        for k in range(1, order):
-            at = np.flatnonzero(places == k)
-            for cell in (right.column("histogram")[int(at[0])].as_py() if len(at) else None) or []:
-                flat[cell["cell"]] = cell["n"]
-        weights = fitted(flat.reshape(order - 1, CLASSES, BINS))
         own = grams.owner[grams.word]
         seen = counts[0][grams.at[0][grams.word]]
         base = np.log10((seen + 0.5) / (words.tokens + 0.5 * (words.types + 1)))
@@ -408,12 +416,10 @@ def scored(docs: DataFrame, held_out: Column, order: int = 3, block_bytes: int =
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     if order > 1:
         cells = stored.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(measure, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n"))
-        by_order = F.floor(F.col("cell") / (CLASSES * BINS)).cast("int") + 1
-        table = cells.groupBy(by_order.alias("order")).agg(F.collect_list(F.struct("cell", "n")).alias("histogram"))
-        replies = replies.join(F.broadcast(table), "order", "left")  # a row per order, of 24 * 128 cells at most
+        weighed = stored.join(F.broadcast(weights_of(cells, order)))  # once a block: a reply has no more than its counts, as there are blocks times ranges of them
     else:
-        replies = replies.withColumn("histogram", F.array().cast("array<struct<cell:long,n:double>>"))
-    return stored.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
+        weighed = stored.withColumn("weights", F.array().cast("array<double>"))
+    return weighed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, schema)
 
 
 def held_out_scores(docs: DataFrame, folds: int = 5, out: int = 1, order: int = 3, lower_ascii: bool = False) -> DataFrame:

@@ -281,3 +281,15 @@ def test_mixing_edges(spark, odd, nothing, odd_rows):
     out = mixing.mixed(odd, some, {"a": 0.5, "b": 0.5}).collect()
     assert len(out) == len(odd_rows) and all(0 <= r.rate <= 1 for r in out)
     assert mixing.mixed(nothing, some).count() == 0
+
+
+def test_weights_travel_once_a_block(spark, capsys):
+    cells = spark.createDataFrame([(3, 2.0), (lm.CLASSES * lm.BINS + 40, 5.0)], "cell long, n double")
+    flat = np.zeros((2, lm.CLASSES, lm.BINS))
+    flat.reshape(-1)[[3, lm.CLASSES * lm.BINS + 40]] = 2.0, 5.0
+    assert np.array(lm.weights_of(cells, 3).collect()[0].weights).reshape(2, -1) == pytest.approx(lm.fitted(flat))
+    assert lm.weights_of(cells.limit(0), 3).collect()[0].weights == [1e-4] * (2 * lm.CLASSES)
+    docs = spark.createDataFrame([(i, f"a b c {i % 7} d") for i in range(40)], "doc_id long, text string")
+    lm.scored(docs, F.col("doc_id") % 5 == 1, block_bytes=200, least_blocks=3, lower_ascii=True).explain()
+    plan = capsys.readouterr().out
+    assert "histogram" not in plan and "BroadcastHashJoin" not in plan  # no reply, of which there are blocks times ranges, is joined with it
