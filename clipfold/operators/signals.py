@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -294,31 +297,91 @@ def title_similarity(a: Column, b: Column) -> Column:
 
 #: Titles on the smaller side that are compared with each title directly; their number is checked.
 FEW = 5_000
+#: Titles whose similarities leave a task at once.
+AT_ONCE = 500
 
 
 def _featured(titles: DataFrame, name: str) -> DataFrame:
     return titles.select(F.col(name).alias("title"), bigrams(F.col(name)).alias("b"), tokens(F.col(name)).alias("t")).distinct()
 
 
+def _few(titles: DataFrame) -> list[str] | None:
+    """The distinct titles if there are ``FEW`` at most, else none."""
+    found = [r.title for r in titles.select("title").distinct().limit(FEW + 1).collect()]
+    return [x for x in found if x is not None] if len(found) <= FEW else None
+
+
+def _elements(title: str, kind: str) -> set[str]:
+    """What ``tokens`` (jaccard) or ``bigrams`` (dice) give."""
+    if kind == "jaccard":
+        return {x for x in title.split(" ") if x}
+    x = title.replace(" ", "")
+    return {x[i : i + 2] for i in range(max(len(x) - 1, 1))} if x else set()
+
+
+def _compared(left: DataFrame, listed: list[str], measure: str, least: float, best: bool = False) -> DataFrame:
+    """Per distinct left title: places in ``listed`` and similarities of those with at least ``least``, only the highest similarity if ``best``.
+
+    Each element of a title leads to the listed ones that have it, so only what is shared is counted.
+    """
+    kinds = ("jaccard", "dice") if measure == "greatest" else (measure,)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = []
+        for kind in kinds:
+            places: dict[str, list[int]] = {}
+            sizes = np.zeros(len(listed), np.int64)
+            for i, title in enumerate(listed):
+                own = _elements(title, kind)
+                sizes[i] = len(own)
+                for x in own:
+                    places.setdefault(x, []).append(i)
+            sides.append((kind, sizes, {x: np.array(at) for x, at in places.items()}))
+
+        def similarities(title: str) -> np.ndarray:
+            out = np.zeros(len(listed))
+            for kind, sizes, places in sides:
+                own = _elements(title, kind)
+                hits = [places[x] for x in own if x in places]
+                if hits:
+                    both = np.bincount(np.concatenate(hits), minlength=len(listed))
+                    out = np.maximum(out, both / (len(own) + sizes - both) if kind == "jaccard" else 2 * both / (len(own) + sizes))
+            return out
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, AT_ONCE):
+                titles = [x for x in batch.column(0)[start : start + AT_ONCE].to_pylist() if x is not None]
+                at, values = [], []
+                for x in map(similarities, titles):
+                    near = np.flatnonzero(x >= least)
+                    if best and len(near):
+                        near = near[[np.argmax(x[near])]]
+                    at.append(near.astype(np.int32))
+                    values.append(x[near])
+                yield pa.RecordBatch.from_arrays([pa.array(titles, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["left_title", "at", "similarity"])
+
+    return left.select("title").distinct().mapInArrow(work, "left_title string, at array<int>, similarity array<double>")
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, measure: str, least: float) -> DataFrame:
     """(left_title, right_title, similarity) of titles with at least ``least``, which is above 0.
 
     ``left`` and ``right`` have a normalized ``title``, which counts once;
     ``measure``: jaccard (words), dice (pairs of characters), or greatest (the
     greater of both). If ``right`` has ``FEW`` titles at most, each is compared with every left
-    one; beyond that, two titles meet by an element of their prefixes: of a
+    one that shares an element; beyond that, two titles meet by an element of their prefixes: of a
     set of n elements those that leave fewer than the least intersection.
     Both ways give the same rows.
     """
+    listed = _few(right)
+    if listed is not None:
+        names = F.broadcast(left.sparkSession.createDataFrame(list(enumerate(listed)), "at int, right_title string"))  # FEW titles
+        each = _compared(left, listed, measure, least).select("left_title", F.explode(F.arrays_zip("at", "similarity")).alias("x")).select("left_title", "x.*")
+        return each.join(names, "at").select("left_title", "right_title", "similarity")
     one, two = _featured(left, "title"), _featured(right, "title")
     j = lambda a, b: jaccard(a["t"], b["t"])
     d = lambda a, b: dice(a["b"], b["b"])
     of = {"jaccard": j, "dice": d, "greatest": lambda a, b: F.greatest(j(a, b), d(a, b))}[measure]
-    if two.count() <= FEW:
-        listed = F.broadcast(two.agg(F.collect_list(F.struct("title", "b", "t")).alias("_all")))  # one row of FEW titles
-        own = F.struct("b", "t")
-        each = F.filter(F.transform("_all", lambda h: F.struct(h["title"].alias("right_title"), bound(own, lambda o: of(o, h)).alias("similarity"))), lambda x: x["similarity"] >= least)
-        return one.join(listed).select(F.col("title").alias("left_title"), F.explode(each).alias("x")).select("left_title", "x.*")
     keyed = []
     for kind, field in (("jaccard", "t"), ("dice", "b")):
         if measure in (kind, "greatest"):
@@ -336,29 +399,30 @@ def similar_pairs(left: DataFrame, right: DataFrame, measure: str, least: float)
     return whole.select("left_title", "right_title", of(F.col("l"), F.col("r")).alias("similarity")).filter(F.col("similarity") >= least)
 
 
-#: Similarities at which novelty changes, from the highest.
-STEPS = tuple(least for least, _ in NOVELTY)
+#: Similarities at which novelty changes, from the highest, and two steps more: the last meets whatever shares an element.
+LADDER = (*(least for least, _ in NOVELTY), 0.1, 1e-9)
 
 
 def best_similarity(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left_title and the highest similarity to a right title, of those that have the lowest of ``STEPS`` or more.
+    """left_title and the highest similarity to a right title, of those that share an element with one.
 
     Beyond ``FEW`` right titles it goes down a ladder: titles that have a right
     one at a step are done, and only the others look at the next, which shares
     more elements and so meets more titles.
     """
-    few = right.select("title").distinct().count() <= FEW
+    listed = _few(right)
+    if listed is not None:
+        return _compared(left, listed, "greatest", LADDER[-1], best=True).filter(F.size("at") > 0).select("left_title", F.col("similarity")[0].alias("similarity"))
     found = None
-    for least in (STEPS[-1:] if few else STEPS):
-        best = similar_pairs(left, right, "greatest", least).groupBy("left_title").agg(F.max("similarity").alias("similarity"))
-        best = best if few else saved(best, "similar")
+    for least in LADDER:
+        best = saved(similar_pairs(left, right, "greatest", least).groupBy("left_title").agg(F.max("similarity").alias("similarity")), "similar")
         left = left.join(best.select(F.col("left_title").alias("title")), "title", "left_anti")
         found = best if found is None else found.union(best)
     return found
 
 
 def novelty_by_article(articles: DataFrame, history: DataFrame, node: str) -> DataFrame:
-    """Novelty of each article against titles (normalized_title) and fingerprints (content_fingerprint) of history, and its highest similarity (0 below the lowest step)."""
+    """Novelty of each article against titles (normalized_title) and fingerprints (content_fingerprint) of history, and its highest similarity (0 if it shares nothing with any)."""
     titles = lambda df: df.select(F.col("normalized_title").alias("title"))
     best = best_similarity(titles(articles), titles(history)).withColumnRenamed("left_title", "normalized_title")
     seen = history.select("content_fingerprint").filter("content_fingerprint is not null").distinct().withColumn("seen", F.lit(True))

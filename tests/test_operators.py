@@ -333,3 +333,18 @@ def test_numbers_and_addresses(spark):
     links = {"https://[::1]/a": False, "https://[fd00::1]/": False, "https://[2606:4700::1111]/x": True, "https://198.18.0.1/": False, "https://8.8.8.8/": True, "https://x.kr/": True, "https://a.localhost/": False}
     out = spark.createDataFrame([(k,) for k in links], "u string").select("u", urls.is_fetchable(F.col("u")).alias("ok")).collect()
     assert {r.u: r.ok for r in out} == links
+
+
+def test_similarity_below_the_lowest_step(spark, monkeypatch):
+    frame = lambda names: spark.createDataFrame([(i, x, None) for i, x in enumerate(names)], "id long, normalized_title string, content_fingerprint string")
+    new, past = ["ai bb cc dd ee ff gg hh ii jj", "zz", ""], ["ai kk ll mm nn oo pp", "q"]
+    for few in (signals.FEW, 1):
+        monkeypatch.setattr(signals, "FEW", few)
+        got = {r.id: (r.similarity, r.novelty) for r in signals.novelty_by_article(frame(new), frame(past), "id").collect()}
+        assert got == {0: (1 / 16, 1.0), 1: (0.0, 1.0), 2: (0.0, 1.0)}
+
+
+def test_direct_comparison_has_no_join_of_features(spark, capsys):
+    left, right = (spark.createDataFrame([(x,) for x in names], "title string") for names in (["ai law", "x"], ["ai ban"]))
+    signals.similar_pairs(left, right, "jaccard", 1e-9).explain()
+    assert "array_intersect" not in capsys.readouterr().out  # pairs that share nothing are never looked at
