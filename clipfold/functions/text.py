@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 SPACES = r"[\s\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -20,6 +20,20 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+#: What its own NFKC holds whatever is beside it: ASCII and whole Hangul syllables.
+PLAIN = "\\x00-\\x7f\uac00-\ud7a3"
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _nfkc_all(values: pd.Series) -> pd.Series:
+    return values.map(lambda xs: None if xs is None else [x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in xs])
+
+
+def nfkc_all(xs: Column) -> Column:
+    """NFKC of each text of an array. Arrays of ASCII and Hangul don't leave the JVM."""
+    return F.coalesce(_nfkc_all(F.when(F.exists(xs, lambda x: F.coalesce(x.rlike(f"[^{PLAIN}]"), F.lit(False))), xs)), xs)
+
+
 @F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Unicode NFC, which SQL lacks. ASCII is its own."""

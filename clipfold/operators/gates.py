@@ -114,32 +114,39 @@ def findings(posts: DataFrame, key: str) -> DataFrame:
     """(key, surface, claim_id, code, detail): promotional wording, causes on one source, numbers without evidence.
 
     A surface is a title, a question, the summary or a sentence; titles and
-    questions have no claims, so no number or cause in them has support. Rows
-    of sentences, claims and evidence are joined; no post is handled in one.
+    questions have no claims, so no number or cause in them has support. A post
+    brings its claims and evidence along, so nothing is dealt anew; each claim
+    finds its evidence once.
     """
-    post = F.col("post")
-    plain = F.concat(F.array(F.struct(F.lit("title").alias("surface"), post["title"].alias("text"), F.array().cast("array<string>").alias("claim_ids"))), F.transform(post["questions"], lambda q: F.struct(F.lit("question").alias("surface"), q.alias("text"), F.array().cast("array<string>").alias("claim_ids"))))
-    cited = F.transform(sentences(post), lambda s: F.struct(s["sentence_id"].alias("surface"), s["text"].alias("text"), s["claim_ids"].alias("claim_ids")))
-    surfaces = posts.select(key, F.posexplode(F.concat(plain, cited)).alias("place", "s")).select(key, "place", "s.*")
+    post, bare = F.col("post"), F.array().cast("array<string>")
+    surface = lambda name, said, ids: F.struct(name.alias("surface"), said.alias("text"), ids.alias("claim_ids"))
+    plain = F.concat(F.array(surface(F.lit("title"), post["title"], bare)), F.transform(post["questions"], lambda q: surface(F.lit("question"), q, bare)))
+    cited = F.transform(sentences(post), lambda s: surface(s["sentence_id"], s["text"], s["claim_ids"]))
+    rows = posts.select(key, post["claims"].alias("claims"), "evidence", F.concat(plain, cited).alias("surfaces"))
+    rows = rows.withColumns({"said": text.nfkc_all(F.transform("surfaces", lambda s: s["text"])), "told": text.nfkc_all(F.transform("evidence", lambda e: F.coalesce(e["passage"], F.lit(""))))})
+    proof = F.zip_with("evidence", "told", lambda e, t: F.struct(e["evidence_id"], e["publisher_group_id"], e["provenance_group_key"], text.numeric_tokens(t, compose=False).alias("numbers")))
+    named = lambda c, p: F.coalesce(F.array_contains(_ids(c["evidence_refs"]), p["evidence_id"]), F.lit(False))
+    proof = F.coalesce(proof, F.array().cast("array<struct<evidence_id:string,publisher_group_id:string,provenance_group_key:string,numbers:array<string>>>"))
+    support = text.bound(proof, lambda all_: F.transform("claims", lambda c: F.struct(c["claim_id"], F.filter(all_, lambda p: named(c, p)).alias("proofs"))))
+    rows = rows.withColumn("support", support)
+    flat = rows.select(key, "support", F.explode(F.zip_with("surfaces", "said", lambda s, t: F.struct(s["surface"], s["text"], s["claim_ids"], t.alias("said")))).alias("s")).select(key, "support", "s.*")
+
+    proofs = lambda wanted: F.coalesce(F.flatten(F.transform(F.filter("support", wanted), lambda c: c["proofs"])), F.array())
+    groups = lambda i, field: F.size(F.array_distinct(F.filter(F.transform(proofs(lambda c: c["claim_id"] == i), lambda p: p[field]), lambda g: g.isNotNull())))
+    weak = lambda i: i.isNull() | (groups(i, "publisher_group_id") < 2) | (groups(i, "provenance_group_key") < 2)
     none = F.lit(None).cast("string")
-    promo = surfaces.filter(text.is_promotional(F.col("text"))).select(key, "surface", none.alias("claim_id"), F.lit("PROMOTIONAL").alias("code"), none.alias("detail"))
-
-    refs = posts.select(key, F.explode(post["claims"]).alias("c")).select(key, F.col("c.claim_id").alias("claim_id"), F.explode_outer(F.array_distinct(_ids(F.col("c.evidence_refs")))).alias("evidence_id"))
-    evidence = posts.select(key, F.explode("evidence").alias("e")).select(key, "e.evidence_id", "e.publisher_group_id", "e.provenance_group_key", "e.passage")
-    tied = refs.join(evidence, [key, "evidence_id"], "left")
-    support = tied.groupBy(key, "claim_id").agg(
-        F.count_distinct("publisher_group_id").alias("pubs"), F.count_distinct("provenance_group_key").alias("provs"), F.array_distinct(F.flatten(F.collect_list(text.numeric_tokens(F.coalesce("passage", F.lit("")))))).alias("numbers")
-    )
-    causal = surfaces.filter(text.is_causal(F.col("text"))).select(key, "surface", F.explode_outer(F.array_distinct("claim_ids")).alias("claim_id"))
-    weak = causal.join(support, [key, "claim_id"], "left").filter(F.col("claim_id").isNull() | (F.coalesce("pubs", F.lit(0)) < 2) | (F.coalesce("provs", F.lit(0)) < 2))
-    cause = weak.select(key, "surface", "claim_id", F.lit("CAUSAL_OVERREACH").alias("code"), none.alias("detail"))
-
-    spoken = surfaces.withColumn("numbers", text.numeric_tokens(F.col("text"))).filter(F.size("numbers") > 0)
-    each = spoken.select(key, "place", "surface", "numbers", F.explode_outer("claim_ids").alias("claim_id")).join(support.select(key, "claim_id", F.col("numbers").alias("known")), [key, "claim_id"], "left")
-    known = each.groupBy(key, "place", "surface").agg(F.first("numbers").alias("numbers"), F.array_distinct(F.flatten(F.collect_list(F.coalesce("known", F.array().cast("array<string>"))))).alias("known"))
-    lacking = known.select(key, "surface", F.explode(text.unsupported_numbers(F.col("numbers"), F.col("known"))).alias("detail"))
-    number = lacking.select(key, "surface", none.alias("claim_id"), F.lit("NUMERIC_UNSUPPORTED").alias("code"), F.replace("detail", F.lit("|"), F.lit("")).alias("detail"))
-    return promo.unionByName(cause).unionByName(number)
+    found = lambda code, claim=none, detail=none: F.struct(claim.alias("claim_id"), F.lit(code).alias("code"), detail.alias("detail"))
+    listed = F.when(F.size("claim_ids") > 0, F.array_distinct("claim_ids")).otherwise(F.array(none))
+    nothing = F.array().cast("array<struct<claim_id:string,code:string,detail:string>>")
+    flat = flat.withColumn("numbers", text.numeric_tokens(F.col("said"), compose=False))
+    known = F.flatten(F.transform(proofs(lambda c: F.coalesce(F.array_contains("claim_ids", c["claim_id"]), F.lit(False))), lambda p: p["numbers"]))
+    lacking = text.bound(known, lambda k: text.unsupported_numbers(F.col("numbers"), k))
+    each = F.concat(
+        F.when(text.is_promotional(F.col("text")), F.array(found("PROMOTIONAL"))).otherwise(nothing),
+        F.when(text.is_causal(F.col("text")), F.transform(F.filter(listed, weak), lambda i: found("CAUSAL_OVERREACH", claim=i))).otherwise(nothing),
+        F.when(F.size("numbers") > 0, F.transform(lacking, lambda d: found("NUMERIC_UNSUPPORTED", detail=F.replace(d, F.lit("|"), F.lit(""))))).otherwise(nothing),
+    )
+    return flat.select(key, "surface", F.explode(each).alias("f")).select(key, "surface", "f.*")
 
 
 def reviewed(found: DataFrame, reviews: DataFrame, posts: DataFrame, key: str) -> DataFrame:

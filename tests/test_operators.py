@@ -348,3 +348,20 @@ def test_direct_comparison_has_no_join_of_features(spark, capsys):
     left, right = (spark.createDataFrame([(x,) for x in names], "title string") for names in (["ai law", "x"], ["ai ban"]))
     signals.similar_pairs(left, right, "jaccard", 1e-9).explain()
     assert "array_intersect" not in capsys.readouterr().out  # pairs that share nothing are never looked at
+
+
+def test_posts_are_dealt_once(spark, capsys):
+    from clipfold.plans.registry import QUERIES
+
+    for name in ("quality_structural", "quality_semantic", "sentence_sources"):
+        QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan, name  # narrow lines, and nothing after that
+        assert "sold" not in plan[plan.index("Exchange hashpartitioning") :], name
+
+
+def test_findings_compose_what_they_compare(spark):
+    wide = list(POST)
+    wide[1] = ("s1", "요약 １５% ９９%", ["c1", "c1"])
+    assert [(f.surface, f.code, f.detail) for f in checked(spark, tuple(wide))[1]] == [("s1", "NUMERIC_UNSUPPORTED", "99%")]
+    assert [(f.surface, f.code, f.detail) for f in checked(spark, proof=[])[1]] == [("s1", "NUMERIC_UNSUPPORTED", "15%")]
