@@ -23,7 +23,13 @@ def query(sql: str | None = None):
     return add
 
 
+#: Rows of texts in one Arrow batch; what a Python worker holds at a time follows from it, not from the table.
+BATCH_ROWS = "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver. The session's Arrow batches are kept small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -365,3 +365,12 @@ def test_findings_compose_what_they_compare(spark):
     wide[1] = ("s1", "요약 １５% ９９%", ["c1", "c1"])
     assert [(f.surface, f.code, f.detail) for f in checked(spark, tuple(wide))[1]] == [("s1", "NUMERIC_UNSUPPORTED", "99%")]
     assert [(f.surface, f.code, f.detail) for f in checked(spark, proof=[])[1]] == [("s1", "NUMERIC_UNSUPPORTED", "15%")]
+
+
+@pytest.mark.parametrize("name", ["evidence_items", "html_body_extract", "keyword_signal", "excerpt_sanitize", "numeric_support"])
+def test_python_workers_get_small_batches(spark, name):
+    from clipfold.plans.registry import QUERIES
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
