@@ -68,8 +68,9 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each distinct word, by code."""
-        digest = xxhash.xxh3_64_intdigest
-        return np.fromiter((digest(w.as_py()) for w in self.vocabulary.cast(pa.large_binary())), dtype=np.uint64, count=len(self.vocabulary))
+        data, at = raw_bytes(text_array(self.vocabulary))
+        whole, digest, at = memoryview(data), xxhash.xxh3_64_intdigest, at.tolist()
+        return np.fromiter((digest(whole[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)), dtype=np.uint64, count=len(self.vocabulary))
 
     def owners(self) -> np.ndarray:
         """The index of the text that each word is in."""

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipfold.llm.arrowtext import slices, text_array, words_of
+from clipfold.llm.arrowtext import Words, slices, text_array, words_of
 from clipfold.llm.quality import count_batch
 from clipfold.llm.store import saved, with_text
 
@@ -27,12 +27,15 @@ HASHED = 1 << 18
 DENSE = 6
 
 
-def evidence(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def evidence(text: pa.Array, found: Words | None = None, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Dense measures of each text (a row each), and pairs of a text and a hashed distinct word in it.
 
-    Words are lower-cased and stripped of ASCII punctuation.
+    Words are lower-cased and stripped of ASCII punctuation. ``found``: the
+    words of ``text``, if they are known; ``only``: the hashed words that are
+    asked for (None: all).
     """
-    counts = count_batch(text)
+    found = found or words_of(text)
+    counts = count_batch(text, found)
     words = np.maximum(counts["n_words"], 1)
     dense = np.stack(
         [
@@ -41,11 +44,13 @@ def evidence(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ],
         axis=1,
     )
-    found = words_of(text)
-    bare = pc.utf8_lower(pc.replace_substring_regex(found.vocabulary.cast(pa.large_string()), "[!-/:-@\\[-`{-~]+", ""))
-    found.vocabulary = bare
-    hashed = (found.hashes() & np.uint64(HASHED - 1)).astype(np.int64) if len(bare) else np.zeros(0, np.int64)
-    pairs = np.unique(found.owners() * HASHED + hashed[found.codes]) if len(found.codes) else np.zeros(0, np.int64)
+    bare = Words(found.codes, found.offsets, pc.utf8_lower(pc.replace_substring_regex(found.vocabulary.cast(pa.large_string()), "[!-/:-@\\[-`{-~]+", "")))
+    hashed = (bare.hashes() & np.uint64(HASHED - 1)).astype(np.int64)
+    owner, code = found.owners(), found.codes
+    if only is not None:
+        asked = np.isin(hashed, only)[code]
+        owner, code = owner[asked], code[asked]
+    pairs = np.unique(owner * HASHED + hashed[code])
     return dense, pairs // HASHED, pairs % HASHED
 
 
@@ -129,9 +134,9 @@ def with_posteriors(docs: DataFrame, model: DomainModel | None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             text = text_array(batch.column("text"))
-            dense, owner, word = evidence(text)
-            p = model.posteriors(model.features(dense, owner, word)) if model else np.ones((batch.num_rows, 1))
-            n = np.maximum(np.diff(words_of(text).offsets), 1)
+            found = words_of(text)
+            p = model.posteriors(model.features(*evidence(text, found, model.words))) if model else np.ones((batch.num_rows, 1))
+            n = np.maximum(np.diff(found.offsets), 1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n), lists], names=["row", "doc_id", "n_tokens", "posterior"])
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipfold.llm.arrowtext import SPACE, inside, mix, raw_bytes, slices, sums, text_array, windows, words_of
+from clipfold.llm.arrowtext import SPACE, Words, inside, mix, raw_bytes, slices, sums, text_array, windows, words_of
 from clipfold.llm.store import BATCH_ROWS, saved, saved_with
 
 _SYMBOL = np.zeros(256, dtype=np.int8)
@@ -54,8 +54,8 @@ MEASURES = (
 )
 
 
-def count_batch(text: pa.Array) -> dict[str, np.ndarray]:
-    """All counts of each text of a slice."""
+def count_batch(text: pa.Array, words: Words | None = None) -> dict[str, np.ndarray]:
+    """All counts of each text of a slice; ``words``: what ``words_of`` gives for it, if that is known."""
     data, offsets = raw_bytes(text)
     space = SPACE[data]
     first = ~space
@@ -79,7 +79,7 @@ def count_batch(text: pa.Array) -> dict[str, np.ndarray]:
     out["n_lines"] = n_lines
     out["n_dup_lines"] = n_lines - np.bincount(distinct // (codes.max() + 1 if len(codes) else 1), minlength=len(text))
 
-    words = words_of(text)
+    words = words or words_of(text)
     owner = words.owners()
     covered = np.zeros(len(words.codes), dtype=bool)
     keys = windows(mix(words.codes), 3)

@@ -1,8 +1,11 @@
 """Fitted rates against a plain projected gradient that runs to the end."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from clipfold.llm import mixing, quality
+from clipfold.llm.arrowtext import text_array, words_of
 from clipfold.llm.mixing import fit_rates
 
 
@@ -27,3 +30,15 @@ def test_rates_come_to_the_best_squares(spark, shares):
     want = slow_rates(n, p, goal)
     assert ((got >= 0) & (got <= 1)).all()
     assert np.abs((got * n) @ p - (want * n) @ p).max() <= 0.01 * total.sum()
+
+
+def test_words_are_cut_once(monkeypatch):
+    text = text_array(pa.array(["Good words, good news!", None, " \n", "news é É words ...", "plain"]))
+    dense, owner, word = mixing.evidence(text)
+    cut = []
+    monkeypatch.setattr(quality, "words_of", lambda *a: cut.append(a) or words_of(*a))
+    monkeypatch.setattr(mixing, "words_of", quality.words_of)
+    only = np.unique(word)[::2]
+    some = mixing.evidence(text, words_of(text), only)
+    mine = np.isin(word, only)
+    assert not cut and (some[0] == dense).all() and some[1].tolist() == owner[mine].tolist() and some[2].tolist() == word[mine].tolist()
