@@ -301,6 +301,88 @@ def _near_by_marks(edits: str) -> str:
     return f"{turned('ones')} + {less} <= 2 * ({edits}) and {turned('twos')} + {less} <= 4 * ({edits}) and {turned('gaps')} <= 5 * ({edits})"
 
 
+#: Where a line was edited away from its hub, for two ways to cut the hub: lost segments of it as bits, and the binary digits of what each costs.
+SITES = tuple(f"{way}{c}" for way in ("", "more_") for c in ("lost", "ones_cost", "twos_cost", "fours_cost"))
+
+
+def least_edits(parts: list[str], lines: list[str]) -> np.ndarray:
+    """The edits between each part and the substring of its line that is nearest to it."""
+    out = np.zeros(len(parts), np.int64)
+    order, at = sorted(range(len(parts)), key=lambda i: len(lines[i])), 0
+    while at < len(order):
+        stop = at + 1
+        while stop < len(order) and (stop - at) * len(lines[order[stop]]) < 200_000:
+            stop += 1
+        some, at = order[at:stop], stop
+        size = np.array([len(parts[i]) for i in some])
+        text = np.ascontiguousarray(_matrix([lines[i] for i in some], max(1, len(lines[some[-1]])), 0xFFFFFFFF).T)
+        part = _matrix([parts[i] for i in some], int(size.max()), 0xFFFFFFFE)
+        steps = np.arange(text.shape[1] + 1, dtype=np.int16 if text.shape[1] < 30_000 else np.int64)
+        row = np.zeros((len(some), len(steps)), steps.dtype)
+        for k in range(len(part)):  # one character of all parts
+            new = row + steps.dtype.type(1)
+            np.minimum(new[:, 1:], row[:, :-1] + (text != part[k][:, None]), out=new[:, 1:])
+            row = np.minimum.accumulate(new - steps, axis=1) + steps
+            done = np.flatnonzero(size == k + 1)
+            out[np.array(some)[done]] = row[done].min(axis=1)
+    return out
+
+
+def sites(lines: list[str], hubs: list[str | None], most: int, per: int, looked_at: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """``SITES`` of each line (a row each), and whether there is a hub that says something.
+
+    A segment is lost unless it stands in the line in its order and at nearly
+    its place. What a lost one costs is the least edits, up to 7, between it
+    and what the line has around its place; that is 0 where more than
+    ``looked_at`` are lost, and so a lower bound.
+    """
+    out = np.zeros((len(lines), 2, 4), np.int64)
+    edits = allowed(np.array([[len(x), len(h or "")] for x, h in zip(lines, hubs, strict=True)], np.int64).reshape(-1), most, per).reshape(-1, 2)
+    useful = np.array([bool(h) for h in hubs], dtype=bool) & (edits[:, 0] <= edits[:, 1] + 1)
+    parts, around, owner = [], [], []
+    for i in np.flatnonzero(useful).tolist():
+        line, hub, reach = lines[i], hubs[i], int(edits[i, 1]) + 1
+        # The cuts follow from the hub's length alone, so that all its lines have the same.
+        n = max(1, min(60, len(hub) // (4 * reach)))
+        step = len(hub) // n
+        shift = max(0, (step - reach) // 2)
+        for way in (0, 1):
+            place, lost = 0, []
+            for k in range(n):
+                start = k * step + way * (step // 2)
+                segment = hub[start : start + min(step, 60)]
+                found = line.find(segment, max(place, start - shift), start + len(segment) + shift)
+                if found >= 0:
+                    place = found + len(segment)
+                else:
+                    lost.append((k, segment, line[max(0, start - shift - reach) : start + len(segment) + shift + reach]))
+            out[i, way, 0] = sum(1 << k for k, _, _ in lost)
+            if len(lost) <= looked_at:
+                owner += [(i, way, k) for k, _, _ in lost]
+                parts += [x for _, x, _ in lost]
+                around += [x for _, _, x in lost]
+    for (i, way, k), cost in zip(owner, np.minimum(least_edits(parts, around), 7).tolist(), strict=True):
+        for digit in range(3):
+            out[i, way, 1 + digit] |= (cost >> digit & 1) << k
+    return out.reshape(len(lines), len(SITES)), useful
+
+
+def _near_by_sites(edits: str) -> str:
+    """SQL: whether a and b, if they have one hub, may be within ``edits`` by what each lost of it and the other has.
+
+    Segments lie apart, so what a lost and b has costs the sum of a's edits;
+    those of b are others, if no segment is next to one of the former: within
+    the edits that are asked for, the places of the two don't meet.
+    """
+    def way(more: str) -> str:
+        cost = lambda x, bits: " + ".join(f"{n} * bit_count({more}{digit}_cost_{x} & {bits})" for n, digit in ((1, "ones"), (2, "twos"), (4, "fours")))
+        mine, theirs = f"({more}lost_a & ~{more}lost_b)", f"({more}lost_b & ~{more}lost_a)"
+        apart = f"{theirs} & ~shiftleft({mine}, 1) & ~shiftright({mine}, 1)"
+        return f"{cost('a', mine)} + {cost('b', apart)} <= {edits}"
+
+    return f"(hub_a is null or not (hub_a <=> hub_b) or ({way('')} and {way('more_')}))"
+
+
 def _gram_members(apart: DataFrame, texts: DataFrame, most: int, per: int = 0, q: int = 8) -> DataFrame:
     """Members keyed by a character gram of their prefix, for ``linked``.
 
@@ -308,32 +390,41 @@ def _gram_members(apart: DataFrame, texts: DataFrame, most: int, per: int = 0, q
     share one of their first q * k + 1 in any common order; a line takes the k
     of its own length, which is no less than that of a shorter one. Rare ones
     come first here, so lines that were edited apart seldom meet. Lines of
-    fewer grams have one element more, the same for all.
+    fewer grams have one element more, the same for all. ``before``: the line's
+    shared keys below the row's, so that two lines meet at the first they share.
     """
+    def edits_of(lines: list[str]) -> np.ndarray:
+        return allowed(np.array([len(x) for x in lines], dtype=np.int64), most, per)
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "line", 1_000_000):
-            found = marks(batch.column("line").to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "line", "component")), *map(pa.array, found.view(np.int64).T)], names=["node", "line", "component", *MARKS])
+            lines, theirs = batch.column("line").to_pylist(), batch.column("hub_line").to_pylist()
+            lost, useful = sites(lines, theirs, most, per)
+            hub = pc.if_else(pa.array(useful), batch.column("hub"), pa.scalar(None, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept[:3]), hub, *map(pa.array, marks(lines).view(np.int64).T), *map(pa.array, lost.T)], names=[*kept, *MARKS, *SITES])
 
-    fields = "node long, line string, component long, " + ", ".join(f"{c} long" for c in MARKS)
-    own = saved(texts.join(apart, "node").select("node", "line", "component").mapInArrow(mark, fields), "apart-lines")
+    kept = ("node", "line", "component", "hub")
+    fields = "node long, line string, component long, hub long, " + ", ".join(f"{c} long" for c in (*MARKS, *SITES))
+    hubs = texts.select(F.col("node").alias("hub"), F.col("line").alias("hub_line"))
+    own = saved(texts.join(apart, "node").join(hubs, "hub", "left").select(*kept, "hub_line").mapInArrow(mark, fields), "apart-lines")
 
     def grams(line: str, k: int) -> np.ndarray:
         points = np.frombuffer(line.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
         found = np.unique(windows(mix(points), q))
         return found if len(found) > q * k else np.append(found[found < np.uint64(2**64 - 1)], np.uint64(2**64 - 1))
 
-    def edits_of(lines: list[str]) -> np.ndarray:
-        return allowed(np.array([len(x) for x in lines], dtype=np.int64), most, per)
-
     def sets_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         lines = batch.column("line").to_pylist()
         found = [grams(x, int(k)) for x, k in zip(lines, edits_of(lines), strict=True)]
         return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
 
     first = lambda batch, sizes: q * edits_of(batch.column("line").to_pylist()) + 1
-    own = own.withColumn("length", F.length("line"))
-    return shared_only(prefixes(own, sets_of, first, "line", ("component", "length", *MARKS)).drop("size", "place"))
+    own = own.withColumn("length", F.length("line")).withColumn("edits", F.expr(_allowed_sql("length", most, per)).cast("int"))
+    # What follows reads the prefixes and the shared ones of them twice.
+    front = saved(prefixes(own, sets_of, first, "line", ("component", "length", "edits", "hub", *MARKS, *SITES)).drop("size", "place"), "prefixes")
+    shared = saved(shared_only(front), "shared")
+    keys = shared.groupBy("node").agg(F.collect_list("key").alias("keys"))
+    return shared.join(keys, "node").withColumn("before", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")
 
 
 def close_pairs(pairs: DataFrame, texts: DataFrame, most: int, per: int = 0) -> DataFrame:
@@ -359,8 +450,8 @@ def line_classes(docs: DataFrame, places: DataFrame, most: int = 2, least: int =
     members = saved(candidates(docs, most, least, per), "members")
     involved = places.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = saved(_line_texts(docs, involved, least), "lines")
-    edits = _allowed_sql("least(length_a, length_b)", most, per)
-    meets = f"abs(length_a - length_b) <= {edits} and {_near_by_marks(edits)}"
+    edits = "least(edits_a, edits_b)"
+    meets = f"abs(length_a - length_b) <= {edits} and {_near_by_marks(edits)} and {_near_by_sites(edits)} and not arrays_overlap(before_a, before_b)"
     return linked(members, lambda pairs: close_pairs(pairs, texts, most, per), lambda apart: _gram_members(apart, texts, most, per), meets)
 
 

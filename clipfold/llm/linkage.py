@@ -52,7 +52,7 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], narro
     hubs = saved(members.join(fame, "node").groupBy("key").agg(best).select("key", F.col("h.node").alias("hub"), "h.fame"), "hubs")
     tried = members.join(hubs, "key").filter("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"), F.max("fame").alias("fame"))
     pairs = saved(tried.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("n", "fame", "hub")).alias("b")), "tried")
-    classes = saved(roots(verified(pairs)), "classes")
+    classes = saved(roots(saved(verified(pairs), "near")), "classes")
 
     now = members.select("key", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     now = saved(now, "now")

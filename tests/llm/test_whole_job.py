@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clipfold.llm import audio, licenses, linededup, lm, queries
+from clipfold.llm import audio, licenses, linededup, linkage, lm, queries
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -125,3 +125,50 @@ def test_licenses_take_further_known_texts(spark):
     form = "big license version 9 you may do as you like without warranty"
     assert {r.digest for r in rows if r.doc_id == 1} == {hashlib.sha256(form.encode()).hexdigest()}
     assert {(r.doc_id, r.license_id) for r in licenses.scanned(docs).collect()} == {(5, "MIT")}
+
+
+def test_families_of_lines_are_told_apart_by_their_sites(spark, monkeypatch):
+    rnd = np.random.default_rng(11)
+    word = lambda n, of="abcdefgh": "".join(rnd.choice(list(of), n))
+    base = word(200)
+    lines = []
+    for k in range(60):
+        at = 3 * k + 8
+        lines.append(base[:at] + word(4, "xyzuvw") + base[at:])
+        if k % 4 == 0:  # a copy of a copy, within what may be
+            lines.append(lines[-1][:100] + "-" + lines[-1][101:])
+    tables, saved = [], linkage.saved
+    monkeypatch.setattr(linkage, "saved", lambda df, label: tables.append((label, saved(df, label))) or tables[-1][1])
+    docs = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    out = linededup.deduplicated(docs, per=80).first()
+    kind = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j in range(i):
+            if kind[i] != kind[j] and abs(len(a) - len(lines[j])) <= 3 and edits(a, lines[j]) <= 3:
+                old, new = max(kind[i], kind[j]), min(kind[i], kind[j])
+                kind = [new if c == old else c for c in kind]
+    assert out.text.split("\n") == [x for i, x in enumerate(lines) if kind[i] == i] and 15 <= out.n_removed < len(lines)
+    assert dict(tables)["pairs"].count() < len(lines) * 5  # of 2,775
+
+
+def test_sites_are_a_lower_bound(spark):
+    rnd = np.random.default_rng(5)
+    for size, alphabet in ((44, "ab"), (170, "abcdefgh")):
+        word = lambda n, of=alphabet: "".join(rnd.choice(list(of), n))  # noqa: B023, E731
+        hub, lines = word(size), []
+        for _ in range(16):
+            at, x = int(rnd.integers(size)), word(int(rnd.integers(3, 7)), "xyz")
+            lines.append(hub[:at] + x + hub[at:])
+            for n in (1, 2, 3):
+                y = lines[-1]
+                for _ in range(n):
+                    k = int(rnd.integers(len(y)))
+                    y = y[:k] + ["", y[k] + word(1), word(1)][int(rnd.integers(3))] + y[k + 1 :]
+                lines.append(y)
+        found, useful = linededup.sites(lines, [hub] * len(lines), 2, 80)
+        rows = spark.createDataFrame([(i, 1, *map(int, x)) for i, x in enumerate(found)], "i int, hub long, " + ", ".join(f"{c} long" for c in linededup.SITES))
+        a, b = (rows.toDF(*(f"{c}_{x}" for c in rows.columns)) for x in "ab")
+        most = int(linededup.allowed(np.array([size]), 2, 80)[0])
+        met = {(r.i_a, r.i_b) for r in a.crossJoin(b).filter(linededup._near_by_sites(str(most))).select("i_a", "i_b").collect()}
+        near = {(i, j) for i, x in enumerate(lines) for j, y in enumerate(lines) if edits(x, y) <= most}
+        assert useful.all() and near <= met and len(met) < len(lines) ** 2 * 0.8
