@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from clipfold.functions import json, urls
 from clipfold.operators.contracts import named
 from clipfold.operators.persistence import has_prefix
+from clipfold.plans.store import saved
 
 IDENTIFIER, DIGEST, SLUG = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$", "^[a-f0-9]{64}$", "^[a-z0-9]+(?:-[a-z0-9]+)*$"
 #: The locator that can't carry an authority's direct fact, and the payload of a selection without a topic.
@@ -17,14 +19,32 @@ SUMMARY_LOCATOR, DIRECT = "RSS 요약", "public_authority_direct_fact"
 EMPTY = '{"kind":"topic_selection","value":{"outcome":"none","candidate":null,"evidenceItems":[]}}'
 
 
-def _repeated(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """``rows`` and, for each of ``columns``, whether its value comes more than once; nulls don't count."""
+#: Repeated values up to this number are broadcast.
+FEW = 500_000
+
+
+def _repeated(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` and, for each of ``columns``, whether its value comes more than once; nulls don't count.
+
+    ``rows`` are read once for each column and once more. Repeated values are
+    written and counted, so that ``rows`` stay where they are if these are few.
+    """
     for c in columns:
         many = rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") > 1) & F.col(c).isNotNull()).select(c, F.lit(True).alias(f"_many_{c}"))
-        rows = rows.join(many, c, "left")
+        many = saved(many, "repeated")
+        rows = rows.join(F.broadcast(many) if many.count() <= FEW else many.hint("merge"), c, "left")
     return rows
 
 
+def _bits(*found: tuple[str, Column]) -> Column:
+    """The conditions that hold, as bits of a number; an unknown one doesn't."""
+    return reduce(lambda a, b: a + b, (F.when(condition, F.lit(1 << k)).otherwise(0) for k, (_, condition) in enumerate(found)))
+
+
+def _of_bits(bits: str, found: Sequence[tuple[str, Column]]) -> list[tuple[str, Column]]:
+    return [(name, F.col(bits).bitwiseAND(1 << k) != 0) for k, (name, _) in enumerate(found)]
+
+
 def _many(column: str) -> Column:
     return F.coalesce(F.col(f"_many_{column}"), F.lit(False))
 
@@ -38,36 +58,39 @@ def batch_issues(sources: DataFrame, articles: DataFrame, evidence: DataFrame) -
     repeats eleven of their fields; a direct fact of an authority needs a
     source of that authority and more than a feed's summary.
     """
-    own = _repeated(sources, "source_id", "source_id").select(
+    own = _repeated(sources.select("source_id", "enabled", "access_status"), "source_id").select(
         F.lit("source").alias("kind"), F.col("source_id").alias("id"), named(("REPEATED", _many("source_id")), ("ACCESS", ~F.coalesce(F.col("enabled") & (F.col("access_status") == "allowed"), F.lit(False)))).alias("issues")
     )
-    s = F.col("_s")
-    one_source = sources.dropDuplicates(["source_id"]).select("source_id", F.struct(*sources.columns).alias("_s"))
-    rows = _repeated(articles, "article_id", "article_id", "canonical_url_hash", "content_fingerprint").join(one_source, "source_id", "left")
+    s, a, c = F.col("_s"), F.col("_a"), F.col
     differ = lambda a, b: ~a.eqNullSafe(b)
-    theirs = rows.select(
-        F.lit("article").alias("kind"), F.col("article_id").alias("id"),
-        named(
-            ("REPEATED", _many("article_id")), ("URL_REPEATED", _many("canonical_url_hash")), ("CONTENT_REPEATED", _many("content_fingerprint")), ("SOURCE", s.isNull()),
-            ("PUBLISHER", s.isNotNull() & differ(s["publisher_group_id"], F.col("publisher_group_id"))), ("ORIGIN", s.isNotNull() & differ(s["origin_type"], F.col("origin_type"))),
-            ("PROVENANCE", s.isNotNull() & ~F.coalesce(has_prefix(F.col("provenance_group_key"), s["provenance_group_prefix"]), F.lit(False))),
-        ).alias("issues"),
+    # What a join says of a row becomes bits at once, so that the next one moves no more than it needs.
+    one_source = sources.dropDuplicates(["source_id"])
+    parts = lambda *names: one_source.select("source_id", F.struct(*names).alias("_s"))
+    of_source = (
+        ("SOURCE", s.isNull()), ("PUBLISHER", s.isNotNull() & differ(s["publisher_group_id"], c("publisher_group_id"))), ("ORIGIN", s.isNotNull() & differ(s["origin_type"], c("origin_type"))),
+        ("PROVENANCE", s.isNotNull() & ~F.coalesce(has_prefix(c("provenance_group_key"), s["provenance_group_prefix"]), F.lit(False))),
     )
-    one_article = articles.dropDuplicates(["article_id"]).select("article_id", F.struct(*articles.columns).alias("_a"))
-    a, c = F.col("_a"), F.col
-    both = a.isNotNull() & s.isNotNull()
-    items = _repeated(evidence, "evidence_id", "evidence_id").join(one_article, "article_id", "left").join(one_source, "source_id", "left")
-    of_article = (("ARTICLE_SOURCE", "source_id", "source_id"), ("PUBLISHER", "publisher_group_id", "publisher_group_id"), ("PROVENANCE", "provenance_group_key", "provenance_group_key"), ("TITLE", "title", "title"),
+    rows = articles.join(parts("publisher_group_id", "origin_type", "provenance_group_prefix"), "source_id", "left").select("article_id", "canonical_url_hash", "content_fingerprint", _bits(*of_source).alias("_bits"))
+    theirs = _repeated(saved(rows, "batch-articles"), "article_id", "canonical_url_hash", "content_fingerprint").select(
+        F.lit("article").alias("kind"), c("article_id").alias("id"),
+        named(("REPEATED", _many("article_id")), ("URL_REPEATED", _many("canonical_url_hash")), ("CONTENT_REPEATED", _many("content_fingerprint")), *_of_bits("_bits", of_source)).alias("issues"),
+    )
+    fields = (("ARTICLE_SOURCE", "source_id", "source_id"), ("PUBLISHER", "publisher_group_id", "publisher_group_id"), ("PROVENANCE", "provenance_group_key", "provenance_group_key"), ("TITLE", "title", "title"),
         ("URL", "url", "canonical_url"), ("PUBLISHED_AT", "published_at", "published_at"), ("PRECISION", "published_at_precision", "published_at_precision"))
-    of_source = (("SOURCE_NAME", "source_name", "name"), ("SOURCE_ROLE", "source_role", "source_role"), ("SOURCE_TYPE", "source_type", "source_type"))
-    unfit = (c("authority") == DIRECT) & (differ(s["authority"], F.lit(DIRECT)) | (c("locator") == SUMMARY_LOCATOR))
-    proofs = items.select(
-        F.lit("evidence").alias("kind"), F.col("evidence_id").alias("id"),
-        named(
-            ("REPEATED", _many("evidence_id")), ("LINEAGE", ~both), *((name, both & differ(c(mine), a[other])) for name, mine, other in of_article),
-            *((name, both & differ(c(mine), s[other])) for name, mine, other in of_source), ("AUTHORITY", both & unfit),
-        ).alias("issues"),
+    of_article = (("LINEAGE", a.isNull()), *((name, a.isNotNull() & differ(c(mine), a[other])) for name, mine, other in fields))
+    one_article = articles.dropDuplicates(["article_id"]).select("article_id", F.struct(*(other for _, _, other in fields)).alias("_a"))
+    items = evidence.join(one_article, "article_id", "left").select(
+        "evidence_id", "source_id", _bits(*of_article).alias("_of_article"), "source_name", "source_role", "source_type", (c("authority") == DIRECT).alias("_direct"), (c("locator") == SUMMARY_LOCATOR).alias("_brief")
+    )
+    told = _of_bits("_of_article", of_article)
+    both = ~told[0][1] & s.isNotNull()
+    all_of = (
+        ("LINEAGE", ~both), *((name, both & wrong) for name, wrong in told[1:]),
+        *((name, both & differ(c(mine), s[other])) for name, mine, other in (("SOURCE_NAME", "source_name", "name"), ("SOURCE_ROLE", "source_role", "source_role"), ("SOURCE_TYPE", "source_type", "source_type"))),
+        ("AUTHORITY", both & c("_direct") & (differ(s["authority"], F.lit(DIRECT)) | c("_brief"))),
     )
+    items = items.join(parts("name", "source_role", "source_type", "authority"), "source_id", "left").select("evidence_id", _bits(*all_of).alias("_bits"))
+    proofs = _repeated(saved(items, "batch-evidence"), "evidence_id").select(F.lit("evidence").alias("kind"), c("evidence_id").alias("id"), named(("REPEATED", _many("evidence_id")), *_of_bits("_bits", all_of)).alias("issues"))
     return own.union(theirs).union(proofs).filter(F.size("issues") > 0)
 
 

@@ -67,3 +67,12 @@ def test_publications(spark):
     assert found(rows, posts) == [*cases, *["INVALID_SOURCE_DATA"] * len(wrong)]
     mine = spark.createDataFrame([("p", "a-b", day, "p1", "published", "r")], kind)
     assert found([base, base | {"revision_id": "p2"}], mine) == ["replayed", "DUPLICATE_PUBLICATION_DATE"]
+
+
+def test_batch_issues_write_narrow_rows(spark, monkeypatch):
+    tables, saved = {}, batches.saved
+    monkeypatch.setattr(batches, "saved", lambda df, label: tables.setdefault(label, df.columns) and saved(df, label))
+    test_batch_issues(spark)
+    assert tables["batch-evidence"] == ["evidence_id", "_bits"] and tables["batch-articles"] == ["article_id", "canonical_url_hash", "content_fingerprint", "_bits"]
+    monkeypatch.setattr(batches, "FEW", 0)
+    test_batch_issues(spark)
