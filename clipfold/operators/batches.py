@@ -135,28 +135,38 @@ def empty_selections(requests: DataFrame, runs: DataFrame, artifacts: DataFrame,
     configuration_fingerprint and payload (JSON). ``runs``: one of a run_date;
     ``artifacts``: one of a run_id and stage; ``topics``: run_date and run_id.
     """
-    rows = _found(requests, runs, ["run_date"], "_run")
-    for stage in ("collect", "score"):
-        rows = _found(rows, artifacts.filter(F.col("stage") == stage), ["run_id"], f"_{stage}")
-    elsewhere = artifacts.select("output_reference", F.struct("run_id", "stage").alias("_w")).groupBy("output_reference").agg(F.collect_set("_w").alias("_where"))
-    rows = rows.join(elsewhere, "output_reference", "left")
-    for k in ("run_date", "run_id"):
-        rows = rows.join(topics.select(k).filter(F.col(k).isNotNull()).distinct().withColumn(f"_topic_{k}", F.lit(True)), k, "left")
     c, collect, score = F.col, F.col("_collect"), F.col("_score")
     sized = lambda x: F.length(x).between(1, 500)
-    digests = c("payload_fingerprint").rlike(DIGEST) & c("configuration_fingerprint").rlike(DIGEST)
-    payload = F.coalesce(json.same(c("payload"), F.lit(EMPTY)), F.lit(False))
-    other = F.exists("_where", lambda w: (w["run_id"] != c("run_id")) | (w["stage"] != "score"))
+    topic = lambda rows, k: rows.join(topics.select(k).filter(F.col(k).isNotNull()).distinct().withColumn("_topic", F.lit(True)), k, "left")
+    rest = lambda *gone: [x for x in rows.columns if x not in gone]
+    # The joins go key by key, and what they say becomes flags at once: later ones move neither what was found nor what it was compared with.
+    # A request that gets as far as the comparison has an empty selection and fingerprints in lower case, so their bytes and a flag are enough for that.
+    marks = ("payload_fingerprint", "configuration_fingerprint")
+    raw = lambda k: F.when(c(k).rlike(DIGEST), F.unhex(k))
+    empty = F.coalesce(json.same(c("payload"), F.lit(EMPTY)), F.lit(False))
+    digests = F.coalesce(c(marks[0]).rlike(DIGEST) & c(marks[1]).rlike(DIGEST), F.lit(False))
+    rows = requests.withColumns({"_invalid": ~(empty & sized(c("collect_reference")) & sized(c("output_reference")) & digests), **{f"_{k}": raw(k) for k in marks}})
+    known = artifacts.select("run_id", "stage", "kind", "output_reference", "parent_output_references", *(raw(k).alias(k) for k in marks), empty.alias("empty"))
+    rows = _found(rows, known.filter(c("stage") == "collect").select("run_id", "kind", "output_reference"), ["run_id"], "_collect")
+    rows = _found(rows, known.filter(c("stage") == "score").drop("stage"), ["run_id"], "_score")
     equal = (
-        (score["kind"] == "topic_selection") & (score["output_reference"] == c("output_reference")) & (score["payload_fingerprint"] == c("payload_fingerprint")) & (score["configuration_fingerprint"] == c("configuration_fingerprint"))
-        & (score["parent_output_references"] == F.array("collect_reference")) & F.coalesce(json.same(score["payload"], c("payload")), F.lit(False))
+        (score["kind"] == "topic_selection") & (score["output_reference"] == c("output_reference")) & (score[marks[0]] == c(f"_{marks[0]}")) & (score[marks[1]] == c(f"_{marks[1]}"))
+        & (score["parent_output_references"] == F.array("collect_reference")) & score["empty"]
     )
+    rows = topic(rows, "run_id").withColumns({
+        "_unfounded": collect.isNull() | (collect["kind"] != "news_ingestion") | (collect["output_reference"] != c("collect_reference")),
+        "_topic_run_id": c("_topic"), "_stored": score.isNotNull(), "_conflict": score.isNotNull() & ~F.coalesce(equal, F.lit(False)),
+    })
+    rows = rows.select(*rest("_collect", "_score", "_topic", *(f"_{k}" for k in marks)))
+    elsewhere = artifacts.select("output_reference", F.struct("run_id", "stage").alias("_w")).groupBy("output_reference").agg(F.collect_set("_w").alias("_where"))
+    other = F.exists("_where", lambda w: (w["run_id"] != c("run_id")) | (w["stage"] != "score"))
+    rows = rows.join(elsewhere, "output_reference", "left").withColumn("_other", other)
+    rows = topic(_found(rows.select(*rest("_where")), runs, ["run_date"], "_run"), "run_date")
     failure = first_failure(
-        *_lease(F.col("_run"), "score"), ("INVALID_CONTENT_PAYLOAD", ~(payload & sized(c("collect_reference")) & sized(c("output_reference")) & F.coalesce(digests, F.lit(False)))),
-        ("MISSING_CONTENT_LINEAGE", collect.isNull() | (collect["kind"] != "news_ingestion") | (collect["output_reference"] != c("collect_reference"))), ("TOPIC_IDENTITY_CONFLICT", c("_topic_run_date") | c("_topic_run_id")),
-        ("TOPIC_IDENTITY_CONFLICT", c("_topic_run_date")), ("TOPIC_IDENTITY_CONFLICT", c("_topic_run_id")), ("OUTPUT_CONFLICT", other), ("OUTPUT_CONFLICT", score.isNotNull() & ~F.coalesce(equal, F.lit(False))),
+        *_lease(c("_run"), "score"), ("INVALID_CONTENT_PAYLOAD", c("_invalid")), ("MISSING_CONTENT_LINEAGE", c("_unfounded")),
+        ("TOPIC_IDENTITY_CONFLICT", c("_topic")), ("TOPIC_IDENTITY_CONFLICT", c("_topic_run_id")), ("OUTPUT_CONFLICT", c("_other")), ("OUTPUT_CONFLICT", c("_conflict")),
     )
-    return rows.select(*requests.columns, F.coalesce(failure, F.when(score.isNull(), "created").otherwise("replayed")).alias("outcome"))
+    return rows.select(*requests.columns, F.coalesce(failure, F.when(c("_stored"), "replayed").otherwise("created")).alias("outcome"))
 
 
 def publications(requests: DataFrame, runs: DataFrame, artifacts: DataFrame, topics: DataFrame, posts: DataFrame, post_issues: Column) -> DataFrame:

@@ -69,6 +69,34 @@ def test_publications(spark):
     assert found([base, base | {"revision_id": "p2"}], mine) == ["replayed", "DUPLICATE_PUBLICATION_DATE"]
 
 
+def test_empty_selections(spark):
+    now, day, digest = dt.datetime(2026, 8, 14), dt.date(2026, 8, 14), "a0" * 32
+    base = dict(run_date=day, run_id="r", lease_token="t", fence=1, expected_revision=2, now=now, collect_reference="c", output_reference="s", payload_fingerprint=digest, configuration_fingerprint=digest, payload='{"value": {"evidenceItems": [], "outcome": "none", "candidate": null}, "kind": "topic_selection"}')
+    cases = [
+        ({}, "replayed"), ({"run_id": "x"}, "RUN_ID_MISMATCH"), ({"payload": "{"}, "INVALID_CONTENT_PAYLOAD"), ({"payload_fingerprint": digest.upper()}, "INVALID_CONTENT_PAYLOAD"), ({"configuration_fingerprint": None}, "INVALID_CONTENT_PAYLOAD"), ({"output_reference": ""}, "INVALID_CONTENT_PAYLOAD"),
+        ({"payload_fingerprint": "b0" * 32}, "OUTPUT_CONFLICT"), ({"collect_reference": "?"}, "MISSING_CONTENT_LINEAGE"), ({"output_reference": "s9"}, "OUTPUT_CONFLICT"),
+    ]
+    for k, run in enumerate(("new", "upper", "full", "topic", "taken")):
+        outcome = {"new": "created", "topic": "TOPIC_IDENTITY_CONFLICT"}.get(run, "OUTPUT_CONFLICT")
+        cases.append(({"run_date": dt.date(2026, 9, 1 + k), "run_id": run, "collect_reference": f"c-{run}", "output_reference": "s" if run == "taken" else f"s-{run}"}, outcome))
+    schema = "run_date date, run_id string, lease_token string, fence int, expected_revision int, now timestamp, collect_reference string, output_reference string, payload_fingerprint string, configuration_fingerprint string, payload string, i int"
+    requests = spark.createDataFrame([(*(base | x).values(), i) for i, (x, _) in enumerate(cases)], schema)
+    days = {"r": day} | {x["run_id"]: x["run_date"] for x, _ in cases if "run_date" in x}
+    runs = spark.createDataFrame([(d, r, "t", 1, 2, dt.datetime(2026, 8, 15), "running", "score") for r, d in days.items()], "run_date date, run_id string, lease_token string, fence int, journal_revision int, lease_expires_at timestamp, status string, current_stage string")
+    stored = [(r, "collect", "news_ingestion", "c" if r == "r" else f"c-{r}", digest, digest, [], "{}") for r in days]
+    stored += [(r, "score", "topic_selection", o, f, digest, [p], j) for r, o, f, p, j in (("r", "s", digest, "c", batches.EMPTY), ("upper", "s-upper", digest.upper(), "c-upper", batches.EMPTY), ("full", "s-full", digest, "c-full", '{"kind":"topic_selection"}'))]
+    artifacts = spark.createDataFrame(stored, "run_id string, stage string, kind string, output_reference string, payload_fingerprint string, configuration_fingerprint string, parent_output_references array<string>, payload string")
+    topics = spark.createDataFrame([(None, "topic")], "run_date date, run_id string")
+    out = batches.empty_selections(requests, runs, artifacts, topics)
+    assert out.columns == [*requests.columns, "outcome"]
+    assert [r.outcome for r in out.orderBy("i").collect()] == [x for _, x in cases]
+    # What the first joins found, and the texts it was compared with, don't go on to the last join.
+    plan = out.select("i", "outcome")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    last = next(k for k, x in enumerate(plan) if "Join" in x)
+    carried = next(x for x in plan[last + 1 :] if "Project" in x)
+    assert "i#" in carried and not any(f"{x}#" in carried for x in ("_collect", "_score", "_where", "payload", "payload_fingerprint"))
+
+
 def test_batch_issues_write_narrow_rows(spark, monkeypatch):
     tables, saved = {}, batches.saved
     monkeypatch.setattr(batches, "saved", lambda df, label: tables.setdefault(label, df.columns) and saved(df, label))
