@@ -4,13 +4,13 @@ Two lines within k edits share one of k + 1 segments of the
 shorter one, at nearly the same place. So each line is indexed under its
 segments, with its length and their number, and probes the indexes of its own
 and of slightly shorter lengths with the few substrings that can be such a
-segment; k grows with the length of the shorter line. Candidates are checked by a banded bit-parallel edit distance. Of each
+segment; k grows with the length of the shorter line. Candidates are checked by the furthest points of their diagonals. Of each
 class of connected lines the first occurrence, by document and line, stays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from clipfold.llm.linkage import linked
 from clipfold.llm.neardup import squeezed
 from clipfold.llm.packed import pack, unpack
 from clipfold.llm.rarity import prefixes, shared_only
+from clipfold.llm.spelling import sieve_of
 from clipfold.llm.store import partitions_for, saved, with_text
 
 
@@ -53,10 +54,25 @@ def _allowed_sql(length: str, most: int, per: int) -> str:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 13, 32]] = True
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse; a process keeps those of up to a million."""
+    if n <= len(_POWERS[0]):
+        return _POWERS[0][:n], _POWERS[1][:n]
+    both = []
+    for base in (_BASE, _INVERSE):
+        out = np.full(n, base, dtype=np.uint64)
+        out[0] = 1
+        both.append(np.cumprod(out, out=out))
+    if n <= 1_000_000:
+        _POWERS[:] = both
+    return both[0], both[1]
+
+
 class Lines:
     """The lines of a slice of texts that have ``least`` characters or more without blanks at their ends.
 
@@ -96,61 +112,73 @@ class Lines:
         whole, digest = memoryview(self.data), xxhash.xxh64_intdigest
         return np.fromiter((digest(whole[a:b], 7) for a, b in zip(self.start.tolist(), self.stop.tolist(), strict=True)), dtype=np.uint64, count=len(self.start)).view(np.int64)
 
-    def keys(self, most: int, per: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(key, node) of every line: all keys under which it probes, twice a hash, and one more for those of its own segments, its index."""
-        if not len(self.start):
+    def keys(self, most: int, per: int, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, line) of the lines ``mine``: all keys under which they probe, twice a hash, and one more for those of their own segments, their index."""
+        if not len(mine):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        once = np.unique(self.node, return_index=True)[1]  # copies of a line in a slice probe once
         points = np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
-        powers = np.full(len(points) + 1, _BASE, dtype=np.uint64)
-        powers[0] = 1
-        np.cumprod(powers, out=powers)
+        powers, back = _powers(len(points) + 1)
         total = np.zeros(len(points) + 1, dtype=np.uint64)
-        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=total[1:])
-        back = np.full(len(points) + 1, _INVERSE, dtype=np.uint64)
-        back[0] = 1
-        np.cumprod(back, out=back)
-        out, nodes = [], []
-        for edits in range(most, int(allowed(self.length[once], most, per).max()) + 1):
-            parts = edits + 1
-            for shorter in range(edits + 1):  # the shorter line's length says how many edits there may be
-                mine = once[(self.length[once] > shorter) & (allowed(self.length[once] - shorter, most, per) == edits)]
-                if not len(mine):
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * powers[: len(points)], out=total[1:])
+        out, lines, edits_of = [], [], {}
+        for shorter in range(int(allowed(self.length[mine], most, per).max()) + 1):  # the shorter line's length says how many edits there may be
+            long = mine[self.length[mine] > shorter]
+            edits_of[shorter] = long, allowed(self.length[long] - shorter, most, per)
+        for shorter, (long, all_edits) in edits_of.items():
+            for edits in np.unique(all_edits).tolist():
+                if edits < shorter:
                     continue
-                at, size = self.point[mine], self.length[mine] - shorter
-                for _, segment, shift in (p for p in probes(edits) if p[0] == shorter):
-                    each, short = size // parts, parts - size % parts
-                    begin = at + segment * each + np.maximum(segment - short, 0) + shift
-                    end = begin + each + (segment >= short)
-                    key = (total[end] - total[begin]) * back[begin]
-                    key = mix(key ^ mix((size * parts + segment).astype(np.uint64)))
-                    out.append(key << np.uint64(1) | np.uint64(shorter == 0 and shift == 0))
-                    nodes.append(self.node[mine])
-        return np.concatenate(out), np.concatenate(nodes)
+                some, parts = long[all_edits == edits], edits + 1
+                at, size = self.point[some], self.length[some] - shorter
+                each = size // parts
+                short = parts - (size - each * parts)
+                salt = mix((size * parts + np.arange(parts)[:, None]).astype(np.uint64))
+                segment, shift = np.array([p[1:] for p in probes(edits) if p[0] == shorter], np.int64).T[:, :, None]
+                begin = at + segment * each + np.maximum(segment - short, 0) + shift
+                end = begin + each + (segment >= short)
+                key = total[end]
+                key -= total[begin]
+                key *= back[begin]
+                key ^= salt[segment[:, 0]]
+                key = mix(key) << np.uint64(1)
+                if not shorter:
+                    key |= (shift == 0).astype(np.uint64)
+                out.append(key.reshape(-1))
+                lines.append(np.tile(some, len(segment)))
+        return np.concatenate(out), np.concatenate(lines)
 
 
 def within(left: list[str], right: list[str], most: int) -> np.ndarray:
-    """Whether each pair of strings is within ``most`` edits: one bit-parallel band per pair, all pairs in step.
-
-    A word holds the vertical differences of 64 rows that end ``most`` below
-    the diagonal; only matches within ``most`` of the diagonal are set.
-    """
-    swap = [len(b) > len(a) for a, b in zip(left, right, strict=True)]
-    long = [b if s else a for a, b, s in zip(left, right, swap, strict=True)]
-    short = [a if s else b for a, b, s in zip(left, right, swap, strict=True)]
-    m, n = np.array([len(x) for x in long]), np.array([len(x) for x in short])
-    out = (m - n <= most) & ((n > 0) | (m <= most))
-    todo = np.flatnonzero(out & (m > most) & (n > 0))
-    todo = todo[np.argsort(m[todo], kind="stable")]
-    at = 0
-    while at < len(todo):
-        stop = at + 1
-        while stop < len(todo) and (stop - at) * int(m[todo[stop]]) < 1_500_000:
-            stop += 1
-        part = todo[at:stop]
-        out[part] = _banded([long[i] for i in part], [short[i] for i in part], m[part], n[part], most) <= most
-        at = stop
-    return out
+    """Whether each pair of strings is within ``most`` edits."""
+    return np.array([_within(a, b, most) for a, b in zip(left, right, strict=True)], dtype=bool)
+
+
+def _within(left: str, right: str, most: int) -> bool:
+    """Furthest points of each diagonal, one edit after another: it ends as soon as none that can still reach the end is left."""
+    n, slope = len(left), len(right) - len(left)
+    if abs(slope) > most:
+        return False
+    a, b = (np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32) for x in (left, right))
+    unlike: dict[int, bytes] = {}
+
+    def slid(d: int, i: int) -> int:
+        low, high = max(0, -d), min(n, len(right) - d)
+        if d not in unlike:
+            unlike[d] = (a[low:high] != b[low + d : high + d]).tobytes()
+        found = unlike[d].find(1, i - low)
+        return high if found < 0 else low + found
+
+    furthest = {0: slid(0, 0)}
+    for used in range(most + 1):
+        if furthest.get(slope, -1) >= n:
+            return True
+        after, room = {}, most - used - 1
+        for d in range(max(-used - 1, slope - room, -n), min(used + 1, slope + room, len(right)) + 1):
+            i = max(furthest.get(d, -2) + 1, furthest.get(d - 1, -1), furthest.get(d + 1, -2) + 1)
+            if i >= max(0, -d):
+                after[d] = slid(d, min(i, n, len(right) - d))
+        furthest = after
+    return False
 
 
 def _matrix(strings: list[str], width: int, fill: int) -> np.ndarray:
@@ -160,84 +188,77 @@ def _matrix(strings: list[str], width: int, fill: int) -> np.ndarray:
     return out
 
 
-def _banded(long: list[str], short: list[str], m: np.ndarray, n: np.ndarray, most: int) -> np.ndarray:
-    """Distances of pairs up to ``most``; above it any larger number."""
-    rows, columns = _matrix(long, int(m.max()), 0xFFFFFFFF), _matrix(short, int(n.max()), 0xFFFFFFFE)
-    one, top = np.uint64(1), np.uint64(63)
-    up = np.full(len(m), np.uint64(0xFFFFFFFFFFFFFFFF) << np.uint64(63 - most), dtype=np.uint64)
-    down = np.zeros(len(m), dtype=np.uint64)
-    distance = np.full(len(m), most, dtype=np.int64)
-    for j in range(len(columns)):
-        match = np.zeros(len(m), dtype=np.uint64)
-        for k in range(max(0, j - most), min(len(rows), j + most + 1)):
-            match |= (rows[k] == columns[j]).astype(np.uint64) << np.uint64(63 - (j + most - k))
-        diagonal = (((match & up) + up) ^ up) | match | down
-        right, left = down | ~(diagonal | up), diagonal & up
-        falling = j < m - most
-        edge = np.where(falling, 0, 62 - (j - (m - most))).astype(np.uint64)
-        step = np.where(falling, 1 - (diagonal >> top).astype(np.int64), ((right >> edge) & one).astype(np.int64) - ((left >> edge) & one).astype(np.int64))
-        distance += np.where(j < n, step, 0)
-        shifted = diagonal >> one
-        up, down = left | ~(shifted | right), shifted & right
-    return distance
-
-
 def occurrences(docs: DataFrame, least: int) -> DataFrame:
     """node, second (another hash of the line), doc_id and line_no of every line of ``least`` characters or more."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=500_000):
             lines = Lines(text_array(batch.column("text")), least)
             yield pa.RecordBatch.from_arrays([pa.array(lines.node), pa.array(lines.second()), batch.column("doc_id").take(pa.array(lines.owner)), pa.array(lines.number.astype(np.int32))], names=["node", "second", "doc_id", "line_no"])
 
     return with_text(docs, "doc_id").mapInArrow(work, f"node long, second long, doc_id {kind}, line_no int")
 
 
-def candidates(docs: DataFrame, most: int, least: int, per: int = 0, together: int = 2_500_000) -> DataFrame:
+#: A key that travels has 44 bits of its hash, one for an index, and 19 for the place of its line among those that are sent with it.
+PLACE_BITS, PLACES, KEYS, DROPPED = np.uint64(19), np.uint64((1 << 19) - 1), 1 << 44, np.uint64(20)
+
+
+def candidates(docs: DataFrame, most: int, least: int, per: int = 0, together: int = 1_000_000) -> DataFrame:
     """(key, node, n: nodes of the key) of the keys that two different lines share, one of which has it in its index.
 
     Keys travel packed: each task sends one row to each range of the hash
     space for every ``together`` keys, with those there and their nodes.
     """
     ranges = partitions_for(docs.count(), 4000, 48)
-    bounds = np.array([((1 << 64) * i) // ranges for i in range(ranges)], dtype=np.uint64)
-
-    def packed(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((nodes, keys))
-        keys, nodes = keys[order], nodes[order]
-        once = np.ones(len(keys), dtype=bool)  # copies in what is sent together
-        once[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-        keys, nodes = keys[once], nodes[once]
-        cuts = np.searchsorted(keys, bounds)
+    bounds = np.array([(KEYS * i) // ranges for i in range(ranges)], dtype=np.uint64)
+
+    def packed(keys: list[np.ndarray], nodes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``keys``: a key's last bits are the place of its node in ``nodes``."""
+        order = np.concatenate(keys)
+        keys.clear()
+        order.sort()
+        nodes = nodes[(order & PLACES).astype(np.int64)]
+        order >>= PLACE_BITS
+        cuts = np.searchsorted(order, bounds << np.uint64(1))
         rows: list[tuple] = []
-        for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
+        for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(order)], strict=True)):
             if a < b:
-                part = keys[a:b].copy()
-                part[1:] -= keys[a : b - 1]
+                part = order[a:b].copy()
+                part[1:] -= order[a : b - 1]
                 rows.append((i, pack(part), nodes[a:b].tobytes()))
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "nodes"])
+        for start in range(0, len(rows), 16):  # small batches, as the JVM keeps the memory of large ones
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[start : start + 16]], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "nodes"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in slices(batches, limit=600_000 if per else 1_500_000):
-            held.append(Lines(text_array(batch.column("text")), least).keys(most, per))
-            n += len(held[-1][0])
-            if n >= together:
-                yield packed(*map(np.concatenate, zip(*held, strict=True)))
-                held, n = [], 0
+        held, n, sent = [], 0, np.zeros(0, np.int64)
+        for batch in slices(batches, limit=300_000 if per else 1_000_000):
+            lines = Lines(text_array(batch.column("text")), least)
+            fresh = np.unique(lines.node, return_index=True)[1]
+            fresh = fresh[~np.isin(lines.node[fresh], sent)]  # copies in what is sent together probe once
+            for start in range(0, len(fresh), int(PLACES) // 2):
+                mine = np.sort(fresh[start : start + int(PLACES) // 2])
+                keys, line = lines.keys(most, per, mine)
+                place = np.zeros(len(lines.node), np.uint64)
+                place[mine] = np.arange(len(sent), len(sent) + len(mine), dtype=np.uint64)
+                held.append((keys & np.uint64(1) | keys >> DROPPED << np.uint64(1)) << PLACE_BITS | place[line])
+                n, sent = n + len(keys), np.concatenate([sent, lines.node[mine]])
+                if n >= together or len(sent) > PLACES // 2:
+                    yield from packed(held, sent)
+                    held, n, sent = [], 0, np.zeros(0, np.int64)
         if n:
-            yield packed(*map(np.concatenate, zip(*held, strict=True)))
+            yield from packed(held, sent)
 
     def meet(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in table.column("keys").to_pylist()])
         nodes = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in table.column("nodes").to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        hashes = keys[order] >> np.uint64(1)
+        order = np.argsort(keys)
+        hashes = keys[order]
+        hashes >>= np.uint64(1)
         many = np.zeros(len(order), dtype=bool)  # only keys that come more than once
         many[1:] |= hashes[1:] == hashes[:-1]
         many[:-1] |= hashes[1:] == hashes[:-1]
-        order = order[many]
+        order, hashes = order[many], None
         order = order[np.lexsort((nodes[order], keys[order] >> np.uint64(1)))]
         hashes, nodes, own = keys[order] >> np.uint64(1), nodes[order], (keys[order] & np.uint64(1)).astype(bool)
         new = np.ones(len(order), dtype=bool)
@@ -255,21 +276,21 @@ def candidates(docs: DataFrame, most: int, least: int, per: int = 0, together: i
 
 
 def _line_texts(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
-    """node and line of the nodes in ``wanted`` (node, doc_id): one occurrence each. Documents travel compressed."""
-    ids = wanted.groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))
-    found = squeezed(docs, "doc_id").join(ids, "doc_id").select("__body", "nodes")
+    """node and line of the nodes in ``wanted`` (node, doc_id), and of few others. Of all lines, those that pass a bit table of ``wanted`` travel."""
+    coded = wanted.select(F.col("node").bitwiseXOR(F.xxhash64("doc_id")).alias("code"))
+    sieve = sieve_of(coded, coded.count())
 
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wide = zstandard.ZstdDecompressor().decompress
-        for batch in slices(batches, "__body", 1_000_000):
-            lines = Lines(text_array(pa.array([wide(x).decode() for x in batch.column("__body").to_pylist()], pa.large_string())), least)
-            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("nodes")).to_numpy(zero_copy_only=False))
-            asked = set(zip(owner.tolist(), batch.column("nodes").flatten().to_pylist(), strict=True))
-            at = [i for i, pair in enumerate(zip(lines.owner.tolist(), lines.node.tolist(), strict=True)) if pair in asked]
-            texts = [lines.data[lines.start[i] : lines.stop[i]].tobytes().decode() for i in at]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=500_000):
+            lines = Lines(text_array(batch.column("text")), least)
+            doc = batch.column("doc").to_numpy(zero_copy_only=False)
+            at = sieve.passed((lines.node ^ doc[lines.owner]).view(np.uint64))
+            at = at[np.unique(lines.node[at], return_index=True)[1]]
+            texts = [lines.data[lines.start[i] : lines.stop[i]].tobytes().decode() for i in at.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(lines.node[at]), pa.array(texts, pa.string())], names=["node", "line"])
 
-    return found.mapInArrow(widen, "node long, line string").dropDuplicates(["node"])
+    found = with_text(docs.withColumn("doc", F.xxhash64("doc_id")), "doc").mapInArrow(work, "node long, line string")
+    return found.dropDuplicates(["node"])
 
 
 #: What lines are told apart by before they are compared: two bits for each of 64 kinds of characters, one for each of 128 kinds of pairs of neighbours, and of pairs around one.
@@ -449,10 +470,10 @@ def line_classes(docs: DataFrame, places: DataFrame, most: int = 2, least: int =
     """node and component of all lines that are within the allowed edits of another one. ``places``: as ``occurrences`` gives."""
     members = saved(candidates(docs, most, least, per), "members")
     involved = places.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = saved(_line_texts(docs, involved, least), "lines")
+    texts = saved(_line_texts(docs, saved(involved, "involved"), least), "lines")
     edits = "least(edits_a, edits_b)"
     meets = f"abs(length_a - length_b) <= {edits} and {_near_by_marks(edits)} and {_near_by_sites(edits)} and not arrays_overlap(before_a, before_b)"
-    return linked(members, lambda pairs: close_pairs(pairs, texts, most, per), lambda apart: _gram_members(apart, texts, most, per), meets)
+    return linked(members, lambda pairs: close_pairs(pairs, texts, most, per), lambda apart: _gram_members(apart, texts, most, per), meets, few=8)
 
 
 def deduplicated(docs: DataFrame, most: int = 2, least: int = 40, per: int = 0, short: bool = False) -> DataFrame:
@@ -478,7 +499,21 @@ def deduplicated(docs: DataFrame, most: int = 2, least: int = 40, per: int = 0,
     gone = saved(later.groupBy("place.doc_id").agg(F.collect_set("place.line_no").alias("__gone")), "gone")
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     rest = F.struct(*(F.col(f"`{c}`") for c in names)).alias("__rest")  # the caller's columns, whatever their names
-    joined = squeezed(docs.select("doc_id", "text", F.col("text").isNotNull().alias("__had_text"), rest), "doc_id", "__had_text", "__rest").join(gone, "doc_id", "left")
+    # Texts that surely keep all their lines don't travel.
+    code = F.xxhash64("doc_id")
+    coded = gone.select(code.alias("code"))
+    sieve = sieve_of(coded, coded.count())
+
+    def spared(codes: pa.Array) -> pa.Array:
+        out = np.ones(len(codes), dtype=bool)
+        out[sieve.passed(codes.to_numpy(zero_copy_only=False).view(np.uint64))] = False
+        return pa.array(out)
+
+    def touched(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pc.invert(spared(batch.column("__code"))))
+
+    kept = docs.filter(F.arrow_udf(spared, "boolean")(code))
+    joined = squeezed(docs.select("doc_id", "text", F.col("text").isNotNull().alias("__had_text"), rest, code.alias("__code")), "doc_id", "__had_text", "__rest", "__code", some=touched).join(gone, "doc_id", "left")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wide = zstandard.ZstdDecompressor().decompress
@@ -495,7 +530,9 @@ def deduplicated(docs: DataFrame, most: int = 2, least: int = 40, per: int = 0,
             yield pa.RecordBatch.from_arrays([batch.column("__rest"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["__rest", "text", "n_lines", "n_removed"])
 
     kinds = StructType([joined.schema["__rest"], StructField("text", StringType()), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
-    out = joined.mapInArrow(rewrite, kinds)
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    same = kept.select(rest, "text", F.coalesce(breaks + 1, F.lit(1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    out = same.union(joined.mapInArrow(rewrite, kinds))
     own = {c: F.col("__rest").getField(c).alias(c) for c in names} | {"text": F.col("text")}
     if "n_chars" in names:
         own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__rest.n_chars")).alias("n_chars")

@@ -28,7 +28,7 @@ def roots(parents: DataFrame, most: int = 60) -> DataFrame:
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], narrowed: Callable[[DataFrame], DataFrame], meets: str = "true") -> DataFrame:
+def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], narrowed: Callable[[DataFrame], DataFrame], meets: str = "true", few: int = 0) -> DataFrame:
     """node and component of all nodes with a link.
 
     ``members`` (key, node, n: the nodes of the key): candidates are two nodes
@@ -45,7 +45,9 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], narro
     another of one of their keys (node, component, and the hub it tried, if
     any) it makes members (key, node, component, and more columns) such that
     linked nodes share a key, and others rarely do; ``meets`` is what two members a and b of a key must
-    fulfil besides. ``verified`` keeps the pairs (a, b) that are links.
+    fulfil besides. ``verified`` keeps the pairs (a, b) that are links. Keys of
+    ``few`` nodes or less are spared that: their pairs are made as they are,
+    at most half of ``few`` a row, and those that were tried aren't checked again.
     """
     fame = members.groupBy("node").agg(F.sum("n").alias("fame"))
     best = F.max(F.struct("fame", "node")).alias("h")
@@ -54,10 +56,11 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], narro
     pairs = saved(tried.groupBy(F.col("node").alias("a")).agg(F.max_by("hub", F.struct("n", "fame", "hub")).alias("b")), "tried")
     classes = saved(roots(saved(verified(pairs), "near")), "classes")
 
-    now = members.select("key", "node").join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = members.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     now = saved(now, "now")
     open_keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    apart = saved(now.join(saved(open_keys, "open"), "key").select("node", "component").distinct().join(pairs.toDF("node", "hub"), "node", "left"), "apart")
+    still = now.join(saved(open_keys, "open"), "key")
+    apart = saved(still.filter(F.col("n") > few).select("node", "component").distinct().join(pairs.toDF("node", "hub"), "node", "left"), "apart")
     keyed = saved(narrowed(apart), "narrowed")
     parts = keyed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
     main = saved(parts.agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("key", "main"), "main")
@@ -66,7 +69,14 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], narro
     others = spread.filter("component <> main").select("key", F.col("node").alias("a"), F.col("component").alias("ca"), *(F.col(c).alias(f"{c}_a") for c in more))
     every = spread.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), *(F.col(c).alias(f"{c}_b") for c in more))
     left = others.join(every, "key").filter(f"ca <> cb and (in_main or a < b) and ({meets})")
-    pairs = saved(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    left = left.select(*ordered)
+    if few:
+        small = still.filter(F.col("n") <= few)
+        one, two = (small.select("key", F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+        direct = one.join(two, "key").filter("a < b and ca <> cb").select("a", "b").distinct()
+        left = left.union(direct.join(pairs.select(*ordered), ["a", "b"], "left_anti"))
+    pairs = saved(left.distinct(), "pairs")
     found = saved(verified(pairs), "links")
 
     # Only the classes are connected now, each of which counts as one node.

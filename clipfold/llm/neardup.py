@@ -10,7 +10,7 @@ links share the least id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -108,14 +108,14 @@ def signed(docs: DataFrame, n: int, hashes: int) -> DataFrame:
     return with_text(docs, "doc_id").mapInArrow(work, f"doc_id {kind}, n_shingles long, set_a long, set_b long, signature array<int>")
 
 
-def squeezed(docs: DataFrame, key: str = "node", *more: str) -> DataFrame:
-    """The document ids as ``key``, further columns, and ``__body``: the compressed text, a third of what travels otherwise."""
+def squeezed(docs: DataFrame, key: str = "node", *more: str, some: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """The document ids as ``key``, further columns, and ``__body``: the compressed text, a third of what travels otherwise. ``some``: the rows of a batch that are wanted."""
     texts = with_text(docs.withColumn(key, F.col("doc_id")), key, *more)
     names = [key, *more]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in slices(batches):
+        for batch in slices(map(some, batches) if some else batches):
             bodies = [squeeze(x.encode()) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bodies, pa.binary())], names=[*names, "__body"])
 

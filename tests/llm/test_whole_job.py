@@ -172,3 +172,21 @@ def test_sites_are_a_lower_bound(spark):
         met = {(r.i_a, r.i_b) for r in a.crossJoin(b).filter(linededup._near_by_sites(str(most))).select("i_a", "i_b").collect()}
         near = {(i, j) for i, x in enumerate(lines) for j, y in enumerate(lines) if edits(x, y) <= most}
         assert useful.all() and near <= met and len(met) < len(lines) ** 2 * 0.8
+
+
+def test_lines_that_share_a_segment_by_chance_cost_no_grams_and_whole_texts_stay(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    word = lambda n: "".join(rnd.choice(list("abcdefgh"), n))
+    rows = []
+    for k in range(12):
+        half = word(20)
+        rows += [(2 * k, half + word(20) + "\n\nx"), (2 * k + 1, half + word(20))]
+    rows += [(24, rows[0][1][:-3] + "\nkept"), (25, None), (26, "")]
+    tables, saved, sent, squeezed = [], linkage.saved, [], linededup.squeezed
+    monkeypatch.setattr(linkage, "saved", lambda df, label: tables.append((label, saved(df, label))) or tables[-1][1])
+    monkeypatch.setattr(linededup, "squeezed", lambda *a, **b: sent.append(squeezed(*a, **b)) or sent[-1])
+    out = {r.doc_id: r for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), per=80, short=False).collect()}
+    assert out.pop(24)[1:] == ("kept", 2, 1) and len(out) == 26
+    assert all((r.text, r.n_lines, r.n_removed) == (rows[k][1], (rows[k][1] or "").count("\n") + 1, 0) for k, r in out.items())
+    assert dict(tables)["tried"].count() >= 12 and dict(tables)["apart"].count() == dict(tables)["pairs"].count() == 0
+    assert [r.doc_id for x in sent for r in x.collect()] == [24]
