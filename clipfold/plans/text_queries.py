@@ -38,6 +38,11 @@ def title(column: str = "text") -> F.Column:
     return F.substring(F.substring_index(F.coalesce(F.col(column), F.lit("")), "\n", 1), 1, 500)
 
 
+def cdata(x: F.Column) -> F.Column:
+    """A text in CDATA, in several sections where one would end early or look like a DTD."""
+    return F.concat(F.lit("<![CDATA["), F.regexp_replace(x, r"\]\](?=>)|<!", r"$0]]><![CDATA["), F.lit("]]>"))
+
+
 TITLE = "substring(string_split(coalesce(text, ''), chr(10))[1], 1, 500)"
 NORM = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 NT = NORM.format(TITLE)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clipfold.functions import addresses, urls
-from clipfold.plans.text_queries import TITLE, TRACK, _strip_sql, table, title
+from clipfold.plans.text_queries import TITLE, TRACK, _strip_sql, cdata, table, title
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -73,7 +73,7 @@ def feed_items(spark, sf_dir):
     from clipfold.sources.feeds import parsed_feeds
 
     n = F.col("doc_id").cast("string")
-    named = F.concat(F.lit("<title><![CDATA["), title(), F.lit("]]></title>"))
+    named = F.concat(F.lit("<title>"), cdata(title()), F.lit("</title>"))
     item = F.concat(
         F.lit("<item><source><title>wrong</title><link>https://wrong.example</link></source>"), named, F.when(F.col("doc_id") % 5 == 0, named).otherwise(""), F.lit("<link>x/../"), n, F.lit("</link><dc:date>2026-08-13</dc:date>"),
         F.when(F.col("doc_id") % 3 == 0, "<media:description>no</media:description><summary>short</summary>").otherwise("<description><![CDATA[a</item>b &amp; c]]></description>"), F.lit("</item>"),

@@ -15,6 +15,20 @@ from clipfold.functions import text, urls
 from clipfold.functions.timeutil import feed_moment
 
 
+#: What counts as blank at the ends of a text.
+_BLANKS = "\t\n\v\f\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+#: Characters that feeds hold and expat refuses, and the one that stands before their spelling.
+_REFUSED, _SPELLED = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff\U000f0000]"), re.compile("\U000f0000([0-9a-f]+);")
+
+
+def _spelled(text: str) -> str:
+    return _REFUSED.sub(lambda found: f"\U000f0000{ord(found[0]):x};", text)
+
+
+def _unspelled(text: str) -> str:
+    return _SPELLED.sub(lambda found: chr(int(found[1], 16)), text)
+
+
 class _Node:
     """An element inside an item: its attributes, pieces of text, and children by name."""
 
@@ -22,7 +36,7 @@ class _Node:
         self.attributes, self.pieces, self.children = attributes, [], {}
 
     def text(self) -> str | None:
-        return "".join(self.pieces).strip() or None
+        return "".join(self.pieces).strip(_BLANKS) or None
 
 
 class _Items:
@@ -48,7 +62,7 @@ class _Items:
         elif at[:-1] in (("rss", "channel"), ("rdf:RDF",), ("feed",)):
             self.full = True
         if self.open or at in self.PATHS:
-            node = _Node(attributes)
+            node = _Node({k: _unspelled(v) for k, v in attributes.items()})
             if self.open:
                 self.open[-1].children.setdefault(name, []).append(node)
             elif len(self.items) < self.most:
@@ -68,8 +82,8 @@ class _Items:
     def close_piece(self, *_: str) -> None:
         """What stands between two tags, comments or CDATA sections is a piece, without blanks at its ends."""
         if self.piece:
-            text = "".join(self.piece)
-            self.open[-1].pieces.append(text if self.raw else text.strip())
+            text = _unspelled("".join(self.piece))
+            self.open[-1].pieces.append(text if self.raw else text.strip(_BLANKS))
             self.piece = []
 
     def cdata(self, inside: bool) -> None:
@@ -101,7 +115,7 @@ def _read(body: str | None, most: int) -> list[_Node] | None:
     parser.StartCdataSectionHandler, parser.EndCdataSectionHandler = lambda: items.cdata(True), lambda: items.cdata(False)
     text = re.sub(r"^\ufeff?\s*<\?xml[^>]*\?>", "", body)
     try:
-        parser.Parse(_MARKED.sub(keep, text if text != body else body.lstrip("\ufeff")).encode("utf-8", "surrogatepass"), True)
+        parser.Parse(_MARKED.sub(keep, _spelled(text if text != body else body.lstrip("\ufeff"))).encode("utf-8", "surrogatepass"), True)
     except expat.ExpatError:
         return None
     return None if loose or items.holders != 1 or not items.full else items.items
@@ -117,11 +131,11 @@ def _first(item: _Node, *names: str) -> str | None:
 
 
 def _fields(item: _Node) -> dict[str, str | None]:
-    links, authors = item.children.get("link", []), item.children.get("author", [])
-    href = next((x.attributes["href"].strip() for x in links if x.attributes.get("href", "").strip() and (x.attributes.get("rel") or "").strip() in ("", "alternate")), None)
+    titles, links, authors = (item.children.get(x, []) for x in ("title", "link", "author"))
+    href = next((x.attributes["href"].strip(_BLANKS) for x in links if x.attributes.get("href", "").strip(_BLANKS) and (x.attributes.get("rel") or "").strip(_BLANKS) in ("", "alternate")), None)
     name = _first(authors[0], "name") if len(authors) == 1 else None
     return {
-        "title": _first(item, "title"), "link": _first(item, "link") or href, "moment": _first(item, "pubDate", "published", "updated", "dc:date"), "external_id": _first(item, "guid", "id"),
+        "title": (titles[0].text() or "") if len(titles) == 1 else None, "link": _first(item, "link") or href, "moment": _first(item, "pubDate", "published", "updated", "dc:date"), "external_id": _first(item, "guid", "id"),
         "excerpt": _first(item, "description", "summary"), "author": _first(item, "author", "dc:creator") or name,
     }
 
@@ -147,7 +161,7 @@ def parsed_feeds(feeds: DataFrame) -> DataFrame:
 
     ``feeds``: source_id, body, site_url, content_use, publisher, max_items and
     discovered_at, and feed_url if links can be relative. ``issue`` is null for a good item, ITEM_SKIPPED for one
-    without a title, a fetchable link or a date, and INVALID_SOURCE_DATA (on a
+    without a title (blank: empty; none, or two: null), a fetchable link or a date, and INVALID_SOURCE_DATA (on a
     row of its own, item_index -1) for a document with a DTD, of no known kind,
     or that isn't a tree. A good feed without items makes no row.
     """

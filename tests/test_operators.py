@@ -162,6 +162,19 @@ def test_feeds_are_trees(spark):
     assert got["author"].author == "lee" and got["links"].original_url == "https://x.kr/1?a=1&amp;b=2" and got["prefix"].original_url == "https://x.kr/1"
 
 
+def test_feeds_with_blank_titles_and_refused_characters(spark):
+    when, link = "<pubDate>Thu, 13 Aug 2026 09:00:00 +0900</pubDate>", "<link>https://x.kr/1</link>"
+    items = {
+        "blank": (f"<item><title><![CDATA[ ]]></title>{link}{when}</item>", "", "ITEM_SKIPPED"), "empty": (f"<item><title/>{link}{when}</item>", "", "ITEM_SKIPPED"), "none": (f"<item>{link}{when}</item>", None, "ITEM_SKIPPED"),
+        "control": (f"<item><title>a\x00b\x0c\x1f</title>{link}{when}</item>", "a b", None), "next line": (f"<item><title><![CDATA[\x85a\x85]]></title>{link}{when}</item>", "\x85a\x85", None),
+        "no character": (f"<item><title>\ufffea\uffff</title>{link}{when}</item>", "\ufffea\uffff", None), "spelling": (f"<item><title>\U000f00001f;</title>{link}{when}</item>", "\U000f00001f;", None),
+        "sections": (f"<item><title><![CDATA[a]]]]><![CDATA[>b <!]]><![CDATA[DOCTYPE x]]></title>{link}{when}</item>", "a]]>b <!DOCTYPE x", None), "dtd": (f"<item><title><![CDATA[<!DOCTYPE x]]></title>{link}{when}</item>", None, "INVALID_SOURCE_DATA"),
+    }
+    rows = [(k, f"<rss><channel>{x[0]}</channel></rss>", "https://x.kr", "evidence", "pub", 9, dt.datetime(2026, 8, 14)) for k, x in items.items()]
+    frame = spark.createDataFrame(rows, "source_id string, body string, site_url string, content_use string, publisher string, max_items int, discovered_at timestamp")
+    assert {r.source_id: (r.title, r.issue) for r in feeds.parsed_feeds(frame).collect()} == {k: x[1:] for k, x in items.items()}
+
+
 def test_bodies_with_ends_left_out(spark):
     pages = ["<div id=body><p>one<p>two</div><div>LATER</div>", "<main><div id=body><ul><li>one<li>two</ul></main>LATER", "<div id=body>one</span><div>two</div></div>LATER", "<div id=body>one<script>if (a</b) x</script><nav>no<p>no</nav><p>two</div>LATER", "<p>none</p>"]
     frame = spark.createDataFrame(list(enumerate(pages)), "i int, html string")

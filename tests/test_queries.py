@@ -60,3 +60,22 @@ def test_hopping_window_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("seen").count() == events.select("user_id").distinct().count()
+
+
+#: First lines that tables of any size can have, and their neighbours.
+ODD = (None, "", "\nnext", "  ", "a]]>b", "a]]", "<!DOCTYPE html><p>x", "<!-- c --> t", "<b></b>", "x\x01y", "\x0c", "\x85 t \x85", "\ufeff", "&nbsp;", "<![CDATA[n]]>", "&lt;b&gt;x", "é" * 600, "\U000f00001f;")
+
+
+def test_feed_items_of_odd_titles_match_sql(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = pa.array([ODD[i % len(ODD)] for i in range(5 * len(ODD))], pa.string())
+    ids = pa.array(range(len(texts)), pa.int64())
+    pq.write_table(pa.table({"doc_id": ids, "text": texts}), tmp_path / "documents.parquet")
+    found = entry.queries()["feed_items"](spark, str(tmp_path))
+    columns = ("source_id", "item_index", "title", "excerpt", "issue", "original_url")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL['feed_items']})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found.select(*columns).collect())
