@@ -108,7 +108,7 @@ def upsert(batch: DataFrame, stored: DataFrame, identities: list[str], order: st
         now, left = saved_with(resolved_chains(step, order, "_in", "_to", "_flip").select(order, *identities, "_in"), "upsert", F.count_if(F.col("_in").isNull()).alias("n"))
         if not left["n"]:
             outcome = F.when(F.col("_in") == 1, "inserted").otherwise("duplicate")
-            return batch.join(now.select(order, outcome.alias("outcome")), order).select(*batch.columns, "outcome")
+            return batch.join(now.select(order, outcome.alias("outcome")).hint("merge"), order).select(*batch.columns, "outcome")
     raise RuntimeError(f"rows were left undecided after {most} rounds")
 
 

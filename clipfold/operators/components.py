@@ -40,11 +40,16 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def classes_by_keys(rows: DataFrame, node: str, keys: list[str]) -> DataFrame:
-    """``rows`` and their component: rows are connected that share a value of any of ``keys``; null keys connect nothing."""
-    edges = None
+    """``rows`` and their component: rows are connected that share a value of any of ``keys``; null keys connect nothing.
+
+    Nodes and keys are written once, and so are the keys that several nodes
+    share. What Spark guesses of computed keys is far below their size, so
+    these joins are told to sort both sides instead of sending one to all.
+    """
+    held, edges = saved(rows.select(node, *keys), "keys"), None
     for key in keys:
-        hub = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(node).alias("b"))
-        found = rows.join(hub, key).select(F.col(node).alias("a"), "b").filter("a <> b")
+        shared = held.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(node).alias("b"), F.max(node).alias("_z")).filter("b <> _z").drop("_z")
+        found = held.join(saved(shared, "hubs").hint("merge"), key).select(F.col(node).alias("a"), "b").filter("a <> b")
         edges = found if edges is None else edges.union(found)
     found = components(edges).withColumnRenamed("node", node)
-    return rows.join(found, node, "left").withColumn("component", F.coalesce("component", node))
+    return rows.join(found.hint("merge"), node, "left").withColumn("component", F.coalesce("component", node))

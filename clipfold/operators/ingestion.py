@@ -46,7 +46,7 @@ def ingested(feeds: DataFrame, sources: DataFrame, stored: DataFrame, history: D
     content_fingerprint of earlier posts. A feed that can't be read costs its
     own items only. Without an enabled source the run has failed.
     """
-    active = sources.filter("enabled")
+    active = saved(sources.filter("enabled"), "sources")
     wanted = feeds.join(active.select("source_id"), "source_id", "left_semi")
     items = saved(feed_source.parsed_feeds(wanted), "items")
     outcomes = feed_source.outcomes(items, wanted)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from clipfold.functions import text
 from clipfold.operators import artifacts, contracts, publication
 from clipfold.plans.nested_queries import posts
-from clipfold.plans.text_queries import NORM, TITLE, _strip_sql, table, title
+from clipfold.plans.text_queries import NORM, TITLE, _strip_sql, cdata, table, title
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,7 +39,7 @@ def ingestion_run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     n = F.col("doc_id").cast("string")
     fed = F.when(text.normalize_title(text.strip_markup(title())) == "", "untitled").otherwise(title())
-    item = F.concat(F.lit("<item><title><![CDATA["), fed, F.lit("]]></title><link>https://h.example/"), n, F.lit("</link><pubDate>Thu, 13 Aug 2026 09:00:00 +0900</pubDate></item>"))
+    item = F.concat(F.lit("<item><title>"), cdata(fed), F.lit("</title><link>https://h.example/"), n, F.lit("</link><pubDate>Thu, 13 Aug 2026 09:00:00 +0900</pubDate></item>"))
     feeds = docs.select(
         F.col("source").alias("source_id"), F.concat(F.lit("<rss><channel>"), item, F.when(F.col("doc_id") % 11 == 0, "").otherwise("</channel></rss>")).alias("body"), F.lit("https://h.example").alias("site_url"), F.lit("evidence").alias("content_use"),
         F.lit("p").alias("publisher"), F.lit(5).alias("max_items"), F.lit("2026-08-14").cast("timestamp").alias("discovered_at"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipfold.functions import text, urls
-from clipfold.operators import articles, artifacts, evidence, gates, ingestion, ledger, signals, topics
+from clipfold.operators import articles, artifacts, components, evidence, gates, ingestion, ledger, signals, topics
 from clipfold.sources import feeds, tables
 
 SOURCE = "source_id string, publisher_group_id string, provenance_group_prefix string, origin_type string"
@@ -216,6 +216,19 @@ def test_ingestion(spark):
     assert out.summary.first().asDict() == {"total": 3, "failed": 1, "collected": 3, "deduplicated": 2, "inserted": 1, "status": "partial"}
 
 
+def test_joins_by_computed_keys_send_no_side_to_all(spark, monkeypatch):
+    plans, write = [], components.saved_with
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(components, "saved_with", lambda df, *rest: (plans.append(plan(df)), write(df, *rest))[1])
+    n = F.col("id").cast("string")
+    rows = spark.range(60).select(F.concat(F.lit("n"), F.lpad(n, 2, "0")).alias("id"), F.sha2(F.floor(F.col("id") / 3).cast("string"), 256).alias("k"), F.when(F.col("id") % 30 == 2, F.sha2(F.lit("one"), 256)).alias("l"))
+    found = components.classes_by_keys(rows, "id", ["k", "l"])
+    want = {f"n{i:02}": f"n{0 if i // 3 == 10 else i // 3 * 3:02}" for i in range(60)}
+    assert {r.id: r.component for r in found.collect()} == want
+    for text in (plans[0], plan(found)):
+        assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
 def test_search_results_and_pages(spark):
     rows = [(1, "<b>하나</b>", "d", "https://a.kr/1", None, dt.datetime(2026, 8, 1)), (2, "하나 새로", "d", "https://a.kr/1", None, dt.datetime(2026, 8, 2)), (3, "둘", "d", "https://a.kr/2", None, dt.datetime(2026, 8, 3)), (4, "남", "d", "https://z.kr/2", None, dt.datetime(2026, 8, 3))]
     out = feeds.search_items(spark.createDataFrame(rows, "seq long, title string, description string, original_link string, link string, pub_date timestamp"), spark.createDataFrame([("a.kr", "s", "p")], "host string, source_id string, publisher string"), 5).collect()

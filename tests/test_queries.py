@@ -79,3 +79,18 @@ def test_feed_items_of_odd_titles_match_sql(spark, tmp_path):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL['feed_items']})").fetchall()
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in found.select(*columns).collect())
+
+
+def test_ingestion_run_of_odd_titles_matches_sql(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 12 * len(ODD)
+    table = pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array([ODD[i * 5 % len(ODD)] for i in range(n)], pa.string()), "source": [f"src{i % 5}" for i in range(n)]})
+    pq.write_table(table, tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"text": ["a title", None]}), tmp_path / "benchmark.parquet")
+    found = entry.queries()["ingestion_run"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    columns = ("total", "failed", "collected", "deduplicated", "inserted", "status")
+    assert con.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL['ingestion_run']})").fetchall() == [tuple(r) for r in found.select(*columns).collect()]
