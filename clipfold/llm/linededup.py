@@ -442,7 +442,7 @@ def _gram_members(apart: DataFrame, texts: DataFrame, most: int, per: int = 0, q
     first = lambda batch, sizes: q * edits_of(batch.column("line").to_pylist()) + 1
     own = own.withColumn("length", F.length("line")).withColumn("edits", F.expr(_allowed_sql("length", most, per)).cast("int"))
     # What follows reads the prefixes and the shared ones of them twice.
-    front = saved(prefixes(own, sets_of, first, "line", ("component", "length", "edits", "hub", *MARKS, *SITES)).drop("size", "place"), "prefixes")
+    front = saved(prefixes(own, sets_of, first, "line", ("component", "length", "edits", "hub", *MARKS, *SITES), alone=False).drop("size", "place"), "prefixes")
     shared = saved(shared_only(front), "shared")
     keys = shared.groupBy("node").agg(F.collect_list("key").alias("keys"))
     return shared.join(keys, "node").withColumn("before", F.filter("keys", lambda k: k < F.col("key"))).drop("keys")

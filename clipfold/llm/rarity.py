@@ -22,6 +22,8 @@ from clipfold.llm.packed import pack, unpack
 
 Sets = tuple[np.ndarray, np.ndarray]
 CELLS, CHUNKS, LOT = 1 << 22, 256, 256
+#: What a count of one is on the scale of ``counted_cells``.
+ONE = int(np.log2(2.0) * 7.9)
 
 
 def _cells(elements: np.ndarray) -> np.ndarray:
@@ -65,12 +67,14 @@ def counted_cells(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Sets], co
     return out
 
 
-def prefixes(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Sets], first_of: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], column: str, more: tuple[str, ...] = (), limit: int = 1_000_000) -> DataFrame:
+def prefixes(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Sets], first_of: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], column: str, more: tuple[str, ...] = (), limit: int = 1_000_000, alone: bool = True) -> DataFrame:
     """(key, node, further columns, size, place): the first elements of each node's set, ``first_of(batch, sizes)`` of them.
 
     ``rows``: node, ``column`` and further ones; ``sets_of`` makes distinct
     element hashes of a batch, one set after another, and where each begins.
-    ``place``: how many elements of the set come before.
+    ``place``: how many elements of the set come before. Unless ``alone``, those
+    of them that are the only one in their cell make no row: no other set has
+    them, whatever the cells.
     """
     counts = counted_cells(rows, sets_of, column, limit)
     names = ["node", *more]
@@ -83,6 +87,8 @@ def prefixes(rows: DataFrame, sets_of: Callable[[pa.RecordBatch], Sets], first_o
             order = np.lexsort((elements, counts[_cells(elements)], owner))
             place = np.arange(len(elements)) - at[:-1][owner]
             front = place < first_of(batch, sizes)[owner]
+            if not alone:
+                front &= counts[_cells(elements[order])] > ONE
             take = owner[front]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(elements[order[front]].view(np.int64)), *(batch.column(c).take(pa.array(take)) for c in names), pa.array(sizes[take].astype(np.int32)), pa.array(place[front].astype(np.int32))],

@@ -153,6 +153,24 @@ def test_line_classes_match_brute_force(spark):
         assert (out[i].n_lines, out[i].n_removed) == (5, len(gone[i]))
 
 
+def test_grams_of_one_line_alone_make_no_rows(spark, monkeypatch):
+    rng, written = np.random.default_rng(5), {}
+    word = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    lines = [f"{word(4)} said that the same few things were written to many {word(4)}" for _ in range(40)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    apart = spark.createDataFrame([(i, i, None) for i in range(40)], "node long, component long, hub long")
+    write, cut = linededup.saved, linededup.prefixes
+    monkeypatch.setattr(linededup, "saved", lambda df, label, *rest: written.setdefault(label, write(df, label, *rest)))
+    found = linededup._gram_members(apart, texts, 4).select("key", "node").collect()
+    rows = written.pop("prefixes").select("key", "node").collect()
+    copies = collections.Counter(r.key for r in rows)
+    assert min(copies.values()) > 1 and {r.node for r in rows} == set(range(40))
+    written.clear()
+    monkeypatch.setattr(linededup, "prefixes", lambda *a, **b: cut(*a, **b | {"alone": True}))
+    assert sorted(found) == sorted(linededup._gram_members(apart, texts, 4).select("key", "node").collect())
+    assert written["prefixes"].count() == 40 * 33 > len(rows)
+
+
 def test_line_dedup_edges(odd, nothing, odd_rows):
     out = linededup.deduplicated(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"]
